@@ -1,9 +1,25 @@
 """The operators' registered queries and, where SQL can express one, its DuckDB equivalent."""
 
+from .chat import OP9_SQL, op9_chat_format
+from .decontaminate import op4_decontaminate
+from .licenses import op5_license_scan
+from .lm import op2_lm_score
 from .neardup import op1_near_duplicates
+from .quality import op10_quality
+from .secrets import op8_secret_scan
+from .tiff import op6_tiff_media
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_lm_score": op2_lm_score,
+    "op4_decontaminate": op4_decontaminate,
+    "op5_license_scan": op5_license_scan,
+    "op6_tiff_media": op6_tiff_media,
+    "op7_toxicity": op7_toxicity,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_chat_format": op9_chat_format,
+    "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_chat_format": OP9_SQL}
