@@ -6,7 +6,8 @@ candidates, the collision-corrected register estimate drops the hopeless ones, a
 shingle sets. With 51 bands a pair at similarity 0.75 is missed with probability (1 - 0.75**5)**51 = 1e-6.
 
 Work is kept linear in a group's size: equal token sequences are one node; in a bucket every node is first compared with
-the bucket's smallest id only; pairs are looked at again only where a bucket still holds several components.
+the bucket's smallest id only; pairs are looked at again only where a bucket still holds several components and enough of
+both nodes' shingles occur in other components at all (an exact bound: what nothing else has, no link can share).
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ BANDS = REGISTERS // BAND_ROWS
 SALT_ROWS = 2000
 #: In a bucket with more components than this, candidates must share a second band too (missed: 2e-5 at 0.75).
 WIDE_BUCKET = 200
+#: Shingles that one task compares across components at once.
+PART_SHINGLES = 2_000_000
 
 _COEF = mix(np.arange(11, 11 + WORDS, dtype=U64)) | U64(1)
 _DONORS = np.argsort(mix(np.arange(REGISTERS * REGISTERS, dtype=U64) + U64(77)).reshape(REGISTERS, REGISTERS), axis=1, kind="stable").astype(np.int64)
@@ -182,11 +185,44 @@ def components(edges: DataFrame, a: str = "leader", b: str = "member", most_roun
     return label.select("node", F.col("root").alias("component"))
 
 
-def _open(rows: DataFrame, label: DataFrame) -> DataFrame:
-    """Rows (bucket, node, n) of the buckets that still hold more than one component, with it, and how many nodes stand there."""
+def _matchable(texts: DataFrame, label: DataFrame, shingles: int) -> DataFrame:
+    """(node, component, n, m): a node's shingles, and how many of them any node of another component has too.
+
+    The hash space is cut into parts of about PART_SHINGLES shingles; a part sees every node's shingles that fall in it."""
+    parts = max(1, -(-shingles // PART_SHINGLES))
+    rows = texts.join(label, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "text")
+
+    def cut(batches):
+        for piece, data, off in slices(batches):
+            sets, _, _ = shingle_hashes(data, off)
+            node, component = piece.column(0).to_pylist(), piece.column(1).to_pylist()
+            out = []
+            for k, c, s in zip(node, component, sets, strict=True):
+                part = (s % U64(parts)).astype(np.int64)
+                out += [(int(j), k, c, s[part == j].tobytes()) for j in np.unique(part)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "node", "component", "shingles"])
+
+    def meet(frame):
+        import pandas as pd
+
+        size = np.array([len(x) // 8 for x in frame["shingles"]])
+        flat = np.frombuffer(b"".join(frame["shingles"]), U64)
+        row = np.repeat(np.arange(len(frame)), size)
+        component = frame["component"].to_numpy()[row]
+        order = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1])))
+        low, high = np.minimum.reduceat(component[order], first), np.maximum.reduceat(component[order], first)
+        several = np.repeat(low != high, np.diff(np.append(first, len(flat))))
+        m = np.bincount(row[order], weights=several, minlength=len(frame)).astype(np.int64)
+        return pd.DataFrame({"node": frame["node"], "component": frame["component"], "n": size, "m": m})
+
+    return rows.mapInArrow(cut, "part int, node long, component long, shingles binary").groupBy("part").applyInPandas(meet, "node long, component long, n long, m long").groupBy("node").agg(F.min("component").alias("component"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold more than one component, and how many nodes stand in each (wide)."""
     w = Window.partitionBy("bucket")
-    seen = rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return seen.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).withColumn("wide", F.count("*").over(w)).filter("lo <> hi").drop("lo", "hi")
+    return rows.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).withColumn("wide", F.count("*").over(w)).filter("lo <> hi").drop("lo", "hi")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_percent: int = 75) -> DataFrame:
@@ -209,6 +245,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = met.select(F.col("node").alias("doc_id")).distinct()
     texts = settle(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(small(wanted), "doc_id", "left_semi").join(nodes.select(F.col("node").alias("doc_id"), "regs").dropDuplicates(["doc_id"]).join(small(wanted), "doc_id", "left_semi"), "doc_id"))
 
+    texts_shingles = nodes.join(small(wanted), F.col("node") == F.col("doc_id"), "left_semi").agg(F.sum("n_shingles")).first()[0] or 0
+
     best = stars.withColumn("r", F.row_number().over(Window.partitionBy("member").orderBy(F.desc("shared"), "leader")))
     links = settle(_confirmed(best.filter("r = 1").select("leader", "member"), texts, least_percent))
     label = components(links)
@@ -217,14 +255,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.unionByName(more)
     label = components(links)
 
-    left = settle(_open(met.filter("many > 2").select("bucket", "node", "n"), label))
+    # A link needs 7 * intersection >= 3 * (n + n'), here in percent; a node shares at most m shingles with other components.
+    total = least_percent + 100
+    info = _matchable(texts, label, texts_shingles).filter(F.col("m") * 100 >= F.col("n") * least_percent)
+    left = settle(_open(met.filter("many > 2").select("bucket", "node").join(info, "node")))
     wide = left.filter(F.col("wide") > WIDE_BUCKET)
     if not wide.isEmpty():
         bands = _banded(nodes.join(small(wide.select("node").distinct()), "node", "left_semi")).select(F.col("bucket").alias("second"), "node")
-        split = wide.join(bands, "node").filter("bucket <> second").select(F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second")).alias("bucket"), "node", "n").distinct()
-        left = settle(left.filter(F.col("wide") <= WIDE_BUCKET).unionByName(_open(split, label)))
+        split = wide.drop("wide").join(bands, "node").filter("bucket <> second").withColumn("bucket", F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second"))).drop("second").distinct()
+        left = settle(left.filter(F.col("wide") <= WIDE_BUCKET).unionByName(_open(split)))
     x, y = left.alias("x"), left.alias("y")
-    close: Column = (100 * F.least("x.n", "y.n") >= least_percent * F.greatest("x.n", "y.n"))
+    close: Column = F.least("x.m", "y.m") * total >= least_percent * (F.col("x.n") + F.col("y.n"))
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & close).select(F.least("x.node", "y.node").alias("leader"), F.greatest("x.node", "y.node").alias("member")).distinct()
     pairs = pairs.join(stars, ["leader", "member"], "left_anti")
     last = settle(_confirmed(pairs, texts, least_percent))
