@@ -3,11 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fluence.llm.shared import settle
+from fluence.llm import decontaminate, mixing, neardup, quality, secrets
+from fluence.llm.shared import settle, small
 
-STAGES: list = []
-#: The stages learn models and compare texts approximately before confirming; SQL cannot express them.
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text where a stage has changed it."""
+    return docs.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else docs
+
+
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose passages score below 0.5 go."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.scores(docs, model, name="_score").filter("_score >= 0.5").drop("_score")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, the one with the smallest id; of rows that repeat an id, one stays."""
+    found = settle(neardup.near_duplicates(docs).select("doc_id", "kept"))
+    gone = found.filter("not kept").select("doc_id").distinct()
+    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    left = docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    if again.isEmpty():
+        return left
+    again = small(again)
+    return left.join(again, "doc_id", "left_anti").unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+
+
+def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark passages are cut out; documents that are mostly benchmark go."""
+    return _recounted(decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    return _recounted(secrets.redact(docs, secrets.train(docs)))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sample that has the target marginals, with each document's copies and calibrated probability."""
+    return mixing.mix(docs).filter("copies > 0").select("row.*", F.col("copies").alias("mix_copies"), F.col("probability").alias("mix_probability"))
+
+
+STAGES = [
+    ("quality classifier", reject_low_quality),
+    ("near duplicates", drop_near_duplicates),
+    ("benchmark decontamination", remove_benchmark),
+    ("secret scan", redact_secrets),
+    ("mixing to target weights", mix_sources),
+]
+#: Stages learn models; SQL cannot express them, so tests compare each with a plain version.
 ORACLE_SQL = None
 
 

@@ -4,6 +4,7 @@ from .chat import OP9_SQL, op9_chat_format
 from .decontaminate import op4_decontaminate
 from .licenses import op5_license_scan
 from .lm import op2_lm_score
+from .mixing import OP3_SQL, op3_mix_to_targets
 from .neardup import op1_near_duplicates
 from .quality import op10_quality
 from .secrets import op8_secret_scan
@@ -13,6 +14,7 @@ from .toxicity import op7_toxicity
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_lm_score": op2_lm_score,
+    "op3_mix_to_targets": op3_mix_to_targets,
     "op4_decontaminate": op4_decontaminate,
     "op5_license_scan": op5_license_scan,
     "op6_tiff_media": op6_tiff_media,
@@ -22,4 +24,4 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_chat_format": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_mix_to_targets": OP3_SQL, "op9_chat_format": OP9_SQL}

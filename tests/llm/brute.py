@@ -42,3 +42,51 @@ def near_duplicates(rows):
                         x, y = sorted((find(sets[i][0]), find(sets[j][0])))
                         parent[y] = x
     return sorted((d, len(s), find(d)) for d, s in sets)
+
+
+def lm_base(rows, held):
+    """rows: (doc_id, text); held(doc_id) -> {doc_id: (tokens, known, N, base)}"""
+    import math
+    from collections import Counter
+
+    tokens = {d: [*SPACE.findall(low(t)), None] for d, t in rows}
+    count = Counter(x for d, ts in tokens.items() if not held(d) for x in ts)
+    n, v = sum(count.values()), len(count)
+    return {d: (len(ts), sum(count[x] > 0 for x in ts), n, sum(math.log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in ts)) for d, ts in tokens.items()}
+
+
+def contamination(docs, items, window=10):
+    """{doc_id: (n_words, hit word numbers, item ids)}"""
+    wanted = {}
+    for name, text in items:
+        w = ALNUM.findall(low(text))
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            wanted.setdefault(tuple(w[i : i + window]), set()).add(str(name))
+    sizes = sorted({len(k) for k in wanted})
+    out = {}
+    for d, text in docs:
+        w, hit, found = ALNUM.findall(low(text)), set(), set()
+        for n in sizes:
+            for i in range(len(w) - n + 1):
+                names = wanted.get(tuple(w[i : i + n]))
+                if names:
+                    hit.update(range(i, i + n))
+                    found |= names
+        out[d] = (len(w), hit, found)
+    return out
+
+
+def phrases(text, table):
+    w = ALNUM.findall(low(text))
+    return len(w), sorted((i, label) for p, label in table.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+
+
+def secrets(text):
+    """(kind, start, end) by start, then kind."""
+    text = text or ""
+    order = ["assign", "access", "hex"]
+    flags = re.IGNORECASE | re.ASCII
+    out = [("assign", *m.span()) for m in re.finditer(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, flags) if len(m[2]) >= 12]
+    out += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out, key=lambda x: (x[1], order.index(x[0])))
