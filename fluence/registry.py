@@ -1,4 +1,6 @@
 """Registered queries of the dose operators, with their DuckDB equivalents."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import dvh_queries
+
+QUERIES = {**dvh_queries.QUERIES}
+ORACLE_SQL = {**dvh_queries.ORACLE_SQL}
