@@ -5,9 +5,10 @@ the smallest remainder as its count of leading zeros and ten mantissa bits. Band
 candidates, the collision-corrected register estimate drops the hopeless ones, and every link is confirmed on the two full
 shingle sets. With 51 bands a pair at similarity 0.75 is missed with probability (1 - 0.75**5)**51 = 1e-6.
 
-Work is kept linear in a group's size: equal token sequences are one node; in a bucket every node is first compared with
-the bucket's smallest id only; pairs are looked at again only where a bucket still holds several components and enough of
-both nodes' shingles occur in other components at all (an exact bound: what nothing else has, no link can share).
+Work is kept near linear in a group's size: equal token sequences are one node; in a bucket every node is compared with the
+bucket's smallest id only, and links make components. Of the nodes that shared a bucket, pairs of different components are
+then compared where they share one of their rarest shingles: a linked pair must (exact prefix bound), a group's common text
+does not lead to pairs.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ BAND_ROWS = 5
 BANDS = REGISTERS // BAND_ROWS
 #: Members that a helper task compares with one leader before the leader is dealt out again.
 SALT_ROWS = 2000
-#: In a bucket with more components than this, candidates must share a second band too (missed: 2e-5 at 0.75).
-WIDE_BUCKET = 200
+#: Edges whose components one task works on.
+EDGES_AT_ONCE = 250_000
 #: Shingles that one task compares across components at once.
 PART_SHINGLES = 2_000_000
 
@@ -168,27 +169,29 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
 def components(edges: DataFrame, a: str = "leader", b: str = "member", most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node that can be reached.
 
-    Each round hooks a node's root to the smallest root among its neighbours and halves paths by pointer jumping; labels stay distributed."""
-    edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = settle(edges.union(edges.select("v", "u")).filter("u <> v").distinct())
-    label = settle(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("root")))
+    In each round a node takes the smallest label among its neighbours', then that label's own label (pointer jumping).
+    Labels only fall, so an unchanged sum ends it. They stay distributed; they are broadcast only while they are few."""
+    edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
+    both = settle(edges.union(edges.select("v", "u")).union(edges.select("u", "u")).union(edges.select("v", "v")).distinct())
+    parts = max(4, both.count() // EDGES_AT_ONCE)
+    label, total = settle(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).coalesce(parts)), None
     for _ in range(most_rounds):
-        near = both.join(label, F.col("v") == F.col("node")).groupBy("u").agg(F.min("root").alias("near"))
-        seen = label.join(near, F.col("node") == F.col("u"), "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("low"))
-        hooked = seen.select("node", "low").union(seen.select(F.col("root").alias("node"), "low")).groupBy("node").agg(F.min("low").alias("low"))
-        up = hooked.select(F.col("node").alias("parent"), F.col("low").alias("above"))
-        new = settle(hooked.join(up, F.col("low") == F.col("parent"), "left").select("node", F.least("low", F.coalesce("above", "low")).alias("root")))
-        moved = new.join(label.select("node", F.col("root").alias("old")), "node").filter(F.col("root") != F.col("old")).limit(1).count()
-        label = new
-        if not moved:
+        known = small(label)
+        low = both.join(known.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("low"))
+        above = low.join(known.select(F.col("node").alias("low"), "component"), "low")
+        label = settle(above.select("node", F.least("low", "component").alias("component")).coalesce(parts))
+        before, total = total, label.agg(F.sum(F.col("component").cast("decimal(28,0)"))).first()[0]
+        if before == total:
             break
-    return label.select("node", F.col("root").alias("component"))
+    return label
 
 
-def _matchable(texts: DataFrame, label: DataFrame, shingles: int) -> DataFrame:
-    """(node, component, n, m): a node's shingles, and how many of them any node of another component has too.
+def _rare(texts: DataFrame, label: DataFrame, shingles: int, least: int) -> DataFrame:
+    """(shingle, node, component, n, rank): the shingles that can prove a link, rarest first (rank from 0).
 
-    The hash space is cut into parts of about PART_SHINGLES shingles; a part sees every node's shingles that fall in it."""
+    A link leaves out so few of a node's n shingles that one of its rarest must be shared; only ranks up to n - least % of n
+    can count, and of those only shingles that another component has too. Frequencies are counted over all texts given here:
+    the hash space is cut into parts of about PART_SHINGLES shingles, and a part sees every node's shingles that fall in it."""
     parts = max(1, -(-shingles // PART_SHINGLES))
     rows = texts.join(label, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "text")
 
@@ -200,29 +203,41 @@ def _matchable(texts: DataFrame, label: DataFrame, shingles: int) -> DataFrame:
             for k, c, s in zip(node, component, sets, strict=True):
                 part = (s % U64(parts)).astype(np.int64)
                 out += [(int(j), k, c, s[part == j].tobytes()) for j in np.unique(part)]
+            if not out:
+                continue
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "node", "component", "shingles"])
 
-    def meet(frame):
+    def count(frame):
         import pandas as pd
 
         size = np.array([len(x) // 8 for x in frame["shingles"]])
         flat = np.frombuffer(b"".join(frame["shingles"]), U64)
-        row = np.repeat(np.arange(len(frame)), size)
-        component = frame["component"].to_numpy()[row]
+        component = frame["component"].to_numpy()[np.repeat(np.arange(len(frame)), size)]
         order = np.argsort(flat, kind="stable")
         first = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1])))
-        low, high = np.minimum.reduceat(component[order], first), np.maximum.reduceat(component[order], first)
-        several = np.repeat(low != high, np.diff(np.append(first, len(flat))))
-        m = np.bincount(row[order], weights=several, minlength=len(frame)).astype(np.int64)
-        return pd.DataFrame({"node": frame["node"], "component": frame["component"], "n": size, "m": m})
-
-    return rows.mapInArrow(cut, "part int, node long, component long, shingles binary").groupBy("part").applyInPandas(meet, "node long, component long, n long, m long").groupBy("node").agg(F.min("component").alias("component"), F.sum("n").alias("n"), F.sum("m").alias("m"))
-
+        times = np.diff(np.append(first, len(flat)))
+        several = np.minimum.reduceat(component[order], first) != np.maximum.reduceat(component[order], first)
+        # how often, and in the lowest bit whether another component has it
+        code = np.empty(len(flat), np.int64)
+        code[order] = np.repeat(times * 2 + several, times)
+        ends = np.cumsum(size) * 8
+        both = flat.tobytes(), code.tobytes()
+        return pd.DataFrame({"node": frame["node"], "component": frame["component"], "shingles": [both[0][e - 8 * n : e] for e, n in zip(ends, size, strict=True)], "codes": [both[1][e - 8 * n : e] for e, n in zip(ends, size, strict=True)]})
+
+    def rank(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            out = []
+            for node, component, shingles, codes in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                s, c = np.frombuffer(b"".join(shingles), np.int64), np.frombuffer(b"".join(codes), np.int64)
+                order = np.lexsort((s, c >> 1))[: len(s) - -(-least * len(s) // 100) + 1]
+                keep = np.flatnonzero(c[order] & 1)
+                out.append((s[order][keep], np.full(len(keep), node), np.full(len(keep), component), np.full(len(keep), len(s)), keep))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], names=["shingle", "node", "component", "n", "rank"])
 
-def _open(rows: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold more than one component, and how many nodes stand in each (wide)."""
-    w = Window.partitionBy("bucket")
-    return rows.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).withColumn("wide", F.count("*").over(w)).filter("lo <> hi").drop("lo", "hi")
+    counted = rows.mapInArrow(cut, "part int, node long, component long, shingles binary").groupBy("part").applyInPandas(count, "node long, component long, shingles binary, codes binary")
+    return counted.groupBy("node").agg(F.min("component").alias("component"), F.collect_list("shingles").alias("shingles"), F.collect_list("codes").alias("codes")).mapInArrow(rank, "shingle long, node long, component long, n long, rank long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_percent: int = 75) -> DataFrame:
@@ -255,18 +270,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.unionByName(more)
     label = components(links)
 
-    # A link needs 7 * intersection >= 3 * (n + n'), here in percent; a node shares at most m shingles with other components.
-    total = least_percent + 100
-    info = _matchable(texts, label, texts_shingles).filter(F.col("m") * 100 >= F.col("n") * least_percent)
-    left = settle(_open(met.filter("many > 2").select("bucket", "node").join(info, "node")))
-    wide = left.filter(F.col("wide") > WIDE_BUCKET)
-    if not wide.isEmpty():
-        bands = _banded(nodes.join(small(wide.select("node").distinct()), "node", "left_semi")).select(F.col("bucket").alias("second"), "node")
-        split = wide.drop("wide").join(bands, "node").filter("bucket <> second").withColumn("bucket", F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second"))).drop("second").distinct()
-        left = settle(left.filter(F.col("wide") <= WIDE_BUCKET).unionByName(_open(split)))
-    x, y = left.alias("x"), left.alias("y")
-    close: Column = F.least("x.m", "y.m") * total >= least_percent * (F.col("x.n") + F.col("y.n"))
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") < F.col("y.component")) & close).select(F.least("x.node", "y.node").alias("leader"), F.greatest("x.node", "y.node").alias("member")).distinct()
+    rare = settle(_rare(texts, label, texts_shingles, least_percent))
+    x, y = rare.alias("x"), rare.alias("y")
+    shared = F.expr(f"({least_percent} * (x.n + y.n) + {least_percent + 99}) div {least_percent + 100}")  # a link's least intersection
+    close: Column = (F.col("x.rank") <= F.col("x.n") - shared) & (F.col("y.rank") <= F.col("y.n") - shared)
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & close).select(F.least("x.node", "y.node").alias("leader"), F.greatest("x.node", "y.node").alias("member")).distinct()
     pairs = pairs.join(stars, ["leader", "member"], "left_anti")
     last = settle(_confirmed(pairs, texts, least_percent))
     if not last.isEmpty():
