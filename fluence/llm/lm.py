@@ -11,6 +11,7 @@ Counts leave the training texts as distinct six-byte strings, so every table cel
 
 from __future__ import annotations
 
+import uuid
 import zlib
 
 import numpy as np
@@ -34,8 +35,10 @@ BATCH = 4096
 #: Distinct words whose counts are broadcast, at most; the others are joined.
 FREQUENT = 300_000
 #: Distinct strings or words that a task holds before it hands them on.
-HOLD = 1_500_000
-SLICE = 4_000_000
+HOLD = 700_000
+SLICE = 1_500_000
+#: Slots of a worker's memory of strings that it has scored.
+MEMORY_BITS = 21
 END = 0x5EED5EED
 
 _PAD = b"\n" * ORDER
@@ -264,17 +267,65 @@ def learn(grams: DataFrame, counts) -> tuple[np.ndarray, np.ndarray]:
     return weights, refined
 
 
-def log10_probability(gram: np.ndarray, counts, weights, refined) -> np.ndarray:
+def log_odds(counts: list[np.ndarray]) -> list[np.ndarray]:
+    """What scoring needs of the counts: each slot's log odds, 0 only where nothing was counted."""
+    out = []
+    for c in counts:
+        odds = np.log((c[1].astype(np.float32) + PRIOR) / (c[0].astype(np.float32) + PRIOR)).astype(np.float16)
+        odds[(odds == 0) & (c.sum(axis=0) > 0)] = np.float16(1e-4)
+        out.append(odds)
+    return out
+
+
+def log10_probability(gram: np.ndarray, odds: list[np.ndarray], weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
     """Of each string's last byte after the others."""
     out = np.zeros(len(gram))
-    for st, gate, bit in _inputs(gram, counts, False):
-        z = _mixed(st, gate, weights)
+    contexts = list(_contexts(gram))
+    st = np.empty((PREDICTORS, len(gram)), np.float32)
+    for i, node, bit in _bits(gram):
+        gate = np.zeros(len(gram), np.int64)
+        for k, context in enumerate(contexts):
+            st[k] = odds[k][_slots(context, node, k)]
+            if 0 < k <= ORDER:
+                gate[st[k] != 0] = k
+        gate = gate * 8 + i
+        z = np.clip(np.einsum("kj,kj->j", st, np.take(weights.T, gate, axis=1)), -STRETCH, STRETCH)
         low, share = _bucket(z)
         p = 0.5 / (1 + np.exp(-z)) + 0.5 * (refined[gate, low] * (1 - share) + refined[gate, low + 1] * share)
         out += np.log10(np.where(bit == 1, p, 1 - p))
     return out
 
 
+class _Scorer:
+    """log10 probabilities of strings, with a direct-mapped memory of those that came before."""
+
+    last: tuple = (None, None)
+
+    def __init__(self, model):
+        self.model = model
+        self.key, self.value = np.full(1 << MEMORY_BITS, 2**64 - 1, U64), np.zeros(1 << MEMORY_BITS, np.float32)
+
+    @classmethod
+    def of(cls, name: str, broadcast):
+        """One in a Python process, for the model of that name."""
+        if cls.last[0] != name:
+            cls.last = (name, cls(broadcast.value))
+        return cls.last[1]
+
+    def __call__(self, gram: np.ndarray) -> np.ndarray:
+        slot = ((gram * U64(0x9E3779B97F4A7C15)) >> U64(64 - MEMORY_BITS)).astype(np.int64)
+        out = self.value[slot]
+        new = np.flatnonzero(self.key[slot] != gram)
+        if len(new):
+            some, back = np.unique(gram[new], return_inverse=True)
+            logs = np.concatenate([log10_probability(some[a : a + 32768], *self.model) for a in range(0, len(some), 32768)]).astype(np.float32)
+            out[new] = logs[back]
+            at = ((some * U64(0x9E3779B97F4A7C15)) >> U64(64 - MEMORY_BITS)).astype(np.int64)
+            _, first = np.unique(at, return_index=True)
+            self.key[at[first]], self.value[at[first]] = some[first], logs[first]
+        return out
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 5) -> DataFrame:
     """One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
@@ -286,8 +337,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (crc_mod(F.col(id_col).cast("long"), fold) == 1).alias("held_out"))
     found = settle(counted(rows.filter("not held_out")))
     grams, words = found.filter(F.col("kind") == GRAM), found.filter(F.col("kind") == WORD).select("key", "n")
-    counts = spark.sparkContext.broadcast(tables(grams))
+    table = tables(grams)
+    counts = spark.sparkContext.broadcast(table)
     weights, refined = learn(grams, counts)
+    counts.unpersist()
+    model, name = spark.sparkContext.broadcast((log_odds(table), weights, refined)), uuid.uuid4().hex
+    del table
 
     sizes = sorted((r.n, r.m) for r in words.groupBy("n").agg(F.count("*").alias("m")).collect())
     total, distinct = sum(n * m for n, m in sizes), sum(m for _, m in sizes)
@@ -302,15 +357,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     keys = often["key"].to_numpy().view(U64)
     order = np.argsort(keys)
     frequent = spark.sparkContext.broadcast((np.append(keys[order], U64(2**64 - 1)), np.append(np.log10((often["n"].to_numpy()[order] + 0.5) / below), 0.0)))
-    model = spark.sparkContext.broadcast((weights, refined))
 
     def run(batches):
         for piece, data, off in slices(batches, most=SLICE):
             n = len(off) - 1
             gram, of = spelled(data, off)
-            distinct_grams, inverse = np.unique(gram, return_inverse=True)
-            logs = np.concatenate([log10_probability(distinct_grams[a : a + 65536], counts.value, *model.value) for a in range(0, len(distinct_grams), 65536)])
-            fit = np.bincount(of, weights=logs[inverse], minlength=n)
+            fit = np.bincount(of, weights=_Scorer.of(name, model)(gram), minlength=n)
             token, first = words_of(data, off)
             keys, values = frequent.value
             at = np.searchsorted(keys[:-1], token)

@@ -32,7 +32,17 @@ def test_bits_make_a_distribution(spark):
     every = (np.uint64(after) << np.uint64(8) & np.uint64(0xFFFFFFFFFF00)) + np.arange(256, dtype=np.uint64)
     weights = np.full((lm.GATES, lm.PREDICTORS), 0.3, np.float32)
     refined = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, lm.BUCKETS))), (lm.GATES, 1))
-    assert (10 ** lm.log10_probability(every, counts, weights, refined)).sum() == pytest.approx(1, abs=1e-6)
+    assert (10 ** lm.log10_probability(every, lm.log_odds(counts), weights, refined)).sum() == pytest.approx(1, abs=1e-6)
+
+
+def test_a_memory_of_few_slots_changes_nothing():
+    rng = np.random.default_rng(0)
+    odds = [rng.normal(size=1 << b).astype(np.float16) for b in lm.TABLE_BITS]
+    model = odds, rng.normal(size=(lm.GATES, lm.PREDICTORS)).astype(np.float32), np.full((lm.GATES, lm.BUCKETS), 0.5)
+    scorer = lm._Scorer(model)
+    for n in (1000, 50_000, 300):
+        gram = rng.integers(0, 40_000, n).astype(np.uint64)
+        assert np.allclose(scorer(gram), lm.log10_probability(gram, *model), atol=1e-5)
 
 
 def test_better_than_the_base_on_held_out_text(spark):
