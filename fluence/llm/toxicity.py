@@ -26,11 +26,13 @@ QUOTES = "\"'`“”‘’«»„"
 
 #: Labelled documents that are used for training, at most (about; a hash of the id picks them).
 TRAIN_DOCS = 16_000
-#: Lexicon: terms at most, shortest and longest word beginning, least share of toxic documents, least support.
+#: Lexicon: terms at most, lengths of word beginnings, least share of toxic documents among those with the term, least support.
 LEXICON = 600
 STEMS = range(3, 9)
-PRECISION = 0.9
-SUPPORT_SHARE, SUPPORT_LEAST = 0.004, 3
+PRECISION = 0.5
+SUPPORT_LEAST = 3
+#: Nats by which a term must beat the best of all terms if none marked the label.
+MARGIN = 2.0
 #: A term from this length on may hold one edit.
 EDIT_WORD, EDIT_STEM = 5, 6
 #: Clean look-alikes of terms that are kept, at most, by how many clean documents have them.
@@ -107,26 +109,26 @@ class LexiconAutomaton:
         return self._state(self._closed(nfa), self.accept[state])
 
     def match(self, word: str) -> tuple[int, int]:
-        """Edits to the nearest whole term and to the nearest stem (9: none)."""
-        state = self.start
-        for ch in word:
+        """Edits to the nearest whole term, and to the nearest stem that the word goes on after (9: none)."""
+        state, stem = self.start, 9
+        for i, ch in enumerate(word):
+            stem = self.accept[state][1]
             nxt = self.moves[state].get(ch)
             if nxt is None:
                 nxt = self.moves[state][ch] = self._move(state, ch)
             state = nxt
             if not self.states[state]:
-                break
-        word_edits, stem_edits = self.accept[state]
-        return (9 if not self.states[state] else word_edits), stem_edits
+                return 9, self.accept[state][1] if i + 1 < len(word) else stem
+        return self.accept[state][0], stem
 
 
 def terms_of(words: set[bytes]) -> set[str]:
-    """Each word, marked with a final $, and its beginnings."""
+    """Each word, marked with a final $, and its beginnings that are shorter than it."""
     out = set()
     for w in words:
         s = w.decode(errors="replace")
         out.add(s + "$")
-        out.update(s[:k] for k in STEMS if k <= len(s))
+        out.update(s[:k] for k in STEMS if k < len(s))
     return out
 
 
@@ -154,18 +156,25 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def learn_lexicon(counts: DataFrame, positives: int) -> tuple[list[str], list[str]]:
-    """Whole words and stems that nearly all documents with them have the toxic label; a stem stands for all that begins with it."""
-    least = max(SUPPORT_LEAST, int(SUPPORT_SHARE * positives))
-    good = counts.filter((F.col("toxic") >= least) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))))
-    rows = good.orderBy(F.desc("toxic"), F.length("term"), "term").limit(4 * LEXICON).collect()
-    stems: list[str] = []
-    words: list[str] = []
-    for r in sorted(rows, key=lambda r: (len(r.term), r.term)):
-        if any(r.term.startswith(s) for s in stems):
-            continue
-        (words if r.term.endswith("$") else stems).append(r.term.rstrip("$"))
-    return words[:LEXICON], stems[:LEXICON]
+def learn_lexicon(counts: DataFrame, toxic: int, clean: int) -> tuple[list[str], list[str]]:
+    """Whole words and stems that mark the toxic label.
+
+    A term qualifies by the log-likelihood ratio of its documents against the overall rate, which must exceed what the best of
+    so many random terms would reach, and by PRECISION. The strongest terms come first, of equal ones the longest, and a term
+    that begins another, or begins with it, is left out afterwards."""
+    if not toxic or not clean:
+        return [], []
+    n, rate = F.col("toxic") + F.col("clean"), toxic / (toxic + clean)
+    gain = F.col("toxic") * F.log(F.col("toxic") / n / rate) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / n / (1 - rate))).otherwise(0.0)
+    least = float(np.log(max(counts.count(), 2))) + MARGIN
+    good = counts.filter((F.col("toxic") >= SUPPORT_LEAST) & (F.col("toxic") >= PRECISION * n)).withColumn("gain", gain).filter(F.col("gain") >= least)
+    chosen: list[str] = []
+    for r in good.orderBy(F.desc("gain"), F.desc(F.length("term")), "term").limit(8 * LEXICON).collect():
+        t = r.term
+        if not any(t.startswith(c) or c.startswith(t) for c in chosen):
+            chosen.append(t)
+    chosen = chosen[:LEXICON]
+    return [t[:-1] for t in chosen if t.endswith("$")], [t for t in chosen if not t.endswith("$")]
 
 
 def automaton_of(words: list[str], stems: list[str]) -> LexiconAutomaton:
@@ -189,7 +198,7 @@ def look_alikes(counts: DataFrame, words: list[str], stems: list[str]) -> set[st
 
 
 _TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-N_FEATURES = 9
+N_FEATURES = 10
 
 
 class Finder:
@@ -235,7 +244,8 @@ class Finder:
             x[4] += quoted * (k <= 2)
             x[5] += quoted * (k > 2)
             total += 1
-        x[6] = total / max(1, len(tokens))
+        x[6] = np.log1p(100 * total / max(1, len(tokens)))
+        x[9] = np.log1p(100 * x[1] / max(1, len(tokens)))
         x[7] = float(x[0] + x[1] + x[4] > 0)
         x[8] = float(x[2] + x[3] + x[5] > 0)
         x[:6] = np.log1p(x[:6])
@@ -245,7 +255,7 @@ class Finder:
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> np.ndarray:
     """Logistic weights (the last is the constant) with a small ridge. Without both classes: a lexicon find decides."""
     if len(y) == 0 or y.min() == y.max():
-        return np.array([1.0, 1.0, 0.3, 0.3, 0.2, 0.1, 0.0, 3.0, 0.5, -2.5])
+        return np.array([1.0, 1.0, 0.3, 0.3, 0.2, 0.1, 0.0, 3.0, 0.5, 0.0, -2.5])
     xs = np.c_[x, np.ones(len(x))]
     w = np.zeros(xs.shape[1])
     ridge = np.r_[np.full(x.shape[1], 1e-3), 0.0] * len(y)
@@ -282,8 +292,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> dict:
     """Lexicon, look-alikes and weights from a bounded number of labelled documents (the bound is `most`)."""
     rows = settle(training_rows(docs, labels, "toxic", most))
     counts = settle(term_counts(rows))
-    positives = rows.filter("y = 1").count()
-    words, stems = learn_lexicon(counts, positives)
+    total = rows.agg(F.sum("y").alias("toxic"), F.count("*").alias("n")).first()
+    words, stems = learn_lexicon(counts, total.toxic or 0, total.n - (total.toxic or 0))
     words = sorted(set(words) | set(SEED_TERMS))
     clean = look_alikes(counts, words, stems)
     got = sorted(_featured(rows, words, stems, clean).collect(), key=lambda r: (r.doc_id, r.x))
