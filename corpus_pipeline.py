@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluence.llm import decontaminate, mixing, neardup, quality, secrets
-from fluence.llm.shared import settle, small
+from fluence.llm.shared import settle, shipped, small
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -48,11 +48,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality classifier", reject_low_quality),
-    ("near duplicates", drop_near_duplicates),
-    ("benchmark decontamination", remove_benchmark),
-    ("secret scan", redact_secrets),
-    ("mixing to target weights", mix_sources),
+    ("quality classifier", shipped(reject_low_quality)),
+    ("near duplicates", shipped(drop_near_duplicates)),
+    ("benchmark decontamination", shipped(remove_benchmark)),
+    ("secret scan", shipped(redact_secrets)),
+    ("mixing to target weights", shipped(mix_sources)),
 ]
 #: Stages learn models; SQL cannot express them, so tests compare each with a plain version.
 ORACLE_SQL = None

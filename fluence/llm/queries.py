@@ -8,6 +8,7 @@ from .mixing import OP3_SQL, op3_mix_to_targets
 from .neardup import op1_near_duplicates
 from .quality import op10_quality
 from .secrets import op8_secret_scan
+from .shared import shipped
 from .tiff import op6_tiff_media
 from .toxicity import op7_toxicity
 
@@ -24,4 +25,6 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
+QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
+
 ORACLE_SQL: dict[str, str] = {"op3_mix_to_targets": OP3_SQL, "op9_chat_format": OP9_SQL}

@@ -28,7 +28,8 @@ RUN = 16
 ORDINARY_RUN = 6
 #: Nats a character by which the random model must be better.
 MARGIN = 0.5
-PRIOR = 0.5
+#: Pseudo-count of a character, and weight of the single characters' shares among those that follow another.
+PRIOR, BACK_OFF = 0.5, 30.0
 
 _CODE = np.full(256, -1, np.int64)
 _CODE[list(SYMBOLS)] = np.arange(len(SYMBOLS))
@@ -84,13 +85,16 @@ def pair_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Log-likelihood ratio (nats) of each pair; at most 2 * 67**2 sums come to the driver. Without random strings their model is uniform."""
+    """Log-likelihood ratio (nats) of each pair; at most 2 * 67**2 sums come to the driver.
+    Pairs back off to single characters; the random model is half uniform, wholly so without random strings."""
     n = len(SYMBOLS)
-    seen = np.full((2, n * n), PRIOR)
+    seen = np.zeros((2, n * n))
     for r in pair_counts(docs, text_col).collect():
         seen[r.label, r.pair] += r.n
-    logs = np.log(seen.reshape(2, n, n) / seen.reshape(2, n, n).sum(axis=2, keepdims=True))
-    return (logs[1] - logs[0]).ravel()
+    seen = seen.reshape(2, n, n)
+    alone = (seen.sum(axis=1) + PRIOR) / (seen.sum(axis=(1, 2)) + PRIOR * n)[:, None]
+    p = (seen + BACK_OFF * alone[:, None, :]) / (seen.sum(axis=2, keepdims=True) + BACK_OFF)
+    return np.log((p[1] + 1 / n) / 2 / p[0]).ravel()
 
 
 def found(doc: bytes, ratio: np.ndarray) -> list[tuple[int, int, int]]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,31 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's source to the executors, once for a session's context, so that its tasks import it anywhere."""
+    sc = spark.sparkContext
+    if getattr(sc, "_fluence_sent", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="fluence-")) / "fluence_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, Path(root.name) / f.relative_to(root))
+    sc.addPyFile(str(archive))
+    sc._fluence_sent = True
+
+
+def shipped(query):
+    """query, which sends the package before it runs."""
+
+    @functools.wraps(query)
+    def run(spark, *args, **kwargs):
+        ship(spark)
+        return query(spark, *args, **kwargs)
+
+    return run
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage is cut and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
