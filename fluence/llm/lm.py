@@ -1,8 +1,8 @@
 """Language-model scores by logistic context mixing.
 
 Text is spelled as its lower-cased words, one space between them and a newline at the end, and coded bit by bit. Seven
-predictors - the last 0 to 5 bytes, and the word so far - count bits in hashed tables of fixed size. A gate (bit number and
-longest context that has been seen) selects the weights that mix their log odds; the weights are learned online in every
+predictors - the last 0 to 5 bytes, and the word so far - count bits in hashed tables of fixed size. A gate (bit number,
+longest context that has been seen, place in the word) selects the weights that mix their log odds; the weights are learned online in every
 partition and averaged. A last stage refines the mixed probability by what it has meant so far. The bits sum to the text's
 probability, so score is a proper log10 probability of the same token sequence that the unigram base scores.
 
@@ -27,7 +27,7 @@ TABLE_BITS = (8, 16, 18, 20, 21, 22, 21)
 PREDICTORS = len(TABLE_BITS)
 BLOCK = 1 << 16
 PRIOR = 0.4
-GATES = 8 * (ORDER + 1)
+GATES = 8 * (ORDER + 1) ** 2
 BUCKETS = 25
 STRETCH = 8.0
 ROUNDS = 2
@@ -137,6 +137,16 @@ def _contexts(gram: np.ndarray):
     yield mix(word * U64(16) + U64(9))
 
 
+def _place(gram: np.ndarray) -> np.ndarray:
+    """Bytes of the word so far, at most ORDER."""
+    out, open_ = np.zeros(len(gram), np.int64), np.ones(len(gram), bool)
+    for j in range(1, ORDER + 1):
+        b = (gram >> U64(8 * j)) & U64(255)
+        open_ &= (b != U64(32)) & (b != U64(10))
+        out[open_] += 1
+    return out
+
+
 def _bits(gram: np.ndarray):
     """(number, node, bit) of the eight bits of the coded byte, high bit first."""
     byte = gram & U64(255)
@@ -191,7 +201,7 @@ def tables(grams: DataFrame) -> list[np.ndarray]:
 
 def _inputs(gram: np.ndarray, counts: list[np.ndarray], leave_one: bool):
     """For each bit: log odds of the predictors, gate, bit. leave_one: without one occurrence of the string itself."""
-    contexts = list(_contexts(gram))
+    contexts, place = list(_contexts(gram)), _place(gram)
     for i, node, bit in _bits(gram):
         st = np.empty((len(gram), PREDICTORS), np.float32)
         longest = np.zeros(len(gram), np.int64)
@@ -203,7 +213,7 @@ def _inputs(gram: np.ndarray, counts: list[np.ndarray], leave_one: bool):
             st[:, k] = np.log((n1 + PRIOR) / (n0 + PRIOR))
             if 0 < k <= ORDER:
                 longest[n0 + n1 > 0.5] = k
-        yield st, longest * 8 + i, bit
+        yield st, (longest * (ORDER + 1) + place) * 8 + i, bit
 
 
 def _mixed(st, gate, weights):
@@ -280,7 +290,7 @@ def log_odds(counts: list[np.ndarray]) -> list[np.ndarray]:
 def log10_probability(gram: np.ndarray, odds: list[np.ndarray], weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
     """Of each string's last byte after the others."""
     out = np.zeros(len(gram))
-    contexts = list(_contexts(gram))
+    contexts, place = list(_contexts(gram)), _place(gram)
     st = np.empty((PREDICTORS, len(gram)), np.float32)
     for i, node, bit in _bits(gram):
         gate = np.zeros(len(gram), np.int64)
@@ -288,7 +298,7 @@ def log10_probability(gram: np.ndarray, odds: list[np.ndarray], weights: np.ndar
             st[k] = odds[k][_slots(context, node, k)]
             if 0 < k <= ORDER:
                 gate[st[k] != 0] = k
-        gate = gate * 8 + i
+        gate = (gate * (ORDER + 1) + place) * 8 + i
         z = np.clip(np.einsum("kj,kj->j", st, np.take(weights.T, gate, axis=1)), -STRETCH, STRETCH)
         low, share = _bucket(z)
         p = 0.5 / (1 + np.exp(-z)) + 0.5 * (refined[gate, low] * (1 - share) + refined[gate, low + 1] * share)
