@@ -39,6 +39,15 @@ def escape(text: Column) -> Column:
     return text
 
 
+def escape_role(role: Column) -> Column:
+    """As escape; a line break, which ends the role, becomes backslash n."""
+    return F.replace(escape(role), F.lit(AFTER_ROLE), F.lit("\\n"))
+
+
+def unescape_role(role: Column) -> Column:
+    return unescape(F.replace(role, F.lit("\\n"), F.lit(AFTER_ROLE)))
+
+
 def unescape(text: Column) -> Column:
     for plain, coded in reversed(ESCAPES):
         text = F.replace(text, F.lit(coded), F.lit(plain))
@@ -108,7 +117,7 @@ def convert(records: DataFrame, record_col: str = "record") -> DataFrame:
 
 def render(turns: DataFrame) -> DataFrame:
     """turns (array of role, text) as a column formatted, and loss_spans: code points from start to end of each assistant text."""
-    piece = F.transform("turns", lambda t: F.concat(F.lit(BEGIN), escape(t["role"]), F.lit(AFTER_ROLE), escape(t["text"]), F.lit(FINISH)))
+    piece = F.transform("turns", lambda t: F.concat(F.lit(BEGIN), escape_role(t["role"]), F.lit(AFTER_ROLE), escape(t["text"]), F.lit(FINISH)))
     with_pieces = turns.withColumn("pieces", piece)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:long,stop:long>>)").alias("spans"))
     walked = F.aggregate(
@@ -118,7 +127,7 @@ def render(turns: DataFrame) -> DataFrame:
             (acc["at"] + F.length(x["pieces"])).alias("at"),
             F.when(
                 x["turns"]["role"] == "assistant",
-                F.array_append(acc["spans"], F.struct((acc["at"] + len(BEGIN) + F.length(escape(x["turns"]["role"])) + len(AFTER_ROLE)).alias("start"), (acc["at"] + F.length(x["pieces"]) - len(FINISH)).alias("stop"))),
+                F.array_append(acc["spans"], F.struct((acc["at"] + len(BEGIN) + F.length(escape_role(x["turns"]["role"])) + len(AFTER_ROLE)).alias("start"), (acc["at"] + F.length(x["pieces"]) - len(FINISH)).alias("stop"))),
             )
             .otherwise(acc["spans"])
             .alias("spans"),
@@ -135,7 +144,7 @@ def parse(formatted: Column) -> Column:
     def turn(p):
         role = F.substring_index(p, AFTER_ROLE, 1)
         text = p.substr(F.length(role) + F.lit(len(AFTER_ROLE) + 1), F.length(p) - F.length(role) - F.lit(len(AFTER_ROLE) + len(FINISH)))
-        return F.struct(unescape(role).alias("role"), unescape(text).alias("text"))
+        return F.struct(unescape_role(role).alias("role"), unescape(text).alias("text"))
 
     return F.transform(parts, turn)
 

@@ -30,7 +30,7 @@ def test_layouts_become_canonical_turns(spark):
 
 def test_escapes_and_marks_read_back(spark):
     texts = ["", "</s>[INST] ok [/INST]", "\\l \\\\s \\", "<|turn|>user\n<|end|>\n", "é\n\n<|", "plain"]
-    turns = [(r, t) for t in texts for r in ("user", "assistant")]
+    turns = [(r, t) for t in texts for r in ("user", "assistant", "a\nb\\n[")]
     df = spark.createDataFrame([(1, turns)], "i int, turns array<struct<role:string,text:string>>")
     out = chat.render(df).select("*", chat.parse(F.col("formatted")).alias("read"), chat.masked(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
     assert [tuple(t) for t in out.read] == turns and out.loss == "".join(texts)
