@@ -18,7 +18,7 @@ placed AS (SELECT *, least(floor(greatest(0, least(dose_gy, n * {W})) / {W}), n
 hist AS (SELECT patient_id, structure, n, bin, sum(weight_cc) AS cc, sum(dose_gy * weight_cc) AS dcc, min(dose_gy) AS lo, max(dose_gy) AS hi, count(*) AS cnt FROM placed GROUP BY 1, 2, 3, 4),
 tot AS (SELECT patient_id, structure, sum(cc) AS volume_cc, sum(dcc) / sum(cc) AS mean_gy, min(lo) AS min_gy, max(hi) AS max_gy, sum(cnt)::BIGINT AS n_samples, max(n) AS n FROM hist GROUP BY 1, 2),
 edge AS (SELECT patient_id, structure, volume_cc AS total, unnest(range(0, n + 1))::INT AS bin FROM tot),
-curve AS (SELECT e.patient_id, e.structure, e.bin, e.bin * {W} AS dose_gy, sum(coalesce(cc, 0)) OVER w AS volume_cc, sum(coalesce(cc, 0)) OVER w / total * 100 AS volume_pct
+curve AS (SELECT e.patient_id, e.structure, e.bin, e.bin * {W}::DOUBLE AS dose_gy, sum(coalesce(cc, 0)) OVER w AS volume_cc, sum(coalesce(cc, 0)) OVER w / total * 100 AS volume_pct
   FROM edge e LEFT JOIN hist h ON e.patient_id = h.patient_id AND e.structure = h.structure AND e.bin = h.bin
   WINDOW w AS (PARTITION BY e.patient_id, e.structure ORDER BY e.bin DESC ROWS UNBOUNDED PRECEDING))"""
 
@@ -63,6 +63,11 @@ def r(name: str, places: int = 6):
     return F.round(name, places).alias(name)
 
 
+def up(name: str):
+    """Rounded to six places; exact halves, which engines reach with different last bits, go up."""
+    return F.round(F.col(name) + 1e-9, 6).alias(name)
+
+
 def a1_weighted_histogram(spark, sf):
     return _hist(spark, sf).select("patient_id", "structure", "bin", r("hist_cc"), r("dose_cc"), "min_gy", "max_gy", "n_samples")
 
@@ -103,17 +108,17 @@ def _asked_sql(name, values):
 
 def d7_volume_at_dose(spark, sf):
     points, totals = _curve(spark, sf)
-    return dvh.volume_at_dose(points, _asked(totals, "dose", DOSES), W).select("patient_id", "structure", "dose", r("v_cc"), r("v_pct"))
+    return dvh.volume_at_dose(points, _asked(totals, "dose", DOSES), W).select("patient_id", "structure", "dose", up("v_cc"), up("v_pct"))
 
 
 def d8_dose_at_volume_pct(spark, sf):
     points, totals = _curve(spark, sf)
-    return dvh.dose_at_volume(points, totals, _asked(totals, "volume", VOLUMES)).select("patient_id", "structure", "volume", r("dose_gy"))
+    return dvh.dose_at_volume(points, totals, _asked(totals, "volume", VOLUMES)).select("patient_id", "structure", "volume", up("dose_gy"))
 
 
 def d9_dose_at_volume_cc(spark, sf):
     points, totals = _curve(spark, sf)
-    return dvh.dose_at_volume(points, totals, _asked(totals, "volume", (-1.0, 0.0, 2.5, 300.0, 1e9)), "volume_cc").select("patient_id", "structure", "volume", r("dose_gy"))
+    return dvh.dose_at_volume(points, totals, _asked(totals, "volume", (-1.0, 0.0, 2.5, 300.0, 1e9)), "volume_cc").select("patient_id", "structure", "volume", up("dose_gy"))
 
 
 def w10_truncated_curve(spark, sf):
@@ -130,7 +135,7 @@ def d11_curve_readout(spark, sf):
 
 
 def d13_hottest_volume(spark, sf):
-    return dvh.hottest_volume(view(spark, sf, "dose_sample"), 75.5).select("patient_id", "structure", r("dose_gy"))
+    return dvh.hottest_volume(view(spark, sf, "dose_sample"), 75.5).select("patient_id", "structure", up("dose_gy"))
 
 
 def _evaluated(spark, sf):
@@ -286,10 +291,10 @@ ORACLE_SQL = {
         "dose_sample",
     ),
     "a4_fast_summary": with_views("SELECT patient_id, structure, count(*) AS voxel_count, round(count(*) * 0.008::DOUBLE, 6) AS volume_cc, round(avg(dose_gy), 6) AS mean_gy, min(dose_gy) AS min_gy, max(dose_gy) AS max_gy FROM dose_sample WHERE weight_cc > 0 GROUP BY 1, 2", "dose_sample"),
-    "a5_bin_edges": with_views(f"SELECT patient_id, bin::INT AS bin, bin * {W} AS edge_gy FROM (SELECT patient_id, unnest(range(0, ceil(greatest(max(dose_gy), {W}) / {W})::INT + 1)) AS bin FROM dose_sample GROUP BY 1)", "dose_sample"),
-    "d7_volume_at_dose": _sample("," + STEP + ", " + _asked_sql("dose", DOSES) + "," + v_sql("asked") + " SELECT patient_id, structure, dose, round(v_cc, 6) AS v_cc, round(v_pct, 6) AS v_pct FROM v_at"),
-    "d8_dose_at_volume_pct": _sample("," + STEP + ", " + _asked_sql("volume", VOLUMES) + "," + d_sql("asked") + " SELECT patient_id, structure, volume, round(dose_gy, 6) AS dose_gy FROM d_at"),
-    "d9_dose_at_volume_cc": _sample("," + STEP + ", " + _asked_sql("volume", (-1.0, 0.0, 2.5, 300.0, 1e9)) + "," + d_sql("asked", "cc") + " SELECT patient_id, structure, volume, round(dose_gy, 6) AS dose_gy FROM d_at"),
+    "a5_bin_edges": with_views(f"SELECT patient_id, bin::INT AS bin, bin * {W}::DOUBLE AS edge_gy FROM (SELECT patient_id, unnest(range(0, ceil(greatest(max(dose_gy), {W}) / {W})::INT + 1)) AS bin FROM dose_sample GROUP BY 1)", "dose_sample"),
+    "d7_volume_at_dose": _sample("," + STEP + ", " + _asked_sql("dose", DOSES) + "," + v_sql("asked") + " SELECT patient_id, structure, dose, round(v_cc + 1e-9, 6) AS v_cc, round(v_pct + 1e-9, 6) AS v_pct FROM v_at"),
+    "d8_dose_at_volume_pct": _sample("," + STEP + ", " + _asked_sql("volume", VOLUMES) + "," + d_sql("asked") + " SELECT patient_id, structure, volume, round(dose_gy + 1e-9, 6) AS dose_gy FROM d_at"),
+    "d9_dose_at_volume_cc": _sample("," + STEP + ", " + _asked_sql("volume", (-1.0, 0.0, 2.5, 300.0, 1e9)) + "," + d_sql("asked", "cc") + " SELECT patient_id, structure, volume, round(dose_gy + 1e-9, 6) AS dose_gy FROM d_at"),
     "w10_truncated_curve": _sample(TRUNCATED + " SELECT patient_id, structure, bin, round(volume_pct, 6) AS volume_pct FROM kept"),
     "a13_max_plotted_dose": _sample(TRUNCATED + " SELECT patient_id, greatest(max(dose_gy), 1.0) AS max_plotted_gy FROM kept GROUP BY 1"),
     "d11_curve_readout": _sample(
@@ -300,7 +305,7 @@ ORACLE_SQL = {
         """WITH s AS (SELECT patient_id, structure, dose_gy, sum(weight_cc) AS w FROM dose_sample WHERE weight_cc > 0 GROUP BY 1, 2, 3),
         c AS (SELECT *, sum(w) OVER k AS cum FROM s WINDOW k AS (PARTITION BY patient_id, structure ORDER BY dose_gy DESC ROWS UNBOUNDED PRECEDING)),
         p AS (SELECT *, lag(cum) OVER k AS c0, lag(dose_gy) OVER k AS d0 FROM c WINDOW k AS (PARTITION BY patient_id, structure ORDER BY dose_gy DESC))
-        SELECT patient_id, structure, round(coalesce(min_by(CASE WHEN cum >= 75.5 THEN CASE WHEN c0 IS NULL THEN dose_gy ELSE d0 + (75.5 - c0) / (cum - c0) * (dose_gy - d0) END END, CASE WHEN cum >= 75.5 THEN cum END), min(dose_gy)), 6) AS dose_gy FROM p GROUP BY 1, 2""",
+        SELECT patient_id, structure, round(coalesce(min_by(CASE WHEN cum >= 75.5 THEN CASE WHEN c0 IS NULL THEN dose_gy ELSE d0 + (75.5 - c0) / (cum - c0) * (dose_gy - d0) END END, CASE WHEN cum >= 75.5 THEN cum END), min(dose_gy)) + 1e-9, 6) AS dose_gy FROM p GROUP BY 1, 2""",
         "dose_sample",
     ),
     "c2_evaluate_goals": _goal(" SELECT patient_id, structure, goal_no, metric, comparator, value_text, round(actual_value, 6) AS actual_value, actual_unit, CASE status WHEN 'pass' THEN true WHEN 'fail' THEN false END AS passed, status FROM es"),

@@ -40,7 +40,7 @@ def g13_resampled(spark, sf):
     d = view(spark, sf, "dose_voxel")
     planes = d.groupBy("patient_id", "k").agg((F.first("k") * 1.25).alias("z"))
     out = sampling.resampled(d, planes, view(spark, sf, "slice_position"), N, N, 0.5, 1.25, 0.75, 0.5)
-    return out.groupBy("patient_id", "k").agg(F.count("*").alias("n"), F.round(F.sum("dose_gy"), 4).alias("dose"), F.round(F.max("dose_gy"), 6).alias("top"))
+    return out.groupBy("patient_id", "k").agg(F.count("*").alias("n"), F.round(F.sum("dose_gy"), 4).alias("dose"), F.round(F.max("dose_gy") + 1e-9, 6).alias("top"))
 
 
 def t7_target_metrics(spark, sf):
@@ -150,7 +150,7 @@ ORACLE_SQL = {
         f"""WITH dp AS (SELECT DISTINCT patient_id, k, k * 1.25::DOUBLE AS z FROM dose_voxel), ns AS (SELECT s.patient_id, s.k AS image_k, min_by(dp.k, (abs(dp.z - s.z), dp.k)) AS k FROM slice_position s JOIN dp USING (patient_id) GROUP BY 1, 2),
         q AS (SELECT ns.patient_id, ns.image_k, ns.k, y.i AS pr, x.i AS pc, y.i * 0.5::DOUBLE + 1.25 AS y, x.i * 0.75::DOUBLE + 0.5 AS x FROM ns CROSS JOIN (SELECT unnest(range({N})) AS i) y CROSS JOIN (SELECT unnest(range({N})) AS i) x), """
         + gq._bil("q.y", "q.x") + """, g AS (SELECT patient_id, image_k, pr, pc, sum(w * dose_gy) AS d FROM cn JOIN dose_voxel v USING (patient_id, k, r, c) GROUP BY 1, 2, 3, 4)
-        SELECT q.patient_id, q.image_k AS k, count(*) AS n, round(sum(coalesce(d, 0)), 4) AS dose, round(max(coalesce(d, 0)), 6) AS top FROM q LEFT JOIN g ON g.patient_id = q.patient_id AND g.image_k = q.image_k AND g.pr = q.pr AND g.pc = q.pc GROUP BY 1, 2""",
+        SELECT q.patient_id, q.image_k AS k, count(*) AS n, round(sum(coalesce(d, 0)), 4) AS dose, round(max(coalesce(d, 0)) + 1e-9, 6) AS top FROM q LEFT JOIN g ON g.patient_id = q.patient_id AND g.image_k = q.image_k AND g.pr = q.pr AND g.pc = q.pc GROUP BY 1, 2""",
         "slice_position", "dose_voxel",
     ),
     "t7_target_metrics": dq._sample("," + dq.STEP + ", asked AS (SELECT patient_id, structure, (patient_id % 9 * 10.0 - 5)::DOUBLE AS dose FROM tot)," + dq.v_sql("asked") + " SELECT t.patient_id, t.structure, v.dose AS reference_gy, min_gy, max_gy, CASE WHEN v.dose > 0 THEN round(v_pct, 6) END AS coverage_pct FROM tot t JOIN v_at v USING (patient_id, structure)"),
