@@ -13,7 +13,8 @@ from .shared import settle, small
 
 DIMENSIONS = ("source", "lang", "topic")
 SWEEPS = 12
-#: Sweeps in one plan; then the cells are written.
+#: Up to so many cells are raked in one task, without shuffles; more stay distributed, with so many sweeps in one plan.
+ONE_TASK_CELLS = 100_000
 SWEEPS_AT_ONCE = 3
 #: Target share of a level: its share of all tokens to this power, made to sum to one (1 keeps the mix, 0 evens it out).
 TEMPER = 0.5
@@ -50,13 +51,16 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS)
     for d, t in targets.items():
         out = out.join(small(t.select(F.col("level").alias(d), F.col("share").alias(f"to_{d}"))), d, "left")
     out = settle(out.fillna(0.0, [f"to_{d}" for d in targets]))
+    few = out.limit(ONE_TASK_CELLS + 1).count() <= ONE_TASK_CELLS
+    if few:
+        out = out.coalesce(1)
     for k in range(sweeps):
         for d in targets:
             now = F.sum("weight").over(Window.partitionBy(d))
             out = out.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"to_{d}") * F.col("total") / now).otherwise(0.0))
-        if (k + 1) % SWEEPS_AT_ONCE == 0:
+        if not few and (k + 1) % SWEEPS_AT_ONCE == 0:
             out = settle(out)
-    return out.drop(*(f"to_{d}" for d in targets))
+    return settle(out).drop(*(f"to_{d}" for d in targets))
 
 
 def _marked(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ U64 = np.uint64
 #: Broadcast side limit in rows; beyond it the same join is shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that a Python task turns into arrays at once (a single longer text is taken whole).
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
