@@ -6,6 +6,8 @@ least a window long, the window's words are hit. Only runs of benchmark words th
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -111,7 +113,7 @@ def item_words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(TO_WORDS).split()
 
 
-_built: dict[int, tuple] = {}
+_built: dict[str, tuple] = {}
 
 
 def _automaton(shared) -> tuple[SuffixAutomaton, np.ndarray]:
@@ -127,14 +129,10 @@ def _automaton(shared) -> tuple[SuffixAutomaton, np.ndarray]:
 
 
 class _Shared:
-    """A broadcast that knows its id in the executors."""
+    """A broadcast with a name, by which a process knows what it has built from it."""
 
     def __init__(self, spark, value):
-        self._b = spark.sparkContext.broadcast(value)
-        self.id = self._b.id if hasattr(self._b, "id") else hash(str(self._b._jbroadcast.id()))
-
-    def __getstate__(self):
-        return {"_b": self._b, "id": self.id}
+        self.id, self._b = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
 
     @property
     def value(self):
