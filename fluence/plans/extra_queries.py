@@ -9,7 +9,6 @@ from ..operators import extras, plans, raster, targets
 from ..sources.standins import view, with_views
 from . import dvh_queries as dq
 from . import geometry_queries as gq
-from . import plan_queries as pq
 
 P = "patient_id"
 

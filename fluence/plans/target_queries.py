@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import dvh, plans, raster, sampling, targets, voxels
+from ..operators import plans, raster, sampling, targets, voxels
 from ..sources.standins import view, with_views
 from . import dvh_queries as dq
 from . import geometry_queries as gq
