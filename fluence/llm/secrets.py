@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
 One model is trained on random strings (the values that the fixed patterns find), one on ordinary identifiers and words
-(all other runs of the same characters); a run that the first explains better by a margin is reported.
+(shorter runs of the same characters); a long run that the first explains better by a margin is reported.
 """
 
 from __future__ import annotations
@@ -70,14 +70,14 @@ def pair_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     random[a + x : a + y] = True
             start, end, _ = word_spans(data, off, _SYMBOL)
             step = np.zeros(len(data) + 1, np.int8)
-            long = end - start >= ORDINARY_RUN
-            step[start[long]] += 1
-            step[end[long] - 1] -= 1  # the last character begins no pair
-            inside = np.cumsum(step[:-1], dtype=np.int8)[: len(pairs)] > 0
-            ok = inside & ~random[:-1] & ~random[1:]
-            total[0] += np.bincount(pairs[ok], minlength=n * n)
-            ok = inside & random[:-1] & random[1:]
-            total[1] += np.bincount(pairs[ok], minlength=n * n)
+            # a run that is long enough to be a candidate is no sample of ordinary text
+            for label, pick in ((0, (end - start >= ORDINARY_RUN) & (end - start < RUN)), (1, end - start >= ORDINARY_RUN)):
+                step[:] = 0
+                step[start[pick]] += 1
+                step[end[pick] - 1] -= 1  # the last character begins no pair
+                inside = np.cumsum(step[:-1], dtype=np.int8)[: len(pairs)] > 0
+                ok = inside & (random[:-1] == bool(label)) & (random[1:] == bool(label))
+                total[label] += np.bincount(pairs[ok], minlength=n * n)
         label, pair = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(label.astype(np.int32)), pa.array(pair.astype(np.int32)), pa.array(total[label, pair])], names=["label", "pair", "n"])
 
