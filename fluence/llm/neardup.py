@@ -166,24 +166,26 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     return rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind").drop("n").mapInArrow(run, "leader long, member long").distinct()
 
 
-def components(edges: DataFrame, a: str = "leader", b: str = "member", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "leader", b: str = "member") -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node that can be reached.
 
-    In each round a node takes the smallest label among its neighbours', then that label's own label (pointer jumping).
-    Labels only fall, so an unchanged sum ends it. They stay distributed; they are broadcast only while they are few."""
+    In each round a node takes the smallest label among its neighbours', and so does the node that its own label names (a
+    root is hooked below what its tree's nodes meet); then each takes that label's own label (pointer jumping). Labels only
+    fall and each is a node of the component, so when their sum stays, every edge has one label on both sides and that is
+    the smallest node. Rounds go on until then. Labels stay distributed; they are broadcast only while they are few."""
     edges = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     both = settle(edges.union(edges.select("v", "u")).union(edges.select("u", "u")).union(edges.select("v", "v")).distinct())
     parts = max(4, both.count() // EDGES_AT_ONCE)
     label, total = settle(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).coalesce(parts)), None
-    for _ in range(most_rounds):
+    while True:
         known = small(label)
-        low = both.join(known.select(F.col("node").alias("v"), "component"), "v").groupBy(F.col("u").alias("node")).agg(F.min("component").alias("low"))
+        met = both.join(known.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("low"), F.min(F.when(F.col("u") == F.col("v"), F.col("component"))).alias("own"))
+        low = met.select(F.explode(F.array(F.struct(F.col("u").alias("node"), "low"), F.struct(F.col("own").alias("node"), "low"))).alias("x")).groupBy(F.col("x.node").alias("node")).agg(F.min("x.low").alias("low"))
         above = low.join(known.select(F.col("node").alias("low"), "component"), "low")
         label = settle(above.select("node", F.least("low", "component").alias("component")).coalesce(parts))
         before, total = total, label.agg(F.sum(F.col("component").cast("decimal(28,0)"))).first()[0]
         if before == total:
-            break
-    return label
+            return label
 
 
 def _rare(texts: DataFrame, label: DataFrame, shingles: int, least: int) -> DataFrame:

@@ -48,6 +48,16 @@ def test_long_chain_is_one_component(spark):
     assert set(got.values()) == {0, 500} and len(got) == 203
 
 
+def test_chains_of_any_order_are_one_component(spark):
+    """Ids that descend along a chain and ids in random order: the smallest must not move one edge a round."""
+    rng, edges = random.Random(11), []
+    for k, chain in enumerate([[0, *range(499, 0, -1)], rng.sample(range(400), 400), rng.sample(range(700), 700)]):
+        chain = [1000 * k + i for i in chain]
+        edges += zip(chain, chain[1:], strict=False)
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "leader long, member long")).collect()}
+    assert len(got) == 1600 and all(c == n // 1000 * 1000 for n, c in got.items())
+
+
 def test_registers_estimate_similarity():
     import numpy as np
 
