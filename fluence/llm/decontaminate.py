@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .shared import ALNUM, LOWER, TO_WORDS, slices, word_hashes, word_spans
 
@@ -226,31 +227,44 @@ def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW, most_coverage
     """docs without the hit spans; documents whose hit words are more than `most_coverage` of all words go.
 
     All columns come back, the text with its hit spans cut out. Documents without hits are unchanged, null and empty texts
-    included. A benchmark beyond one automaton is passed over shard by shard.
+    included. A benchmark beyond one automaton goes over the untouched text shard by shard; the rows carry their united
+    spans in a further column, and coverage is tested and text cut once, after the last shard.
     """
     spark, schema = docs.sparkSession, docs.schema
     at = schema.fieldNames().index(text_col)
-    for items in _shards(bench, item_col, text_col):
-        shared = _Shared(spark, (items, window))
-
-        def run(batches, shared=shared):
+    width, carried = len(schema), f"spans_{uuid.uuid4().hex}"
+    state = StructType([*schema.fields, StructField(carried, ArrayType(ArrayType(LongType())))])
+    shards = _shards(bench, item_col, text_col)
+    items, k = next(shards), 0
+    while items is not None:
+        shared, items = _Shared(spark, (items, window)), next(shards, None)
+
+        def run(batches, shared=shared, first=not k, last=items is None):
             for piece, data, off in slices(batches, text_col):
                 words, hits, _, spans = _runs(piece, data, off, shared)
+                if not first:
+                    spans = [_united(x + [tuple(s) for s in y]) for x, y in zip(spans, piece.column(width).to_pylist(), strict=True)]
+                    hits = np.array([sum(x[1] - x[0] for x in y) for y in spans], np.int64)
+                columns = list(piece.columns)[:width]
+                if not last:
+                    columns.append(pa.array([[list(s) for s in x] for x in spans], pa.list_(pa.list_(pa.int64()))))
+                    yield pa.RecordBatch.from_arrays(columns, names=[*piece.schema.names[:width], carried])
+                    continue
                 keep = hits <= most_coverage * words
                 if hits.any():
-                    raw, texts = data.tobytes(), piece.column(at).to_pylist()
+                    raw, texts = data.tobytes(), columns[at].to_pylist()
                     for i in np.flatnonzero(hits).tolist():
-                        one, out, last = raw[off[i] : off[i + 1]], [], 0
+                        one, out, done = raw[off[i] : off[i + 1]], [], 0
                         for _, _, a, b in spans[i]:
-                            out.append(one[last:a])
-                            last = b
-                        texts[i] = b"".join([*out, one[last:]]).decode()
-                    columns = list(piece.columns)
+                            out.append(one[done:a])
+                            done = b
+                        texts[i] = b"".join([*out, one[done:]]).decode()
                     columns[at] = pa.array(texts, piece.schema.field(at).type)
-                    piece = pa.RecordBatch.from_arrays(columns, schema=piece.schema)
+                piece = pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(piece.schema)[:width]))
                 yield piece.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.mapInArrow(run, schema if items is None else state)
+        k += 1
     return docs
 
 

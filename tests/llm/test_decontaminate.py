@@ -54,6 +54,26 @@ def test_clean_cuts_spans_and_drops_what_is_mostly_benchmark(spark):
     assert set(got) == {1, 3, 4} and got[1].text == f"Ä {own}  end" and got[3].text == own and got[4].text is None and got[1]["items"] == "x"
 
 
+def test_clean_is_the_same_with_several_automata(spark, monkeypatch):
+    docs, items = cases(5)
+    parts = [[f"{p}{i}" for i in range(15)] for p in "abcdef"]
+    items += [(60 + k, " ".join(x)) for k, x in enumerate(parts)]
+    own = [f"o{i}" for i in range(40)]
+    # 60 of 100 words from two items at a time: each alone, and what is left after the other, is under half
+    docs += [(1000 + k, " ".join(own + x + x + y + y)) for k, (x, y) in enumerate((x, y) for x in parts for y in parts if x < y)]
+    # windows of an item that overlap another item's span
+    long = [f"m{i}" for i in range(40)]
+    items += [(70 + k, " ".join(long[5 * k : 5 * k + 10])) for k in range(7)]
+    docs += [(2000, " ".join(own + long)), (2001, " ".join(own + long[:15]))]
+    a, b = frames(spark, docs, items)
+    want = sorted(tuple(r) for r in de.clean(a, b).collect())
+    hits = contamination(docs, items)
+    assert {r[0] for r in want} == {d for d, (n, hit, _) in hits.items() if len(hit) <= 0.5 * n}
+    monkeypatch.setattr(de, "AUTOMATON_BYTES", 150)
+    assert len(list(de._shards(b, "item_id", "text"))) > 3
+    assert sorted(tuple(r) for r in de.clean(a, b).collect()) == want
+
+
 def test_empty_tables(spark):
     a, b = frames(spark, [], [])
     assert de.matches(a, b).collect() == []
