@@ -1,6 +1,6 @@
 """Chat formatting with DataFrame functions only.
 
-A record in JSON is fingerprinted by hashing its nested field paths; the fingerprint selects a declarative mapping (two
+A record, a struct or a JSON text, is fingerprinted by hashing its nested field paths; the fingerprint selects a declarative mapping (two
 paths and two roles, or an array of turns) into canonical turns. Turns are written with a template; control strings inside
 texts are escaped so that they can be restored; the loss mask covers each assistant text.
 """
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -24,6 +25,8 @@ LAYOUTS: dict[tuple[str, ...], list[tuple[str, str]] | tuple[str, str, str]] = {
     ("input", "instruction", "output"): [("system", "instruction"), ("user", "input"), ("assistant", "output")],
     ("data.prompt", "data.reply", "data.system"): [("system", "data.system"), ("user", "data.prompt"), ("assistant", "data.reply")],
 }
+#: Bytes of a JSON record below which Spark's parser meets none of its limits (20 million characters of a text, 128 MiB of a variant).
+JSON_BYTES = 16_000_000
 # Other names of roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
@@ -55,8 +58,11 @@ def unescape(text: Column) -> Column:
 
 
 def field_paths(record: Column) -> Column:
-    """The sorted leaf paths of a JSON text, such as messages[].role; null where it is no JSON object."""
-    schema = F.schema_of_variant(F.try_parse_json(record))
+    """The sorted leaf paths of a JSON text, such as messages[].role; null where it is no JSON object.
+
+    A record beyond JSON_BYTES that the parser gives up is an error: it may be whole JSON that meets the parser's limits."""
+    parsed = F.try_parse_json(record)
+    schema = F.schema_of_variant(parsed)
     # OBJECT<a: ARRAY<OBJECT<b: STRING>>> : walk the schema's tokens with a stack of open names
     tokens = F.regexp_extract_all(schema, F.lit(r"(`[^`]*`|[A-Za-z0-9_]+): |(OBJECT<|ARRAY<)|(>)|([A-Z]+(?:\([0-9, ]*\))?)"), F.lit(0))
     start = F.struct(F.expr("cast(array() as array<string>)").alias("open"), F.lit("").alias("name"), F.expr("cast(array() as array<string>)").alias("paths"))
@@ -73,7 +79,25 @@ def field_paths(record: Column) -> Column:
         )
 
     walked = F.aggregate(tokens, start, step, lambda acc: F.array_sort(F.array_distinct(acc["paths"])))
-    return F.when(schema.startswith("OBJECT<"), walked)
+    lost = parsed.isNull() & (F.octet_length(record) > JSON_BYTES)
+    return F.when(lost, F.raise_error(F.concat(F.lit("a chat record cannot be read as JSON; bytes: "), F.octet_length(record).cast("string")))).when(schema.startswith("OBJECT<"), walked)
+
+
+def _leaves(kind, path: str) -> list[str]:
+    if isinstance(kind, StructType):
+        return [x for f in kind for x in _leaves(f.dataType, f"{path}.{f.name}" if path else f.name)]
+    return _leaves(kind.elementType, f"{path}[]") if isinstance(kind, ArrayType) else [path]
+
+
+def struct_paths(record: Column, kind: StructType) -> Column:
+    """As field_paths, of a struct: the paths of fields that are not null. No text is parsed, so any length will do."""
+
+    def found(c, kind, path):
+        if isinstance(kind, StructType):
+            return [x for f in kind for x in found(c[f.name], f.dataType, f"{path}.{f.name}" if path else f.name)]
+        return [F.when(c.isNotNull(), F.array(*map(F.lit, _leaves(kind, path)))).otherwise(F.expr("cast(array() as array<string>)"))]
+
+    return F.when(record.isNotNull(), F.array_sort(F.flatten(F.array(*found(record, kind, "")))))
 
 
 def fingerprint(paths: Column) -> Column:
@@ -86,14 +110,35 @@ def canonical(record: Column, mark: Column) -> Column:
     Roles get their canonical names; an absent or null text is empty.
     """
     v = F.try_parse_json(record)
+    return _mapped(
+        mark,
+        LAYOUTS,
+        lambda path: F.try_variant_get(v, f"$.{path}", "string"),
+        lambda array, role, text: F.try_variant_get(v, f"$.{array}", f"array<struct<`{role}`:string,`{text}`:string>>"),
+    )
+
+
+def struct_canonical(record: Column, kind: StructType, mark: Column) -> Column:
+    """As canonical, of a struct; layouts with fields that it cannot have are left out."""
+    have = set(_leaves(kind, ""))
+
+    def at(path):
+        c = record
+        for name in path.split("."):
+            c = c[name]
+        return c
+
+    return _mapped(mark, [paths for paths in LAYOUTS if have.issuperset(paths)], lambda path: at(path).cast("string"), lambda array, role, text: at(array))
+
+
+def _mapped(mark: Column, layouts, text_at, turns_at) -> Column:
     out = F.lit(None).cast(TURNS)
-    for paths, how in LAYOUTS.items():
+    for paths in layouts:
+        how = LAYOUTS[paths]
         if isinstance(how, tuple):
-            array, role, text = how
-            got = F.try_variant_get(v, f"$.{array}", f"array<struct<`{role}`:string,`{text}`:string>>")
-            turns = F.transform(got, _turn(role, text))
+            turns = F.transform(turns_at(*how), _turn(*how[1:]))
         else:
-            turns = F.array(*(F.struct(F.lit(role).alias("role"), F.coalesce(F.try_variant_get(v, f"$.{path}", "string"), F.lit("")).alias("text")) for role, path in how))
+            turns = F.array(*(F.struct(F.lit(role).alias("role"), F.coalesce(text_at(path), F.lit("")).alias("text")) for role, path in how))
         out = F.when(mark == F.xxhash64(F.lit("\n".join(paths))), turns).otherwise(out)
     return out
 
@@ -110,9 +155,11 @@ def canonical_role(role: Column) -> Column:
 
 
 def convert(records: DataFrame, record_col: str = "record") -> DataFrame:
-    """records with field_paths, fingerprint and turns (null where the layout is not known)."""
-    marked = records.withColumn("field_paths", field_paths(F.col(record_col))).withColumn("fingerprint", fingerprint(F.col("field_paths")))
-    return marked.withColumn("turns", canonical(F.col(record_col), F.col("fingerprint")))
+    """records (structs or JSON texts) with field_paths, fingerprint and turns (null where the layout is not known)."""
+    record, kind = F.col(record_col), records.schema[record_col].dataType
+    whole = isinstance(kind, StructType)
+    marked = records.withColumn("field_paths", struct_paths(record, kind) if whole else field_paths(record)).withColumn("fingerprint", fingerprint(F.col("field_paths")))
+    return marked.withColumn("turns", struct_canonical(record, kind, F.col("fingerprint")) if whole else canonical(record, F.col("fingerprint")))
 
 
 def render(turns: DataFrame) -> DataFrame:
@@ -155,19 +202,21 @@ def masked(formatted: Column, spans: Column) -> Column:
 
 
 def conversation_records(turns: DataFrame) -> DataFrame:
-    """(conv_id, record): the rows of a conversation, ordered by turn (ties by role and text), as a JSON record.
+    """(conv_id, record): the rows of a conversation, ordered by turn (ties by role and text), as a struct.
 
     A user and an assistant alone become prompt and completion; system, user, assistant become instruction, input and output;
-    every other one a list of messages. Null texts and roles are empty. Rows of a null conv_id are one conversation.
+    every other one a list of messages; the other fields are null. Null texts and roles are empty. Rows of a null conv_id are
+    one conversation.
     """
     rows = turns.select("conv_id", F.struct(F.coalesce("turn", F.lit(-1).cast("long")).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     got = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
     roles = F.array_join("t.role", ",")
     text = lambda k: F.element_at("t", k)["text"]
-    record = (
-        F.when(roles == "user,assistant", F.to_json(F.struct(text(1).alias("prompt"), text(2).alias("completion"))))
-        .when(roles == "system,user,assistant", F.to_json(F.struct(text(1).alias("instruction"), text(2).alias("input"), text(3).alias("output"))))
-        .otherwise(F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages"))))
+    pair, three = roles == "user,assistant", roles == "system,user,assistant"
+    record = F.struct(
+        *(F.when(pair, text(k)).alias(name) for k, name in enumerate(("prompt", "completion"), 1)),
+        *(F.when(three, text(k)).alias(name) for k, name in enumerate(("instruction", "input", "output"), 1)),
+        F.when(~pair & ~three, F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))).alias("messages"),
     )
     return got.select("conv_id", record.alias("record"))
 

@@ -2,6 +2,7 @@ import hashlib
 import json
 
 import duckdb
+import pytest
 from fluence.llm import chat
 from pyspark.sql import functions as F
 
@@ -47,3 +48,31 @@ def test_query_against_plain_python_and_sql(spark, tmp_path):
     assert got == sorted(con.execute(chat.OP9_SQL).fetchall())
     said = "</s>[INST] ok [/INST]"
     assert got[0][:5] == (-1, 2, hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
+def test_text_beyond_the_limits_of_json_comes_back_whole(spark, tmp_path):
+    long = F.repeat(F.lit("ab<é"), 6_250_000)
+    roles = spark.createDataFrame([(1, 0, "user"), (1, 1, "assistant"), (2, 0, "assistant"), (2, 1, "user"), (2, 2, "assistant")], "conv_id long, turn long, role string")
+    roles.withColumn("text", F.when(F.col("role") == "assistant", long).otherwise("q")).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r for r in chat.op9_chat_format(spark, str(tmp_path)).collect()}
+    text = "ab<é" * 6_250_000
+    for conv, roles in ((1, ("user", "assistant")), (2, ("assistant", "user", "assistant"))):
+        loss = text * roles.count("assistant")
+        assert (got[conv].n_turns, got[conv].loss_chars, got[conv].loss_sha256) == (len(roles), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        line = "".join(f"{r}\n{text if r == 'assistant' else 'q'}\n" for r in roles)
+        assert got[conv].turns_sha256 == hashlib.sha256(line.encode()).hexdigest()
+
+
+def test_structs_give_what_their_json_gives(spark):
+    schema = "i int, record struct<prompt:string,completion:string,messages:array<struct<role:string,content:string>>,data:struct<prompt:string,reply:string,system:string>>"
+    rows = [(0, ("p", "c", None, None)), (1, (None, None, [("human", "a<"), ("x", "")], None)), (2, (None, None, None, ("p", "r", "s"))), (3, ("p", None, None, None)), (4, None)]
+    df = spark.createDataFrame(rows, schema)
+    a = {r.i: (r.field_paths, r.fingerprint, r.turns) for r in chat.convert(df).collect()}
+    b = {r.i: (r.field_paths, r.fingerprint, r.turns) for r in chat.convert(df.withColumn("record", F.to_json("record"))).collect()}
+    assert a == b and [a[i][2] is None for i in range(5)] == [False, False, False, True, True]
+
+
+def test_json_that_cannot_be_read_is_an_error(spark):
+    df = spark.range(1).select(F.to_json(F.struct(F.repeat(F.lit("a"), 25_000_000).alias("prompt"), F.lit("b").alias("completion"))).alias("record"))
+    with pytest.raises(Exception, match="cannot be read as JSON"):
+        chat.convert(df).select(F.size("turns")).collect()
