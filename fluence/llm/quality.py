@@ -11,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, NOT_SPACE, U64, crc_mod, slices, small, word_hashes, word_spans
+from .shared import LOWER, NOT_SPACE, U64, crc_mod, settle, slices, small, word_hashes, word_spans
 
 PASSAGE_WORDS = 60
 BUCKETS = 48
 HIDDEN, GATE = 16, 8
-#: Labelled documents that are used for training, at most (about; a hash of the id picks them).
-TRAIN_DOCS = 8000
+#: A word repeats if it equals one of so many words before it in its text.
+REPEAT_WITHIN = 8
+#: Labelled documents that are used for training, and their bytes, at most (about; a hash of the id picks them).
+TRAIN_DOCS, TRAIN_BYTES = 8000, 48_000_000
 EPOCHS = 40
 
 # Byte classes by their members; any other ASCII byte is the last but one, other bytes the last.
@@ -31,7 +33,9 @@ WIDTH = N_CLASSES + BUCKETS + 3
 
 
 def encode(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Passage vectors of the texts, and for each text the offset of its first passage. A text without words has one passage."""
+    """Passage vectors of the texts, and for each text the offset of its first passage. A text without words has one passage.
+
+    The vectors of a text depend on nothing but its bytes."""
     start, end, first = word_spans(data, off, NOT_SPACE)
     n_words = np.diff(first)
     per = np.maximum(1, -(-n_words // PASSAGE_WORDS))
@@ -53,7 +57,9 @@ def encode(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(start):
         h = word_hashes(LOWER[data], start, end)
         x[:, N_CLASSES : N_CLASSES + BUCKETS] = np.bincount(of_word * BUCKETS + (h % U64(BUCKETS)).astype(np.int64), minlength=n * BUCKETS).reshape(n, BUCKETS) / np.maximum(words, 1)[:, None]
-        again = np.concatenate(([False] * min(8, len(h)), np.any([h[8:] == h[8 - k : len(h) - k] for k in range(1, 9)], axis=0) if len(h) > 8 else []))
+        again = np.zeros(len(h), bool)
+        for k in range(1, min(REPEAT_WITHIN + 1, len(h))):
+            again[k:] |= (h[k:] == h[:-k]) & (rank[k:] >= k)  # words of the same text only
         x[:, -3] = np.bincount(of_word, weights=again.astype(float), minlength=n) / np.maximum(words, 1)
         x[:, -2] = np.bincount(of_word, weights=np.minimum(end - start, 40), minlength=n) / np.maximum(words, 1) / 10
     x[:, -1] = np.minimum(words, PASSAGE_WORDS) / PASSAGE_WORDS
@@ -66,7 +72,7 @@ def _sigmoid(v):
 
 def forward(x: np.ndarray, begin: np.ndarray, p: dict):
     """Scores of the bags, and what backward needs."""
-    xs = (x - p["mean"]) / p["dev"]
+    xs = (x - p["mean"]) / p["dev"]  # in double precision where the model is (see scores)
     h = np.tanh(xs @ p["w"] + p["b"])
     t, s = np.tanh(h @ p["v"]), _sigmoid(h @ p["u"])
     e = (t * s) @ p["a"]
@@ -121,25 +127,33 @@ def fit(x: np.ndarray, begin: np.ndarray, target: np.ndarray, seed: int = 5) ->
     return p
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int, fold: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, y) of labelled rows outside the held-out fold (crc32 of the id modulo `fold` is 1); about `most` of
-    them at most, picked by a hash of the id. Rows with a null label or id are left out, as are an id's further labels."""
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int | None, fold: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, y) of labelled rows outside the held-out fold (crc32 of the id modulo `fold` is 1); all of them, or
+    about `most` at most, picked by a hash of the id. Rows with a null label or id are left out, as are an id's further labels."""
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), fold) != 1)).groupBy("doc_id").agg(F.max("y").alias("y"))
-    n = y.count()
-    if n > most:
+    n = y.count() if most else 0
+    if most and n > most:
         y = y.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(small(y), "doc_id")
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> dict:
-    """The model, from the passage vectors of a bounded number of labelled documents (the bound is `most`)."""
+def bounded(rows: DataFrame, most_bytes: int) -> DataFrame:
+    """rows (doc_id, text, ...), thinned by a hash of the id to about `most_bytes` bytes of whole texts at most."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return rows if size <= most_bytes else rows.filter(F.pmod(F.xxhash64(F.lit("bytes"), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * most_bytes / size))
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> dict:
+    """The model, from all passages of a bounded number of labelled documents (the bounds are `most` documents and
+    `most_bytes` of text, which keep the passage vectors that come to the driver under 0.8 bytes a byte of text)."""
 
     def run(batches):
         for piece, data, off in slices(batches):
             x, begin = encode(data, off)
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array([x[a:b].astype(np.float32).tobytes() for a, b in zip(begin, begin[1:], strict=False)], pa.binary())], names=["doc_id", "y", "x"])
 
-    rows = sorted(training_rows(docs, labels, "quality", most).mapInArrow(run, "doc_id long, y int, x binary").collect(), key=lambda r: (r.doc_id, bytes(r.x)))
+    sample = bounded(settle(training_rows(docs, labels, "quality", most)), most_bytes)
+    rows = sorted(sample.mapInArrow(run, "doc_id long, y int, x binary").collect(), key=lambda r: (r.doc_id, bytes(r.x)))
     bags = [np.frombuffer(r.x, np.float32).reshape(-1, WIDTH) for r in rows]
     x = np.concatenate(bags) if bags else np.zeros((0, WIDTH), np.float32)
     return fit(x, np.concatenate(([0], np.cumsum([len(b) for b in bags]))).astype(np.int64), np.array([r.y for r in rows], np.float32))
@@ -147,15 +161,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> dict:
 
 def scores(docs: DataFrame, model: dict, text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with a further column: the score, 0 to 1, of the whole text. Null and empty texts have one empty passage, so they
-    have a score too. All rows and columns stay; a column that has the new one's name is replaced."""
+    have a score too. All rows and columns stay; a column that has the new one's name is replaced. An empty table gives no
+    rows. Equal texts have equal scores, whatever stands around them: passages see their own text only, and sums that may
+    take another order in another batch are in double precision, of which nine decimals are kept."""
     docs = docs.drop(name)
+    model = {k: np.asarray(v, np.float64) for k, v in model.items()}
     schema = docs.withColumn(name, F.lit(0.0)).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for piece, data, off in slices(batches, text_col):
             y, _ = forward(*encode(data, off), shared.value)
-            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(y.astype(np.float64))], names=[*piece.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(np.round(y.astype(np.float64), 9))], names=[*piece.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 

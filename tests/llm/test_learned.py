@@ -1,8 +1,11 @@
 """Quality and toxicity: held-out accuracy, edge cases, and what the parts must do."""
 
+import re
+
 import numpy as np
 import pytest
 from fluence.llm import quality, toxicity
+from fluence.llm.shared import word_hashes
 
 SF = "/root/testdata/sf0.1"
 
@@ -58,7 +61,65 @@ def test_encoding_does_not_depend_on_neighbours():
     together, begin = quality.encode(np.frombuffer(b"".join(texts), np.uint8), off)
     for k, t in enumerate(texts):
         alone, _ = quality.encode(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
-        assert np.allclose(together[begin[k] : begin[k + 1], : quality.N_CLASSES], alone[:, : quality.N_CLASSES])
+        assert np.array_equal(together[begin[k] : begin[k + 1]], alone)
+
+
+def plain_passages(text):
+    """What encode gives, a passage at a time with plain Python."""
+    raw = text.encode()
+    spots = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    words = [raw[a:b].lower() for a, b in spots]
+    out = []
+    for first in range(0, max(1, len(words)), quality.PASSAGE_WORDS):
+        mine = range(first, min(first + quality.PASSAGE_WORDS, len(words)))
+        begin = spots[first][0] if first else 0
+        end = spots[first + quality.PASSAGE_WORDS][0] if first + quality.PASSAGE_WORDS < len(words) else len(raw)
+        x = np.zeros(quality.WIDTH)
+        for b in raw[begin:end]:
+            kind = next((k for k, m in enumerate(quality.CLASSES) if chr(b) in m), len(quality.CLASSES)) if b < 128 else len(quality.CLASSES) + 1
+            x[kind] += 1 / (end - begin)
+        for i in mine:
+            h = int(word_hashes(np.frombuffer(words[i], np.uint8), np.array([0]), np.array([len(words[i])]))[0])
+            x[quality.N_CLASSES + h % quality.BUCKETS] += 1 / len(mine)
+            x[-3] += (words[i] in words[max(0, i - 8) : i]) / len(mine)
+            x[-2] += min(len(words[i]), 40) / len(mine) / 10
+        x[-1] = len(mine) / quality.PASSAGE_WORDS
+        out.append(x)
+    return np.array(out)
+
+
+TEXTS = ["", None, "one two one", "é " * 200, "A b! c\n" * 90, "  \n", "x", "one two one", "word " * 61 + "end", "tab\tsep | $5 <a>"]
+
+
+def test_quality_against_plain_passages(spark):
+    """Encoding, attention and score of each text alone, by formulas; and texts in one batch or in many."""
+    rng = np.random.default_rng(3)
+    shapes = {"w": (quality.WIDTH, quality.HIDDEN), "b": (quality.HIDDEN,), "v": (quality.HIDDEN, quality.GATE), "u": (quality.HIDDEN, quality.GATE), "a": (quality.GATE,), "c": (quality.HIDDEN,), "d": (), "mean": (quality.WIDTH,)}
+    p = {k: rng.normal(size=s) / 3 for k, s in shapes.items()} | {"dev": np.full(quality.WIDTH, 0.3)}
+    want = []
+    for t in TEXTS:
+        e, hidden = [], []
+        for x in plain_passages(t or ""):
+            h = np.tanh((x - p["mean"]) / p["dev"] @ p["w"] + p["b"])
+            e.append(np.exp(np.tanh(h @ p["v"]) / (1 + np.exp(-h @ p["u"])) @ p["a"]))
+            hidden.append(h)
+        z = sum(a * h for a, h in zip(e, hidden, strict=True)) / sum(e)
+        want.append(1 / (1 + np.exp(-(z @ p["c"] + p["d"]))))
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    for parts in (1, 7):
+        got = {r.doc_id: r.score for r in quality.scores(docs.repartition(parts), p).collect()}
+        assert np.allclose([got[i] for i in range(len(TEXTS))], want, atol=1e-5) and got[2] == got[7]
+
+
+def test_scores_depend_on_the_text_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = quality.train(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    one = {r.doc_id: (r.text, r.score) for r in quality.scores(docs.repartition(1).sort("text"), model).collect()}
+    two = {r.doc_id: r.score for r in quality.scores(docs.repartition(13), model).collect()}
+    assert {d: s for d, (_, s) in one.items()} == two
+    by_text = {}
+    for t, s in one.values():
+        assert by_text.setdefault(t, s) == s
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "c")]])
