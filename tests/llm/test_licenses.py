@@ -30,7 +30,89 @@ def test_misspelled_notices_are_found_with_their_edits(spark):
 
 def test_pieces_cover_a_notice():
     for n, _ in licenses.NOTICES:
-        assert "".join(p.decode() for _, p in licenses.pieces(n)) == n and len(licenses.pieces(n)) == licenses.edits_allowed(n) + 1
+        assert "".join(p for p, _ in licenses.parts(n)) == licenses.plain(n)
+        assert "".join(p.decode() for _, p in licenses.pieces(n)) == licenses.plain(n) and len(licenses.pieces(n)) == licenses.edits_allowed(n) + 1
+
+
+def distances(part, text):
+    """Edits from part to every beginning of text."""
+    row = list(range(len(text) + 1))
+    for i, x in enumerate(part, 1):
+        row, last = [i], row
+        for j, y in enumerate(text, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row
+
+
+def brute_notice(words, notice):
+    """Fewest edits of the notice in any stretch of whole words, by plain edit distances of its parts; None if it has too many."""
+    best, size = None, len(licenses.plain(notice).split())
+    for a in range(len(words)):
+        for b in range(max(a + 1, a + size - 3), min(len(words), a + size + 3) + 1):
+            t, at = " ".join(words[a:b]), {0: 0}
+            for p, k in licenses.parts(notice):
+                marked, after = p.strip() == p and k <= 1, {}
+                for begin, e in at.items():
+                    if marked and begin and t[begin - 1] != " ":
+                        continue
+                    for n, d in enumerate(distances(p, t[begin : begin + len(p) + 5])):
+                        end = begin + n
+                        if d <= k and not (p[-1] != " " and end < len(t) and t[end] != " "):
+                            after[end] = min(after.get(end, 99), e + d)
+                at = after
+            e = at.get(len(t), 99)
+            if e <= licenses.edits_allowed(notice) and (best is None or e < best):
+                best = e
+    return best
+
+
+def test_fuzzy_notices_against_brute_force():
+    """All notices over mutated notices: the same are found, with as few edits."""
+    rng, hits = random.Random(8), 0
+    for notice, label in licenses.NOTICES:
+        scanner = licenses.Scanner([(notice, label)], {})
+        for other, _ in [(notice, label)] * 6 + rng.sample(licenses.NOTICES, 4):
+            chars = list("pre " + licenses.plain(other) + " post")
+            for _ in range(rng.randrange(6)):
+                i = rng.randrange(len(chars))
+                chars[i : i + rng.randrange(2)] = rng.choice(["", "x", " ", "e", "2"])
+            words = "".join(chars).split()
+            raw = " ".join(words).encode()
+            found = scanner.texts(raw, [0, len(raw)])[2][0]
+            want = brute_notice(words, notice)
+            assert (min(x[3] for x in found) if found else None) == want, (notice, raw)
+            hits += want is not None
+    assert hits > 60
+
+
+def test_other_licences_are_told_apart():
+    wrong = {
+        "released under the BSD license": "mit",
+        "released under the GPL license": "mit",
+        "released under the summit license": "mit",
+        "licensed under the Apache License version 1 1": "apache-2.0",
+        "licensed under cc by sa 4 0": "cc-by-nc-4.0",
+        "cc by sa 4 0": "cc-by-nc-4.0",
+        "cc by nd 4.0": "cc-by-nc-4.0",
+        "GNU General Public License version 2": "gpl-3.0",
+        "GNU General Public License version 9": "gpl-2.0",
+        "Mozilla Public License version 1 1": "mpl-2.0",
+    }
+    scanner = licenses.Scanner()
+    for text, label in wrong.items():
+        raw = text.encode()
+        assert label not in {x[2] for x in scanner.texts(raw, [0, len(raw)])[2][0]}
+
+
+def test_overlapping_places_leave_the_nearest():
+    assert licenses.nearest([(0, 5, "a", 2, 20), (3, 8, "b", 1, 20), (8, 9, "c", 0, 20), (8, 9, "d", 0, 21)]) == [(3, 8, "b", 1, 20), (8, 9, "d", 0, 21)]
+
+
+def test_long_text_nulls_and_repeats(spark):
+    long = "filler words and more " * 60_000 + "Released under the MIT Licnse! " * 2000
+    df = spark.createDataFrame([(1, long), (1, long), (None, None), (2, "")], "doc_id long, text string")
+    got = licenses.scan(df).collect()
+    assert sorted((r.doc_id or 0, len(r.notices)) for r in got) == [(0, 0), (1, 2000), (1, 2000), (2, 0)]
 
 
 def test_empty_table(spark):
