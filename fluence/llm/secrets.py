@@ -7,6 +7,7 @@ One model is trained on random strings (the values that the fixed patterns find)
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -97,17 +98,38 @@ def train(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log((p[1] + 1 / n) / 2 / p[0]).ravel()
 
 
+def _uncovered(begin: int, end: int, spans: list[tuple]) -> list[tuple[int, int]]:
+    """What spans leave of begin to end."""
+    out, at = [], begin
+    for a, b, _ in sorted(spans):
+        if a >= end:
+            break
+        if b > at:
+            if a > at:
+                out.append((at, a))
+            at = b
+    return out + [(at, end)] if at < end else out
+
+
 def found(doc: bytes, ratio: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, end, kind) in bytes, sorted: the fixed patterns' matches, and runs that the models call random and no match touches."""
-    spans = [(a, b, k) for k, a, b, _, _ in fixed(doc)]
-    marks = doc.translate(_RUN_MAP)
+    """(start, end, kind) in bytes, sorted: the fixed patterns' matches, and runs that the models call random.
+
+    A run that fixed matches cover in part is tested as a whole, with what they leave of it, and reported as a whole."""
+    base = [(a, b, k) for k, a, b, _, _ in fixed(doc)]
+    spans, marks, base_at = list(base), doc.translate(_RUN_MAP), sorted(base)
+    ends = np.maximum.accumulate([b for _, b, _ in base_at]) if base else np.zeros(0, np.int64)
+    starts = [a for a, _, _ in base_at]
     at = marks.find(b"x" * RUN)
     while at >= 0:
         end = marks.find(b"\0", at)
         end = len(doc) if end < 0 else end
-        if not any(a < end and at < b for a, b, _ in spans):
+        near = base_at[int(np.searchsorted(ends, at, "right")) : bisect_left(starts, end)]
+        free = _uncovered(at, end, near)
+        if free:
             codes = _CODE[np.frombuffer(doc[at:end], np.uint8)]
-            if ratio[codes[:-1] * len(SYMBOLS) + codes[1:]].mean() > MARGIN:
+            each = ratio[codes[:-1] * len(SYMBOLS) + codes[1:]]
+            rest = np.concatenate([each[max(0, a - at - 1) : b - at] for a, b in free])  # pairs with a character that is left
+            if each.mean() > MARGIN and rest.mean() > MARGIN:
                 spans.append((at, end, 3))
         at = marks.find(b"x" * RUN, end)
     return sorted(spans)
@@ -115,15 +137,17 @@ def found(doc: bytes, ratio: np.ndarray) -> list[tuple[int, int, int]]:
 
 def points(doc: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """The same spans in code points."""
-    if doc.isascii():
+    if not spans or doc.isascii():
         return spans
-    return [(len(doc[:a].decode()), len(doc[:b].decode()), k) for a, b, k in spans]
+    before = np.concatenate(([0], np.cumsum((np.frombuffer(doc, np.uint8) & 0xC0) != 0x80)))
+    return [(int(before[a]), int(before[b]), k) for a, b, k in spans]
 
 
 def scan(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, spans (kind, start, end; code points, end exclusive; by start, then kind).
 
-    Null texts are empty and have none. Repeated rows repeat; further columns are ignored; an empty table gives no rows.
+    Null texts are empty and have none. Texts of any length are searched whole, in time that grows with their length and
+    number of spans. Repeated rows repeat; further columns are ignored; an empty table gives no rows.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -137,7 +161,7 @@ def scan(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: s
 
 
 def redact(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """docs with every found span replaced by a mark (overlapping spans by one); all rows and columns stay."""
+    """docs with every found span replaced by a mark (overlapping spans by one); all rows and columns stay, null texts null."""
     schema = docs.schema
     at = schema.fieldNames().index(text_col)
 

@@ -1,5 +1,9 @@
+import math
 import random
+import re
 
+import numpy as np
+import pytest
 from brute import secrets as brute
 from fluence.llm import secrets
 
@@ -30,6 +34,88 @@ def test_models_add_random_runs_only(spark):
     assert [(s["kind"], s["start"], s["end"]) for s in got[100]] == [("markov", 2, 34)] and got[101] == []
 
 
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def test_recall_of_planted_strings_and_clean_runs(spark):
+    """Models trained on the given table: unlabelled random strings are found, long ordinary identifiers are not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ratio, rng = secrets.train(docs), random.Random(12)
+    words = sorted({w for r in docs.filter("lang = 'en'").limit(200).collect() for w in r.text.split() if w.isalpha() and w.isascii()})
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    planted = [make(x, rng.randrange(20, 60)) for _ in range(150) for x in (ALPHABET, ALPHABET + "+/", ALPHABET[26:], "0123456789ABCDEF")]
+    hit = [any(k == 3 for _, _, k in secrets.found(f"see {p} there".encode(), ratio)) or brute(p) != [] for p in planted]
+    plain = [rng.choice("_-/").join(rng.choice(words).lower() for _ in range(4)) for _ in range(600)]
+    plain = [p for p in plain if len(p) >= secrets.RUN and not brute(p)]
+    wrong = [secrets.found(p.encode(), ratio) != [] for p in plain]
+    assert sum(hit) >= 0.9 * len(hit), (sum(hit), len(hit))
+    assert sum(wrong) <= 0.02 * len(wrong), (sum(wrong), len(wrong))
+
+
+def test_ratio_against_plain_counts(spark):
+    """The log-likelihood ratio of every pair, from counts by plain Python."""
+    rows = [(1, "token = abcdefGHIJ0123 ordinary words_and_names here"), (2, "é secret: Zz9Zz9Zz9Zz9Zz ordinary"), (3, None)]
+    n, codes = len(secrets.SYMBOLS), {chr(b): i for i, b in enumerate(secrets.SYMBOLS)}
+    seen = [[[0] * n for _ in range(n)] for _ in range(2)]
+    values = ["abcdefGHIJ0123", "Zz9Zz9Zz9Zz9Zz"]
+    ordinary = ["ordinary", "words_and_names", "secret", "ordinary"]  # "token" and "here" are short
+    for label, runs in enumerate((ordinary, values)):
+        for run in runs:
+            for x, y in zip(run, run[1:], strict=False):
+                seen[label][codes[x]][codes[y]] += 1
+    got = secrets.train(spark.createDataFrame(rows, "doc_id long, text string")).reshape(n, n)
+    for x, y in (("a", "b"), ("r", "d"), ("Z", "z"), ("9", "Z"), ("_", "a"), ("q", "q")):
+        p = []
+        for s in seen:
+            all_ = sum(map(sum, s))
+            alone = (sum(row[codes[y]] for row in s) + secrets.PRIOR) / (all_ + secrets.PRIOR * n)
+            p.append((s[codes[x]][codes[y]] + secrets.BACK_OFF * alone) / (sum(s[codes[x]]) + secrets.BACK_OFF))
+        assert got[codes[x], codes[y]] == pytest.approx(math.log((p[1] + 1 / n) / 2 / p[0]), abs=1e-9)
+
+
+def brute_markov(text, ratio):
+    """Runs of symbols, at least RUN long, that some fixed match does not cover, if all pairs and the pairs left are random."""
+    codes, out = {chr(b): i for i, b in enumerate(secrets.SYMBOLS)}, []
+    fixed_spans = brute(text)
+    for m in re.finditer("[" + re.escape(secrets.SYMBOLS.decode()) + "]{%d,}" % secrets.RUN, text or ""):
+        a, b = m.span()
+        free = [i for i in range(a, b) if not any(s <= i < e for _, s, e in fixed_spans)]
+        pair = lambda i: ratio[codes[text[i]] * len(codes) + codes[text[i + 1]]]
+        every = [pair(i) for i in range(a, b - 1)]
+        left = [pair(i) for i in range(a, b - 1) if i in set(free) or i + 1 in set(free)]
+        if free and sum(every) > secrets.MARGIN * len(every) and sum(left) > secrets.MARGIN * len(left):
+            out.append(("markov", a, b))
+    return out
+
+
+def test_all_spans_against_brute_force(spark):
+    rng = random.Random(21)
+    key = lambda n: "".join(rng.choice(ALPHABET) for _ in range(n))
+    more = [f"é {key(rng.randrange(10, 40))}{rng.choice(['', 'deadbeef00deadbeef11', '/', '_'])}{key(rng.randrange(30))} some/ordinary_path-name/of_a_file end" for _ in range(150)]
+    rows = list(enumerate(texts() + more))
+    df = spark.createDataFrame([(d, t) for d, t in rows], "doc_id long, text string")
+    ratio, order = secrets.train(df), list(secrets.KINDS)
+    got = {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r.spans] for r in secrets.scan(df, ratio).collect()}
+    for d, t in rows:
+        assert got[d] == sorted(brute(t) + brute_markov(t, ratio), key=lambda x: (x[1], order.index(x[0]))), t
+    assert sum(k == "markov" for x in got.values() for k, _, _ in x) > 50
+
+
+def test_a_run_around_a_fixed_match_goes_as_a_whole(spark):
+    whole = "Xq7RtZ0pLw9KdVb2" + "0123456789abcdef0" + "YmU5sNc8Tj3HxQf6Ze1Gk4Ao"
+    ratio = np.full(len(secrets.SYMBOLS) ** 2, 2.0)
+    assert secrets.found(f"a {whole} b".encode(), ratio) == [(2, 2 + len(whole), 3), (16, 35, 2)]  # "b2" is hex too
+    df = spark.createDataFrame([(1, f"a {whole} b")], "doc_id long, text string")
+    assert secrets.redact(df, ratio).first().text == "a [SECRET] b"
+
+
+def test_long_text_and_repeats(spark):
+    long = "ordinary words stand here é " * 50_000 + "token = abcdefGHIJ0123 " * 3000
+    df = spark.createDataFrame([(1, long), (1, long)], "doc_id long, text string")
+    got = secrets.scan(df, secrets.train(df)).collect()
+    assert [len([s for s in r.spans if s["kind"] == "assign"]) for r in got] == [3000, 3000]
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "é token = 0123456789abcdef00 end", 5), (2, "clean", 6), (3, None, 7)], "doc_id long, text string, n int")
     got = {r.doc_id: r for r in secrets.redact(df, secrets.train(df)).collect()}
