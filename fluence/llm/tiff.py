@@ -7,6 +7,7 @@ predictors none and horizontal. The writer makes the same forms.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -27,28 +28,30 @@ NONE, LZW, DEFLATE, DEFLATE_OLD, PACKBITS = 1, 5, 8, 32946, 32773
 LZW_CLEAR, LZW_END = 256, 257
 
 
+_REPEATED = re.compile(rb"(.)\1{2,127}", re.DOTALL)
+
+
 def packbits_encode(raw: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(raw)
-    while i < n:
-        j = i + 1
-        while j < n and j - i < 128 and raw[j] == raw[i]:
-            j += 1
-        if j - i >= 3:
-            out += bytes((257 - (j - i), raw[i]))
-            i = j
-            continue
-        j = i
-        while j < n and j - i < 128 and not (j + 2 < n and raw[j] == raw[j + 1] == raw[j + 2]):
-            j += 1
-        out.append(j - i - 1)
-        out += raw[i:j]
-        i = j
+    """Three and more equal bytes as a count and the byte, what stands between as it is, in lots of at most 128."""
+    out, at = bytearray(), 0
+
+    def plain(end):
+        for i in range(at, end, 128):
+            part = raw[i : min(i + 128, end)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    for m in _REPEATED.finditer(raw):
+        plain(m.start())
+        out += bytes((257 - len(m[0]), m[0][0]))
+        at = m.end()
+    plain(len(raw))
     return bytes(out)
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, most: int = 1 << 62) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < most:
         n = data[i]
         i += 1
         if n < 128:
@@ -91,7 +94,7 @@ def lzw_encode(raw: bytes) -> bytes:
     return int(line, 2).to_bytes(len(line) // 8, "big")
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int = 1 << 62) -> bytes:
     out, fresh = bytearray(), [bytes((i,)) for i in range(256)] + [b"", b""]
     table, width, last = list(fresh), 9, None
     held, have = 0, 0
@@ -102,11 +105,13 @@ def lzw_decode(data: bytes) -> bytes:
         have -= width
         code = held >> have
         held &= (1 << have) - 1
-        if code == LZW_END:
+        if code == LZW_END or len(out) >= most:
             break
         if code == LZW_CLEAR:
             table, width, last = list(fresh), 9, None
             continue
+        if code > len(table) or (last is None and code >= LZW_CLEAR):
+            raise ValueError("LZW code before its entry")
         if last is None:
             entry = table[code]
         else:
@@ -123,8 +128,11 @@ def compress(raw: bytes, how: int) -> bytes:
     return {NONE: bytes, LZW: lzw_encode, PACKBITS: packbits_encode, DEFLATE: lambda x: zlib.compress(x, 1), DEFLATE_OLD: lambda x: zlib.compress(x, 1)}[how](raw)
 
 
-def expand(data: bytes, how: int) -> bytes:
-    return {NONE: bytes, LZW: lzw_decode, PACKBITS: packbits_decode, DEFLATE: zlib.decompress, DEFLATE_OLD: zlib.decompress}[how](data)
+def expand(data: bytes, how: int, most: int) -> bytes:
+    """What data holds, up to `most` bytes (about; a block that holds more is as good as a damaged one)."""
+    if how in (DEFLATE, DEFLATE_OLD):
+        return zlib.decompressobj().decompress(data, max(1, most))
+    return {NONE: lambda x, _: bytes(x), LZW: lzw_decode, PACKBITS: packbits_decode}[how](data, most)
 
 
 def differ(block: np.ndarray) -> np.ndarray:
@@ -134,8 +142,8 @@ def differ(block: np.ndarray) -> np.ndarray:
     return out
 
 
-def write(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, rows_per_strip: int = 16, tile: int = 0, order: str = "<") -> bytes:
-    """A TIFF of pages (rows x columns or rows x columns x samples, uint8 or uint16), in strips, or in square tiles of `tile`."""
+def write(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, rows_per_strip: int = 16, tile: tuple[int, int] | None = None, order: str = "<") -> bytes:
+    """A TIFF of pages (rows x columns or rows x columns x samples, uint8 or uint16), in strips, or in tiles of `tile` (rows, columns)."""
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(f"{order}HI", 42, 0))
     link = 4
     for page in pages:
@@ -144,9 +152,10 @@ def write(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int =
         kind = np.dtype(page.dtype).newbyteorder(order)
         blocks = []
         if tile:
-            full = np.zeros((-(-h // tile) * tile, -(-w // tile) * tile, samples), page.dtype)
+            th, tw = tile
+            full = np.zeros((-(-h // th) * th, -(-w // tw) * tw, samples), page.dtype)
             full[:h, :w] = page
-            blocks = [full[r : r + tile, c : c + tile] for r in range(0, full.shape[0], tile) for c in range(0, full.shape[1], tile)]
+            blocks = [full[r : r + th, c : c + tw] for r in range(0, full.shape[0], th) for c in range(0, full.shape[1], tw)]
         else:
             blocks = [page[r : r + rows_per_strip] for r in range(0, h, rows_per_strip)]
         where, sizes = [], []
@@ -156,7 +165,7 @@ def write(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int =
             sizes.append(len(data))
             out += data + b"\0" * (len(data) % 2)
         fields = [(WIDTH, 4, [w]), (HEIGHT, 4, [h]), (BITS, 3, [8 * page.dtype.itemsize] * samples), (COMPRESSION, 3, [compression]), (PHOTOMETRIC, 3, [2 if samples == 3 else 1]), (SAMPLES, 3, [samples]), (PLANAR, 3, [1]), (PREDICTOR, 3, [predictor])]
-        fields += [(TILE_WIDTH, 4, [tile]), (TILE_HEIGHT, 4, [tile]), (TILE_OFFSETS, 4, where), (TILE_BYTES, 4, sizes)] if tile else [(STRIP_OFFSETS, 4, where), (ROWS_PER_STRIP, 4, [rows_per_strip]), (STRIP_BYTES, 4, sizes)]
+        fields += [(TILE_WIDTH, 4, [tile[1]]), (TILE_HEIGHT, 4, [tile[0]]), (TILE_OFFSETS, 4, where), (TILE_BYTES, 4, sizes)] if tile else [(STRIP_OFFSETS, 4, where), (ROWS_PER_STRIP, 4, [rows_per_strip]), (STRIP_BYTES, 4, sizes)]
         entries = []
         for tag, field, values in sorted(fields):
             data = struct.pack(f"{order}{len(values)}{FIELD[field]}", *values)
@@ -173,7 +182,8 @@ def write(pages: list[np.ndarray], compression: int = DEFLATE, predictor: int =
 
 
 def read(data: bytes) -> Iterator[tuple[dict, np.ndarray]]:
-    """Each page's tags and its samples (rows x columns x samples). Raises ValueError where data is no TIFF that is known here."""
+    """Each page's tags and its samples (rows x columns x samples). Raises ValueError where data is no TIFF that is known
+    here, or a damaged one; nothing is allocated that the file's own blocks do not fill."""
     if data[:4] not in (b"II*\0", b"MM\0*"):
         raise ValueError("not a TIFF")
     order = "<" if data[:2] == b"II" else ">"
@@ -186,15 +196,16 @@ def read(data: bytes) -> Iterator[tuple[dict, np.ndarray]]:
             for k in range(n):
                 tag, field, count = struct.unpack_from(f"{order}HHI", data, at + 2 + 12 * k)
                 if field in FIELD:
-                    form = f"{order}{count}{FIELD[field]}"
-                    place = at + 10 + 12 * k
-                    if struct.calcsize(form) > 4:
+                    size, place = struct.calcsize(f"{order}{FIELD[field]}") * count, at + 10 + 12 * k
+                    if size > len(data):
+                        raise ValueError("damaged TIFF: a field is longer than the file")
+                    if size > 4:
                         (place,) = struct.unpack_from(f"{order}I", data, place)
-                    tags[tag] = struct.unpack_from(form, data, place)
+                    tags[tag] = struct.unpack_from(f"{order}{count}{FIELD[field]}", data, place)
             yield tags, _page(data, tags, order)
             (at,) = struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)
-    except (struct.error, zlib.error, KeyError, IndexError) as e:
-        raise ValueError(f"damaged TIFF: {e}") from e
+    except (struct.error, zlib.error, KeyError, IndexError, OverflowError, MemoryError) as e:
+        raise ValueError(f"damaged TIFF: {e!r}") from e
 
 
 def _page(data: bytes, tags: dict, order: str) -> np.ndarray:
@@ -205,54 +216,90 @@ def _page(data: bytes, tags: dict, order: str) -> np.ndarray:
     kind = np.dtype(f"{order}u{bits // 8}")
     tiled = TILE_OFFSETS in tags
     bh, bw = (tags[TILE_HEIGHT][0], tags[TILE_WIDTH][0]) if tiled else (min(tags.get(ROWS_PER_STRIP, (h,))[0], h), w)
-    across = -(-w // bw)
+    if min(h, w, samples, bh, bw) < 1:
+        raise ValueError("damaged TIFF: a size is 0")
+    across, down = -(-w // bw), -(-h // bh)
+    places = list(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_BYTES if tiled else STRIP_BYTES], strict=True))
+    if len(places) != across * down:
+        raise ValueError(f"damaged TIFF: {len(places)} blocks for {across} x {down}")
+    blocks = []
+    for k, (at, size) in enumerate(places):
+        rows = bh if tiled else min(bh, h - k * bh)
+        want = rows * bw * samples * kind.itemsize
+        raw = expand(data[at : at + size], tags.get(COMPRESSION, (1,))[0], want)
+        if len(raw) < want:
+            raise ValueError("damaged TIFF: a block ends early")
+        block = np.frombuffer(raw, kind, rows * bw * samples).reshape(rows, bw, samples).astype(kind.newbyteorder("="))
+        if tags.get(PREDICTOR, (1,))[0] == 2:
+            block = np.cumsum(block, axis=1, dtype=block.dtype)
+        blocks.append(block)
     out = np.zeros((h, w, samples), kind.newbyteorder("="))
-    for k, (at, size) in enumerate(zip(tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], tags[TILE_BYTES if tiled else STRIP_BYTES], strict=True)):
+    for k, block in enumerate(blocks):
         r, c = k // across * bh, k % across * bw
-        rows = bh if tiled else min(bh, h - r)
-        flat = np.frombuffer(expand(data[at : at + size], tags.get(COMPRESSION, (1,))[0]), kind, rows * bw * samples)
-        block = flat.reshape(rows, bw, samples).astype(out.dtype)
-        if tags.get(PREDICTOR, (1,))[0] == 2:
-            block = np.cumsum(block, axis=1, dtype=out.dtype)
-        out[r : r + rows, c : c + bw] = block[: h - r, : w - c]
+        out[r : r + bh, c : c + bw] = block[: h - r, : w - c]
     return out
 
 
+#: Bytes of pixels that a task hands on at once.
+LOT_BYTES = 16_000_000
+
+
 def pages(media: DataFrame, id_col: str, media_col: str) -> DataFrame:
     """A row per page: id, page, width, height, bits, samples, compression, predictor, tiled, pixels (bytes), error.
 
-    A null, empty or damaged file gives one row with page null and the reason in error. Repeated rows repeat.
+    A null, empty or damaged file gives one row with page null and the reason in error, after the pages before the damage.
+    Repeated rows repeat; an empty table gives no rows; further columns are ignored, whatever their names. A task holds one
+    file and about LOT_BYTES of pixels.
     """
+    names = ["id", "page", "width", "height", "bits", "samples", "compression", "predictor", "tiled", "pixels", "error"]
+    kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.string()]
     schema = "id string, page int, width long, height long, bits int, samples int, compression int, predictor int, tiled boolean, pixels binary, error string"
 
-    def run(frames):
-        import pandas as pd
+    def rows_of(key, data):
+        try:
+            for k, (tags, img) in enumerate(read(data)):
+                form = tags.get(COMPRESSION, (1,))[0], tags.get(PREDICTOR, (1,))[0], TILE_OFFSETS in tags
+                yield key, k, img.shape[1], img.shape[0], 8 * img.dtype.itemsize, img.shape[2], *form, img.tobytes(), None
+        except ValueError as e:
+            yield key, *[None] * 9, str(e)
+
+    def run(batches):
+        out, held = [], 0
+
+        def lot():
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for row in rows_of(batch.column(0)[i].as_py(), batch.column(1)[i].as_py() or b""):
+                    out.append(row)
+                    held += len(row[9] or b"")
+                    if held > LOT_BYTES:
+                        yield lot()
+                        out, held = [], 0
+        if out:
+            yield lot()
+
+    return media.select(F.col(id_col).cast("string").alias("id"), F.col(media_col).alias("media")).mapInArrow(run, schema)
 
-        for frame in frames:
-            out = []
-            for key, data in zip(frame["id"], frame["media"], strict=True):
-                try:
-                    for k, (tags, img) in enumerate(read(bytes(data or b""))):
-                        out.append((key, k, img.shape[1], img.shape[0], 8 * img.dtype.itemsize, img.shape[2], tags.get(COMPRESSION, (1,))[0], tags.get(PREDICTOR, (1,))[0], TILE_OFFSETS in tags, img.tobytes(), None))
-                except ValueError as e:
-                    out.append((key, *[None] * 9, str(e)))
-            yield pd.DataFrame(out, columns=["id", "page", "width", "height", "bits", "samples", "compression", "predictor", "tiled", "pixels", "error"]).astype({"page": "Int32", "width": "Int64", "height": "Int64", "bits": "Int32", "samples": "Int32", "compression": "Int32", "predictor": "Int32", "tiled": "boolean"})
 
-    return media.select(F.col(id_col).cast("string").alias("id"), F.col(media_col).alias("media")).mapInPandas(run, schema)
+#: Columns of a text's page, rows of a page, and a tile's rows and columns.
+COLUMNS, PAGE_ROWS, TILE = 576, 512, (16, 96)
 
 
-#: Columns of a text's page; rows of a page; a text of one row is LZW, up to TILED rows deflated strips, beyond that tiles.
-COLUMNS, PAGE_ROWS, TILED, TILE = 576, 512, 16, 96
+def form_of(raw: bytes) -> tuple[int, int, tuple[int, int] | None]:
+    """Compression, predictor and tile of a text's TIFF: each is chosen by a hash of its bytes, so that texts of any size
+    go through all of them, and equal texts through the same."""
+    h = zlib.crc32(raw)
+    return (LZW, PACKBITS, DEFLATE)[h % 3], 1 + h // 3 % 2, TILE if h // 6 % 4 == 0 else None
 
 
 def from_text(raw: bytes) -> bytes:
     """A text's bytes, filled with 255 to a positive multiple of 576, as a TIFF of 8-bit samples."""
     full = raw + b"\xff" * (COLUMNS * max(1, -(-len(raw) // COLUMNS)) - len(raw))
     rows = np.frombuffer(full, np.uint8).reshape(-1, COLUMNS)
-    parts = [rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)]
-    if len(rows) == 1:
-        return write(parts, LZW)
-    return write(parts, DEFLATE, 2) if len(rows) < TILED else write(parts, DEFLATE, 2, tile=TILE)
+    compression, predictor, tile = form_of(raw)
+    return write([rows[i : i + PAGE_ROWS] for i in range(0, len(rows), PAGE_ROWS)], compression, predictor, tile=tile)
 
 
 def described(samples: np.ndarray, page_count: int) -> str:
@@ -266,7 +313,8 @@ def described(samples: np.ndarray, page_count: int) -> str:
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text stored as a TIFF and read back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature. Null is empty and gives one row of 255. Equal texts give equal values; repeated rows repeat."""
+    media_sha256, feature. Null is empty and gives one row of 255. Equal texts give equal values; repeated rows repeat; an
+    empty table gives no rows; further columns are ignored, whatever their names; texts of any length are stored whole."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches):
