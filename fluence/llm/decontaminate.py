@@ -7,6 +7,7 @@ least a window long, the window's words are hit. Only runs of benchmark words th
 from __future__ import annotations
 
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,86 +23,124 @@ AUTOMATON_BYTES = 8_000_000
 
 
 class SuffixAutomaton:
-    """Over sequences of hashable symbols; for each state the sequences in which it occurs."""
+    """Over sequences of words; tells for each state the sequences in which it occurs.
+
+    Nearly all states have one way on, so that is kept in two flat arrays, further ones in a dictionary; the items of a state
+    are those whose prefixes end below it in the tree of suffix links, and are gathered when a text first meets it."""
 
     def __init__(self, items: list[tuple[str, list]], window: int = WINDOW):
-        self.window, self.next, self.link, self.len = window, [{}], [-1], [0]
-        ends = []
-        for _, words in items:
+        self.window = window
+        self.ids = {w: i for i, w in enumerate(sorted({w for _, ws in items for w in ws}), 1)}  # 0 is no word
+        self.word, self.to, self.more = array("i", [0]), array("i", [0]), {}  # type: ignore[var-annotated]
+        self.link, self.len = array("i", [-1]), array("i", [0])
+        coded = [(name, [self.ids[w] for w in words]) for name, words in items]
+        for _, words in coded:
             last = 0
             for w in words:
                 last = self._extend(last, w)
-            ends.append(last)
-        self.items: list[set] = [set() for _ in self.next]
-        self.whole: list[list] = [[] for _ in self.next]
-        for name, words in items:
+        self.names = [name for name, _ in coded]
+        self.whole: dict[int, list] = {}
+        state_of, item_of = array("i"), array("i")
+        for k, (name, words) in enumerate(coded):
             state = 0
             for w in words:
-                state = self.next[state][w]
-                up = state
-                while up > 0 and name not in self.items[up]:
-                    self.items[up].add(name)
-                    up = self.link[up]
+                state = self._next(state, w)
+                state_of.append(state)
+                item_of.append(k)
             if 0 < len(words) < window:
-                self.whole[state].append((len(words), name))
-        self.short = any(self.whole)
+                self.whole.setdefault(state, []).append((len(words), name))
         self.least = min([window, *(len(w) for _, w in items if w)])
+        order = np.argsort(np.array(state_of, np.int32), kind="stable")
+        self.prefix, self.item = np.array(state_of, np.int32)[order], np.array(item_of, np.int32)[order]
+        links = np.array(self.link, np.int32)
+        self.below = np.argsort(links, kind="stable").astype(np.int32)
+        self.links = links[self.below]
         self.known: dict[int, frozenset] = {}
 
-    def _extend(self, last: int, w) -> int:
-        if w in self.next[last]:
-            q = self.next[last][w]
+    def _next(self, state: int, w: int) -> int:
+        """The state after w, or -1."""
+        if self.word[state] == w:
+            return self.to[state]
+        more = self.more.get(state)
+        return more.get(w, -1) if more else -1
+
+    def _put(self, state: int, w: int, target: int) -> None:
+        if self.word[state] in (0, w):
+            self.word[state], self.to[state] = w, target
+        else:
+            self.more.setdefault(state, {})[w] = target
+
+    def _new(self, size: int, link: int) -> int:
+        for a, v in ((self.word, 0), (self.to, 0), (self.link, link), (self.len, size)):
+            a.append(v)
+        return len(self.len) - 1
+
+    def _extend(self, last: int, w: int) -> int:
+        q = self._next(last, w)
+        if q >= 0:
             return q if self.len[q] == self.len[last] + 1 else self._clone(last, w, q)
-        cur = len(self.next)
-        self.next.append({})
-        self.len.append(self.len[last] + 1)
-        self.link.append(0)
-        p = last
-        while p >= 0 and w not in self.next[p]:
-            self.next[p][w] = cur
+        cur, p = self._new(self.len[last] + 1, 0), last
+        while p >= 0 and (q := self._next(p, w)) < 0:
+            self._put(p, w, cur)
             p = self.link[p]
         if p >= 0:
-            q = self.next[p][w]
             self.link[cur] = q if self.len[q] == self.len[p] + 1 else self._clone(p, w, q)
         return cur
 
-    def _clone(self, p: int, w, q: int) -> int:
-        c = len(self.next)
-        self.next.append(dict(self.next[q]))
-        self.len.append(self.len[p] + 1)
-        self.link.append(self.link[q])
+    def _clone(self, p: int, w: int, q: int) -> int:
+        c = self._new(self.len[p] + 1, self.link[q])
+        self.word[c], self.to[c] = self.word[q], self.to[q]
+        if q in self.more:
+            self.more[c] = dict(self.more[q])
         self.link[q] = c
-        while p >= 0 and self.next[p].get(w) == q:
-            self.next[p][w] = c
+        while p >= 0 and self._next(p, w) == q:
+            self._put(p, w, c)
             p = self.link[p]
         return c
 
     def _holders(self, state: int) -> frozenset:
+        """The items that hold the last `window` words of a state."""
+        while self.len[self.link[state]] >= self.window:
+            state = self.link[state]
         if state not in self.known:
-            up = state
-            while self.len[self.link[up]] >= self.window:
-                up = self.link[up]
-            self.known[state] = frozenset(self.items[up])
+            found, todo = set(), [state]
+            while todo:
+                s = todo.pop()
+                a, b = np.searchsorted(self.prefix, [s, s + 1])
+                found.update(self.item[a:b].tolist())
+                a, b = np.searchsorted(self.links, [s, s + 1])
+                todo += self.below[a:b].tolist()
+            self.known[state] = frozenset(self.names[k] for k in found)
         return self.known[state]
 
     def scan(self, words: list) -> tuple[np.ndarray, set]:
         """Which words stand in an occurrence of a window, and the items whose windows occur."""
         hit, found, state, length = np.zeros(len(words), bool), set(), 0, 0
-        nxt, link, size, window = self.next, self.link, self.len, self.window
-        for i, w in enumerate(words):
-            while state and w not in nxt[state]:
+        ids, word, to, more, link, size, window = self.ids, self.word, self.to, self.more, self.link, self.len, self.window
+        for i, text in enumerate(words):
+            w = ids.get(text, -1)
+            while True:
+                if word[state] == w:
+                    state = to[state]
+                    length += 1
+                    break
+                after = more[state].get(w, -1) if state in more else -1
+                if after >= 0:
+                    state = after
+                    length += 1
+                    break
+                if not state:
+                    length = 0
+                    break
                 state = link[state]
                 length = size[state]
-            if w in nxt[state]:
-                state = nxt[state][w]
-                length += 1
             if length >= window:
                 hit[i - window + 1 : i + 1] = True
                 found |= self._holders(state)
-            if self.short and state:
+            if self.whole and state:
                 up, reach = state, length
                 while up > 0:
-                    for n, name in self.whole[up]:
+                    for n, name in self.whole.get(up, ()):
                         if n <= reach:
                             hit[i - n + 1 : i + 1] = True
                             found.add(name)
@@ -121,11 +160,12 @@ def _automaton(shared) -> tuple[SuffixAutomaton, np.ndarray]:
     """Built once in a Python process."""
     if shared.id not in _built:
         items = [(name, item_words(text)) for name, text in shared.value[0]]
-        vocabulary = sorted({w for _, ws in items for w in ws})
+        _built.clear()
+        automaton = SuffixAutomaton(items, shared.value[1])
+        vocabulary = list(automaton.ids)
         flat = np.frombuffer(b"".join(vocabulary), np.uint8)
         ends = np.cumsum([len(w) for w in vocabulary], dtype=np.int64) if vocabulary else np.zeros(0, np.int64)
-        _built.clear()
-        _built[shared.id] = SuffixAutomaton(items, shared.value[1]), np.sort(word_hashes(flat, ends - np.array([len(w) for w in vocabulary], np.int64), ends))
+        _built[shared.id] = automaton, np.sort(word_hashes(flat, ends - np.array([len(w) for w in vocabulary], np.int64), ends))
     return _built[shared.id]
 
 
@@ -194,21 +234,32 @@ def matches(docs: DataFrame, bench: DataFrame, window: int = WINDOW, id_col: str
     """
     spark = docs.sparkSession
     span = pa.struct([(x, pa.int64()) for x in ("first", "last", "start", "end")])
-    state = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.expr("cast(array() as array<string>)").alias("items"), F.expr("cast(array() as array<struct<first:long,last:long,start:long,end:long>>)").alias("spans"))
-    for k, items in enumerate(_shards(bench, item_col, text_col)):
-        shared = _Shared(spark, (items, window))
+    state = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    result = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<first:long,last:long,start:long,end:long>>"
+    shards, k = _shards(bench, item_col, text_col), 0
+    items = next(shards)
+    while items is not None:
+        shared, items = _Shared(spark, (items, window)), next(shards, None)
 
-        def run(batches, shared=shared, k=k):
+        def run(batches, shared=shared, first=not k, last=items is None):
             for piece, data, off in slices(batches):
                 words, hits, found, spans = _runs(piece, data, off, shared)
-                if k:
-                    found = [x | set(y) for x, y in zip(found, piece.column(4).to_pylist(), strict=True)]
-                    spans = [_united(x + [tuple(s.values()) for s in y]) for x, y in zip(spans, piece.column(5).to_pylist(), strict=True)]
+                if not first:
+                    earlier = {name: piece.column(piece.schema.get_field_index(name)).to_pylist() for name in ("items", "spans")}
+                    found = [x | set(y) for x, y in zip(found, earlier["items"], strict=True)]
+                    spans = [_united(x + [tuple(s.values()) for s in y]) for x, y in zip(spans, earlier["spans"], strict=True)]
                     hits = np.array([sum(x[1] - x[0] for x in y) for y in spans], np.int64)
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array(words), pa.array(hits), pa.array([sorted(x) for x in found], pa.list_(pa.string())), pa.array([[dict(zip(("first", "last", "start", "end"), y, strict=True)) for y in x] for x in spans], pa.list_(span))], names=["doc_id", "text", "n_words", "n_hit", "items", "spans"])
-
-        state = state.mapInArrow(run, state.schema)
-    return state.drop("text")
+                columns = [piece.column(0), pa.array(words), pa.array(hits), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
+                columns.append(pa.array([[dict(zip(("first", "last", "start", "end"), y, strict=True)) for y in x] for x in spans], pa.list_(span)))
+                names = ["doc_id", "n_words", "n_hit", "items", "spans"]
+                if not last:  # the next automaton reads the text too
+                    columns.append(piece.column(piece.schema.get_field_index("text")))
+                    names.append("text")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        state = state.mapInArrow(run, result if items is None else result + ", text string")
+        k += 1
+    return state
 
 
 def _united(spans: list[tuple]) -> list[tuple]:

@@ -74,6 +74,30 @@ def test_clean_is_the_same_with_several_automata(spark, monkeypatch):
     assert sorted(tuple(r) for r in de.clean(a, b).collect()) == want
 
 
+def test_an_automaton_is_small():
+    """A megabyte of items, a third of them with a common beginning: under 60 MB, so 8 MB of items stay far below 500."""
+    import tracemalloc
+
+    rng = random.Random(1)
+    vocabulary = [f"w{rng.randrange(10**6)}".encode() for _ in range(20_000)]
+    common, items = [rng.choice(vocabulary) for _ in range(60)], []
+    for i in range(1200):
+        items.append((str(i), (common if i % 3 == 0 else []) + [vocabulary[int(20_000 * rng.random() ** 3)] for _ in range(120)]))
+    tracemalloc.start()
+    automaton = de.SuffixAutomaton(items)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 60e6, peak
+    hit, found = automaton.scan(common)
+    assert hit.all() and found == {str(i) for i in range(0, 1200, 3)}
+
+
+def test_a_very_long_text(spark):
+    passage = " ".join(f"b{i}" for i in range(12))
+    a, b = frames(spark, [(1, "other words " * 200_000 + passage), (2, None)], [(1, passage)])
+    assert sorted((r.doc_id, r.n_words, r.n_hit) for r in de.matches(a, b).collect()) == [(1, 400_012, 12), (2, 0, 0)]
+
+
 def test_empty_tables(spark):
     a, b = frames(spark, [], [])
     assert de.matches(a, b).collect() == []
