@@ -1,6 +1,7 @@
 """Toxicity: Levenshtein automata run in step with a lexicon trie, and context windows.
 
-The lexicon - whole words and word beginnings - is learned from labelled documents. An automaton that is built lazily over
+The lexicon - whole words and word beginnings - is learned from all labelled documents outside the held-out fold; only the
+weights of the score are fitted on a bounded sample of them. An automaton that is built lazily over
 (trie node, edits) finds terms in any word, misspelled ones too. The words around a term, and the marks next to it, tell
 quotation from abuse; a logistic model over exact, misspelled, quoted and direct finds gives the score.
 """
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality import training_rows
+from .quality import bounded, training_rows
 from .shared import TO_WORDS, crc_mod, settle, slices
 
 # Toxic terms that are known without labels (whole words), and words that point to quoting or to address.
@@ -24,19 +25,18 @@ QUOTING = {"said", "says", "wrote", "writes", "quote", "quoted", "called", "acco
 ADDRESS = {"you", "your", "youre", "ihr", "du", "dein", "tu", "vous", "ton", "usted"}
 QUOTES = "\"'`“”‘’«»„"
 
-#: Labelled documents that are used for training, at most (about; a hash of the id picks them).
-TRAIN_DOCS = 16_000
-#: Lexicon: terms at most, lengths of word beginnings, least share of toxic documents among those with the term, least support.
-LEXICON = 600
+#: Labelled documents on which the score's weights are fitted, and their bytes, at most (about; a hash of the id picks them).
+TRAIN_DOCS, TRAIN_BYTES = 16_000, 48_000_000
+#: Lexicon: lengths of word beginnings, least share of toxic documents among those with the term, least support.
 STEMS = range(3, 9)
 PRECISION = 0.5
 SUPPORT_LEAST = 3
+#: Bytes of terms, and of their clean look-alikes, that the driver and every worker may hold; more is an error, not a cut.
+LEXICON_BYTES = 16_000_000
 #: Nats by which a term must beat the best of all terms if none marked the label.
 MARGIN = 2.0
 #: A term from this length on may hold one edit.
 EDIT_WORD, EDIT_STEM = 5, 6
-#: Clean look-alikes of terms that are kept, at most, by how many clean documents have them.
-LOOK_ALIKES = 20_000
 CONTEXT = 6
 #: Words whose state a worker remembers.
 MEMORY = 400_000
@@ -156,12 +156,23 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _held(terms: DataFrame) -> list[str]:
+    """The only column of terms, in order; an error where it has more than LEXICON_BYTES."""
+    out, size = [], 0
+    for (t,) in terms.toLocalIterator():
+        out.append(t)
+        size += len(t)
+        if size > LEXICON_BYTES:
+            raise ValueError(f"the lexicon has more than {LEXICON_BYTES} bytes; raise PRECISION, MARGIN or LEXICON_BYTES")
+    return out
+
+
 def learn_lexicon(counts: DataFrame, toxic: int, clean: int) -> tuple[list[str], list[str]]:
     """Whole words and stems that mark the toxic label.
 
     A term qualifies by the log-likelihood ratio of its documents against the overall rate, which must exceed what the best of
     so many random terms would reach, and by PRECISION. The strongest terms come first, of equal ones the longest, and a term
-    that begins another, or begins with it, is left out afterwards."""
+    that begins another, or begins with it, is left out afterwards. All others are kept."""
     if not toxic or not clean:
         return [], []
     n, rate = F.col("toxic") + F.col("clean"), toxic / (toxic + clean)
@@ -169,11 +180,14 @@ def learn_lexicon(counts: DataFrame, toxic: int, clean: int) -> tuple[list[str],
     least = float(np.log(max(counts.count(), 2))) + MARGIN
     good = counts.filter((F.col("toxic") >= SUPPORT_LEAST) & (F.col("toxic") >= PRECISION * n)).withColumn("gain", gain).filter(F.col("gain") >= least)
     chosen: list[str] = []
-    for r in good.orderBy(F.desc("gain"), F.desc(F.length("term")), "term").limit(8 * LEXICON).collect():
-        t = r.term
-        if not any(t.startswith(c) or c.startswith(t) for c in chosen):
+    taken: set[str] = set()
+    begun: set[str] = set()
+    for t in _held(good.orderBy(F.desc("gain"), F.desc(F.length("term")), "term").select("term")):
+        heads = [t[:k] for k in range(1, len(t) + 1)]
+        if t not in begun and not taken.intersection(heads):
             chosen.append(t)
-    chosen = chosen[:LEXICON]
+            taken.add(t)
+            begun.update(heads)
     return [t[:-1] for t in chosen if t.endswith("$")], [t for t in chosen if not t.endswith("$")]
 
 
@@ -194,7 +208,7 @@ def look_alikes(counts: DataFrame, words: list[str], stems: list[str]) -> set[st
             yield b.filter(pa.array(keep))
 
     whole = counts.filter(F.endswith("term", F.lit("$")) & (F.col("clean") > F.col("toxic"))).select("term", "clean")
-    return {r.term[:-1] for r in whole.mapInArrow(run, whole.schema).orderBy(F.desc("clean"), "term").limit(LOOK_ALIKES).collect()}
+    return {t[:-1] for t in _held(whole.mapInArrow(run, whole.schema).select("term"))}
 
 
 _TOKEN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -288,22 +302,25 @@ def _featured(rows: DataFrame, words, stems, clean, weights=None) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, y int, x array<double>" if weights is None else "doc_id long, score double")
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> dict:
-    """Lexicon, look-alikes and weights from a bounded number of labelled documents (the bound is `most`)."""
-    rows = settle(training_rows(docs, labels, "toxic", most))
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> dict:
+    """Lexicon and look-alikes from all labelled documents outside the held-out fold, and the weights of the score from a
+    bounded number of them (`most` documents, `most_bytes` of text)."""
+    rows = training_rows(docs, labels, "toxic", None)
     counts = settle(term_counts(rows))
-    total = rows.agg(F.sum("y").alias("toxic"), F.count("*").alias("n")).first()
+    total = rows.select("y").agg(F.sum("y").alias("toxic"), F.count("*").alias("n")).first()
     words, stems = learn_lexicon(counts, total.toxic or 0, total.n - (total.toxic or 0))
     words = sorted(set(words) | set(SEED_TERMS))
     clean = look_alikes(counts, words, stems)
-    got = sorted(_featured(rows, words, stems, clean).collect(), key=lambda r: (r.doc_id, r.x))
+    sample = bounded(settle(training_rows(docs, labels, "toxic", most)), most_bytes)
+    got = sorted(_featured(sample, words, stems, clean).collect(), key=lambda r: (r.doc_id, r.x))
     weights = fit(np.array([r.x for r in got]).reshape(-1, N_FEATURES), np.array([r.y for r in got], float))
     return {"words": words, "stems": stems, "clean": clean, "weights": weights}
 
 
 def scores(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id and score, 0 to 1, of the whole text. Null texts are empty; empty texts get the score of a text
-    without finds. Repeated rows repeat; further columns are ignored; an empty table gives no rows."""
+    without finds; texts of any length are read whole. Repeated rows repeat; further columns are ignored; an empty table gives
+    no rows. Equal texts have equal scores."""
     return _featured(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model["words"], model["stems"], model["clean"], model["weights"])
 
 

@@ -1,6 +1,8 @@
 """Quality and toxicity: held-out accuracy, edge cases, and what the parts must do."""
 
+import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -159,3 +161,106 @@ def test_quotation_counts_less_than_abuse():
     direct, quoted = f.features(b"you are an idiot and you know it"), f.features(b'the report said the word "idiot" was quoted there')
     assert direct[0] > quoted[0] and quoted[4] > direct[4]
     assert f.features(b"such an idoit, such an idiott")[2] > 0 and not f.features(b"nothing here").any()
+
+
+def near(term, word, edits, stem):
+    """Edits from term to word, or for a stem to a beginning of it that is shorter than it; 9 if above `edits`."""
+    row = plain_distance(term, word[:-1] if stem else word)
+    d = min(row) if stem else row[-1]
+    return d if d <= edits and (word or not stem) else 9
+
+
+def plain_toxicity(docs, labels):
+    """op7's scores by plain loops: term tests over all labelled documents, distances to every term, features, weights."""
+    low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+    find = lambda t: list(re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t)))
+    held = lambda d: zlib.crc32(str(d).encode()) % 3 == 1
+    train = [(d, t, labels[d]) for d, t in docs if d in labels and not held(d)]
+    terms = {}
+    for d, t, y in train:
+        for w in {m[0] for m in find(t)}:
+            for x in {w + "$", *(w[:k] for k in range(3, 9) if k < len(w))}:
+                terms.setdefault(x, ({}, {}))[y][d] = 1
+    n_toxic = sum(y for *_, y in train)
+    rate, least, good = n_toxic / len(train), np.log(len(terms)) + 2, []
+    for x, (clean, toxic) in terms.items():
+        a, b = len(toxic), len(clean)
+        if a >= 3 and a >= 0.5 * (a + b):
+            gain = a * np.log(a / (a + b) / rate) + (b * np.log(b / (a + b) / (1 - rate)) if b else 0)
+            if gain >= least:
+                good.append((-gain, -len(x), x))
+    chosen = []
+    for *_, x in sorted(good):
+        if not any(x.startswith(c) or c.startswith(x) for c in chosen):
+            chosen.append(x)
+    words = {x[:-1] for x in chosen if x.endswith("$")} | set(toxicity.SEED_TERMS)
+    stems = {x for x in chosen if not x.endswith("$")}
+
+    def edits(w):
+        return min((near(t, w, int(len(t) >= 5), False) for t in words), default=9), min((near(t, w, int(len(t) >= 6), True) for t in stems), default=9)
+
+    every = {m[0] for _, t in docs for m in find(t)}
+    known = {w: edits(w) for w in every}
+    clean_words = {x[:-1] for x, (c, t) in terms.items() if x.endswith("$") and len(c) > len(t) and min(known[x[:-1]]) == 1}
+
+    def features(t):
+        t, x, total, spots = t or "", np.zeros(10), 0, find(t)
+        for i, m in enumerate(spots):
+            a, b = known[m[0]]
+            k = 1 if a == 0 else 2 if b == 0 else 0 if m[0] in clean_words else 3 if a == 1 else 4 if b == 1 else 0
+            if k:
+                around = [o[0] for o in spots[max(0, i - 6) : i] + spots[i + 1 : i + 7]]
+                marks = (m.start() > 0 and t[m.start() - 1] in toxicity.QUOTES) + (m.end() < len(t) and t[m.end()] in toxicity.QUOTES)
+                q = min(1, marks / 2 + sum(w in toxicity.QUOTING for w in around) / 4) * (0.5 if set(around) & toxicity.ADDRESS else 1)
+                x[k - 1] += 1 - q
+                x[4 if k <= 2 else 5] += q
+                total += 1
+        if total:
+            x[6], x[9] = np.log1p(100 * total / len(spots)), np.log1p(100 * x[1] / len(spots))
+            x[7], x[8] = x[0] + x[1] + x[4] > 0, x[2] + x[3] + x[5] > 0
+            x[:6] = np.log1p(x[:6])
+        return x
+
+    rows = sorted(((d, list(features(t)), y) for d, t, y in train), key=lambda r: r[:2])
+    w = toxicity.fit(np.array([r[1] for r in rows]), np.array([r[2] for r in rows], float))
+    return {d: 1 / (1 + np.exp(-(np.r_[features(t), 1.0] @ w))) for d, t in docs}
+
+
+def test_toxicity_against_plain_loops(spark):
+    rng = random.Random(2)
+    neutral = [f"{a}{b}ing" for a in ("walk", "talk", "sing", "read", "grow", "plant") for b in ("", "er", "s", "ab", "ol")]
+    bad = ["grumblar", "snorkite", "vilething", "blargo", "idiot"]
+    docs, labels = [], {}
+    for d in range(240):
+        w, y = [rng.choice(neutral) for _ in range(rng.randrange(5, 40))], int(rng.random() < 0.35)
+        for _ in range(rng.randrange(1, 4) if y else 0):
+            term = rng.choice(bad)
+            i = rng.randrange(len(term))
+            w.insert(rng.randrange(len(w)), rng.choice([term, term.title() + "s", f'"{term}" said', "you " + term, term[:i] + "x" + term[i + 1 :]]))
+        docs.append((d, " ".join(w) + rng.choice([".", "", " é!"])))
+        if d % 5:
+            labels[d] = y
+    docs += [(900, ""), (901, None), (902, docs[3][1])]
+    a = spark.createDataFrame([(d, t, 0.5) for d, t in docs], "doc_id long, text string, score double").repartition(5)
+    b = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.scores(a, toxicity.train(a, b)).collect()}
+    want = plain_toxicity(docs, labels)
+    assert got.keys() == want.keys() and max(abs(got[d] - want[d]) for d in want) < 1e-6
+    assert got[902] == got[3]
+    right = [(got[d] >= 0.7) == labels[d] for d in labels]
+    assert np.mean(right) > 0.9
+
+
+def test_a_lexicon_beyond_its_bytes_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEXICON_BYTES", 10)
+    with pytest.raises(ValueError, match="bytes"):
+        toxicity._held(spark.createDataFrame([("abcdef",), ("ghijkl",)], "term string"))
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    long = "plain words stand here " * 100_000 + "you idiot"
+    docs = spark.createDataFrame([(1, long, 7, 0), (1, long, 7, 0), (2, "", 7, 1)], "doc_id long, text string, predicted int, y int")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    q = quality.scores(docs, quality.train(docs, labels)).collect()
+    t = toxicity.scores(docs, toxicity.train(docs, labels)).collect()
+    assert len(q) == len(t) == 3 and len({r.score for r in q if r.doc_id == 1}) == len({r.score for r in t if r.doc_id == 1}) == 1
