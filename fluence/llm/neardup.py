@@ -2,35 +2,43 @@
 
 Every document's distinct five-word shingles are hashed; the top bits choose one of 256 registers, and a register keeps
 the smallest remainder as its count of leading zeros and ten mantissa bits. Bands of five compressed registers find
-candidates, the collision-corrected register estimate drops the hopeless ones, and every link is confirmed on the two full
-shingle sets. With 51 bands a pair at similarity 0.75 is missed with probability (1 - 0.75**5)**51 = 1e-6.
+candidates, the collision-corrected register estimate drops the hopeless ones before any text moves, and every link is
+confirmed on the two full shingle sets. With 51 bands a pair at similarity 0.75 is missed with probability
+(1 - 0.75**5)**51 = 1e-6; the estimate drops a pair where it is SIGMAS of its own deviations below the threshold.
 
 Work is kept near linear in a group's size: equal token sequences are one node; in a bucket every node is compared with the
 bucket's smallest id only, and links make components. Of the nodes that shared a bucket, pairs of different components are
 then compared where they share one of their rarest shingles: a linked pair must (exact prefix bound), a group's common text
-does not lead to pairs.
+does not lead to pairs. No key holds a group in one task: buckets and shingles are counted with partial sums and joined back,
+and the members of a leader are dealt out by a hash.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER, NOT_SPACE, U64, mix, settle, slices, small, span_hashes, word_hashes, word_spans
+from .shared import LOWER, NOT_SPACE, U64, discard, mix, settle, slices, small, span_hashes, word_hashes, word_spans
 
 WORDS = 5
 REGISTERS = 256
 MANTISSA = 10
 BAND_ROWS = 5
 BANDS = REGISTERS // BAND_ROWS
-#: Members that a helper task compares with one leader before the leader is dealt out again.
+#: Members that a task compares with one leader; a leader with more is dealt to several tasks.
 SALT_ROWS = 2000
+#: Deviations by which a register estimate must miss the threshold before a pair is dropped.
+SIGMAS = 6.0
 #: Edges whose components one task works on.
 EDGES_AT_ONCE = 250_000
-#: Shingles that one task compares across components at once.
-PART_SHINGLES = 2_000_000
+#: Shingles that a task sums up before it hands them on.
+HOLD_SHINGLES = 400_000
+#: Bits (of hashes) of the filter by which shingles that are in one component only stay out of the shuffle.
+FILTER_BITS = 26
 
 _COEF = mix(np.arange(11, 11 + WORDS, dtype=U64)) | U64(1)
 _DONORS = np.argsort(mix(np.arange(REGISTERS * REGISTERS, dtype=U64) + U64(77)).reshape(REGISTERS, REGISTERS), axis=1, kind="stable").astype(np.int64)
@@ -98,6 +106,16 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
     return max(0.0, (same - chance) / (1 - chance))
 
 
+def may_link(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, least: int) -> bool:
+    """False where sizes, or the estimate by SIGMAS of its deviations, leave no room for least percent of similarity.
+
+    Registers of sets smaller than they are many repeat one another, so a set counts as one register a shingle at most."""
+    if 100 * min(n_a, n_b) < least * max(n_a, n_b):
+        return False
+    p = least / 100
+    return estimate(a, b) >= p - SIGMAS * (p * (1 - p) / min(REGISTERS, n_a, n_b)) ** 0.5
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per input row: id, n_shingles, two hashes of the word sequence, registers (null for no words)."""
 
@@ -126,44 +144,65 @@ def _banded(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "n_shingles", "regs").mapInArrow(run, "bucket long, node long, n int")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, least: int) -> DataFrame:
-    """The pairs (leader, member) whose full shingle sets have 100 * intersection >= least * union.
+def _judged(pairs: DataFrame, payload: DataFrame, column: str, judge) -> DataFrame:
+    """The pairs (leader, member) that judge lets through, by each one's payload (node, column).
 
-    Rows of a leader are sorted behind the leader's own and streamed, so a group of any size takes the memory of two texts;
-    long groups are salted."""
-    salted = pairs.withColumn("salt", (F.row_number().over(Window.partitionBy("leader").orderBy("member")) / SALT_ROWS).cast("int"))
-    rows = (
-        salted.join(texts, F.col("member") == F.col("doc_id"))
-        .select("leader", "salt", F.lit(1).alias("kind"), "member", "text", "regs")
-        .unionByName(salted.select("leader", "salt").distinct().join(texts, F.col("leader") == F.col("doc_id")).select("leader", "salt", F.lit(0).alias("kind"), F.col("leader").alias("member"), "text", "regs"))
-    )
+    Rows of a leader are sorted behind the leader's own and streamed, so a group of any size takes the memory of two
+    payloads. Members of a leader that has many are dealt out by a hash, so that none fills a task."""
+    many = pairs.groupBy("leader").count().filter(F.col("count") > SALT_ROWS).select("leader", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("salts"))
+    salted = pairs.join(small(many), "leader", "left").select("leader", "member", F.pmod(F.xxhash64("member"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    members = salted.join(payload, F.col("member") == F.col("node")).select("leader", "salt", F.lit(1).alias("kind"), "member", column)
+    heads = salted.select("leader", "salt").distinct().join(payload, F.col("leader") == F.col("node")).select("leader", "salt", F.lit(0).alias("kind"), F.col("leader").alias("member"), column)
 
     def run(batches):
         at, heads = None, []
-        for piece, data, off in slices(batches):
-            sets, _, _ = shingle_hashes(data, off)
-            leaders, salts, kinds, members = (piece.column(i).to_pylist() for i in range(4))
-            regs = piece.column(5).to_pylist()
+        for leaders, salts, kinds, members, values in judge.pieces(batches):
             out = []
-            for i in range(piece.num_rows):
-                mine = np.frombuffer(regs[i], np.uint16)
-                if (leaders[i], salts[i]) != at:
-                    at, heads = (leaders[i], salts[i]), []
-                if kinds[i] == 0:
-                    heads.append((sets[i], mine))
-                    continue
-                for other, its in heads:
-                    a, b = sorted((len(other), len(sets[i])))
-                    if 100 * a < least * b or (a >= 4 * REGISTERS and estimate(mine, its) < least / 100 - 0.2):
-                        continue
-                    both = np.intersect1d(other, sets[i], assume_unique=True).size
-                    if 100 * both >= least * (a + b - both):
-                        out.append((leaders[i], members[i]))
-                        break
+            for leader, salt, kind, member, value in zip(leaders, salts, kinds, members, values, strict=True):
+                if (leader, salt) != at:
+                    at, heads = (leader, salt), []
+                if kind == 0:
+                    heads.append(value)
+                elif any(judge.links(h, value) for h in heads):
+                    out.append((leader, member))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["leader", "member"])
 
-    return rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind").drop("n").mapInArrow(run, "leader long, member long").distinct()
+    rows = members.unionByName(heads).repartition("leader", "salt").sortWithinPartitions("leader", "salt", "kind")
+    return rows.mapInArrow(run, "leader long, member long").distinct()
+
+
+class _ByRegisters:
+    """Judges pairs by their sizes and the corrected estimate; values are sizes and registers."""
+
+    def __init__(self, least: int):
+        self.least = least
+
+    def pieces(self, batches):
+        for b in batches:
+            values = [(r["n"], np.frombuffer(r["regs"], np.uint16)) for r in b.column(4).to_pylist()]
+            yield (*(b.column(i).to_pylist() for i in range(4)), values)
+
+    def links(self, a, b) -> bool:
+        return may_link(a[1], b[1], a[0], b[0], self.least)
+
+
+class _ByTexts:
+    """Judges pairs by 100 * intersection >= least * union of their full shingle sets; values are texts."""
+
+    def __init__(self, least: int):
+        self.least = least
+
+    def pieces(self, batches):
+        for piece, data, off in slices(batches):
+            yield (*(piece.column(i).to_pylist() for i in range(4)), shingle_hashes(data, off)[0])
+
+    def links(self, a, b) -> bool:
+        n = len(a) + len(b)
+        if 100 * min(len(a), len(b)) < self.least * max(len(a), len(b)):
+            return False
+        both = np.intersect1d(a, b, assume_unique=True).size
+        return 100 * both >= self.least * (n - both)
 
 
 def components(edges: DataFrame, a: str = "leader", b: str = "member") -> DataFrame:
@@ -182,64 +221,107 @@ def components(edges: DataFrame, a: str = "leader", b: str = "member") -> DataFr
         met = both.join(known.select(F.col("node").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("low"), F.min(F.when(F.col("u") == F.col("v"), F.col("component"))).alias("own"))
         low = met.select(F.explode(F.array(F.struct(F.col("u").alias("node"), "low"), F.struct(F.col("own").alias("node"), "low"))).alias("x")).groupBy(F.col("x.node").alias("node")).agg(F.min("x.low").alias("low"))
         above = low.join(known.select(F.col("node").alias("low"), "component"), "low")
-        label = settle(above.select("node", F.least("low", "component").alias("component")).coalesce(parts))
+        older, label = label, settle(above.select("node", F.least("low", "component").alias("component")).coalesce(parts))
+        discard(older)
         before, total = total, label.agg(F.sum(F.col("component").cast("decimal(28,0)"))).first()[0]
         if before == total:
+            discard(both)
             return label
 
 
-def _rare(texts: DataFrame, label: DataFrame, shingles: int, least: int) -> DataFrame:
+def _shingle_sums(labelled: DataFrame) -> DataFrame:
+    """(shingle, times, low, high): in how many texts of labelled (node, component, text) it is, and the range of their
+    components. Tasks sum their own texts up first, so a shingle of all texts leaves a task a few times."""
+
+    def run(batches):
+        parts, held = [], 0
+
+        def lot():
+            s, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            order = np.argsort(s, kind="stable")
+            s, c = s[order], c[order]
+            first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+            sums = s[first].view(np.int64), np.diff(np.append(first, len(s))), np.minimum.reduceat(c, first), np.maximum.reduceat(c, first)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in sums], names=["shingle", "times", "low", "high"])
+
+        for piece, data, off in slices(batches):
+            sets, _, _ = shingle_hashes(data, off)
+            size = [len(x) for x in sets]
+            if sum(size):
+                parts.append((np.concatenate(sets), np.repeat(piece.column(1).to_numpy(), size)))
+                held += sum(size)
+            if held > HOLD_SHINGLES:
+                yield lot()
+                parts, held = [], 0
+        if parts:
+            yield lot()
+
+    sums = labelled.mapInArrow(run, "shingle long, times long, low long, high long")
+    return sums.groupBy("shingle").agg(F.sum("times").alias("times"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def _filter_of(shared: DataFrame) -> bytes:
+    """A bitmap of fixed size in which every shingle of `shared` has its bit; others mostly none."""
+    size = 1 << (FILTER_BITS - 3)
+
+    def run(batches):
+        bits = np.zeros(size, np.uint8)
+        for b in batches:
+            h = b.column(0).to_numpy().view(U64) >> U64(64 - FILTER_BITS)
+            np.bitwise_or.at(bits, (h >> U64(3)).astype(np.int64), (1 << (h & U64(7))).astype(np.uint8))
+        for a in range(0, size, size // 64):
+            if bits[a : a + size // 64].any():
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([zlib.compress(bits[a : a + size // 64].tobytes(), 1)], pa.binary())], names=["at", "bits"])
+
+    def unite(frame):
+        total = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in frame["bits"]])
+        return frame.iloc[:1].assign(bits=[zlib.compress(total.tobytes(), 1)])
+
+    out = bytearray(size)
+    for r in shared.select("shingle").mapInArrow(run, "at long, bits binary").groupBy("at").applyInPandas(unite, "at long, bits binary").toLocalIterator():
+        part = zlib.decompress(r.bits)
+        out[r["at"] : r["at"] + len(part)] = part
+    return bytes(out)
+
+
+def _rare(labelled: DataFrame, least: int) -> DataFrame:
     """(shingle, node, component, n, rank): the shingles that can prove a link, rarest first (rank from 0).
 
     A link leaves out so few of a node's n shingles that one of its rarest must be shared; only ranks up to n - least % of n
-    can count, and of those only shingles that another component has too. Frequencies are counted over all texts given here:
-    the hash space is cut into parts of about PART_SHINGLES shingles, and a part sees every node's shingles that fall in it."""
-    parts = max(1, -(-shingles // PART_SHINGLES))
-    rows = texts.join(label, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"), "text")
+    can count, and of those only shingles that another component has too. How often a shingle occurs is summed over all
+    texts given here, in two steps; only shingles of several components are joined back to their nodes."""
+    shared = settle(_shingle_sums(labelled).filter("low < high").select("shingle", "times"))
+    bits = labelled.sparkSession.sparkContext.broadcast(_filter_of(shared))
 
     def cut(batches):
+        known = np.frombuffer(bits.value, np.uint8)
         for piece, data, off in slices(batches):
-            sets, _, _ = shingle_hashes(data, off)
-            node, component = piece.column(0).to_pylist(), piece.column(1).to_pylist()
-            out = []
-            for k, c, s in zip(node, component, sets, strict=True):
-                part = (s % U64(parts)).astype(np.int64)
-                out += [(int(j), k, c, s[part == j].tobytes()) for j in np.unique(part)]
-            if not out:
-                continue
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["part", "node", "component", "shingles"])
-
-    def count(frame):
-        import pandas as pd
-
-        size = np.array([len(x) // 8 for x in frame["shingles"]])
-        flat = np.frombuffer(b"".join(frame["shingles"]), U64)
-        component = frame["component"].to_numpy()[np.repeat(np.arange(len(frame)), size)]
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], flat[order][1:] != flat[order][:-1])))
-        times = np.diff(np.append(first, len(flat)))
-        several = np.minimum.reduceat(component[order], first) != np.maximum.reduceat(component[order], first)
-        # how often, and in the lowest bit whether another component has it
-        code = np.empty(len(flat), np.int64)
-        code[order] = np.repeat(times * 2 + several, times)
-        ends = np.cumsum(size) * 8
-        both = flat.tobytes(), code.tobytes()
-        return pd.DataFrame({"node": frame["node"], "component": frame["component"], "shingles": [both[0][e - 8 * n : e] for e, n in zip(ends, size, strict=True)], "codes": [both[1][e - 8 * n : e] for e, n in zip(ends, size, strict=True)]})
+            sets, key, _ = shingle_hashes(data, off)
+            size = np.array([len(x) for x in sets])
+            flat = np.concatenate(sets) if len(sets) else np.zeros(0, U64)
+            h = flat >> U64(64 - FILTER_BITS)
+            keep = np.flatnonzero((known[(h >> U64(3)).astype(np.int64)] >> (h & U64(7)).astype(np.uint8)) & 1)
+            of = np.repeat(np.arange(len(sets)), size)[keep]
+            columns = flat[keep].view(np.int64), piece.column(0).to_numpy()[of], piece.column(1).to_numpy()[of], size[of], key[of].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["shingle", "node", "component", "n", "key"])
 
     def rank(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             out = []
-            for node, component, shingles, codes in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                s, c = np.frombuffer(b"".join(shingles), np.int64), np.frombuffer(b"".join(codes), np.int64)
-                order = np.lexsort((s, c >> 1))[: len(s) - -(-least * len(s) // 100) + 1]
-                keep = np.flatnonzero(c[order] & 1)
-                out.append((s[order][keep], np.full(len(keep), node), np.full(len(keep), component), np.full(len(keep), len(s)), keep))
+            for node, component, n, found in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                f = np.array([(x["times"], x["shingle"]) for x in found], np.int64)
+                f = f[np.lexsort((f[:, 1], f[:, 0]))]  # shingles of one component only come before all of these
+                ranks = n - len(f) + np.arange(len(f))
+                keep = ranks <= n - -(-least * n // 100)
+                k = int(keep.sum())
+                out.append((f[keep, 1], np.full(k, node), np.full(k, component), np.full(k, n), ranks[keep]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], names=["shingle", "node", "component", "n", "rank"])
 
-    counted = rows.mapInArrow(cut, "part int, node long, component long, shingles binary").groupBy("part").applyInPandas(count, "node long, component long, shingles binary, codes binary")
-    return counted.groupBy("node").agg(F.min("component").alias("component"), F.collect_list("shingles").alias("shingles"), F.collect_list("codes").alias("codes")).mapInArrow(rank, "shingle long, node long, component long, n long, rank long")
+    rows = labelled.mapInArrow(cut, "shingle long, node long, component long, n long, key long").join(small(shared), "shingle")
+    of_text = rows.groupBy("node", "component", "n", "key").agg(F.collect_list(F.struct("times", "shingle")).alias("found")).drop("key")
+    return of_text.mapInArrow(rank, "shingle long, node long, component long, n long, rank long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_percent: int = 75) -> DataFrame:
@@ -248,39 +330,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Links: 100 * intersection >= least_percent * union of distinct five-word shingles (whole sequence for fewer words).
     Null and empty texts, and texts without words, have no shingles and link with nothing. Repeated rows and equal texts
     share a component. Rows that share an id are one document. A null id gets a null component and is kept. An empty table
-    gives no rows; further columns are ignored.
+    gives no rows; further columns are ignored; texts of any length are read whole.
     """
     sk = settle(sketches(docs, id_col, text_col))
     worded = sk.filter("n_shingles > 0 and doc_id is not null")
     classes = settle(worded.groupBy("key1", "key2").agg(F.min("doc_id").alias("node")))
     chosen = classes.select("node").distinct()
-    nodes = worded.join(small(chosen), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "regs").dropDuplicates(["node", "regs"])
-    w = Window.partitionBy("bucket")
-    met = _banded(nodes).withColumn("leader", F.min("node").over(w)).withColumn("many", F.count("*").over(w)).filter("many > 1")
-    met = settle(met)
+    nodes = settle(worded.join(small(chosen), F.col("doc_id") == F.col("node"), "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "regs").dropDuplicates(["node", "regs"]))
+
+    heads = settle(_banded(nodes).groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("many")).filter("many > 1").select("bucket", "leader"))
+    met = settle(_banded(nodes).select("bucket", "node").join(small(heads), "bucket").select("leader", "node"))
     stars = settle(met.filter("leader <> node").groupBy("leader", F.col("node").alias("member")).agg(F.count("*").alias("shared")))
-    wanted = met.select(F.col("node").alias("doc_id")).distinct()
-    texts = settle(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(small(wanted), "doc_id", "left_semi").join(nodes.select(F.col("node").alias("doc_id"), "regs").dropDuplicates(["doc_id"]).join(small(wanted), "doc_id", "left_semi"), "doc_id"))
+    wanted = settle(met.select("node").distinct())
+    few = small(wanted)
+    regs = nodes.join(few, "node", "left_semi").select("node", F.struct(F.col("n_shingles").alias("n"), "regs").alias("regs"))
+    texts = settle(docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(few, "node", "left_semi"))
+    found: list[DataFrame] = []
 
-    texts_shingles = nodes.join(small(wanted), F.col("node") == F.col("doc_id"), "left_semi").agg(F.sum("n_shingles")).first()[0] or 0
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        likely = settle(_judged(pairs, regs, "regs", _ByRegisters(least_percent)))
+        found.extend((likely, settle(_judged(likely, texts, "text", _ByTexts(least_percent)))))
+        return found[-1]
 
     best = stars.withColumn("r", F.row_number().over(Window.partitionBy("member").orderBy(F.desc("shared"), "leader")))
-    links = settle(_confirmed(best.filter("r = 1").select("leader", "member"), texts, least_percent))
+    links = confirmed(best.filter("r = 1").select("leader", "member"))
     label = components(links)
     rest = best.filter("r > 1").select("leader", "member").join(label.select(F.col("node").alias("leader"), F.col("component").alias("c1")), "leader", "left").join(label.select(F.col("node").alias("member"), F.col("component").alias("c2")), "member", "left").filter(F.coalesce("c1", "leader") != F.coalesce("c2", "member")).select("leader", "member")
-    more = settle(_confirmed(rest, texts, least_percent))
-    links = links.unionByName(more)
+    links = links.unionByName(confirmed(rest))
     label = components(links)
 
-    rare = settle(_rare(texts, label, texts_shingles, least_percent))
+    labelled = texts.join(label, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "text")
+    rare = settle(_rare(labelled, least_percent))
     x, y = rare.alias("x"), rare.alias("y")
     shared = F.expr(f"({least_percent} * (x.n + y.n) + {least_percent + 99}) div {least_percent + 100}")  # a link's least intersection
     close: Column = (F.col("x.rank") <= F.col("x.n") - shared) & (F.col("y.rank") <= F.col("y.n") - shared)
     pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & close).select(F.least("x.node", "y.node").alias("leader"), F.greatest("x.node", "y.node").alias("member")).distinct()
-    pairs = pairs.join(stars, ["leader", "member"], "left_anti")
-    last = settle(_confirmed(pairs, texts, least_percent))
+    last = confirmed(pairs.join(stars, ["leader", "member"], "left_anti"))
     if not last.isEmpty():
         label = components(links.unionByName(last))
+    discard(nodes, heads, met, stars, wanted, texts, rare, *found)
 
     named = classes.join(label, "node", "left").select("key1", "key2", F.coalesce("component", "node").alias("found"))
     hit = sk.select("doc_id", "n_shingles", "key1", "key2").join(named, ["key1", "key2"], "left")

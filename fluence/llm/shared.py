@@ -22,9 +22,11 @@ SLICE_BYTES = 1_500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where it is unset (tests) a local one."""
+    """The session's spark.checkpoint.dir; a local one only where it is unset and all executors are this machine (tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     return d
@@ -59,11 +61,23 @@ def settle(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage is cut and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*settled: DataFrame) -> None:
+    """Delete what settle wrote, once nothing that is still to run reads it."""
+    for df in settled:
+        if hasattr(df, "settled_at"):
+            jvm = df.sparkSession.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(df.settled_at)
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows (counted up to that many), else as it is."""
+    """df, narrow rows of fixed size, with a broadcast hint if it has at most `rows` rows (counted up to that many), else as
+    it is. It runs df once more to count, so df should be settled or cheap."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

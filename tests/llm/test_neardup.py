@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
 from brute import near_duplicates as brute
-from fluence.llm.neardup import band_keys, components, estimate, near_duplicates, registers, sketches
+from fluence.llm import neardup
+from fluence.llm.neardup import band_keys, components, estimate, may_link, near_duplicates, registers, sketches
+from fluence.llm.shared import mix
 
 SCHEMA = "doc_id long, text string, regs string, node int"
 
@@ -59,10 +62,6 @@ def test_chains_of_any_order_are_one_component(spark):
 
 
 def test_registers_estimate_similarity():
-    import numpy as np
-
-    from fluence.llm.shared import mix
-
     a = np.sort(mix(np.arange(4000, dtype=np.uint64)))
     b = np.sort(mix(np.arange(500, 4500, dtype=np.uint64)))
     r = registers([a, b, a[:3]])
@@ -75,3 +74,41 @@ def test_registers_do_not_depend_on_the_batch(spark):
     one = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
     many = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert sorted((r.doc_id, bytes(r.regs), r.key1) for r in sketches(one).collect()) == sorted((r.doc_id, bytes(r.regs), r.key1) for r in sketches(many).collect())
+
+
+def test_all_rows_of_a_table_against_brute_force(spark):
+    """No link is lost among all documents of the 0.01 scale: all components are those of plain set comparisons."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    got, _ = run(spark, rows)
+    assert got == brute(rows)
+    assert sum(d != c for d, _, c in got) > 50
+
+
+def test_a_hot_leader_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SALT_ROWS", 7)
+    monkeypatch.setattr(neardup, "HOLD_SHINGLES", 500)
+    texts = family(4, 150, words=80, edits=2) + family(5, 20)
+    rows = list(enumerate(texts))
+    assert run(spark, rows)[0] == brute(rows)
+
+
+def test_very_long_and_repeated_texts(spark):
+    long = " ".join(f"w{i}" for i in range(150_000))
+    rows = [(3, long), (1, long + " end"), (2, "other " * 100_000), (2, "other " * 100_000), (4, None)]
+    assert run(spark, rows)[0] == [(1, 149_997, 1), (2, 1, 2), (2, 1, 2), (3, 149_996, 1), (4, 0, 4)]
+
+
+def test_the_estimate_never_drops_a_link():
+    """Of many true pairs of all sizes none is dropped; pairs far below the threshold mostly are."""
+    rng, kept, gone = np.random.default_rng(5), [], []
+    for n in [2, 5, 12, 40, 90, 250, 1000, 5000] * 40:
+        pool = np.unique(mix(rng.integers(0, 2**63, 4 * n).astype(np.uint64)))
+        rng.shuffle(pool)
+        both = -(-6 * n // 7)  # of two sets of n, just enough for three quarters
+        a, b = np.sort(pool[:n]), np.sort(np.r_[pool[:both], pool[n : 2 * n - both]])
+        r = registers([a, b])
+        kept.append(may_link(r[0], r[1], len(a), len(b), 75))
+        if n >= 250:
+            c = np.sort(np.r_[pool[: n // 4], pool[n : 2 * n - n // 4]])
+            gone.append(not may_link(r[0], registers([c])[0], n, len(c), 75))
+    assert all(kept) and np.mean(gone) > 0.99
