@@ -1,51 +1,63 @@
 """Language-model scores by logistic context mixing.
 
 Text is spelled as its lower-cased words, one space between them and a newline at the end, and coded bit by bit. Seven
-predictors - the last 0 to 5 bytes, and the word so far - count bits in hashed tables of fixed size. A gate (bit number,
-longest context that has been seen, place in the word) selects the weights that mix their log odds; the weights are learned online in every
-partition and averaged. A last stage refines the mixed probability by what it has meant so far. The bits sum to the text's
-probability, so score is a proper log10 probability of the same token sequence that the unigram base scores.
-
-Counts leave the training texts as distinct six-byte strings, so every table cell sees all training bytes.
+predictors - after the last 0 to 5 bytes, and after the whole word so far, by its hash - give the log odds of the bits that
+followed in training. A gate (bit number, longest context that has been seen, place in the word, word beginning seen) selects
+the weights that mix them; the weights are learned online, shard after shard of the contexts. A last stage refines the mixed
+probability by what it has meant so far. The bits sum to the text's probability, so score is a log10 probability of the same
+token sequence that the unigram base scores.
+
+What is gathered grows with the input and stays distributed: a row for each distinct string (a byte with its contexts) of all
+texts, with how often it occurs. Rows that share the last two bytes of context are packed together, so every count of orders
+2 to 5 and of the word so far is exact and local; only the 65,536 sums of orders 0 and 1 go everywhere. Each distinct string
+is scored once, on the cluster. Texts are then read once more: the most frequent strings are looked up in a broadcast of
+bounded size, all others are joined.
 """
 
 from __future__ import annotations
 
 import uuid
-import zlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, NOT_SPACE, U64, crc_mod, mix, settle, slices, word_hashes, word_spans
+from .shared import _BYTE, LOWER, NOT_SPACE, U64, crc_mod, discard, settle, slices, span_hashes, word_hashes, word_spans
 
 ORDER = 5
-#: Table bits of the contexts of 0 to 5 bytes, and of the word so far.
-TABLE_BITS = (8, 16, 18, 20, 21, 22, 21)
-PREDICTORS = len(TABLE_BITS)
-BLOCK = 1 << 16
+PREDICTORS = ORDER + 2
+#: Inputs of the mixer: a predictor's log odds, and a constant.
+INPUTS = PREDICTORS + 1
 PRIOR = 0.4
-GATES = 8 * (ORDER + 1) ** 2
+GATES = 8 * (ORDER + 1) ** 2 * 2
 BUCKETS = 25
-STRETCH = 8.0
-ROUNDS = 2
-BATCH = 4096
-#: Distinct words whose counts are broadcast, at most; the others are joined.
-FREQUENT = 300_000
+STRETCH = 10.0
+#: The contexts are dealt over so many shards; the weights take a step after each, and go over all shards so many times.
+SHARDS, ROUNDS = 4, 1
+RIDGE = 3.0
+FIRST_WEIGHTS = (0.0, 0.05, 0.1, 0.2, 0.3, 0.4, 0.3, 0.0)
+#: Distinct strings that are packed together on average (the strings after one pair of bytes are never split).
+PACK = 60_000
+#: Distinct words, and strings, whose values are broadcast, at most; the others are joined.
+FREQUENT_WORDS, FREQUENT_STRINGS = 300_000, 2_000_000
 #: Distinct strings or words that a task holds before it hands them on.
 HOLD = 700_000
 SLICE = 1_500_000
-#: Slots of a worker's memory of strings that it has scored.
-MEMORY_BITS = 21
 END = 0x5EED5EED
 
 _PAD = b"\n" * ORDER
+_DEEP = U64(0xFF << 56)
+_BREAK = np.zeros(256, bool)
+_BREAK[[10, 32]] = True
+
 
+def strings_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every coded byte: a key of it and its contexts, its window of six bytes (the lowest is the coded one), its text.
 
-def spelled(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of six bytes (the lowest is the coded one) of every coded byte, and the text each belongs to."""
+    Up to five bytes into a word the window says all, and is the key; further on the key is a hash of the whole word so far,
+    with the coded byte in the low eight bits and ones in the high eight."""
     raw, cuts = LOWER[data].tobytes(), off.tolist()
     texts = [b" ".join(raw[a:b].split()) + b"\n" for a, b in zip(cuts, cuts[1:], strict=False)]
     flat = np.frombuffer(_PAD + _PAD.join(texts), np.uint8)
@@ -54,42 +66,47 @@ def spelled(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     window = np.zeros(len(flat), U64)
     for j in range(ORDER + 1):
         window[j:] |= flat[: len(flat) - j].astype(U64) << U64(8 * j)
-    return window[at], np.repeat(np.arange(len(size)), size)
-
-
-def tally(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values and their summed weights."""
-    if weights is None:
-        v = np.sort(values)
-        first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
-        return v[first], np.diff(np.append(first, len(v)))
-    order = np.argsort(values, kind="stable")
-    v = values[order]
-    first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
-    return v[first], np.add.reduceat(weights[order], first) if len(v) else weights
+    begin = np.maximum.accumulate(np.where(_BREAK[flat], np.arange(len(flat)), 0))[at - 1] + 1
+    window = window[at]
+    key = window.copy()
+    deep = np.flatnonzero(at - begin >= ORDER)
+    word = span_hashes(_BYTE[flat], begin[deep], at[deep], 3)
+    key[deep] = _DEEP | (word & U64(0x00FFFFFFFFFFFF00)) | (window[deep] & U64(255))
+    return key, window, np.repeat(np.arange(len(size)), size)
 
 
 class _Tally:
-    """Sums by key that leave in lots."""
+    """How often each key came, with a companion of the key, in lots."""
 
     def __init__(self):
         self.parts, self.held = [], 0
 
-    def add(self, values):
-        v, n = tally(values)
-        self.parts.append((v, n))
-        self.held += len(v)
+    def add(self, key, other=None, n=None):
+        if other is None and n is None:
+            v = np.sort(key)
+            first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
+            part = v[first], v[first], np.diff(np.append(first, len(v)))
+        else:
+            order = np.argsort(key, kind="stable")
+            v = key[order]
+            first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
+            n = np.ones(len(v), np.int64) if n is None else n[order]
+            part = v[first], other[order][first], np.add.reduceat(n, first) if len(v) else n
+        self.parts.append(part)
+        self.held += len(part[0])
 
     def merged(self):
         if len(self.parts) > 1:
-            self.parts = [tally(np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] for p in self.parts]))]
-        self.held = sum(len(p[0]) for p in self.parts)
+            key, other, n = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
+            self.parts, self.held = [], 0
+            self.add(key, other, n)
 
-    def lot(self, kind: int):
+    def lot(self, kind: int, train: bool):
         self.merged()
-        v, n = self.parts[0] if self.parts else (np.zeros(0, U64), np.zeros(0, np.int64))
+        key, other, n = self.parts[0] if self.parts else (np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64))
         self.parts, self.held = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(v), kind, np.int32)), pa.array(v.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+        columns = [pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(other.view(np.int64)), pa.array(n * train), pa.array(n)]
+        return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "window", "n", "m"])
 
 
 def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,122 +119,159 @@ def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, first + np.arange(n + 1)
 
 
-GRAM, WORD = 0, 1
+STRING, WORD = 0, 1
 
 
-def counted(train: DataFrame) -> DataFrame:
-    """(kind, key, n) over all training texts: six-byte strings, and tokens by a 64-bit hash."""
+def counted(rows: DataFrame) -> DataFrame:
+    """(kind, key, window, n, m) over all texts of rows (text, held_out): strings, and tokens by a 64-bit hash, with how often
+    they occur in training texts and in all. Tasks sum up first, in bounded lots."""
 
     def run(batches):
-        held = {GRAM: _Tally(), WORD: _Tally()}
-        for _, data, off in slices(batches, most=SLICE):
-            held[GRAM].add(spelled(data, off)[0])
-            held[WORD].add(words_of(data, off)[0])
-            for kind, t in held.items():
+        held = {(kind, train): _Tally() for kind in (STRING, WORD) for train in (True, False)}
+        for piece, data, off in slices(batches, most=SLICE):
+            train = ~np.array(piece.column(1).to_pylist(), bool)
+            key, window, of = strings_of(data, off)
+            token, first = words_of(data, off)
+            deep = key >= _DEEP
+            for which in (True, False):
+                mine = (train == which)[of]
+                if mine.any():
+                    held[STRING, which].add(key[mine & ~deep])
+                    held[STRING, which].add(key[mine & deep], window[mine & deep])
+                    held[WORD, which].add(token[np.repeat(train == which, np.diff(first))])
+            for (kind, which), t in held.items():
                 if t.held > 2 * HOLD:
                     t.merged()
                     if t.held > HOLD:
-                        yield t.lot(kind)
-        for kind, t in held.items():
-            yield t.lot(kind)
+                        yield t.lot(kind, which)
+        for (kind, which), t in held.items():
+            yield t.lot(kind, which)
 
-    return train.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    sums = rows.select("text", "held_out").mapInArrow(run, "kind int, key long, window long, n long, m long")
+    return sums.groupBy("kind", "key").agg(F.min("window").alias("window"), F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
-def _contexts(gram: np.ndarray):
-    """The hashed context of each predictor."""
-    past = gram >> U64(8)
-    for k in range(ORDER + 1):
-        yield mix((past & U64((1 << 8 * k) - 1)) * U64(16) + U64(k))
-    word, open_ = np.zeros(len(gram), U64), np.ones(len(gram), bool)
-    for j in range(ORDER):
-        b = (past >> U64(8 * j)) & U64(255)
-        open_ &= (b != U64(32)) & (b != U64(10))
-        word[open_] |= b[open_] << U64(8 * j)
-    yield mix(word * U64(16) + U64(9))
-
-
-def _place(gram: np.ndarray) -> np.ndarray:
-    """Bytes of the word so far, at most ORDER."""
-    out, open_ = np.zeros(len(gram), np.int64), np.ones(len(gram), bool)
-    for j in range(1, ORDER + 1):
-        b = (gram >> U64(8 * j)) & U64(255)
-        open_ &= (b != U64(32)) & (b != U64(10))
-        out[open_] += 1
-    return out
-
-
-def _bits(gram: np.ndarray):
-    """(number, node, bit) of the eight bits of the coded byte, high bit first."""
-    byte = gram & U64(255)
-    for i in range(8):
-        yield i, (byte >> U64(8 - i)) | U64(1 << i), ((byte >> U64(7 - i)) & U64(1)).astype(np.int8)
-
-
-def _slots(context: np.ndarray, node: np.ndarray, k: int) -> np.ndarray:
-    if k == 0:
-        return node.astype(np.int64)
-    return (((context + node) * U64(0x9E3779B97F4A7C15)) >> U64(64 - TABLE_BITS[k])).astype(np.int64)
-
-
-def tables(grams: DataFrame) -> list[np.ndarray]:
-    """For each predictor the counts of 0 and 1 bits by slot (2 x slots, half precision; scaled down where they overflow).
-
-    Every task sums its strings' bits into blocks of the fixed tables; the blocks are summed on the executors, and the
-    finished tables (39 MB, whatever the input) come to the driver."""
+def packed(strings: DataFrame) -> DataFrame:
+    """strings (key, window, n, m) with all that share the last two bytes of context in one row: part, shard, strings (four
+    longs each)."""
+    parts = max(SHARDS, -(-strings.count() // PACK))
 
     def run(batches):
-        parts = [(b.column(0).to_numpy().view(U64), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not parts:
+        held = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        if not held:
             return
-        gram, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(float)
-        for k, context in enumerate(_contexts(gram)):
-            size = 1 << TABLE_BITS[k]
-            total = np.zeros((2, size))
-            for _, node, bit in _bits(gram):
-                slot = _slots(context, node, k)
-                for v in (0, 1):
-                    total[v] += np.bincount(slot[bit == v], weights=n[bit == v], minlength=size)
-            step = min(size, BLOCK)
-            for a in range(0, size, step):
-                block = total[:, a : a + step]
-                if block.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([a], pa.int64()), pa.array([zlib.compress(block.astype(np.int64).tobytes(), 1)], pa.binary())], names=["k", "at", "block"])
-
-    def add(frame):
-        import pandas as pd
-
-        total = sum(np.frombuffer(zlib.decompress(b), np.int64).astype(float) for b in frame["block"]).reshape(2, -1)
-        total = total * np.minimum(1, 60_000 / np.maximum(total.max(axis=0), 1))
-        return pd.DataFrame({"k": frame["k"].iloc[:1], "at": frame["at"].iloc[:1], "block": [total.astype(np.float16).tobytes()]})
-
-    schema = "k int, at long, block binary"
-    out = [np.zeros((2, 1 << b), np.float16) for b in TABLE_BITS]
-    for r in grams.select("key", "n").mapInArrow(run, schema).groupBy("k", "at").applyInPandas(add, schema).toLocalIterator():
-        block = np.frombuffer(r.block, np.float16).reshape(2, -1)
-        out[r.k][:, r.at : r.at + block.shape[1]] = block
+        part, *columns = (c.to_numpy() for c in pa.concat_tables(held).columns)
+        order = np.argsort(part, kind="stable")
+        whole = np.stack([c[order] for c in columns], axis=1)
+        ids, first = np.unique(part[order], return_index=True)
+        for p, piece in zip(ids.tolist(), np.split(whole, first[1:]), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([p % SHARDS], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["part", "shard", "strings"])
+
+    context = F.shiftrightunsigned("window", 8).bitwiseAND(F.lit(0xFFFF))
+    dealt = strings.select(F.pmod(F.xxhash64(context), F.lit(parts)).cast("int").alias("part"), "key", "window", "n", "m")
+    return dealt.repartition(parts, "part").mapInArrow(run, "part int, shard int, strings binary")
+
+
+def first_orders(strings: DataFrame) -> np.ndarray:
+    """Training counts of every byte after every byte (65,536 sums at most)."""
+    out = np.zeros((256, 256))
+    pair = F.col("window").bitwiseAND(F.lit(0xFFFF))
+    for r in strings.filter("n > 0").groupBy(pair.alias("pair")).agg(F.sum("n").alias("n")).collect():
+        out[r.pair >> 8, r.pair & 255] = r.n
     return out
 
 
-def _inputs(gram: np.ndarray, counts: list[np.ndarray], leave_one: bool):
-    """For each bit: log odds of the predictors, gate, bit. leave_one: without one occurrence of the string itself."""
-    contexts, place = list(_contexts(gram)), _place(gram)
-    for i, node, bit in _bits(gram):
-        st = np.empty((len(gram), PREDICTORS), np.float32)
-        longest = np.zeros(len(gram), np.int64)
-        for k, context in enumerate(contexts):
-            slot = _slots(context, node, k)
-            n0, n1 = counts[k][0, slot].astype(np.float32), counts[k][1, slot].astype(np.float32)
-            if leave_one:
-                n0, n1 = np.maximum(n0 - (bit == 0), 0), np.maximum(n1 - (bit == 1), 0)
-            st[:, k] = np.log((n1 + PRIOR) / (n0 + PRIOR))
-            if 0 < k <= ORDER:
-                longest[n0 + n1 > 0.5] = k
-        yield st, (longest * (ORDER + 1) + place) * 8 + i, bit
+def _place(key: np.ndarray) -> np.ndarray:
+    """Bytes of the word so far, at most ORDER."""
+    out, open_ = np.zeros(len(key), np.int64), np.ones(len(key), bool)
+    for j in range(1, ORDER + 1):
+        open_ &= ~_BREAK[((key >> U64(8 * j)) & U64(255)).astype(np.int64)]
+        out[open_] += 1
+    return out
 
 
-def _mixed(st, gate, weights):
-    return np.clip(np.einsum("ij,ij->i", st, weights[gate]), -STRETCH, STRETCH)
+class Counts:
+    """Training counts of 0 and 1 bits after every context of packed strings, a bit number at a time."""
+
+    def __init__(self, key: np.ndarray, window: np.ndarray, n: np.ndarray, nodes: list):
+        self.n, self.byte = n.astype(float), (window & U64(255)).astype(np.int64)
+        self.past = ((window >> U64(8)) & U64(255)).astype(np.int64)
+        self.place = _place(window)
+        self.nodes = nodes
+        deep = key >= _DEEP
+        # the bytes of the word so far and the coded one; a single letter with the break before it, which is in its pack too
+        bytes_ = (self.place + 1 + (self.place == 1)).astype(U64)
+        word = (window & ((U64(1) << (U64(8) * bytes_)) - U64(1))) | (self.place.astype(U64) << U64(56))
+        values = [window & U64((1 << 8 * (k + 1)) - 1) for k in range(2, ORDER + 1)] + [np.where(deep, key, word)]
+        self.sorted = []
+        for v in values:
+            order = np.argsort(v, kind="stable")
+            self.sorted.append((order, v[order], self.n[order]))
+
+    def bit(self, i: int) -> np.ndarray:
+        return (self.byte >> (7 - i)) & 1
+
+    def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of 0 and of 1 (predictors x strings) of bit i after the context and the bits before it."""
+        zero, one = np.empty((2, PREDICTORS, len(self.n)))
+        for k in (0, 1):
+            got = self.nodes[i][k][self.past, self.byte >> (8 - i)]
+            zero[k], one[k] = got[:, 0], got[:, 1]
+        for k, (order, v, n) in enumerate(self.sorted, 2):
+            group = v >> U64(8 - i)
+            first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            ones = np.add.reduceat(n * ((v >> U64(7 - i)) & U64(1)).astype(float), first)
+            size = np.diff(np.append(first, len(v)))
+            one[k][order] = np.repeat(ones, size)
+            zero[k][order] = np.repeat(np.add.reduceat(n, first) - ones, size)
+        start = np.flatnonzero(self.place == 0)  # a word's beginning has no letters yet: what follows the break, whatever stands before
+        zero[-1][start], one[-1][start] = zero[1][start], one[1][start]
+        return zero, one
+
+    def inputs(self, i: int, leave_one: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of bit i: the mixer's inputs, gate and bit. leave_one: without one occurrence of the string itself."""
+        zero, one = self.of(i)
+        bit = self.bit(i)
+        if leave_one:
+            zero -= bit == 0
+            one -= bit == 1
+            np.maximum(zero, 0, out=zero)
+            np.maximum(one, 0, out=one)
+        x = np.empty((INPUTS, len(bit)))
+        np.log((one + PRIOR) / (zero + PRIOR), out=x[:PREDICTORS])
+        x[PREDICTORS] = 1.0
+        seen = zero + one > 0.5
+        longest = np.zeros(len(bit), np.int64)
+        for k in range(1, ORDER + 1):
+            longest[seen[k]] = k
+        gate = (((longest * (ORDER + 1) + self.place) * 2 + seen[ORDER + 1]) * 8) + i
+        return x, gate, bit
+
+
+def node_sums(pairs: np.ndarray) -> list:
+    """For each bit the counts of 0 and 1 of orders 0 and 1: sums over the bytes that begin with the bits so far."""
+    alone = np.broadcast_to(pairs.sum(axis=0), pairs.shape)
+    return [[table.reshape(256, 1 << i, 2, -1).sum(axis=3) for table in (alone, pairs)] for i in range(8)]
+
+
+def unpacked(batches, pairs: np.ndarray, training: bool):
+    """The keys, counts in all and Counts of each packed row; of training: only strings of training texts."""
+    nodes = node_sums(pairs)
+    for b in batches:
+        for blob in b.column(b.schema.get_field_index("strings")):
+            s = np.frombuffer(blob.as_buffer(), np.int64).reshape(-1, 4)
+            if training:
+                s = s[s[:, 2] > 0]
+            if len(s):
+                yield s[:, 0], s[:, 3], Counts(s[:, 0].view(U64), s[:, 1].view(U64), s[:, 2], nodes)
+
+
+def _mixed(x, gate, weights):
+    return np.clip(np.einsum("kj,kj->j", x, weights.T[:, gate]), -STRETCH, STRETCH)
+
+
+def _logistic(z):
+    return 1 / (1 + np.exp(-z))
 
 
 def _bucket(z):
@@ -226,179 +280,202 @@ def _bucket(z):
     return low, x - low
 
 
-def learn(grams: DataFrame, counts) -> tuple[np.ndarray, np.ndarray]:
-    """Gated weights, learned online over the strings of every partition and averaged by weight, in rounds; then for each gate
-    and mixed probability how often the bit was 1. `counts` is a broadcast of the tables."""
-    weights = np.tile(np.array([0.0, 0.05, 0.1, 0.2, 0.3, 0.4, 0.2], np.float32), (GATES, 1))
-
-    def online(batches, start):
-        w, seen, square = start.copy(), np.zeros(GATES), np.full(start.shape, 1e-4, np.float32)
-        for b in batches:
-            gram, n = b.column(0).to_numpy().view(U64), b.column(1).to_numpy().astype(float)
-            order = np.argsort(mix(gram))
-            for a in range(0, len(gram), BATCH):
-                pick = order[a : a + BATCH]
-                for st, gate, bit in _inputs(gram[pick], counts.value, True):
-                    error = bit - 1 / (1 + np.exp(-_mixed(st, gate, w)))
-                    m = n[pick]
-                    total = np.bincount(gate, weights=m, minlength=GATES)
-                    g = np.stack([np.bincount(gate, weights=m * error * st[:, k], minlength=GATES) for k in range(PREDICTORS)], axis=1) / np.maximum(total, 1)[:, None]
-                    square += g**2
-                    w += (0.05 * g / np.sqrt(square)).astype(np.float32)
-                    seen += total
-        g, k = np.indices(w.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(g.ravel().astype(np.int32)), pa.array(k.ravel().astype(np.int32)), pa.array((w * seen[:, None]).ravel().astype(float)), pa.array(np.repeat(seen, PREDICTORS))], names=["g", "k", "w", "n"])
-
-    source = grams.select("key", "n")
+def _sums(total: np.ndarray):
+    """The cells of a table of sums that are not 0, as rows."""
+    flat = total.ravel()
+    at = np.flatnonzero(flat)
+    return pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["at", "v"])
+
+
+def _summed(rows: DataFrame, run, shape: tuple) -> np.ndarray:
+    """The tables that run gives for every task, summed on the executors."""
+    out = np.zeros(int(np.prod(shape)))
+    for r in rows.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        out[r["at"]] = r.v
+    return out.reshape(shape)
+
+
+def _slopes(batches, pairs, weights):
+    """For each gate the gradient of the log likelihood, and its curvature, over packed strings."""
+    total = np.zeros((GATES, INPUTS, INPUTS + 1))
+    for _, _, counts in unpacked(batches, pairs.value, True):
+        for i in range(8):
+            x, gate, bit = counts.inputs(i, True)
+            p = _logistic(_mixed(x, gate, weights))
+            order = np.argsort(gate, kind="stable")
+            x, gate = x[:, order], gate[order]
+            error, bend = (counts.n * (bit - p))[order], (counts.n * p * (1 - p))[order]
+            first = np.flatnonzero(np.concatenate(([True], gate[1:] != gate[:-1])))
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(gate)], strict=True):
+                total[gate[a], :, 0] += x[:, a:b] @ error[a:b]
+                total[gate[a], :, 1:] += (x[:, a:b] * bend[a:b]) @ x[:, a:b].T
+    yield _sums(total)
+
+
+def _meanings(batches, pairs, weights):
+    """For each gate and bucket of mixed probability how often the bit was 0 and 1."""
+    total = np.zeros((2, GATES * BUCKETS))
+    for _, _, counts in unpacked(batches, pairs.value, True):
+        for i in range(8):
+            x, gate, bit = counts.inputs(i, True)
+            low, share = _bucket(_mixed(x, gate, weights))
+            for v in (0, 1):
+                m = np.where(bit == v, counts.n, 0)
+                for step, part in ((0, 1 - share), (1, share)):
+                    total[v] += np.bincount(gate * BUCKETS + low + step, weights=m * part, minlength=GATES * BUCKETS)
+    yield _sums(total)
+
+
+def learn(packs: DataFrame, pairs) -> tuple[np.ndarray, np.ndarray]:
+    """Gated weights and the refinement. After each shard every gate takes a second-order step by that shard's gradient and
+    the curvature of all shards so far, so that later shards move the weights less. Shards are shards of contexts, and their
+    sums are made on the executors: partitions do not matter. `pairs` is a broadcast of first_orders."""
+    weights = np.tile(np.array(FIRST_WEIGHTS), (GATES, 1))
+    bend = np.tile(RIDGE * np.eye(INPUTS), (GATES, 1, 1))
     for _ in range(ROUNDS):
-        rows = source.mapInArrow(lambda b, start=weights: online(b, start), "g int, k int, w double, n double").groupBy("g", "k").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).collect()
-        weights = weights.copy()
-        for r in rows:
-            if r.n:
-                weights[r.g, r.k] = r.w / r.n
-
-    def means(batches):
-        total = np.zeros((2, GATES * BUCKETS))
-        for b in batches:
-            gram, n = b.column(0).to_numpy().view(U64), b.column(1).to_numpy().astype(float)
-            for st, gate, bit in _inputs(gram, counts.value, True):
-                low, share = _bucket(_mixed(st, gate, weights))
-                for v in (0, 1):
-                    m = np.where(bit == v, n, 0)
-                    total[v] += np.bincount(gate * BUCKETS + low, weights=m * (1 - share), minlength=GATES * BUCKETS) + np.bincount(gate * BUCKETS + low + 1, weights=m * share, minlength=GATES * BUCKETS)
-        at = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], names=["at", "n0", "n1"])
-
-    middle = 1 / (1 + np.exp(-np.linspace(-STRETCH, STRETCH, BUCKETS)))
-    refined = np.tile(middle, (GATES, 1))
-    for r in source.mapInArrow(means, "at long, n0 double, n1 double").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect():
-        g, k = divmod(r["at"], BUCKETS)
-        refined[g, k] = (r.n1 + 20 * middle[k]) / (r.n0 + r.n1 + 20)
-    return weights, refined
-
-
-def log_odds(counts: list[np.ndarray]) -> list[np.ndarray]:
-    """What scoring needs of the counts: each slot's log odds, 0 only where nothing was counted."""
-    out = []
-    for c in counts:
-        odds = np.log((c[1].astype(np.float32) + PRIOR) / (c[0].astype(np.float32) + PRIOR)).astype(np.float16)
-        odds[(odds == 0) & (c.sum(axis=0) > 0)] = np.float16(1e-4)
-        out.append(odds)
-    return out
-
-
-def log10_probability(gram: np.ndarray, odds: list[np.ndarray], weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
-    """Of each string's last byte after the others."""
-    out = np.zeros(len(gram))
-    contexts, place = list(_contexts(gram)), _place(gram)
-    st = np.empty((PREDICTORS, len(gram)), np.float32)
-    for i, node, bit in _bits(gram):
-        gate = np.zeros(len(gram), np.int64)
-        for k, context in enumerate(contexts):
-            st[k] = odds[k][_slots(context, node, k)]
-            if 0 < k <= ORDER:
-                gate[st[k] != 0] = k
-        gate = (gate * (ORDER + 1) + place) * 8 + i
-        z = np.clip(np.einsum("kj,kj->j", st, np.take(weights.T, gate, axis=1)), -STRETCH, STRETCH)
+        for shard in range(SHARDS):
+            total = _summed(packs.filter(F.col("shard") == shard), partial(_slopes, pairs=pairs, weights=weights), (GATES, INPUTS, INPUTS + 1))
+            bend = bend + total[:, :, 1:]
+            weights = weights + np.clip(np.linalg.solve(bend, total[:, :, :1])[:, :, 0], -1, 1)
+    zero, one = _summed(packs, partial(_meanings, pairs=pairs, weights=weights), (2, GATES, BUCKETS))
+    middle = _logistic(np.linspace(-STRETCH, STRETCH, BUCKETS))
+    return weights, (one + 20 * middle) / (zero + one + 20)
+
+
+def log10_probability(counts: Counts, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
+    """Of each string's coded byte after its contexts."""
+    out = np.zeros(len(counts.n))
+    for i in range(8):
+        x, gate, bit = counts.inputs(i, False)
+        z = _mixed(x, gate, weights)
         low, share = _bucket(z)
-        p = 0.5 / (1 + np.exp(-z)) + 0.5 * (refined[gate, low] * (1 - share) + refined[gate, low + 1] * share)
+        p = 0.5 * _logistic(z) + 0.5 * (refined[gate, low] * (1 - share) + refined[gate, low + 1] * share)
         out += np.log10(np.where(bit == 1, p, 1 - p))
     return out
 
 
-class _Scorer:
-    """log10 probabilities of strings, with a direct-mapped memory of those that came before."""
+def scored(packs: DataFrame, pairs, weights: np.ndarray, refined: np.ndarray) -> DataFrame:
+    """(key, m, value): log10 probability of every distinct string, and how often it occurs in all texts."""
+
+    def run(batches):
+        for key, m, counts in unpacked(batches, pairs.value, False):
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(m), pa.array(log10_probability(counts, weights, refined))], names=["key", "m", "value"])
+
+    return packs.mapInArrow(run, "key long, m long, value double")
+
+
+def _least(table: DataFrame, column: str, room: int) -> int:
+    """A count from which at most `room` rows of table have it in column (rows are taken by eighths of powers of two)."""
+    step = F.floor(F.log2(F.col(column)) * 8).alias("step")
+    least = 1 << 62
+    for r in sorted(table.groupBy(step).agg(F.count("*").alias("rows"), F.min(column).alias("low")).collect(), key=lambda r: -r.step):
+        room -= r.rows
+        if room < 0:
+            break
+        least = r.low
+    return least
+
+
+class _Lookup:
+    """Values of keys: a hash of a key names a slot that holds one key's place; others are searched."""
 
     last: tuple = (None, None)
 
-    def __init__(self, model):
-        self.model = model
-        self.key, self.value = np.full(1 << MEMORY_BITS, 2**64 - 1, U64), np.zeros(1 << MEMORY_BITS, np.float32)
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = np.append(keys, U64(2**64 - 1)), np.append(values, 0.0)
+        self.bits = max(4, int(len(keys)).bit_length() + 1)
+        self.slot = np.full(1 << self.bits, len(keys), np.int32)
+        self.slot[self._slot(keys)] = np.arange(len(keys), dtype=np.int32)
 
     @classmethod
     def of(cls, name: str, broadcast):
-        """One in a Python process, for the model of that name."""
+        """One in a Python process, for the broadcast of that name."""
         if cls.last[0] != name:
-            cls.last = (name, cls(broadcast.value))
+            cls.last = (name, [cls(*x) for x in broadcast.value])
         return cls.last[1]
 
-    def __call__(self, gram: np.ndarray) -> np.ndarray:
-        slot = ((gram * U64(0x9E3779B97F4A7C15)) >> U64(64 - MEMORY_BITS)).astype(np.int64)
-        out = self.value[slot]
-        new = np.flatnonzero(self.key[slot] != gram)
-        if len(new):
-            some, back = np.unique(gram[new], return_inverse=True)
-            logs = np.concatenate([log10_probability(some[a : a + 32768], *self.model) for a in range(0, len(some), 32768)]).astype(np.float32)
-            out[new] = logs[back]
-            at = ((some * U64(0x9E3779B97F4A7C15)) >> U64(64 - MEMORY_BITS)).astype(np.int64)
-            _, first = np.unique(at, return_index=True)
-            self.key[at[first]], self.value[at[first]] = some[first], logs[first]
-        return out
+    def _slot(self, key):
+        return ((key * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values, 0 where there is none, and which keys have one."""
+        at = self.slot[self._slot(key)]
+        known = self.keys[at] == key
+        lost = np.flatnonzero(~known)
+        if len(lost):
+            at[lost] = np.searchsorted(self.keys[:-1], key[lost])
+            known[lost] = self.keys[at[lost]] == key[lost]
+        return np.where(known, self.values[at], 0.0), known
+
+
+def _frequent(table: DataFrame, least: int, column: str, value) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, ascending, and values of the rows from `least` on."""
+    got = table.filter(F.col(column) >= least).select("key", value.alias("value")).toPandas()
+    keys = got["key"].to_numpy(np.int64).view(U64)
+    order = np.argsort(keys)
+    return keys[order], got["value"].to_numpy(float)[order]
+
+
+def _lists(values: np.ndarray, doc: np.ndarray, n: int):
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 5) -> DataFrame:
     """One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Learned from rows whose crc32(id as text) modulo `fold` is not 1 (a null id counts as 0). Null texts are empty: one end
-    token. Tokens are told apart by a 64-bit hash. Repeated rows repeat and count as often; an empty table gives no rows;
-    with no training rows every bit has about even odds. Further columns are ignored.
+    token. Tokens are told apart by a 64-bit hash, words beyond five letters so far by 48 bits of one. Texts of any length are
+    scored whole. Repeated rows repeat and count as often; equal texts have equal scores; an empty table gives no rows; with
+    no training rows every bit has about even odds. Further columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (crc_mod(F.col(id_col).cast("long"), fold) == 1).alias("held_out"))
-    found = settle(counted(rows.filter("not held_out")))
-    grams, words = found.filter(F.col("kind") == GRAM), found.filter(F.col("kind") == WORD).select("key", "n")
-    table = tables(grams)
-    counts = spark.sparkContext.broadcast(table)
-    weights, refined = learn(grams, counts)
-    counts.unpersist()
-    model, name = spark.sparkContext.broadcast((log_odds(table), weights, refined)), uuid.uuid4().hex
-    del table
-
-    sizes = sorted((r.n, r.m) for r in words.groupBy("n").agg(F.count("*").alias("m")).collect())
-    total, distinct = sum(n * m for n, m in sizes), sum(m for _, m in sizes)
-    room, least = FREQUENT, (sizes[-1][0] + 1 if sizes else 1)
-    for n, m in reversed(sizes):
-        room -= m
-        if room < 0:
-            break
-        least = n
-    below = total + 0.5 * (distinct + 1)
-    often = words.filter(F.col("n") >= least).toPandas().sort_values("key")
-    keys = often["key"].to_numpy().view(U64)
-    order = np.argsort(keys)
-    frequent = spark.sparkContext.broadcast((np.append(keys[order], U64(2**64 - 1)), np.append(np.log10((often["n"].to_numpy()[order] + 0.5) / below), 0.0)))
+    found = settle(counted(rows))
+    strings, words = found.filter(F.col("kind") == STRING).drop("kind"), found.filter((F.col("kind") == WORD) & (F.col("n") > 0)).select("key", "n")
+    pairs = spark.sparkContext.broadcast(first_orders(strings))
+    packs = settle(packed(strings))
+    weights, refined = learn(packs, pairs)
+    values = settle(scored(packs, pairs, weights, refined))
+
+    sums = words.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
+    total, below = sums.total or 0, (sums.total or 0) + 0.5 * (sums.distinct + 1)
+    word_least, string_least = _least(words, "n", FREQUENT_WORDS), _least(values, "m", FREQUENT_STRINGS)
+    base = F.log10((F.col("n") + 0.5) / F.lit(float(below)))
+    name, known = uuid.uuid4().hex, spark.sparkContext.broadcast((_frequent(words, word_least, "n", base), _frequent(values, string_least, "m", F.col("value"))))
 
     def run(batches):
+        in_words, in_strings = _Lookup.of(name, known)
         for piece, data, off in slices(batches, most=SLICE):
             n = len(off) - 1
-            gram, of = spelled(data, off)
-            fit = np.bincount(of, weights=_Scorer.of(name, model)(gram), minlength=n)
+            key, _, of = strings_of(data, off)
+            fit, fit_known = in_strings(key)
             token, first = words_of(data, off)
-            keys, values = frequent.value
-            at = np.searchsorted(keys[:-1], token)
-            known = keys[at] == token
             doc = np.repeat(np.arange(n), np.diff(first))
-            rare = np.flatnonzero(~known)
-            base = np.bincount(doc[known], weights=values[at[known]], minlength=n)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    piece.column(0),
-                    piece.column(2),
-                    pa.array(np.diff(first)),
-                    pa.array(np.bincount(doc[known], minlength=n)),
-                    pa.array(base),
-                    pa.array(fit),
-                    pa.array(np.bincount(of, minlength=n)),
-                    pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[rare], np.arange(n + 1)).astype(np.int32)), pa.array(token[rare].view(np.int64))),
-                ],
-                names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "bytes", "rare"],
-            )
-
-    part = settle(rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, bytes long, rare array<long>").withColumn("row", F.monotonically_increasing_id()))
-    odd = part.select("row", F.explode("rare").alias("key")).groupBy("key", "row").agg(F.count("*").alias("m"))
-    seldom = words.filter(F.col("n") < least)
-    added = odd.join(seldom, "key", "left").groupBy("row").agg(F.sum(F.col("m") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(below)))).alias("more"), F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("also"))
-    return part.join(added, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") / F.log10(F.lit(2.0)) / F.col("bytes")).alias("bits_per_byte"))
+            base, base_known = in_words(token)
+            columns = [piece.column(0), piece.column(2), pa.array(np.diff(first)), pa.array(np.bincount(doc[base_known], minlength=n)), pa.array(np.bincount(doc, weights=base, minlength=n))]
+            columns += [pa.array(np.bincount(of, weights=fit, minlength=n)), pa.array(np.bincount(of, minlength=n)), _lists(token[~base_known], doc[~base_known], n), _lists(key[~fit_known], of[~fit_known], n)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "bytes", "words", "strings"])
+
+    result = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, bytes long, words array<long>, strings array<long>"
+    part = settle(rows.mapInArrow(run, result).withColumn("row", F.monotonically_increasing_id()))
+    odd = part.select("row", F.explode("words").alias("key")).groupBy("key", "row").agg(F.count("*").alias("c"))
+    more_words = odd.join(words.filter(F.col("n") < word_least), "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    more_words = more_words.groupBy("row").agg(F.sum(F.col("c") * base).alias("more_base"), F.sum(F.when(F.col("n") > 0, F.col("c")).otherwise(0)).alias("more_known"))
+    odd = part.select("row", F.explode("strings").alias("key"))
+    more_strings = odd.join(values.filter(F.col("m") < string_least).select("key", "value"), "key").groupBy("row").agg(F.sum("value").alias("more_score"))
+    whole = part.join(more_words, "row", "left").join(more_strings, "row", "left")
+    discard(packs)
+    mine = F.col("score") + F.coalesce("more_score", F.lit(0.0))
+    return whole.select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
+        F.round(mine, 7).alias("score"),
+        (-mine / F.log10(F.lit(2.0)) / F.col("bytes")).alias("bits_per_byte"),
+    )
 
 
 def op2_lm_score(spark, sf_dir):

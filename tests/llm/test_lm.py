@@ -12,7 +12,7 @@ def held(d):
 
 
 def test_base_counts_and_scores(spark, monkeypatch):
-    monkeypatch.setattr(lm, "FREQUENT", 5)  # so that most words go the joined way
+    monkeypatch.setattr(lm, "FREQUENT_WORDS", 5)  # so that most words go the joined way
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["alpha", "Beta", "ga mma", "é", "zz"] + [f"w{rng.randrange(300)}"]) for _ in range(rng.randrange(60)))) for i in range(60)] + [(90, None), (91, ""), (92, " \n"), (93, "never seen words xyzzy")]
     got = lm.score(spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, n int")).collect()
@@ -24,32 +24,120 @@ def test_base_counts_and_scores(spark, monkeypatch):
         assert r.base_score == pytest.approx(base, abs=1e-8) and r.score < 0 and np.isfinite(r.score)
 
 
-def test_bits_make_a_distribution(spark):
+def counts_of(text, *, more=()):
+    """Counts of a text's strings (each n times), and of further windows that never occur."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    key, window, _ = lm.strings_of(raw, np.array([0, len(raw)]))
+    key, first, n = np.unique(key, return_index=True, return_counts=True)
+    window = window[first]
+    pairs = np.zeros((256, 256))
+    np.add.at(pairs, (((window >> np.uint64(8)) & np.uint64(255)).astype(int), (window & np.uint64(255)).astype(int)), n)
+    more = np.array([m for m in more if m not in key], np.uint64)
+    return lm.Counts(np.r_[key, more], np.r_[window, more], np.r_[n, np.zeros(len(more), np.int64)], lm.node_sums(pairs))
+
+
+def test_bits_make_a_distribution():
     """Over all next bytes the probabilities sum to one."""
-    grams, n = lm.tally(lm.spelled(np.frombuffer(b"the cat sat on the mat", np.uint8), np.array([0, 22]))[0])
-    counts = lm.tables(spark.createDataFrame([(int(g), int(c)) for g, c in zip(grams.view(np.int64), n)], "key long, n long"))
-    after = (np.frombuffer(b" \0\0eht", np.uint8)[::-1].astype(np.uint64) << np.uint64(8) * np.arange(6, dtype=np.uint64)[::-1]).sum()
-    every = (np.uint64(after) << np.uint64(8) & np.uint64(0xFFFFFFFFFF00)) + np.arange(256, dtype=np.uint64)
-    weights = np.full((lm.GATES, lm.PREDICTORS), 0.3, np.float32)
-    refined = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, lm.BUCKETS))), (lm.GATES, 1))
-    assert (10 ** lm.log10_probability(every, lm.log_odds(counts), weights, refined)).sum() == pytest.approx(1, abs=1e-6)
+    rng = np.random.default_rng(1)
+    for before in (b"n the", b"\n\n\nca", b"on the "[-5:]):
+        after = sum(int(x) << 8 * (k + 1) for k, x in enumerate(reversed(before)))
+        every = [np.uint64(after + b) for b in range(256)]
+        counts = counts_of("the cat sat on the mat", more=every)
+        logs = lm.log10_probability(counts, rng.normal(size=(lm.GATES, lm.INPUTS)), rng.random((lm.GATES, lm.BUCKETS)))
+        keys = np.r_[np.unique(lm.strings_of(np.frombuffer(b"the cat sat on the mat", np.uint8), np.array([0, 22]))[0]), [m for m in every if m not in lm.strings_of(np.frombuffer(b"the cat sat on the mat", np.uint8), np.array([0, 22]))[0]]]
+        assert (10 ** logs[np.isin(keys, every)]).sum() == pytest.approx(1, abs=1e-6)
+
+
+def plain_scores(rows, weights, refined):
+    """Scores by plain loops over every bit of every text, counts in dictionaries."""
+    import math
+    import re
+    from collections import Counter
+
+    def spelled(t):
+        return (" ".join(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))) + "\n").encode()
+
+    def bits(t):
+        raw = b"\n" * 5 + spelled(t)
+        for p in range(5, len(raw)):
+            begin = max(raw.rfind(b" ", 0, p), raw.rfind(b"\n", 0, p)) + 1
+            contexts = [raw[p - k : p] for k in range(6)] + [raw[p - 1 : p] if begin == p else b"word:" + raw[begin - (begin == p - 1) : p]]
+            for i in range(8):
+                yield min(p - begin, 5), i, [(c, i, raw[p] >> (8 - i)) for c in contexts], (raw[p] >> (7 - i)) & 1
+
+    seen: list = [Counter(), Counter()]
+    for d, t in rows:
+        if not held(d):
+            for *_, nodes, bit in bits(t):
+                seen[bit].update(set(enumerate(nodes)))
+    out = {}
+    for d, t in rows:
+        total = 0.0
+        for place, i, nodes, bit in bits(t):
+            n = [(seen[0][k, x], seen[1][k, x]) for k, x in enumerate(nodes)]
+            longest = max([k for k in range(1, 6) if sum(n[k])], default=0)
+            gate = ((longest * 6 + place) * 2 + (sum(n[6]) > 0)) * 8 + i
+            z = sum(w * math.log((b + lm.PRIOR) / (a + lm.PRIOR)) for w, (a, b) in zip(weights[gate], n)) + weights[gate][-1]
+            z = min(max(z, -lm.STRETCH), lm.STRETCH)
+            at = (z + lm.STRETCH) * (lm.BUCKETS - 1) / (2 * lm.STRETCH)
+            low = min(int(at), lm.BUCKETS - 2)
+            p = 0.5 / (1 + math.exp(-z)) + 0.5 * (refined[gate][low] * (1 - at + low) + refined[gate][low + 1] * (at - low))
+            total += math.log10(p if bit else 1 - p)
+        out[d] = total
+    return out
 
 
-def test_a_memory_of_few_slots_changes_nothing():
+def test_scores_against_plain_loops(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    weights, refined = rng.normal(size=(lm.GATES, lm.INPUTS)) / 3, 0.05 + 0.9 * rng.random((lm.GATES, lm.BUCKETS))
+    monkeypatch.setattr(lm, "learn", lambda packs, pairs: (weights, refined))
+    monkeypatch.setattr(lm, "PACK", 300)
+    monkeypatch.setattr(lm, "FREQUENT_STRINGS", 200)  # the others are joined
+    words = ["alpha", "Alphabet", "alphabetical", "no", "é", "extraordinarily", "extraordinary", "of", "x1"]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.integers(0, 25)))) for i in range(40)] + [(90, None), (91, ""), (92, " a\n\tb "), (93, "never seen")]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    want = plain_scores(rows, weights, refined)
+    assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], abs=1e-5) for d in want)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.unionByName(docs.limit(20).withColumn("doc_id", docs.doc_id + 100_000))
+    one = {r.doc_id: (r.score, r.base_score) for r in lm.score(docs.repartition(3)).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "17")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        two = {r.doc_id: (r.score, r.base_score) for r in lm.score(docs.repartition(11)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert one.keys() == two.keys() and all(one[d] == pytest.approx(two[d], rel=1e-6) for d in one)
+    assert all(one[d - 100_000] == pytest.approx(one[d], rel=1e-9) for d in one if d >= 100_000)
+
+
+def test_lookup_finds_all_keys():
     rng = np.random.default_rng(0)
-    odds = [rng.normal(size=1 << b).astype(np.float16) for b in lm.TABLE_BITS]
-    model = odds, rng.normal(size=(lm.GATES, lm.PREDICTORS)).astype(np.float32), np.full((lm.GATES, lm.BUCKETS), 0.5)
-    scorer = lm._Scorer(model)
-    for n in (1000, 50_000, 300):
-        gram = rng.integers(0, 40_000, n).astype(np.uint64)
-        assert np.allclose(scorer(gram), lm.log10_probability(gram, *model), atol=1e-5)
+    keys = np.unique(rng.integers(0, 2**63, 50_000).astype(np.uint64))
+    table = lm._Lookup(keys, np.arange(len(keys), dtype=float))
+    values, known = table(np.r_[keys, keys + np.uint64(1)])
+    assert known[: len(keys)].all() and np.array_equal(values[: len(keys)], np.arange(len(keys))) and known[len(keys) :].mean() < 0.01
+    assert not lm._Lookup(keys[:0], np.zeros(0))(keys)[1].any()
 
 
 def test_better_than_the_base_on_held_out_text(spark):
-    """From some millions of training words on; with 0.3 million (sf0.01) the base is 3 % better."""
-    rows = lm.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).filter("held_out").collect()
+    """With 0.3 million training words already."""
+    rows = lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_null_ids_very_long_and_repeated_texts(spark):
+    long = "word " * 300_000 + "x" * 1_000_000
+    got = lm.score(spark.createDataFrame([(2, long), (2, long), (None, "a b"), (3, None)], "doc_id long, text string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, set()).add((r.n_tokens, r.score, r.held_out))
+    assert len(got) == 4 and len(by[2]) == 1 and next(iter(by[2]))[0] == 300_002 and by[None] == {(3, next(iter(by[None]))[1], False)}
+
+
 def test_empty_table(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
