@@ -7,11 +7,12 @@ the weights that mix them; the weights are learned online, shard after shard of
 probability by what it has meant so far. The bits sum to the text's probability, so score is a log10 probability of the same
 token sequence that the unigram base scores.
 
-What is gathered grows with the input and stays distributed: a row for each distinct string (a byte with its contexts) of all
-texts, with how often it occurs. Rows that share the last two bytes of context are packed together, so every count of orders
+What is gathered grows with the input and stays distributed: a row for each distinct word, and for each distinct string (a
+byte with its contexts) of all texts, with how often it occurs. Beyond five letters into a word a byte's contexts lie within
+the word, so those strings come from the distinct words, and a word's part beyond five letters has one value. Strings that share the last two bytes of context are packed together, so every count of orders
 2 to 5 and of the word so far is exact and local; only the 65,536 sums of orders 0 and 1 go everywhere. Each distinct string
-is scored once, on the cluster. Texts are then read once more: the most frequent strings are looked up in a broadcast of
-bounded size, all others are joined.
+is scored once, on the cluster. Texts are then read once more: the most frequent strings and words are looked up in a broadcast
+of bounded size, all others are joined.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import _BYTE, LOWER, NOT_SPACE, U64, crc_mod, discard, settle, slices, span_hashes, word_hashes, word_spans
+from .shared import _BYTE, LOWER, NOT_SPACE, U64, crc_mod, discard, mix, settle, slices, span_hashes, word_hashes, word_spans
 
 ORDER = 5
 PREDICTORS = ORDER + 2
@@ -41,9 +42,9 @@ FIRST_WEIGHTS = (0.0, 0.05, 0.1, 0.2, 0.3, 0.4, 0.3, 0.0)
 #: Distinct strings that are packed together on average (the strings after one pair of bytes are never split).
 PACK = 60_000
 #: Distinct words, and strings, whose values are broadcast, at most; the others are joined.
-FREQUENT_WORDS, FREQUENT_STRINGS = 300_000, 2_000_000
+FREQUENT_WORDS, FREQUENT_STRINGS = 400_000, 1_200_000
 #: Distinct strings or words that a task holds before it hands them on.
-HOLD = 700_000
+HOLD = 400_000
 SLICE = 1_500_000
 END = 0x5EED5EED
 
@@ -53,102 +54,150 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[10, 32]] = True
 
 
-def strings_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every coded byte: a key of it and its contexts, its window of six bytes (the lowest is the coded one), its text.
+def _windows(flat: np.ndarray) -> np.ndarray:
+    """At every byte the last six, the byte itself in the low eight bits."""
+    window = np.zeros(len(flat), U64)
+    for j in range(ORDER + 1):
+        window[j:] |= flat[: len(flat) - j].astype(U64) << U64(8 * j)
+    return window
 
-    Up to five bytes into a word the window says all, and is the key; further on the key is a hash of the whole word so far,
-    with the coded byte in the low eight bits and ones in the high eight."""
+
+def strings_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of all coded bytes that stand less than ORDER letters into a word, the text of each, and how many bytes
+    every text has when it is spelled. These windows say all about their bytes, and are their keys."""
     raw, cuts = LOWER[data].tobytes(), off.tolist()
     texts = [b" ".join(raw[a:b].split()) + b"\n" for a, b in zip(cuts, cuts[1:], strict=False)]
     flat = np.frombuffer(_PAD + _PAD.join(texts), np.uint8)
     size = np.array([len(t) for t in texts], np.int64)
     at = np.arange(int(size.sum())) + np.repeat(np.arange(1, len(size) + 1) * ORDER, size)
-    window = np.zeros(len(flat), U64)
-    for j in range(ORDER + 1):
-        window[j:] |= flat[: len(flat) - j].astype(U64) << U64(8 * j)
     begin = np.maximum.accumulate(np.where(_BREAK[flat], np.arange(len(flat)), 0))[at - 1] + 1
-    window = window[at]
-    key = window.copy()
-    deep = np.flatnonzero(at - begin >= ORDER)
-    word = span_hashes(_BYTE[flat], begin[deep], at[deep], 3)
-    key[deep] = _DEEP | (word & U64(0x00FFFFFFFFFFFF00)) | (window[deep] & U64(255))
-    return key, window, np.repeat(np.arange(len(size)), size)
+    short = at - begin < ORDER
+    return _windows(flat)[at[short]], np.repeat(np.arange(len(size)), size)[short], size
+
+
+def deep_strings(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words with the break behind them: for every byte from ORDER letters on a key - a hash of the whole word so far, the
+    byte in the low eight bits and ones in the high eight -, its window, and its word."""
+    size = np.maximum(np.diff(off) - ORDER, 0)
+    of = np.repeat(np.arange(len(size)), size)
+    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + off[of] + ORDER
+    so_far = span_hashes(_BYTE[flat], off[of], at, 3)
+    return _DEEP | (so_far & U64(0x00FFFFFFFFFFFF00)) | flat[at].astype(U64), _windows(flat)[at], of
+
+
+def tokens_of(data: np.ndarray, off: np.ndarray):
+    """Of every token of the texts - words, then an end - a hash, a key (a text's last word has another one than the same
+    word elsewhere, as another break follows), and start and end in data; and the offset of each text's first token."""
+    start, end, first = word_spans(data, off, NOT_SPACE)
+    n = len(off) - 1
+    place = np.arange(len(start)) + np.repeat(np.arange(n), np.diff(first))
+    spans = np.zeros((2, len(start) + n), np.int64)
+    spans[:, place] = start, end
+    word = np.full(len(start) + n, END, U64)
+    word[place] = word_hashes(LOWER[data], start, end)
+    first = first + np.arange(n + 1)
+    last = np.zeros(len(word) + 1, bool)
+    last[first[1:] - 2] = True  # the token before each end
+    last[first[1:] - 1] = False
+    return word, np.where(word == END, word, mix(word + last[:-1].astype(U64))), spans, last[:-1], first
+
+
+def _runs(v: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
 
 
 class _Tally:
-    """How often each key came, with a companion of the key, in lots."""
+    """How often each key came, with what belongs to the key, in lots."""
 
     def __init__(self):
         self.parts, self.held = [], 0
 
-    def add(self, key, other=None, n=None):
-        if other is None and n is None:
+    def add(self, key, n, *others):
+        """One of each key's rows; n sums up (None: each is one)."""
+        if n is None and not others:
             v = np.sort(key)
-            first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
-            part = v[first], v[first], np.diff(np.append(first, len(v)))
+            first = _runs(v)
+            part = [v[first], np.diff(np.append(first, len(v)))]
         else:
             order = np.argsort(key, kind="stable")
             v = key[order]
-            first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
-            n = np.ones(len(v), np.int64) if n is None else n[order]
-            part = v[first], other[order][first], np.add.reduceat(n, first) if len(v) else n
+            first = _runs(v)
+            part = [v[first], np.add.reduceat((np.ones(len(v), np.int64) if n is None else n)[order], first) if len(v) else n, *(o[order[first]] for o in others)]
         self.parts.append(part)
         self.held += len(part[0])
 
-    def merged(self):
+    def lot(self, most: int = 0):
+        """All that is held, merged; or None if that is at most `most` keys, which stay."""
         if len(self.parts) > 1:
-            key, other, n = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
+            merged = [np.concatenate(x) for x in zip(*self.parts, strict=True)]
             self.parts, self.held = [], 0
-            self.add(key, other, n)
-
-    def lot(self, kind: int, train: bool):
-        self.merged()
-        key, other, n = self.parts[0] if self.parts else (np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64))
-        self.parts, self.held = [], 0
-        columns = [pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(other.view(np.int64)), pa.array(n * train), pa.array(n)]
-        return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "window", "n", "m"])
-
-
-def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every token of the texts - words, then an end - and the offset of each text's first token."""
-    start, end, first = word_spans(data, off, NOT_SPACE)
-    h = word_hashes(LOWER[data], start, end)
-    n = len(off) - 1
-    out = np.full(len(h) + n, END, U64)
-    out[np.arange(len(h)) + np.repeat(np.arange(n), np.diff(first))] = h
-    return out, first + np.arange(n + 1)
+            self.add(*merged)
+        if not self.parts or self.held <= most:
+            return None
+        part, self.parts, self.held = self.parts[0], [], 0
+        return part
 
 
 STRING, WORD = 0, 1
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """(kind, key, window, n, m) over all texts of rows (text, held_out): strings, and tokens by a 64-bit hash, with how often
-    they occur in training texts and in all. Tasks sum up first, in bounded lots."""
+    """(kind, key, window, letters, n, m) over all texts of rows (text, held_out): strings up to five letters into a word, and
+    tokens with their hash (as window) and letters; n and m say how often they occur in training texts and in all.
+    Tasks sum up first, in bounded lots."""
+
+    def batch(kind, train, key, n, word=None, letters=None):
+        columns = [pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array((key if word is None else word).view(np.int64))]
+        columns += [pa.nulls(len(key), pa.binary()) if letters is None else pa.array(letters, pa.binary()), pa.array(n * train), pa.array(n)]
+        return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "window", "letters", "n", "m"])
 
     def run(batches):
         held = {(kind, train): _Tally() for kind in (STRING, WORD) for train in (True, False)}
         for piece, data, off in slices(batches, most=SLICE):
             train = ~np.array(piece.column(1).to_pylist(), bool)
-            key, window, of = strings_of(data, off)
-            token, first = words_of(data, off)
-            deep = key >= _DEEP
+            window, of, _ = strings_of(data, off)
+            word, key, (start, end), last, first = tokens_of(data, off)
+            raw, text = LOWER[data].tobytes(), np.repeat(np.arange(len(train)), np.diff(first))
             for which in (True, False):
-                mine = (train == which)[of]
-                if mine.any():
-                    held[STRING, which].add(key[mine & ~deep])
-                    held[STRING, which].add(key[mine & deep], window[mine & deep])
-                    held[WORD, which].add(token[np.repeat(train == which, np.diff(first))])
+                held[STRING, which].add(window[(train == which)[of]], None)
+                mine = np.flatnonzero((train == which)[text])
+                distinct, at, n = np.unique(key[mine], return_index=True, return_counts=True)
+                at = mine[at]
+                letters = np.empty(len(at), object)
+                letters[:] = [raw[a:b] + (b"\n" if z else b" ") if b > a else b"" for a, b, z in zip(start[at].tolist(), end[at].tolist(), last[at].tolist(), strict=True)]
+                held[WORD, which].add(distinct, n, word[at], letters)
             for (kind, which), t in held.items():
                 if t.held > 2 * HOLD:
-                    t.merged()
-                    if t.held > HOLD:
-                        yield t.lot(kind, which)
+                    part = t.lot(HOLD)
+                    if part:
+                        yield batch(kind, which, *part)
         for (kind, which), t in held.items():
-            yield t.lot(kind, which)
+            part = t.lot()
+            if part:
+                yield batch(kind, which, *part)
 
-    sums = rows.select("text", "held_out").mapInArrow(run, "kind int, key long, window long, n long, m long")
-    return sums.groupBy("kind", "key").agg(F.min("window").alias("window"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+    sums = rows.select("text", "held_out").mapInArrow(run, "kind int, key long, window long, letters binary, n long, m long")
+    return sums.groupBy("kind", "key").agg(F.min("window").alias("window"), F.min("letters").alias("letters"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def deep(words: DataFrame, of_words: bool) -> DataFrame:
+    """The strings beyond five letters of distinct words (key, letters, n, m): each with its window and the word's counts,
+    summed (key, window, n, m); or with its word (word, key)."""
+
+    def run(batches):
+        for piece, flat, off in slices(batches, "letters", SLICE // 4):
+            key, window, of = deep_strings(flat, off)
+            if of_words:
+                columns, names = [piece.column(0).take(pa.array(of)), pa.array(key.view(np.int64))], ["word", "key"]
+            else:
+                columns, names = [pa.array(key.view(np.int64)), pa.array(window.view(np.int64)), *(piece.column(i).take(pa.array(of)) for i in (2, 3))], ["key", "window", "n", "m"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    rows = words.select("key", "letters", "n", "m").filter(F.octet_length("letters") > ORDER)
+    if of_words:
+        return rows.mapInArrow(run, "word long, key long")
+    return rows.mapInArrow(run, "key long, window long, n long, m long").groupBy("key").agg(F.min("window").alias("window"), F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def packed(strings: DataFrame) -> DataFrame:
@@ -377,12 +426,12 @@ def _least(table: DataFrame, column: str, room: int) -> int:
 
 
 class _Lookup:
-    """Values of keys: a hash of a key names a slot that holds one key's place; others are searched."""
+    """Places of keys: a hash of a key names a slot that holds one key's place; others are searched."""
 
     last: tuple = (None, None)
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values = np.append(keys, U64(2**64 - 1)), np.append(values, 0.0)
+    def __init__(self, keys: np.ndarray, *values: np.ndarray):
+        self.keys, self.values = np.append(keys, U64(2**64 - 1)), [np.append(v, 0.0) for v in values]
         self.bits = max(4, int(len(keys)).bit_length() + 1)
         self.slot = np.full(1 << self.bits, len(keys), np.int32)
         self.slot[self._slot(keys)] = np.arange(len(keys), dtype=np.int32)
@@ -397,23 +446,28 @@ class _Lookup:
     def _slot(self, key):
         return ((key * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
 
-    def __call__(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The values, 0 where there is none, and which keys have one."""
+    def __call__(self, key: np.ndarray) -> tuple[np.ndarray, list]:
+        """Which keys are here, and their values (0 where they are not)."""
         at = self.slot[self._slot(key)]
-        known = self.keys[at] == key
-        lost = np.flatnonzero(~known)
+        lost = np.flatnonzero(self.keys[at] != key)
         if len(lost):
-            at[lost] = np.searchsorted(self.keys[:-1], key[lost])
-            known[lost] = self.keys[at[lost]] == key[lost]
-        return np.where(known, self.values[at], 0.0), known
+            place = np.searchsorted(self.keys[:-1], key[lost])
+            at[lost] = np.where(self.keys[place] == key[lost], place, len(self.keys) - 1)
+        return at < len(self.keys) - 1, [v[at] for v in self.values]
+
 
+def _frequent(table: DataFrame, values: list[str]) -> list[np.ndarray]:
+    """Keys, ascending, and values (doubles) of table; they come to the driver as bytes, not as rows."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_numpy().tobytes()], pa.binary()), pa.array([np.stack([c.to_numpy() for c in b.columns[1:]]).tobytes()], pa.binary())], names=["k", "v"])
 
-def _frequent(table: DataFrame, least: int, column: str, value) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, ascending, and values of the rows from `least` on."""
-    got = table.filter(F.col(column) >= least).select("key", value.alias("value")).toPandas()
-    keys = got["key"].to_numpy(np.int64).view(U64)
+    lots = [(r.k, r.v) for r in table.select("key", *(F.col(v).cast("double") for v in values)).mapInArrow(run, "k binary, v binary").toLocalIterator()]
+    keys = np.concatenate([np.frombuffer(k, U64) for k, _ in lots] or [np.zeros(0, U64)])
+    columns = np.concatenate([np.frombuffer(v).reshape(len(values), -1) for _, v in lots] or [np.zeros((len(values), 0))], axis=1)
     order = np.argsort(keys)
-    return keys[order], got["value"].to_numpy(float)[order]
+    return [keys[order], *(c[order] for c in columns)]
 
 
 def _lists(values: np.ndarray, doc: np.ndarray, n: int):
@@ -431,48 +485,56 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (crc_mod(F.col(id_col).cast("long"), fold) == 1).alias("held_out"))
     found = settle(counted(rows))
-    strings, words = found.filter(F.col("kind") == STRING).drop("kind"), found.filter((F.col("kind") == WORD) & (F.col("n") > 0)).select("key", "n")
+    words = found.filter(F.col("kind") == WORD).select("key", F.col("window").alias("word"), "letters", "n", "m")
+    strings = settle(found.filter(F.col("kind") == STRING).select("key", "window", "n", "m").unionByName(deep(words, False)))
     pairs = spark.sparkContext.broadcast(first_orders(strings))
     packs = settle(packed(strings))
     weights, refined = learn(packs, pairs)
     values = settle(scored(packs, pairs, weights, refined))
 
-    sums = words.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
+    # of every token: how often its word occurs in training texts, and the value of its part beyond five letters
+    beyond = deep(words, True).join(values.filter("key < 0").select("key", "value"), "key").groupBy(F.col("word").alias("key")).agg(F.sum("value").alias("beyond"))
+    often = words.groupBy("word").agg(F.sum("n").alias("c"))
+    tokens = settle(words.select("key", "word", "m").join(often, "word").join(beyond, "key", "left").select("key", "m", "c", F.coalesce("beyond", F.lit(0.0)).alias("beyond")))
+    sums = often.filter("c > 0").agg(F.sum("c").alias("total"), F.count("*").alias("distinct")).first()
     total, below = sums.total or 0, (sums.total or 0) + 0.5 * (sums.distinct + 1)
-    word_least, string_least = _least(words, "n", FREQUENT_WORDS), _least(values, "m", FREQUENT_STRINGS)
-    base = F.log10((F.col("n") + 0.5) / F.lit(float(below)))
-    name, known = uuid.uuid4().hex, spark.sparkContext.broadcast((_frequent(words, word_least, "n", base), _frequent(values, string_least, "m", F.col("value"))))
+    base = F.log10((F.col("c") + 0.5) / F.lit(float(below)))
+    tokens, short = tokens.withColumn("base", base).withColumn("seen", (F.col("c") > 0).cast("double")), values.filter("key >= 0")
+    token_least, string_least = _least(tokens, "m", FREQUENT_WORDS), _least(short, "m", FREQUENT_STRINGS)
+    here = _frequent(tokens.filter(F.col("m") >= token_least), ["base", "beyond", "seen"]), _frequent(short.filter(F.col("m") >= string_least), ["value"])
+    name, known = uuid.uuid4().hex, spark.sparkContext.broadcast(here)
+    del here
 
     def run(batches):
-        in_words, in_strings = _Lookup.of(name, known)
+        in_tokens, in_strings = _Lookup.of(name, known)
         for piece, data, off in slices(batches, most=SLICE):
             n = len(off) - 1
-            key, _, of = strings_of(data, off)
-            fit, fit_known = in_strings(key)
-            token, first = words_of(data, off)
+            window, of, size = strings_of(data, off)
+            near, (fit,) = in_strings(window)
+            _, key, _, _, first = tokens_of(data, off)
             doc = np.repeat(np.arange(n), np.diff(first))
-            base, base_known = in_words(token)
-            columns = [piece.column(0), piece.column(2), pa.array(np.diff(first)), pa.array(np.bincount(doc[base_known], minlength=n)), pa.array(np.bincount(doc, weights=base, minlength=n))]
-            columns += [pa.array(np.bincount(of, weights=fit, minlength=n)), pa.array(np.bincount(of, minlength=n)), _lists(token[~base_known], doc[~base_known], n), _lists(key[~fit_known], of[~fit_known], n)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "bytes", "words", "strings"])
+            there, (base, beyond, seen) = in_tokens(key)
+            total = lambda at, v: np.bincount(at, weights=v, minlength=n)
+            columns = [piece.column(0), piece.column(2), pa.array(np.diff(first)), pa.array(total(doc, seen).astype(np.int64)), pa.array(total(doc, base))]
+            columns += [pa.array(total(of, fit) + total(doc, beyond)), pa.array(size), _lists(key[~there], doc[~there], n), _lists(window[~near], of[~near], n)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "bytes", "tokens", "strings"])
 
-    result = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, bytes long, words array<long>, strings array<long>"
+    result = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, bytes long, tokens array<long>, strings array<long>"
     part = settle(rows.mapInArrow(run, result).withColumn("row", F.monotonically_increasing_id()))
-    odd = part.select("row", F.explode("words").alias("key")).groupBy("key", "row").agg(F.count("*").alias("c"))
-    more_words = odd.join(words.filter(F.col("n") < word_least), "key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    more_words = more_words.groupBy("row").agg(F.sum(F.col("c") * base).alias("more_base"), F.sum(F.when(F.col("n") > 0, F.col("c")).otherwise(0)).alias("more_known"))
-    odd = part.select("row", F.explode("strings").alias("key"))
-    more_strings = odd.join(values.filter(F.col("m") < string_least).select("key", "value"), "key").groupBy("row").agg(F.sum("value").alias("more_score"))
-    whole = part.join(more_words, "row", "left").join(more_strings, "row", "left")
-    discard(packs)
-    mine = F.col("score") + F.coalesce("more_score", F.lit(0.0))
+    rare = tokens.filter(F.col("m") < token_least).select("key", "base", "beyond", "seen")
+    more_tokens = part.select("row", F.explode("tokens").alias("key")).join(rare, "key").groupBy("row").agg(F.sum("base").alias("more_base"), F.sum("beyond").alias("more_beyond"), F.sum("seen").alias("more_known"))
+    rare = short.filter(F.col("m") < string_least).select("key", "value")
+    more_strings = part.select("row", F.explode("strings").alias("key")).join(rare, "key").groupBy("row").agg(F.sum("value").alias("more_score"))
+    whole = part.join(more_tokens, "row", "left").join(more_strings, "row", "left").fillna(0.0, ["more_base", "more_beyond", "more_known", "more_score"])
+    discard(found, strings, packs)
+    mine = F.col("score") + F.col("more_score") + F.col("more_beyond")
     return whole.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        (F.col("known") + F.col("more_known")).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
+        (F.col("base") + F.col("more_base")).alias("base_score"),
         F.round(mine, 7).alias("score"),
         (-mine / F.log10(F.lit(2.0)) / F.col("bytes")).alias("bits_per_byte"),
     )
