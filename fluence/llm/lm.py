@@ -1,18 +1,17 @@
 """Language-model scores by logistic context mixing.
 
 Text is spelled as its lower-cased words, one space between them and a newline at the end, and coded bit by bit. Seven
-predictors - after the last 0 to 5 bytes, and after the whole word so far, by its hash - give the log odds of the bits that
-followed in training. A gate (bit number, longest context that has been seen, place in the word, word beginning seen) selects
-the weights that mix them; the weights are learned online, shard after shard of the contexts. A last stage refines the mixed
-probability by what it has meant so far. The bits sum to the text's probability, so score is a log10 probability of the same
-token sequence that the unigram base scores.
-
-What is gathered grows with the input and stays distributed: a row for each distinct word, and for each distinct string (a
-byte with its contexts) of all texts, with how often it occurs. Beyond five letters into a word a byte's contexts lie within
-the word, so those strings come from the distinct words, and a word's part beyond five letters has one value. Strings that share the last two bytes of context are packed together, so every count of orders
-2 to 5 and of the word so far is exact and local; only the 65,536 sums of orders 0 and 1 go everywhere. Each distinct string
-is scored once, on the cluster. Texts are then read once more: the most frequent strings and words are looked up in a broadcast
-of bounded size, all others are joined.
+predictors - after the last 0 to 5 bytes, and after the word so far (its last five letters) - give the log odds of the bits
+that followed in training. A gate (bit number, longest context that has been seen, place in the word, word so far seen)
+selects the weights that mix them; the weights are learned online, shard after shard of the contexts. A last stage refines the
+mixed probability by what it has meant so far. The bits sum to the text's probability, so score is a log10 probability of the
+same token sequence that the unigram base scores.
+
+What is gathered grows with the input and stays distributed: a row for each distinct string (a byte with the five before it)
+of all texts, with how often it occurs. Strings that share the last two bytes of context are packed together, so every count
+of orders 2 to 5 and of the word so far is exact and local; only the 65,536 sums of orders 0 and 1 go everywhere. Each distinct
+string is scored once, on the cluster. Texts are then read once more: the most frequent strings and words are looked up in a
+broadcast of bounded size, all others are joined.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import _BYTE, LOWER, NOT_SPACE, U64, crc_mod, discard, mix, settle, slices, span_hashes, word_hashes, word_spans
+from .shared import LOWER, NOT_SPACE, U64, crc_mod, discard, settle, slices, word_hashes, word_spans
 
 ORDER = 5
 PREDICTORS = ORDER + 2
@@ -42,14 +41,13 @@ FIRST_WEIGHTS = (0.0, 0.05, 0.1, 0.2, 0.3, 0.4, 0.3, 0.0)
 #: Distinct strings that are packed together on average (the strings after one pair of bytes are never split).
 PACK = 60_000
 #: Distinct words, and strings, whose values are broadcast, at most; the others are joined.
-FREQUENT_WORDS, FREQUENT_STRINGS = 400_000, 1_200_000
+FREQUENT_WORDS, FREQUENT_STRINGS = 300_000, 1_000_000
 #: Distinct strings or words that a task holds before it hands them on.
 HOLD = 400_000
 SLICE = 1_500_000
 END = 0x5EED5EED
 
 _PAD = b"\n" * ORDER
-_DEEP = U64(0xFF << 56)
 _BREAK = np.zeros(256, bool)
 _BREAK[[10, 32]] = True
 
@@ -62,44 +60,24 @@ def _windows(flat: np.ndarray) -> np.ndarray:
     return window
 
 
-def strings_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of all coded bytes that stand less than ORDER letters into a word, the text of each, and how many bytes
-    every text has when it is spelled. These windows say all about their bytes, and are their keys."""
+def strings_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The window of every coded byte, and the text it belongs to."""
     raw, cuts = LOWER[data].tobytes(), off.tolist()
     texts = [b" ".join(raw[a:b].split()) + b"\n" for a, b in zip(cuts, cuts[1:], strict=False)]
     flat = np.frombuffer(_PAD + _PAD.join(texts), np.uint8)
     size = np.array([len(t) for t in texts], np.int64)
     at = np.arange(int(size.sum())) + np.repeat(np.arange(1, len(size) + 1) * ORDER, size)
-    begin = np.maximum.accumulate(np.where(_BREAK[flat], np.arange(len(flat)), 0))[at - 1] + 1
-    short = at - begin < ORDER
-    return _windows(flat)[at[short]], np.repeat(np.arange(len(size)), size)[short], size
+    return _windows(flat)[at], np.repeat(np.arange(len(size)), size)
 
 
-def deep_strings(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of words with the break behind them: for every byte from ORDER letters on a key - a hash of the whole word so far, the
-    byte in the low eight bits and ones in the high eight -, its window, and its word."""
-    size = np.maximum(np.diff(off) - ORDER, 0)
-    of = np.repeat(np.arange(len(size)), size)
-    at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + off[of] + ORDER
-    so_far = span_hashes(_BYTE[flat], off[of], at, 3)
-    return _DEEP | (so_far & U64(0x00FFFFFFFFFFFF00)) | flat[at].astype(U64), _windows(flat)[at], of
-
-
-def tokens_of(data: np.ndarray, off: np.ndarray):
-    """Of every token of the texts - words, then an end - a hash, a key (a text's last word has another one than the same
-    word elsewhere, as another break follows), and start and end in data; and the offset of each text's first token."""
+def tokens_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every token of the texts - words, then an end - and the offset of each text's first token."""
     start, end, first = word_spans(data, off, NOT_SPACE)
+    h = word_hashes(LOWER[data], start, end)
     n = len(off) - 1
-    place = np.arange(len(start)) + np.repeat(np.arange(n), np.diff(first))
-    spans = np.zeros((2, len(start) + n), np.int64)
-    spans[:, place] = start, end
-    word = np.full(len(start) + n, END, U64)
-    word[place] = word_hashes(LOWER[data], start, end)
-    first = first + np.arange(n + 1)
-    last = np.zeros(len(word) + 1, bool)
-    last[first[1:] - 2] = True  # the token before each end
-    last[first[1:] - 1] = False
-    return word, np.where(word == END, word, mix(word + last[:-1].astype(U64))), spans, last[:-1], first
+    out = np.full(len(h) + n, END, U64)
+    out[np.arange(len(h)) + np.repeat(np.arange(n), np.diff(first))] = h
+    return out, first + np.arange(n + 1)
 
 
 def _runs(v: np.ndarray) -> np.ndarray:
@@ -108,24 +86,23 @@ def _runs(v: np.ndarray) -> np.ndarray:
 
 
 class _Tally:
-    """How often each key came, with what belongs to the key, in lots."""
+    """How often each key came, in lots."""
 
     def __init__(self):
         self.parts, self.held = [], 0
 
-    def add(self, key, n, *others):
-        """One of each key's rows; n sums up (None: each is one)."""
-        if n is None and not others:
+    def add(self, key, n=None):
+        if n is None:
             v = np.sort(key)
             first = _runs(v)
-            part = [v[first], np.diff(np.append(first, len(v)))]
+            n = np.diff(np.append(first, len(v)))
         else:
             order = np.argsort(key, kind="stable")
             v = key[order]
             first = _runs(v)
-            part = [v[first], np.add.reduceat((np.ones(len(v), np.int64) if n is None else n)[order], first) if len(v) else n, *(o[order[first]] for o in others)]
-        self.parts.append(part)
-        self.held += len(part[0])
+            n = np.add.reduceat(n[order], first) if len(v) else n
+        self.parts.append((v[first], n))
+        self.held += len(first)
 
     def lot(self, most: int = 0):
         """All that is held, merged; or None if that is at most `most` keys, which stay."""
@@ -143,66 +120,36 @@ STRING, WORD = 0, 1
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """(kind, key, window, letters, n, m) over all texts of rows (text, held_out): strings up to five letters into a word, and
-    tokens with their hash (as window) and letters; n and m say how often they occur in training texts and in all.
-    Tasks sum up first, in bounded lots."""
+    """(kind, key, n, m) over all texts of rows (text, held_out): strings by their windows, and tokens by a 64-bit hash; n and
+    m say how often they occur in training texts and in all. Tasks sum up first, in bounded lots."""
 
-    def batch(kind, train, key, n, word=None, letters=None):
-        columns = [pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array((key if word is None else word).view(np.int64))]
-        columns += [pa.nulls(len(key), pa.binary()) if letters is None else pa.array(letters, pa.binary()), pa.array(n * train), pa.array(n)]
-        return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "window", "letters", "n", "m"])
+    def batch(kind, train, key, n):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(n * train), pa.array(n)], names=["kind", "key", "n", "m"])
 
     def run(batches):
         held = {(kind, train): _Tally() for kind in (STRING, WORD) for train in (True, False)}
         for piece, data, off in slices(batches, most=SLICE):
             train = ~np.array(piece.column(1).to_pylist(), bool)
-            window, of, _ = strings_of(data, off)
-            word, key, (start, end), last, first = tokens_of(data, off)
-            raw, text = LOWER[data].tobytes(), np.repeat(np.arange(len(train)), np.diff(first))
+            window, of = strings_of(data, off)
+            token, first = tokens_of(data, off)
             for which in (True, False):
-                held[STRING, which].add(window[(train == which)[of]], None)
-                mine = np.flatnonzero((train == which)[text])
-                distinct, at, n = np.unique(key[mine], return_index=True, return_counts=True)
-                at = mine[at]
-                letters = np.empty(len(at), object)
-                letters[:] = [raw[a:b] + (b"\n" if z else b" ") if b > a else b"" for a, b, z in zip(start[at].tolist(), end[at].tolist(), last[at].tolist(), strict=True)]
-                held[WORD, which].add(distinct, n, word[at], letters)
+                held[STRING, which].add(window[(train == which)[of]])
+                held[WORD, which].add(token[np.repeat(train == which, np.diff(first))])
             for (kind, which), t in held.items():
-                if t.held > 2 * HOLD:
-                    part = t.lot(HOLD)
-                    if part:
-                        yield batch(kind, which, *part)
+                part = t.lot(HOLD) if t.held > 2 * HOLD else None
+                if part:
+                    yield batch(kind, which, *part)
         for (kind, which), t in held.items():
             part = t.lot()
             if part:
                 yield batch(kind, which, *part)
 
-    sums = rows.select("text", "held_out").mapInArrow(run, "kind int, key long, window long, letters binary, n long, m long")
-    return sums.groupBy("kind", "key").agg(F.min("window").alias("window"), F.min("letters").alias("letters"), F.sum("n").alias("n"), F.sum("m").alias("m"))
-
-
-def deep(words: DataFrame, of_words: bool) -> DataFrame:
-    """The strings beyond five letters of distinct words (key, letters, n, m): each with its window and the word's counts,
-    summed (key, window, n, m); or with its word (word, key)."""
-
-    def run(batches):
-        for piece, flat, off in slices(batches, "letters", SLICE // 4):
-            key, window, of = deep_strings(flat, off)
-            if of_words:
-                columns, names = [piece.column(0).take(pa.array(of)), pa.array(key.view(np.int64))], ["word", "key"]
-            else:
-                columns, names = [pa.array(key.view(np.int64)), pa.array(window.view(np.int64)), *(piece.column(i).take(pa.array(of)) for i in (2, 3))], ["key", "window", "n", "m"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    rows = words.select("key", "letters", "n", "m").filter(F.octet_length("letters") > ORDER)
-    if of_words:
-        return rows.mapInArrow(run, "word long, key long")
-    return rows.mapInArrow(run, "key long, window long, n long, m long").groupBy("key").agg(F.min("window").alias("window"), F.sum("n").alias("n"), F.sum("m").alias("m"))
+    return rows.select("text", "held_out").mapInArrow(run, "kind int, key long, n long, m long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def packed(strings: DataFrame) -> DataFrame:
-    """strings (key, window, n, m) with all that share the last two bytes of context in one row: part, shard, strings (four
-    longs each)."""
+    """strings (key, n, m) with all that share the last two bytes of context in one row: part, shard, strings (all keys,
+    ascending, then all n, then all m, as longs)."""
     parts = max(SHARDS, -(-strings.count() // PACK))
 
     def run(batches):
@@ -210,21 +157,21 @@ def packed(strings: DataFrame) -> DataFrame:
         if not held:
             return
         part, *columns = (c.to_numpy() for c in pa.concat_tables(held).columns)
-        order = np.argsort(part, kind="stable")
-        whole = np.stack([c[order] for c in columns], axis=1)
+        order = np.lexsort((columns[0], part))
+        whole = np.stack([c[order] for c in columns])
         ids, first = np.unique(part[order], return_index=True)
-        for p, piece in zip(ids.tolist(), np.split(whole, first[1:]), strict=True):
+        for p, piece in zip(ids.tolist(), np.split(whole, first[1:], axis=1), strict=True):
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([p % SHARDS], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["part", "shard", "strings"])
 
-    context = F.shiftrightunsigned("window", 8).bitwiseAND(F.lit(0xFFFF))
-    dealt = strings.select(F.pmod(F.xxhash64(context), F.lit(parts)).cast("int").alias("part"), "key", "window", "n", "m")
+    context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit(0xFFFF))
+    dealt = strings.select(F.pmod(F.xxhash64(context), F.lit(parts)).cast("int").alias("part"), "key", "n", "m")
     return dealt.repartition(parts, "part").mapInArrow(run, "part int, shard int, strings binary")
 
 
 def first_orders(strings: DataFrame) -> np.ndarray:
     """Training counts of every byte after every byte (65,536 sums at most)."""
     out = np.zeros((256, 256))
-    pair = F.col("window").bitwiseAND(F.lit(0xFFFF))
+    pair = F.col("key").bitwiseAND(F.lit(0xFFFF))
     for r in strings.filter("n > 0").groupBy(pair.alias("pair")).agg(F.sum("n").alias("n")).collect():
         out[r.pair >> 8, r.pair & 255] = r.n
     return out
@@ -242,16 +189,15 @@ def _place(key: np.ndarray) -> np.ndarray:
 class Counts:
     """Training counts of 0 and 1 bits after every context of packed strings, a bit number at a time."""
 
-    def __init__(self, key: np.ndarray, window: np.ndarray, n: np.ndarray, nodes: list):
+    def __init__(self, window: np.ndarray, n: np.ndarray, nodes: list):
         self.n, self.byte = n.astype(float), (window & U64(255)).astype(np.int64)
         self.past = ((window >> U64(8)) & U64(255)).astype(np.int64)
         self.place = _place(window)
         self.nodes = nodes
-        deep = key >= _DEEP
         # the bytes of the word so far and the coded one; a single letter with the break before it, which is in its pack too
-        bytes_ = (self.place + 1 + (self.place == 1)).astype(U64)
+        bytes_ = np.minimum(self.place + 1 + (self.place == 1), ORDER + 1).astype(U64)
         word = (window & ((U64(1) << (U64(8) * bytes_)) - U64(1))) | (self.place.astype(U64) << U64(56))
-        values = [window & U64((1 << 8 * (k + 1)) - 1) for k in range(2, ORDER + 1)] + [np.where(deep, key, word)]
+        values = [window & U64((1 << 8 * (k + 1)) - 1) for k in range(2, ORDER + 1)] + [word]
         self.sorted = []
         for v in values:
             order = np.argsort(v, kind="stable")
@@ -308,11 +254,11 @@ def unpacked(batches, pairs: np.ndarray, training: bool):
     nodes = node_sums(pairs)
     for b in batches:
         for blob in b.column(b.schema.get_field_index("strings")):
-            s = np.frombuffer(blob.as_buffer(), np.int64).reshape(-1, 4)
+            key, n, m = np.frombuffer(blob.as_buffer(), np.int64).reshape(3, -1)
             if training:
-                s = s[s[:, 2] > 0]
-            if len(s):
-                yield s[:, 0], s[:, 3], Counts(s[:, 0].view(U64), s[:, 1].view(U64), s[:, 2], nodes)
+                key, n = key[n > 0], n[n > 0]
+            if len(key):
+                yield key, m, Counts(key.view(U64), n, nodes)
 
 
 def _mixed(x, gate, weights):
@@ -478,56 +424,49 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     """One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     Learned from rows whose crc32(id as text) modulo `fold` is not 1 (a null id counts as 0). Null texts are empty: one end
-    token. Tokens are told apart by a 64-bit hash, words beyond five letters so far by 48 bits of one. Texts of any length are
-    scored whole. Repeated rows repeat and count as often; equal texts have equal scores; an empty table gives no rows; with
+    token. Tokens are told apart by a 64-bit hash. Texts of any length are scored whole. Repeated rows repeat and count as often; equal texts have equal scores; an empty table gives no rows; with
     no training rows every bit has about even odds. Further columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (crc_mod(F.col(id_col).cast("long"), fold) == 1).alias("held_out"))
     found = settle(counted(rows))
-    words = found.filter(F.col("kind") == WORD).select("key", F.col("window").alias("word"), "letters", "n", "m")
-    strings = settle(found.filter(F.col("kind") == STRING).select("key", "window", "n", "m").unionByName(deep(words, False)))
+    strings, words = found.filter(F.col("kind") == STRING).drop("kind"), found.filter(F.col("kind") == WORD).drop("kind")
     pairs = spark.sparkContext.broadcast(first_orders(strings))
     packs = settle(packed(strings))
     weights, refined = learn(packs, pairs)
     values = settle(scored(packs, pairs, weights, refined))
+    discard(packs)
 
-    # of every token: how often its word occurs in training texts, and the value of its part beyond five letters
-    beyond = deep(words, True).join(values.filter("key < 0").select("key", "value"), "key").groupBy(F.col("word").alias("key")).agg(F.sum("value").alias("beyond"))
-    often = words.groupBy("word").agg(F.sum("n").alias("c"))
-    tokens = settle(words.select("key", "word", "m").join(often, "word").join(beyond, "key", "left").select("key", "m", "c", F.coalesce("beyond", F.lit(0.0)).alias("beyond")))
-    sums = often.filter("c > 0").agg(F.sum("c").alias("total"), F.count("*").alias("distinct")).first()
+    sums = words.filter("n > 0").agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
     total, below = sums.total or 0, (sums.total or 0) + 0.5 * (sums.distinct + 1)
-    base = F.log10((F.col("c") + 0.5) / F.lit(float(below)))
-    tokens, short = tokens.withColumn("base", base).withColumn("seen", (F.col("c") > 0).cast("double")), values.filter("key >= 0")
-    token_least, string_least = _least(tokens, "m", FREQUENT_WORDS), _least(short, "m", FREQUENT_STRINGS)
-    here = _frequent(tokens.filter(F.col("m") >= token_least), ["base", "beyond", "seen"]), _frequent(short.filter(F.col("m") >= string_least), ["value"])
+    words = words.select("key", "m", F.log10((F.col("n") + 0.5) / F.lit(float(below))).alias("base"), (F.col("n") > 0).cast("double").alias("seen"))
+    word_least, string_least = _least(words, "m", FREQUENT_WORDS), _least(values, "m", FREQUENT_STRINGS)
+    here = _frequent(words.filter(F.col("m") >= word_least), ["base", "seen"]), _frequent(values.filter(F.col("m") >= string_least), ["value"])
     name, known = uuid.uuid4().hex, spark.sparkContext.broadcast(here)
     del here
 
     def run(batches):
-        in_tokens, in_strings = _Lookup.of(name, known)
+        in_words, in_strings = _Lookup.of(name, known)
         for piece, data, off in slices(batches, most=SLICE):
             n = len(off) - 1
-            window, of, size = strings_of(data, off)
+            window, of = strings_of(data, off)
             near, (fit,) = in_strings(window)
-            _, key, _, _, first = tokens_of(data, off)
+            token, first = tokens_of(data, off)
             doc = np.repeat(np.arange(n), np.diff(first))
-            there, (base, beyond, seen) = in_tokens(key)
+            there, (base, seen) = in_words(token)
             total = lambda at, v: np.bincount(at, weights=v, minlength=n)
             columns = [piece.column(0), piece.column(2), pa.array(np.diff(first)), pa.array(total(doc, seen).astype(np.int64)), pa.array(total(doc, base))]
-            columns += [pa.array(total(of, fit) + total(doc, beyond)), pa.array(size), _lists(key[~there], doc[~there], n), _lists(window[~near], of[~near], n)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "bytes", "tokens", "strings"])
+            columns += [pa.array(total(of, fit)), pa.array(np.bincount(of, minlength=n)), _lists(token[~there], doc[~there], n), _lists(window[~near], of[~near], n)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "bytes", "words", "strings"])
 
-    result = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, bytes long, tokens array<long>, strings array<long>"
+    result = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, bytes long, words array<long>, strings array<long>"
     part = settle(rows.mapInArrow(run, result).withColumn("row", F.monotonically_increasing_id()))
-    rare = tokens.filter(F.col("m") < token_least).select("key", "base", "beyond", "seen")
-    more_tokens = part.select("row", F.explode("tokens").alias("key")).join(rare, "key").groupBy("row").agg(F.sum("base").alias("more_base"), F.sum("beyond").alias("more_beyond"), F.sum("seen").alias("more_known"))
-    rare = short.filter(F.col("m") < string_least).select("key", "value")
+    rare = words.filter(F.col("m") < word_least).select("key", "base", "seen")
+    more_words = part.select("row", F.explode("words").alias("key")).join(rare, "key").groupBy("row").agg(F.sum("base").alias("more_base"), F.sum("seen").alias("more_known"))
+    rare = values.filter(F.col("m") < string_least).select("key", "value")
     more_strings = part.select("row", F.explode("strings").alias("key")).join(rare, "key").groupBy("row").agg(F.sum("value").alias("more_score"))
-    whole = part.join(more_tokens, "row", "left").join(more_strings, "row", "left").fillna(0.0, ["more_base", "more_beyond", "more_known", "more_score"])
-    discard(found, strings, packs)
-    mine = F.col("score") + F.col("more_score") + F.col("more_beyond")
+    whole = part.join(more_words, "row", "left").join(more_strings, "row", "left").fillna(0.0, ["more_base", "more_known", "more_score"])
+    mine = F.col("score") + F.col("more_score")
     return whole.select(
         "doc_id",
         "held_out",
