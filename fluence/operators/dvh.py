@@ -1,6 +1,8 @@
 """Dose-volume histograms from weighted samples, and what is read from them.
 
-Samples are (patient_id, structure, dose_gy, weight_cc); a curve is a row for each bin edge. Bins are `width` wide from 0 to
+Samples are (patient_id, structure, dose_gy, weight_cc). A histogram is made in one pass over them; curves() holds a structure's
+whole curve in one row (its falling steps as an array), from which every D and V value is read without another join or
+shuffle; curve() lists a row for each bin edge. Bins are `width` wide from 0 to
 the patient's largest dose; the last bin includes its right edge; doses outside are counted in the end bins, while
 minimum, maximum and mean use the doses as they are.
 """
@@ -20,29 +22,37 @@ def bin_count(max_dose: Column, width: float) -> Column:
     return F.ceil(F.greatest(max_dose, F.lit(float(width))) / F.lit(w)).cast("int")
 
 
-def bin_of(dose: Column, n: Column, width: float) -> Column:
-    """The bin of a dose; floor is corrected against both edges, as a quotient may fall on the wrong side."""
+def bin_of(dose: Column, width: float) -> Column:
+    """The bin of a dose on an axis without end; floor is corrected against both edges, as a quotient may fall on the wrong side."""
     w = F.lit(max(width, 1e-6))
-    clipped = F.greatest(F.lit(0.0), F.least(dose, n * w))
-    b = F.floor(clipped / w)
-    b = b - F.when(b * w > clipped, 1).otherwise(0) + F.when((b + 1) * w <= clipped, 1).otherwise(0)
-    return F.least(b, n - 1).cast("int")
-
-
-def with_bins(samples: DataFrame, width: float = WIDTH, max_dose: DataFrame | None = None) -> DataFrame:
-    """Samples of positive weight with n_bins and bin; the axis ends at max_dose(patient_id, max_dose), or the patient's largest sample."""
-    top = max_dose if max_dose is not None else samples.groupBy("patient_id").agg(F.max(F.when(~F.isnan("dose_gy"), F.col("dose_gy"))).alias("max_dose"))
-    return samples.filter(F.col("weight_cc") > 0).join(top, "patient_id").withColumn("n_bins", bin_count(F.col("max_dose"), width)).withColumn("bin", bin_of(F.col("dose_gy"), F.col("n_bins"), width)).drop("max_dose")
+    held = F.greatest(F.lit(0.0), dose)
+    b = F.floor(held / w)
+    return b - F.when(b * w > held, 1).otherwise(0) + F.when((b + 1) * w <= held, 1).otherwise(0)
 
 
 def histogram(samples: DataFrame, width: float = WIDTH, max_dose: DataFrame | None = None) -> DataFrame:
-    """A1: sums by bin; partial sums are made before the shuffle."""
-    return with_bins(samples, width, max_dose).groupBy(*KEYS, "n_bins", "bin").agg(
-        F.sum("weight_cc").alias("hist_cc"),
-        F.sum(F.col("dose_gy") * F.col("weight_cc")).alias("dose_cc"),
-        F.min("dose_gy").alias("min_gy"),
-        F.max("dose_gy").alias("max_gy"),
-        F.count("*").alias("n_samples"),
+    """A1: sums by bin of the samples of positive weight; the axis ends at max_dose(patient_id, max_dose), or the patient's
+    largest sample. One pass: samples are summed by bins without end, then a patient's few rows meet to find the end."""
+    good = F.col("weight_cc") > 0
+    rows = samples.groupBy(*KEYS, bin_of(F.col("dose_gy"), width).alias("at")).agg(
+        F.sum(F.when(good, F.col("weight_cc"))).alias("hist_cc"),
+        F.sum(F.when(good, F.col("dose_gy") * F.col("weight_cc"))).alias("dose_cc"),
+        F.min(F.when(good, F.col("dose_gy"))).alias("min_gy"),
+        F.max(F.when(good, F.col("dose_gy"))).alias("max_gy"),
+        F.count(F.when(good, F.lit(1))).alias("n_samples"),
+        F.max(F.when(~F.isnan("dose_gy"), F.col("dose_gy"))).alias("top"),
+    )
+    if max_dose is None:
+        rows = rows.withColumn("max_dose", F.max("top").over(Window.partitionBy("patient_id")))
+    else:
+        rows = rows.join(max_dose, "patient_id")
+    placed = rows.filter("n_samples > 0").withColumn("n_bins", bin_count(F.col("max_dose"), width))
+    return placed.groupBy(*KEYS, "n_bins", F.least("at", F.col("n_bins") - 1).cast("int").alias("bin")).agg(
+        F.sum("hist_cc").alias("hist_cc"),
+        F.sum("dose_cc").alias("dose_cc"),
+        F.min("min_gy").alias("min_gy"),
+        F.max("max_gy").alias("max_gy"),
+        F.sum("n_samples").alias("n_samples"),
     )
 
 
@@ -58,12 +68,28 @@ def summary(hist: DataFrame) -> DataFrame:
     )
 
 
-def curve(hist: DataFrame, width: float = WIDTH) -> DataFrame:
-    """A2: the volume that gets at least each edge's dose, in cc and %, and a last point of volume 0. Empty bins are there."""
-    edges = hist.groupBy(*KEYS).agg(F.max("n_bins").alias("n_bins"), F.sum("hist_cc").alias("volume")).withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("n_bins"))))
+def curves(hist: DataFrame) -> DataFrame:
+    """A row for each structure: the scalars of summary, and steps: the occupied bins, rising, each with the volume in it and above."""
     falling = Window.partitionBy(*KEYS).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-    full = edges.join(hist.select(*KEYS, "bin", "hist_cc"), [*KEYS, "bin"], "left").withColumn("volume_cc", F.sum(F.coalesce("hist_cc", F.lit(0.0))).over(falling))
-    return full.select(*KEYS, "bin", (F.col("bin") * F.lit(max(width, 1e-6))).alias("dose_gy"), "volume_cc", (F.col("volume_cc") / F.col("volume") * 100).alias("volume_pct"))
+    rows = hist.withColumn("above", F.sum("hist_cc").over(falling))
+    return rows.groupBy(*KEYS).agg(
+        F.sum("hist_cc").alias("volume_cc"),
+        (F.sum("dose_cc") / F.sum("hist_cc")).alias("mean_gy"),
+        F.min("min_gy").alias("min_gy"),
+        F.max("max_gy").alias("max_gy"),
+        F.sum("n_samples").alias("n_samples"),
+        F.max("n_bins").alias("n_bins"),
+        F.array_sort(F.collect_list(F.struct("bin", F.col("above").alias("cc")))).alias("steps"),
+    )
+
+
+def curve(of: DataFrame, width: float = WIDTH) -> DataFrame:
+    """A2: of curves(): a row for each edge with the volume that gets at least its dose, in cc and %, and a last point of
+    volume 0. Edges of empty bins are there."""
+    ends = F.concat("steps", F.array(F.struct(F.col("n_bins").alias("bin"), F.lit(0.0).alias("cc"))))
+    parts = F.transform(ends, lambda x, i: F.struct(F.when(i == 0, 0).otherwise(F.element_at(ends, F.greatest(i, F.lit(1)))["bin"] + 1).alias("first"), x["bin"].alias("last"), x["cc"].alias("cc")))
+    rows = of.select(*KEYS, F.col("volume_cc").alias("whole"), F.explode(parts).alias("p")).select(*KEYS, "whole", "p.cc", F.explode(F.sequence("p.first", "p.last")).alias("bin"))
+    return rows.select(*KEYS, "bin", (F.col("bin") * F.lit(max(width, 1e-6))).alias("dose_gy"), F.col("cc").alias("volume_cc"), (F.col("cc") / F.col("whole") * 100).alias("volume_pct"))
 
 
 def unweighted(samples: DataFrame, bins: int = 256) -> DataFrame:
@@ -78,52 +104,67 @@ def unweighted(samples: DataFrame, bins: int = 256) -> DataFrame:
     return edges.join(hist.select(*KEYS, "bin", "n"), [*KEYS, "bin"], "left").select(*KEYS, "bin", (F.col("bin") * F.col("top") / bins).alias("dose_gy"), (F.sum(F.coalesce("n", F.lit(0))).over(falling) / F.col("total") * 100).alias("volume_pct"))
 
 
-def volume_at_dose(points: DataFrame, asked: DataFrame, width: float = WIDTH) -> DataFrame:
-    """asked(KEYS, dose) with v_cc and v_pct: linear between the curve's points, the end values outside."""
+def v_at(dose: Column, width: float = WIDTH) -> Column:
+    """D7 on a row of curves(): (v_cc, v_pct) at a dose: linear between edges, the end values outside; null for no dose."""
     w = F.lit(max(width, 1e-6))
-    last = points.groupBy(*KEYS).agg(F.max("bin").alias("last"))
-    q = asked.join(last, KEYS).withColumn("d", F.greatest(F.lit(0.0), F.least("dose", F.col("last") * w)))
-    b = F.floor(F.col("d") / w)
-    b = b - F.when(b * w > F.col("d"), 1).otherwise(0) + F.when((b + 1) * w <= F.col("d"), 1).otherwise(0)
-    q = q.withColumn("bin", F.least(b, F.col("last") - 1).cast("int"))
-    after = Window.partitionBy(*KEYS).orderBy("bin")
-    p = points.select(*KEYS, "bin", "dose_gy", "volume_cc", "volume_pct", F.lead("dose_gy").over(after).alias("d1"), F.lead("volume_cc").over(after).alias("cc1"), F.lead("volume_pct").over(after).alias("pct1"))
-    share = (F.col("d") - F.col("dose_gy")) / (F.col("d1") - F.col("dose_gy"))
-    got = q.join(p, [*KEYS, "bin"])
-    return got.select(*asked.columns, (F.col("volume_cc") + share * (F.col("cc1") - F.col("volume_cc"))).alias("v_cc"), (F.col("volume_pct") + share * (F.col("pct1") - F.col("volume_pct"))).alias("v_pct"))
-
-
-def dose_at_volume(points: DataFrame, totals: DataFrame, asked: DataFrame, axis: str = "volume_pct") -> DataFrame:
-    """D8 (axis volume_pct) and D9 (axis volume_cc): asked(KEYS, volume) with dose_gy.
-
-    0 or less gives the largest dose; the whole volume or more the smallest; else linear at the first point below."""
-    before = Window.partitionBy(*KEYS).orderBy("bin")
-    p = points.select(*KEYS, "bin", "dose_gy", F.col(axis).alias("v"), F.lag("dose_gy").over(before).alias("d0"), F.lag(axis).over(before).alias("v0"), F.max(axis).over(Window.partitionBy(*KEYS)).alias("v_first"))
-    limit = F.lit(100.0) if axis == "volume_pct" else F.greatest("volume_cc", F.lit(0.0))
-    t = F.greatest(F.lit(0.0), F.least("volume", limit))
-    q = asked.join(totals.select(*KEYS, "volume_cc", "min_gy", "max_gy"), KEYS).withColumn("t", t).drop("volume_cc").distinct()
-    # of a curve that falls, the first point below the asked volume is the only one with its predecessor at or above it
-    hit = q.join(p.select(*KEYS, "dose_gy", "v", "d0", "v0").filter(F.col("v") < F.col("v0")), KEYS).filter((F.col("v") < F.col("t")) & (F.col("v0") >= F.col("t"))).select(*asked.columns, (F.col("dose_gy") + (F.col("t") - F.col("v")) / (F.col("v0") - F.col("v")) * (F.col("d0") - F.col("dose_gy"))).alias("inner"))
-    first = p.groupBy(*KEYS).agg(F.max("v_first").alias("v_first"))
-    return q.join(first, KEYS).join(hit, asked.columns, "left").select(*asked.columns, F.when(F.col("t") <= 0, F.col("max_gy")).when(F.col("t") >= F.col("v_first"), F.col("min_gy")).otherwise(F.coalesce("inner", "max_gy")).alias("dose_gy"))
-
-
-def truncated(points: DataFrame, least: float = 1e-6) -> DataFrame:
-    """Up to the first point at or below `least` %, but two points at least."""
-    end = F.min(F.when(F.col("volume_pct") <= least, F.col("bin"))).over(Window.partitionBy(*KEYS))
-    return points.withColumn("end", end).filter(F.col("end").isNull() | (F.col("bin") <= F.greatest("end", F.lit(1)))).drop("end")
-
-
-def largest_plotted(points: DataFrame) -> DataFrame:
+    d = F.greatest(F.lit(0.0), F.least(dose, F.col("n_bins") * w))
+    b = F.least(bin_of(d, width), F.col("n_bins") - 1)
+    above = lambda edge: F.aggregate("steps", F.lit(0.0), lambda acc, x: F.when(x["bin"] >= edge, F.greatest(acc, x["cc"])).otherwise(acc))
+    share = (d - b * w) / ((b + 1) * w - b * w)
+    cc = above(b) + share * (above(b + 1) - above(b))
+    pct = above(b) / F.col("volume_cc") * 100 + share * (above(b + 1) / F.col("volume_cc") * 100 - above(b) / F.col("volume_cc") * 100)
+    return F.when(dose.isNotNull(), F.struct(cc.alias("v_cc"), pct.alias("v_pct")))
+
+
+def d_at(volume: Column, axis: str = "volume_pct", width: float = WIDTH) -> Column:
+    """D8 (axis volume_pct) and D9 (axis volume_cc) on a row of curves(): the dose that a volume gets.
+
+    0 or less gives the largest dose; the whole volume or more the smallest; else linear behind the last edge that still has it."""
+    w, pct = F.lit(max(width, 1e-6)), axis == "volume_pct"
+    value = (lambda x: x / F.col("volume_cc") * 100) if pct else (lambda x: x)
+    t = F.greatest(F.lit(0.0), F.least(volume, F.lit(100.0) if pct else F.greatest("volume_cc", F.lit(0.0))))
+    have = F.filter("steps", lambda x: value(x["cc"]) >= t)
+    last, after = F.try_element_at(have, F.lit(-1)), F.try_element_at("steps", F.size(have) + 1)
+    v0, v1 = value(last["cc"]), F.coalesce(value(after["cc"]), F.lit(0.0))
+    at, before = (last["bin"] + 1) * w, last["bin"] * w
+    inner = at + (t - v1) / (v0 - v1) * (before - at)
+    return F.when(volume.isNull(), None).when(t <= 0, F.col("max_gy")).when(t >= value(F.element_at("steps", 1)["cc"]), F.col("min_gy")).otherwise(F.coalesce(inner, "max_gy"))
+
+
+def volume_at_dose(of: DataFrame, asked: DataFrame, width: float = WIDTH) -> DataFrame:
+    """asked(KEYS, dose) with v_cc and v_pct of curves()."""
+    got = asked.join(of.select(*KEYS, "volume_cc", "n_bins", "steps"), KEYS).withColumn("v", v_at(F.col("dose"), width))
+    return got.select(*asked.columns, "v.v_cc", "v.v_pct")
+
+
+def dose_at_volume(of: DataFrame, asked: DataFrame, axis: str = "volume_pct", width: float = WIDTH) -> DataFrame:
+    """asked(KEYS, volume) with dose_gy of curves()."""
+    got = asked.join(of.select(*KEYS, "volume_cc", "min_gy", "max_gy", "steps"), KEYS)
+    return got.select(*asked.columns, d_at(F.col("volume"), axis, width).alias("dose_gy"))
+
+
+def truncated_end(least: float = 1e-6) -> Column:
+    """W10 on a row of curves(): the first edge at or below `least` %, but the second at least."""
+    shown = F.filter("steps", lambda x: x["cc"] / F.col("volume_cc") * 100 > least)
+    return F.least(F.greatest(F.coalesce(F.try_element_at(shown, F.lit(-1))["bin"] + 1, F.lit(0)), F.lit(1)), F.col("n_bins"))
+
+
+def truncated(of: DataFrame, width: float = WIDTH, least: float = 1e-6) -> DataFrame:
+    """The edges of curves() up to the truncated end."""
+    ends = of.select(*KEYS, truncated_end(least).alias("end"))
+    return curve(of, width).join(ends, KEYS).filter("bin <= end").drop("end")
+
+
+def largest_plotted(of: DataFrame, width: float = WIDTH) -> DataFrame:
     """For each patient the largest dose of its truncated curves, at least 1."""
-    return truncated(points).groupBy("patient_id").agg(F.greatest(F.max("dose_gy"), F.lit(1.0)).alias("max_plotted_gy"))
+    return of.groupBy("patient_id").agg(F.greatest(F.max(truncated_end() * F.lit(max(width, 1e-6))), F.lit(1.0)).alias("max_plotted_gy"))
 
 
-def readout(points: DataFrame, asked: DataFrame, width: float = WIDTH) -> DataFrame:
-    """V in % and cc at a dose that is held within the truncated curve."""
-    end = truncated(points).groupBy(*KEYS).agg(F.max("dose_gy").alias("end"))
-    held = asked.join(end, KEYS).withColumn("wanted", F.col("dose")).withColumn("dose", F.greatest(F.lit(0.0), F.least("dose", "end"))).drop("end")
-    return volume_at_dose(points, held, width).select(*KEYS, F.col("wanted").alias("dose"), "v_cc", "v_pct")
+def readout(of: DataFrame, asked: DataFrame, width: float = WIDTH) -> DataFrame:
+    """V in % and cc of curves() at a dose that is held within the truncated curve."""
+    end = truncated_end() * F.lit(max(width, 1e-6))
+    got = asked.join(of, KEYS).withColumn("v", v_at(F.greatest(F.lit(0.0), F.least("dose", end)), width))
+    return got.select(*KEYS, "dose", "v.v_cc", "v.v_pct")
 
 
 def hottest_volume(samples: DataFrame, cc: Column | float) -> DataFrame:

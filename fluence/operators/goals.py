@@ -44,16 +44,15 @@ def verdict(actual: Column, goal: Column, limit: Column, comparator: Column) ->
     )
 
 
-def measured(goals: DataFrame, points: DataFrame, totals: DataFrame, width: float = dvh.WIDTH) -> DataFrame:
-    """Parsed goals of structures that have a curve, with actual_value and actual_unit (J1 and the choice of metric).
+def measured(goals: DataFrame, of: DataFrame, width: float = dvh.WIDTH) -> DataFrame:
+    """Parsed goals of structures that have a curve, with actual_value and actual_unit (J1 and the choice of metric): one
+    join with dvh.curves, in whose rows every metric is read.
 
     A V goal in % is read in %, any other V goal in cc; D in cc is read as a share of the structure's volume."""
-    g = goals.join(totals.select(*K, "volume_cc", "mean_gy", "min_gy", "max_gy"), K)
+    g = goals.join(of.select(*K, "volume_cc", "mean_gy", "min_gy", "max_gy", "n_bins", "steps"), K)
     pct = F.when(F.col("d_unit") == "%", F.col("d_value")).when((F.col("d_unit") == "CC") & (F.col("volume_cc") > 0), 100 * F.col("d_value") / F.col("volume_cc"))
-    g = g.withColumn("d_pct", pct)
-    v = dvh.volume_at_dose(points, g.filter("v_dose is not null").select(*K, F.col("v_dose").alias("dose")).distinct(), width).withColumnRenamed("dose", "v_dose")
-    d = dvh.dose_at_volume(points, totals, g.filter("d_pct is not null").select(*K, F.col("d_pct").alias("volume")).distinct()).select(*K, F.col("volume").alias("d_pct"), F.col("dose_gy").alias("d_gy"))
-    g = g.join(v, [*K, "v_dose"], "left").join(d, [*K, "d_pct"], "left")
+    g = g.withColumn("v", dvh.v_at(F.col("v_dose"), width)).withColumn("d_gy", dvh.d_at(pct, width=width))
+    g = g.select("*", "v.v_cc", "v.v_pct").drop("v", "steps", "n_bins")
     m = F.col("metric_key")
     value = (
         F.when(m.isin("MEAN", "DMEAN"), F.col("mean_gy"))
@@ -63,12 +62,12 @@ def measured(goals: DataFrame, points: DataFrame, totals: DataFrame, width: floa
         .otherwise(F.col("d_gy"))
     )
     unit = F.when(F.col("v_dose").isNotNull() & ~m.isin("MEAN", "DMEAN", "MAX", "DMAX", "MIN", "DMIN"), F.when(F.col("goal_unit") == "%", "%").otherwise("CC")).otherwise("GY")
-    return g.withColumn("actual_value", value).withColumn("actual_unit", unit).drop("v_cc", "v_pct", "d_gy", "d_pct")
+    return g.withColumn("actual_value", value).withColumn("actual_unit", unit).drop("v_cc", "v_pct", "d_gy")
 
 
-def evaluate(goals: DataFrame, points: DataFrame, totals: DataFrame, width: float = dvh.WIDTH) -> DataFrame:
+def evaluate(goals: DataFrame, of: DataFrame, width: float = dvh.WIDTH) -> DataFrame:
     """Every goal of a structure with a curve: actual value, unit and text, status, passed (null for variation)."""
-    out = measured(parsed(goals), points, totals, width)
+    out = measured(parsed(goals), of, width)
     out = out.withColumn("status", verdict(F.col("actual_value"), F.col("goal_value"), F.col("variation_limit"), F.col("comparator")))
     return out.withColumn("passed", F.when(F.col("status") == "pass", True).when(F.col("status") == "fail", False)).withColumn("actual_text", t.metric_text(F.col("actual_value"), F.col("actual_unit")))
 
@@ -104,12 +103,11 @@ def custom_only(sheet: DataFrame, custom: DataFrame) -> DataFrame:
     return both.groupBy(*K, "key").agg((F.min("c") == 1).alias("custom_only"))
 
 
-def min_volume(goals: DataFrame, points: DataFrame, totals: DataFrame, name: str, set_part: str, width: float = dvh.WIDTH) -> DataFrame:
+def min_volume(goals: DataFrame, of: DataFrame, name: str, set_part: str, width: float = dvh.WIDTH) -> DataFrame:
     """For each patient's structure `name` in sets whose id contains `set_part`: the volume at which every upper V goal in % would
     hold, or n/a where a goal in cc is exceeded. Patients without a percent goal have no row unless n/a."""
     g = parsed(goals).filter((F.col("structure") == name) & F.contains(F.upper("set_id"), F.lit(set_part)) & F.col("v_dose").isNotNull() & F.col("comparator").isin("<", "<=", "=", "==") & F.col("goal_value").isNotNull())
-    v = dvh.volume_at_dose(points, g.select(*K, F.col("v_dose").alias("dose")).distinct(), width).withColumnRenamed("dose", "v_dose")
-    m = g.join(v, [*K, "v_dose"]).join(totals.filter("volume_cc > 0").select(*K), K, "left_semi")
+    m = g.join(of.filter("volume_cc > 0").select(*K, "volume_cc", "n_bins", "steps"), K).withColumn("v_cc", dvh.v_at(F.col("v_dose"), width)["v_cc"])
     need = F.max(F.when((F.col("goal_unit") == "%") & (F.col("goal_value") > 0), F.col("v_cc") / (F.col("goal_value") / 100)))
     over = F.max(F.when(F.col("goal_unit") == "CC", (F.col("v_cc") > F.col("goal_value") + 1e-6).cast("int")))
     out = m.groupBy(*K).agg(need.alias("need"), F.coalesce(over, F.lit(0)).alias("over"))

@@ -70,10 +70,9 @@ def samples(points: DataFrame, dose: DataFrame, planes: DataFrame, positions: Da
     return asked.join(got.select("patient_id", "id", "dose_gy"), ["patient_id", "id"]).select("patient_id", "structure", "dose_gy", "weight_cc")
 
 
-def high_accuracy(sampled: DataFrame, grid_max: DataFrame, width: float = dvh.WIDTH) -> tuple[DataFrame, DataFrame]:
-    """D3: curve and totals of samples, on an axis that ends at the whole grid's largest dose (patient_id, max_dose)."""
-    h = dvh.histogram(sampled, width, grid_max)
-    return dvh.curve(h, width), dvh.summary(h)
+def high_accuracy(sampled: DataFrame, grid_max: DataFrame, width: float = dvh.WIDTH) -> DataFrame:
+    """D3: curves() of samples, on an axis that ends at the whole grid's largest dose (patient_id, max_dose)."""
+    return dvh.curves(dvh.histogram(sampled, width, grid_max))
 
 
 def strategy(geometry: DataFrame, small_cc: float = 5.0) -> DataFrame:

@@ -13,10 +13,15 @@ P = "patient_id"
 K = dvh.KEYS
 
 
-def metrics(targets: DataFrame, points: DataFrame, totals: DataFrame, width: float = dvh.WIDTH) -> DataFrame:
-    """Targets (KEYS, reference_gy) with smallest and largest dose and the volume in % that gets the reference dose."""
-    v = dvh.volume_at_dose(points, targets.filter("reference_gy > 0").select(*K, F.col("reference_gy").alias("dose")).distinct(), width)
-    return targets.join(totals.select(*K, "min_gy", "max_gy"), K, "left").join(v.select(*K, F.col("dose").alias("reference_gy"), F.col("v_pct").alias("coverage_pct")), [*K, "reference_gy"], "left")
+def measured(of: DataFrame, width: float = dvh.WIDTH) -> DataFrame:
+    """T7 on rows of dvh.curves that have a reference_gy: the volume in % that gets the reference dose, with smallest and largest dose."""
+    asked = F.when(F.col("reference_gy") > 0, F.col("reference_gy"))
+    return of.withColumn("coverage_pct", dvh.v_at(asked, width)["v_pct"]).select(*K, "reference_gy", "min_gy", "max_gy", "coverage_pct")
+
+
+def metrics(targets: DataFrame, of: DataFrame, width: float = dvh.WIDTH) -> DataFrame:
+    """Targets (KEYS, reference_gy) by their curves (dvh.curves); null where a target has none."""
+    return measured(targets.select(*K, "reference_gy").join(of, K, "left"), width)
 
 
 def nested(containment: DataFrame, sizes: DataFrame) -> DataFrame:

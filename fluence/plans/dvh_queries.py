@@ -53,10 +53,8 @@ def _hist(spark, sf):
     return dvh.histogram(view(spark, sf, "dose_sample"), W)
 
 
-def _curve(spark, sf):
-    """Histogram rows are few; curve and totals are read from them."""
-    h = _hist(spark, sf)
-    return dvh.curve(h, W), dvh.summary(h)
+def _curves(spark, sf):
+    return dvh.curves(_hist(spark, sf))
 
 
 def r(name: str, places: int = 6):
@@ -73,11 +71,11 @@ def a1_weighted_histogram(spark, sf):
 
 
 def a2_cumulative_curve(spark, sf):
-    return _curve(spark, sf)[0].select("patient_id", "structure", "bin", r("dose_gy"), r("volume_cc"), r("volume_pct"))
+    return dvh.curve(_curves(spark, sf), W).select("patient_id", "structure", "bin", r("dose_gy"), r("volume_cc"), r("volume_pct"))
 
 
 def d1_curve_summary(spark, sf):
-    return _curve(spark, sf)[1].select("patient_id", "structure", r("volume_cc"), r("mean_gy"), "min_gy", "max_gy", "n_samples", "n_bins")
+    return _curves(spark, sf).select("patient_id", "structure", r("volume_cc"), r("mean_gy"), "min_gy", "max_gy", "n_samples", "n_bins")
 
 
 def a3_unweighted_curve(spark, sf):
@@ -98,8 +96,9 @@ def a5_bin_edges(spark, sf):
 DOSES, VOLUMES = (-1.0, 0.0, 12.3, 20.0, 47.25, 99.9, 300.0), (-5.0, 0.0, 0.5, 33.3, 95.0, 99.99, 100.0, 120.0)
 
 
-def _asked(totals, name, values):
-    return totals.select("patient_id", "structure").withColumn(name, F.explode(F.array(*(F.lit(v) for v in values))))
+def _asked(spark, sf, name, values):
+    """Every curve with each of the values."""
+    return _curves(spark, sf).withColumn(name, F.explode(F.array(*(F.lit(v) for v in values))))
 
 
 def _asked_sql(name, values):
@@ -107,31 +106,32 @@ def _asked_sql(name, values):
 
 
 def d7_volume_at_dose(spark, sf):
-    points, totals = _curve(spark, sf)
-    return dvh.volume_at_dose(points, _asked(totals, "dose", DOSES), W).select("patient_id", "structure", "dose", up("v_cc"), up("v_pct"))
+    got = _asked(spark, sf, "dose", DOSES).withColumn("v", dvh.v_at(F.col("dose"), W))
+    return got.select("patient_id", "structure", "dose", "v.*").select("patient_id", "structure", "dose", up("v_cc"), up("v_pct"))
 
 
 def d8_dose_at_volume_pct(spark, sf):
-    points, totals = _curve(spark, sf)
-    return dvh.dose_at_volume(points, totals, _asked(totals, "volume", VOLUMES)).select("patient_id", "structure", "volume", up("dose_gy"))
+    got = _asked(spark, sf, "volume", VOLUMES).withColumn("dose_gy", dvh.d_at(F.col("volume"), width=W))
+    return got.select("patient_id", "structure", "volume", up("dose_gy"))
 
 
 def d9_dose_at_volume_cc(spark, sf):
-    points, totals = _curve(spark, sf)
-    return dvh.dose_at_volume(points, totals, _asked(totals, "volume", (-1.0, 0.0, 2.5, 300.0, 1e9)), "volume_cc").select("patient_id", "structure", "volume", up("dose_gy"))
+    got = _asked(spark, sf, "volume", (-1.0, 0.0, 2.5, 300.0, 1e9)).withColumn("dose_gy", dvh.d_at(F.col("volume"), "volume_cc", W))
+    return got.select("patient_id", "structure", "volume", up("dose_gy"))
 
 
 def w10_truncated_curve(spark, sf):
-    return dvh.truncated(_curve(spark, sf)[0]).select("patient_id", "structure", "bin", r("volume_pct"))
+    return dvh.truncated(_curves(spark, sf), W).select("patient_id", "structure", "bin", r("volume_pct"))
 
 
 def a13_max_plotted_dose(spark, sf):
-    return dvh.largest_plotted(_curve(spark, sf)[0])
+    return dvh.largest_plotted(_curves(spark, sf), W)
 
 
 def d11_curve_readout(spark, sf):
-    points, totals = _curve(spark, sf)
-    return dvh.readout(points, _asked(totals, "dose", DOSES), W).select("patient_id", "structure", "dose", r("v_cc"), r("v_pct"))
+    held = F.greatest(F.lit(0.0), F.least("dose", dvh.truncated_end() * W))
+    got = _asked(spark, sf, "dose", DOSES).withColumn("v", dvh.v_at(held, W))
+    return got.select("patient_id", "structure", "dose", "v.*").select("patient_id", "structure", "dose", r("v_cc"), r("v_pct"))
 
 
 def d13_hottest_volume(spark, sf):
@@ -139,8 +139,8 @@ def d13_hottest_volume(spark, sf):
 
 
 def _evaluated(spark, sf):
-    points, totals = _curve(spark, sf)
-    return goals.evaluate(view(spark, sf, "goal"), points, totals, W)
+    curves = _curves(spark, sf)
+    return goals.evaluate(view(spark, sf, "goal"), curves, W)
 
 
 def c2_evaluate_goals(spark, sf):
@@ -148,7 +148,7 @@ def c2_evaluate_goals(spark, sf):
 
 
 def d12_constraint_markers(spark, sf):
-    return dvh.markers(goals.parsed(view(spark, sf, "goal")), _curve(spark, sf)[1]).select("patient_id", "structure", "goal_no", r("x_gy"), r("y_pct"))
+    return dvh.markers(goals.parsed(view(spark, sf, "goal")), _curves(spark, sf)).select("patient_id", "structure", "goal_no", r("x_gy"), r("y_pct"))
 
 
 def c3_evaluate_with_reuse(spark, sf):
@@ -178,8 +178,8 @@ def j12_custom_only(spark, sf):
 
 
 def c5_min_volume(spark, sf):
-    points, totals = _curve(spark, sf)
-    return goals.min_volume(view(spark, sf, "goal"), points, totals, "NF", "BRAND", W)
+    curves = _curves(spark, sf)
+    return goals.min_volume(view(spark, sf, "goal"), curves, "NF", "BRAND", W)
 
 
 def _stored(spark, sf):
@@ -189,9 +189,9 @@ def _stored(spark, sf):
 
 
 def c7_report_rows(spark, sf):
-    points, totals = _curve(spark, sf)
-    bladder = goals.min_volume(view(spark, sf, "goal"), points, totals, "NF", "BRAND", W)
-    return goals.presented(goals.evaluate(view(spark, sf, "goal"), points, totals, W), _stored(spark, sf), bladder)
+    curves = _curves(spark, sf)
+    bladder = goals.min_volume(view(spark, sf, "goal"), curves, "NF", "BRAND", W)
+    return goals.presented(goals.evaluate(view(spark, sf, "goal"), curves, W), _stored(spark, sf), bladder)
 
 
 def u4_merged_notes(spark, sf):

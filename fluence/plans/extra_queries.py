@@ -58,16 +58,16 @@ def s2_assembled_slices(spark, sf):
 
 def t17_target_rows(spark, sf):
     """Which texts a target row has; the numbers in them are compared by other queries."""
-    points, totals = dq._curve(spark, sf)
-    q = totals.select(P, "structure", (F.col("patient_id") % 9 * 10.0 - 5).alias("reference_gy"))
-    rows = targets.table_rows(targets.metrics(q, points, totals, dq.W))
+    totals = dq._curves(spark, sf)
+    q = totals.withColumn("reference_gy", F.col("patient_id") % 9 * 10.0 - 5)
+    rows = targets.table_rows(targets.measured(q, dq.W))
     return rows.select(P, "structure", "reference_text", F.regexp_replace("coverage_text", "^[0-9.]+%", "n%").alias("coverage_shape"), (F.col("minimum_text") != "").alias("has_minimum"))
 
 
 def s18_need_recompute(spark, sf):
-    points, totals = dq._curve(spark, sf)
-    q = totals.select(P, "structure", (F.col("patient_id") % 9 * 10.0 - 5).alias("reference_gy"))
-    rows = targets.table_rows(targets.metrics(q, points, totals, dq.W)).withColumn("notes_text", F.when(F.col("patient_id") % 4 == 0, "").otherwise("noted"))
+    totals = dq._curves(spark, sf)
+    q = totals.withColumn("reference_gy", F.col("patient_id") % 9 * 10.0 - 5)
+    rows = targets.table_rows(targets.measured(q, dq.W)).withColumn("notes_text", F.when(F.col("patient_id") % 4 == 0, "").otherwise("noted"))
     return targets.need_recompute(rows, F.col("patient_id") % 2 == 0)
 
 

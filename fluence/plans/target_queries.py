@@ -32,7 +32,7 @@ def d3_high_accuracy(spark, sf):
     where = view(spark, sf, "contour_point").select("patient_id", "k").distinct().select("patient_id", "k", (F.col("k") * 1.25).alias("z"), F.lit(1.25).cast("double").alias("thickness"))
     s = sampling.samples(view(spark, sf, "contour_point"), d, planes, where, SCALE, N, N, gq.SX, gq.SY, SUB)
     top = d.groupBy(P).agg(F.max("dose_gy").alias("max_dose"))
-    _, totals = sampling.high_accuracy(s, top, W)
+    totals = sampling.high_accuracy(s, top, W)
     return totals.select(P, "structure", *(F.round(c, 6).alias(c) for c in ("volume_cc", "mean_gy", "min_gy", "max_gy")), "n_samples", "n_bins")
 
 
@@ -44,9 +44,8 @@ def g13_resampled(spark, sf):
 
 
 def t7_target_metrics(spark, sf):
-    points, totals = dq._curve(spark, sf)
-    t = totals.select(P, "structure", (F.col("patient_id") % 9 * 10.0 - 5).alias("reference_gy"))
-    return targets.metrics(t, points, totals, W).select(P, "structure", "reference_gy", "min_gy", "max_gy", F.round("coverage_pct", 6).alias("coverage_pct"))
+    totals = dq._curves(spark, sf)
+    return targets.measured(totals.withColumn("reference_gy", F.col("patient_id") % 9 * 10.0 - 5), W).select(P, "structure", "reference_gy", "min_gy", "max_gy", F.round("coverage_pct", 6).alias("coverage_pct"))
 
 
 def t9_nested_targets(spark, sf):
@@ -89,7 +88,7 @@ def t24_review_list(spark, sf):
 
 def t25_volume_lines(spark, sf):
     g = view(spark, sf, "structure").filter("ordinal % 2 = 0").select(P, "structure", (F.col("patient_id") + 0.5).alias("volume_cc"))
-    return targets.volume_lines(g, dq._curve(spark, sf)[1]).select(P, "structure", F.round("volume_cc", 6).alias("volume_cc"))
+    return targets.volume_lines(g, dq._curves(spark, sf)).select(P, "structure", F.round("volume_cc", 6).alias("volume_cc"))
 
 
 def o5_focus(spark, sf):

@@ -48,18 +48,19 @@ def dose(spark, rows):
 
 def test_uniform_dose(spark):
     h = dvh.histogram(dose(spark, [(1, "A", 50.0, 1.0)] * 4 + [(1, "A", 70.0, -1.0)]), 0.5)
-    s, points = dvh.summary(h), dvh.curve(h, 0.5)
+    s, of = dvh.summary(h), dvh.curves(h)
     r = s.first()
+    assert of.select(s.columns).first() == r
     assert (r.volume_cc, r.mean_gy, r.min_gy, r.max_gy, r.n_samples) == (4.0, 50.0, 50.0, 50.0, 4)
     asked = s.select("patient_id", "structure").withColumn("volume", F.explode(F.array(F.lit(0.0), F.lit(50.0), F.lit(100.0))))
-    got = {r.volume: r.dose_gy for r in dvh.dose_at_volume(points, s, asked).collect()}
+    got = {r.volume: r.dose_gy for r in dvh.dose_at_volume(of, asked, width=0.5).collect()}
     assert got[0.0] == got[100.0] == 50.0 and 50.0 <= got[50.0] <= 50.5
 
 
 def test_last_edge_and_monotone_curve(spark):
     h = dvh.histogram(dose(spark, [(1, "A", 60.0, 2.0), (1, "A", 0.0, 1.0), (1, "A", -3.0, 1.0)]), 0.5)
     assert {(r.bin, r.hist_cc) for r in h.collect()} == {(119, 2.0), (0, 2.0)}
-    pct = [r.volume_pct for r in dvh.curve(h, 0.5).orderBy("bin").collect()]
+    pct = [r.volume_pct for r in dvh.curve(dvh.curves(h), 0.5).orderBy("bin").collect()]
     assert pct[0] == 100 and pct[-1] == 0 and all(a >= b for a, b in zip(pct, pct[1:], strict=False)) and len(pct) == 121
 
 
@@ -122,5 +123,5 @@ def test_target_rows(spark):
 
 def test_empty_tables(spark):
     empty = dose(spark, [])
-    assert dvh.curve(dvh.histogram(empty)).collect() == [] and dvh.hottest_volume(empty, 1.0).collect() == []
+    assert dvh.curve(dvh.curves(dvh.histogram(empty))).collect() == [] and dvh.hottest_volume(empty, 1.0).collect() == []
     assert raster.mask_spans(contours(spark, []), 4, 4).collect() == []
