@@ -188,3 +188,9 @@ def markers(goals: DataFrame, totals: DataFrame) -> DataFrame:
     pct = F.when(F.col("volume_cc") > 0, 100 * F.col("goal_value") / F.col("volume_cc"))
     y = F.when(v & (F.col("goal_unit") == "%"), F.col("goal_value")).when(v, pct).when(d & (F.col("d_unit") == "%"), F.col("d_value")).when(d, F.when(F.col("volume_cc") > 0, 100 * F.col("d_value") / F.col("volume_cc")))
     return g.select(*KEYS, "goal_no", x.alias("x_gy"), y.alias("y_pct")).filter("x_gy is not null and y_pct is not null")
+
+
+def volume_axis(points: DataFrame, totals: DataFrame) -> DataFrame:
+    """Points (KEYS, bin, volume_pct, volume_cc) with the volume in cc where a curve was saved without it: the share of its total."""
+    t = totals.select(*KEYS, F.col("volume_cc").alias("whole"))
+    return points.join(t, KEYS).withColumn("volume_cc", F.coalesce("volume_cc", F.col("volume_pct") * F.col("whole") / 100)).drop("whole")

@@ -183,3 +183,31 @@ def default_reference(targets: DataFrame, phases: DataFrame, assigned: DataFrame
         .otherwise(F.col("sum_rx"))
     )
     return x.select(*targets.columns, F.round(value, 2).alias("reference_gy"))
+
+
+def set_flags(sets: DataFrame) -> DataFrame:
+    """Of constraint sets (set_id) whether they are stereotactic ones, and whether they are for the prostate."""
+    n = t.normal_name(F.coalesce("set_id", F.lit("")))
+    return sets.withColumn("stereotactic", n == "SRS FSRT").withColumn("prostate", F.contains(n, F.lit("PROSTATE")))
+
+
+def typed_dose(text: Column) -> Column:
+    """A typed reference dose where it is a positive number, else null."""
+    v = F.trim(text).try_cast("double")
+    return F.when(v > 0, v)
+
+
+def referred(targets: DataFrame, phases: DataFrame, assigned: DataFrame, typed: DataFrame, sampled: DataFrame) -> DataFrame:
+    """Targets (patient_id, name_norm, rx_gy) with reference_gy and source.
+
+    The reference is what a reviewer typed (patient_id, name_norm, dose_text), else the assigned phase's dose, else the dose in
+    the name, else 0. The source is the assigned phase's grid, else the combined dose; where that is there (sampled: patient_id,
+    name_norm, covered) but gives the target no values, the only available phase's grid."""
+    grids = phases.select(P, "plan_uid", "dose_grid_id")
+    own = assigned.join(grids, [P, "plan_uid"]).groupBy(P, "name_norm").agg(F.max("phase_rx_gy").alias("phase_rx_gy"), F.max("dose_grid_id").alias("own"))
+    only = available(phases).groupBy(P).agg(F.count("*").alias("n"), F.min("dose_grid_id").alias("grid")).filter("n = 1").select(P, F.col("grid").alias("only"))
+    over = typed.select(P, "name_norm", typed_dose(F.col("dose_text")).alias("typed_gy"))
+    x = targets.join(own, [P, "name_norm"], "left").join(over, [P, "name_norm"], "left").join(only, P, "left").join(sampled, [P, "name_norm"], "left")
+    reference = F.coalesce("typed_gy", "phase_rx_gy", "rx_gy", F.lit(0.0))
+    fall_back = (reference > 0) & ~F.coalesce("covered", F.lit(True))
+    return x.select(P, "name_norm", reference.alias("reference_gy"), F.coalesce("own", F.when(fall_back, F.col("only")), F.lit("combined")).alias("source"))

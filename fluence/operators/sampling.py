@@ -76,8 +76,10 @@ def high_accuracy(sampled: DataFrame, grid_max: DataFrame, width: float = dvh.WI
 
 
 def strategy(geometry: DataFrame, small_cc: float = 5.0) -> DataFrame:
-    """How a structure's curve is made: by voxels for BODY, finely for small volumes, else by samples."""
-    return geometry.withColumn("strategy", F.when(F.col("name_norm") == "BODY", "voxels").when(F.col("volume_cc") <= small_cc, "small").otherwise("samples"))
+    """How each structure's curve (patient_id, structure_id, name_norm, volume_cc) is made: by voxels for BODY, finely for
+    small volumes, else by samples. Of structures with one name the last counts."""
+    last = geometry.groupBy("patient_id", "name_norm").agg(F.max_by(F.struct("structure_id", "volume_cc"), "structure_id").alias("x")).select("patient_id", "name_norm", "x.*")
+    return last.withColumn("strategy", F.when(F.col("name_norm") == "BODY", "voxels").when(F.col("volume_cc") <= small_cc, "small").otherwise("samples"))
 
 
 def resampled(dose: DataFrame, planes: DataFrame, image_slices: DataFrame, rows: int, cols: int, scale_r: float, shift_r: float, scale_c: float, shift_c: float) -> DataFrame:

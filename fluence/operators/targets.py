@@ -89,3 +89,22 @@ def saved_notes(computed: DataFrame, typed: DataFrame) -> DataFrame:
     own = F.trim("note_text")
     cut = F.when((made != "") & F.startswith(own, made), F.trim(F.expr("substring(trim(note_text), length(trim(coalesce(made, ''))) + 1)"))).otherwise(own)
     return x.select(P, "note_key", cut.alias("note_text")).filter("note_text <> ''")
+
+
+def coverage_lines(targets: DataFrame, saved: DataFrame, fresh: DataFrame) -> DataFrame:
+    """A line for each target (patient_id, name_norm, rx_gy, phase_rx_gy): its saved coverage text; else the fresh volume in %
+    (patient_id, name_norm, coverage_pct) at its phase's dose, or at the dose in its name. Targets without either dose have none."""
+    x = targets.join(saved.select(P, "name_norm", "coverage_text"), [P, "name_norm"], "left").join(fresh, [P, "name_norm"], "left")
+    dose = F.coalesce("phase_rx_gy", "rx_gy")
+    made = F.when(F.col("rx_gy").isNotNull() & F.col("coverage_pct").isNotNull(), F.concat(F.format_string("%.1f%% @ %.2f", "coverage_pct", dose), F.lit(" Gy")))
+    text = F.coalesce(F.when(F.trim("coverage_text") != "", F.trim("coverage_text")), made)
+    return x.filter(text.isNotNull()).select(P, "name_norm", F.concat(F.lit("Coverage "), text).alias("line"))
+
+
+def with_parents(rows: DataFrame, parents: DataFrame) -> DataFrame:
+    """Target rows (patient_id, structure_id, reference_gy); a nested one (parents: patient_id, part, parent) takes its
+    parent's reference, a nested one without a parent among the rows none."""
+    up = parents.select(P, F.col("part").alias("structure_id"), "parent")
+    theirs = rows.select(P, F.col("structure_id").alias("parent"), F.col("reference_gy").alias("parent_gy"))
+    x = rows.join(up, [P, "structure_id"], "left").join(theirs, [P, "parent"], "left")
+    return x.select(P, "structure_id", "parent", F.when(F.col("parent").isNull(), F.col("reference_gy")).otherwise(F.col("parent_gy")).alias("reference_gy"))

@@ -65,15 +65,17 @@ def nearest(asked: DataFrame, voxels: DataFrame, rows: int, cols: int) -> DataFr
 
 def between_planes(asked: DataFrame, voxels: DataFrame, planes: DataFrame, rows: int, cols: int) -> DataFrame:
     """Asked (patient_id, id, z, y, x) between the two planes (patient_id, k, z) around z, bilinear in each; 0 outside the
-    planes' range; a single plane counts everywhere."""
-    w = Window.partitionBy("patient_id").orderBy("z")
-    p = planes.withColumn("z1", F.lead("z").over(w)).withColumn("k1", F.lead("k").over(w)).withColumn("n", F.count("*").over(Window.partitionBy("patient_id"))).withColumnRenamed("z", "z0")
-    a = asked.join(p, "patient_id").filter((F.col("n") == 1) | ((F.col("z") >= F.col("z0")) & (F.col("z") < F.col("z1"))) | ((F.col("z") == F.col("z1"))))
-    a = a.groupBy(*asked.columns).agg(F.min_by(F.struct("k", "k1", "z0", "z1", "n"), "z0").alias("p")).select(*asked.columns, "p.*")
-    share = F.when(F.col("n") == 1, 0.0).otherwise((F.col("z") - F.col("z0")) / (F.col("z1") - F.col("z0")))
-    both = a.withColumn("t", share)
-    low = both.select("patient_id", "id", "k", "y", "x", (1 - F.col("t")).alias("w_z"))
-    high = both.filter("k1 is not null").select("patient_id", "id", F.col("k1").alias("k"), "y", "x", F.col("t").alias("w_z"))
+    planes' range; a single plane counts everywhere. A patient's planes are one array, in which each sample looks up its pair."""
+    stack = planes.groupBy("patient_id").agg(F.array_sort(F.collect_list(F.struct("z", "k"))).alias("planes"))
+    below = F.filter("planes", lambda p: p["z"] <= F.col("z"))
+    # a sample on a plane belongs to the pair below it, but on the first plane to the first pair
+    under = F.filter("planes", lambda p: p["z"] < F.col("z"))
+    at = F.greatest(F.size(under), F.least(F.size(below), F.lit(1)))
+    a = asked.join(stack, "patient_id").withColumn("n", F.size("planes")).withColumn("at", F.when(F.col("n") == 1, 1).otherwise(at)).filter("at > 0 and (n = 1 or at < n)")
+    a = a.select(*asked.columns, F.get("planes", F.col("at") - 1).alias("p0"), F.get("planes", F.col("at")).alias("p1"))
+    both = a.withColumn("t", F.coalesce((F.col("z") - F.col("p0.z")) / (F.col("p1.z") - F.col("p0.z")), F.lit(0.0)))
+    low = both.select("patient_id", "id", F.col("p0.k").alias("k"), "y", "x", (1 - F.col("t")).alias("w_z"))
+    high = both.filter("p1 is not null").select("patient_id", "id", F.col("p1.k").alias("k"), "y", "x", F.col("t").alias("w_z"))
     got = _corners(low.unionByName(high), rows, cols).join(voxels, V).groupBy("patient_id", "id").agg(F.sum(F.col("w") * F.col("w_z") * F.col("dose_gy")).alias("d"))
     return asked.join(got, ["patient_id", "id"], "left").select(*asked.columns, F.coalesce("d", F.lit(0.0)).alias("dose_gy"))
 

@@ -91,7 +91,8 @@ def s7_plan_summary(spark, sf):
 
 def s11_fractionation(spark, sf):
     f = plans.fractionation(view(spark, sf, "plan_phase"))
-    return f.select(P, F.size("dose_per_fraction").alias("n_doses"), F.array_join(F.col("fraction_counts").cast("array<string>"), ",").alias("fraction_counts"))
+    doses = F.array_join(F.transform("dose_per_fraction", lambda v: F.round(v * 1000).cast("bigint").cast("string")), ",")
+    return f.select(P, doses.alias("doses"), F.array_join(F.col("fraction_counts").cast("array<string>"), ",").alias("fraction_counts"))
 
 
 def j2_phase_grid(spark, sf):
@@ -106,6 +107,45 @@ def t1_assigned_phases(spark, sf):
     return plans.assigned_phases(plans.sorted_targets(_named(spark, sf)), view(spark, sf, "plan_phase")).select(P, "name_norm", "plan_uid", F.round("phase_rx_gy", 6).alias("phase_rx_gy"))
 
 
+def _assigned(spark, sf):
+    """T1 and T2 over all patients."""
+    return plans.assigned_phases(plans.sorted_targets(_named(spark, sf)), view(spark, sf, "plan_phase"))
+
+
+BLOCKS = """block AS (SELECT p_partkey % (SELECT count(*) FROM {supplier}) AS patient_id, p_partkey AS block_no,
+  CASE p_size % 6 WHEN 0 THEN 'D/F ' || CAST(p_size % 7 AS VARCHAR(20)) || '.4' WHEN 1 THEN 'F ' || CAST(p_size % 9 * 5 AS VARCHAR(20)) WHEN 2 THEN 'NA' WHEN 3 THEN 'D/F 2' WHEN 4 THEN 'other' ELSE 'F 31' END AS label
+  FROM {part} WHERE p_partkey % 4 = 1)"""
+
+
+def s10_chosen_blocks(spark, sf):
+    """Each patient's constraint block by its plans' doses a fraction and fraction counts."""
+    body = BLOCKS.split(" AS (", 1)[1].rsplit(")", 1)[0]
+    blocks = spark.sql(body, **{n: spark.read.parquet(f"{sf}/{n}.parquet") for n in ("part", "supplier")})
+    return plans.chosen_block(blocks, plans.fractionation(view(spark, sf, "plan_phase")))
+
+
+SETS = """sets AS (SELECT c_custkey AS no, CASE c_custkey % 5 WHEN 0 THEN ' srs   fsrt ' WHEN 1 THEN 'Prostate SBRT' WHEN 2 THEN 'SRS FSRT 5' WHEN 3 THEN NULL ELSE c_mktsegment END AS set_id FROM {customer})"""
+
+
+def p11_set_flags(spark, sf):
+    sets = spark.sql(SETS.split(" AS (", 1)[1].rsplit(")", 1)[0], customer=spark.read.parquet(f"{sf}/customer.parquet"))
+    return plans.set_flags(sets)
+
+
+def _typed(spark, sf):
+    """Reference doses as typed for some targets; some are no doses."""
+    n = _named(spark, sf).filter("name_norm like 'PTV%'").groupBy(P, "name_norm").agg(F.min("ordinal").alias("o"))
+    text = F.when(F.col("o") % 4 == 0, F.concat(F.lit(" "), (F.col("o") % 60).cast("string"), F.lit(".25 "))).when(F.col("o") % 4 == 1, "-3").when(F.col("o") % 4 == 2, "soon")
+    return n.select(P, "name_norm", text.alias("dose_text"))
+
+
+def t6_reference_doses(spark, sf):
+    """Typed dose, assigned phase, name; the combined dose gives values for some targets only."""
+    n = _named(spark, sf).filter("name_norm like 'PTV%'").groupBy(P, "name_norm").agg(F.max("rx_gy").alias("rx_gy"))
+    sampled = n.filter("patient_id % 5 <> 0").select(P, "name_norm", (F.length("name_norm") % 2 == 0).alias("covered"))
+    return plans.referred(n, view(spark, sf, "plan_phase"), _assigned(spark, sf), _typed(spark, sf), sampled)
+
+
 def t5_inferred_srs(spark, sf):
     low = view(spark, sf, "dose_sample").groupBy(P, F.col("structure").alias("name_norm")).agg((F.min("dose_gy") + F.count("*") % 9 + 15).alias("min_gy"))
     return plans.inferred_srs(low).select(P, "name_norm", "srs_rx_gy")
@@ -138,11 +178,39 @@ QUERIES = {
     f.__name__: f
     for f in (
         p1_normalised_names, p2_listable, p3_mask_candidates, p4_brain, p6_dose_levels, p8_available_phases, p12_isodose_levels, p13_default_isodoses, p14_total_rx, p15_wash_floor, o1_sorted_targets,
-        o2_display_order, o3_nested_order, s7_plan_summary, s11_fractionation, j2_phase_grid, t1_assigned_phases, t5_inferred_srs, x10_parsed_texts, x14_membership,
+        o2_display_order, o3_nested_order, s7_plan_summary, s11_fractionation, j2_phase_grid, t1_assigned_phases, t5_inferred_srs, s10_chosen_blocks, p11_set_flags, t6_reference_doses, x10_parsed_texts, x14_membership,
     )
 }
 
 
+# T1 and T2 in SQL: the walk over a patient's targets, one a step, with the level reached and the phases used.
+ASSIGNED = """
+pt AS (SELECT patient_id, name_norm, rx_gy, row_number() OVER (PARTITION BY patient_id ORDER BY rx_gy ASC NULLS LAST, name_norm, ordinal) AS place FROM named WHERE starts_with(name_norm, 'PTV')),
+ph AS (SELECT patient_id, count(*) AS n, list({'plan_uid': plan_uid, 'rx': rx_gy::DOUBLE, 'target': target_norm, 'label': label} ORDER BY plan_uid) AS phases FROM avail GROUP BY 1),
+one AS (SELECT pt.patient_id, name_norm, place, phases[1].plan_uid AS plan_uid, phases[1].rx AS rx, name_norm = phases[1].target AS exact, abs(rx_gy - phases[1].rx) AS gap FROM pt JOIN ph USING (patient_id) WHERE n = 1),
+single AS (SELECT patient_id, coalesce(min_by(name_norm, place) FILTER (exact), min_by(name_norm, (gap, name_norm)) FILTER (gap <= 0.5)) AS name_norm, max(plan_uid) AS plan_uid, max(rx) AS phase_rx_gy FROM one GROUP BY 1),
+st AS (SELECT pt.patient_id, name_norm, rx_gy::DOUBLE AS rx_gy, phases, row_number() OVER (PARTITION BY pt.patient_id ORDER BY place) AS no FROM pt JOIN ph USING (patient_id) WHERE n > 1 AND rx_gy IS NOT NULL),
+walk AS (SELECT patient_id, 0::BIGINT AS no, 0.0::DOUBLE AS level, []::VARCHAR[] AS used, NULL::VARCHAR AS name_norm, NULL::VARCHAR AS plan_uid, NULL::DOUBLE AS phase_rx_gy FROM ph WHERE n > 1
+  UNION ALL
+  SELECT patient_id, no, CASE WHEN more > 0 AND best IS NULL THEN level ELSE rx_gy END, CASE WHEN take THEN list_append(used, best.plan_uid) ELSE used END,
+    CASE WHEN take THEN name_norm END, CASE WHEN take THEN best.plan_uid END, CASE WHEN take THEN more END
+  FROM (SELECT *, coalesce(more > 0 AND (best.gap <= 0.5 OR best.other = 0), false) AS take
+    FROM (SELECT s.patient_id, s.no, w.level, w.used, s.rx_gy, s.name_norm, greatest(s.rx_gy - w.level, 0.0) AS more,
+        list_sort(list_transform(list_filter(s.phases, lambda p: NOT list_contains(w.used, p.plan_uid)), lambda p: {'gap': abs(p.rx - greatest(s.rx_gy - w.level, 0.0)), 'other': CASE WHEN p.target = s.name_norm THEN 0 ELSE 1 END, 'label': p.label, 'plan_uid': p.plan_uid}))[1] AS best
+      FROM walk w JOIN st s ON s.patient_id = w.patient_id AND s.no = w.no + 1))),
+assigned AS (SELECT patient_id, name_norm, plan_uid, phase_rx_gy FROM single WHERE name_norm IS NOT NULL UNION ALL SELECT patient_id, name_norm, plan_uid, phase_rx_gy FROM walk WHERE name_norm IS NOT NULL)"""
+
+# S11 in SQL: values in order of plans, without any close to an earlier one.
+FRACTIONS = """
+fv AS (SELECT patient_id, list(rx_gy::DOUBLE / fractions ORDER BY plan_uid) FILTER (rx_gy > 0 AND fractions > 0) AS d, list(fractions ORDER BY plan_uid) FILTER (fractions > 0) AS f FROM plan_phase GROUP BY 1),
+fr AS (SELECT patient_id, list_reduce(list_prepend([]::DOUBLE[], list_transform(coalesce(d, []), lambda v: [v])), lambda acc, v: CASE WHEN len(list_filter(acc, lambda y: abs(y - v[1]) <= 0.01)) > 0 THEN acc ELSE list_concat(acc, v) END) AS dose_per_fraction,
+  list_reduce(list_prepend([]::INT[], list_transform(coalesce(f, []), lambda v: [v])), lambda acc, v: CASE WHEN list_contains(acc, v[1]) THEN acc ELSE list_concat(acc, v) END) AS fraction_counts FROM fv)"""
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _n(body: str) -> str:
     return with_views("WITH " + NAMED + body, "named_structure", "plan_phase")
 
@@ -160,6 +228,33 @@ LEVELS = "lv AS (SELECT patient_id, list(DISTINCT rx_gy ORDER BY rx_gy) AS level
 NUM = r"[-+]?\d*\.?\d+"
 
 ORACLE_SQL = {
+    "t1_assigned_phases": recursive(_n("," + ASSIGNED + " SELECT patient_id, name_norm, plan_uid, round(phase_rx_gy, 6) AS phase_rx_gy FROM assigned")),
+    "s11_fractionation": _n(
+        "," + FRACTIONS + """ SELECT patient_id, coalesce(array_to_string(list_transform(dose_per_fraction, lambda v: round(v * 1000)::BIGINT::VARCHAR), ','), '') AS doses,
+        coalesce(array_to_string(list_transform(fraction_counts, lambda v: v::VARCHAR), ','), '') AS fraction_counts FROM fr"""
+    ),
+    "p13_default_isodoses": _n(
+        ", " + LEVELS + """, tt AS (SELECT patient_id, sum(rx_gy)::DOUBLE AS total FROM avail GROUP BY 1),
+        al AS (SELECT patient_id, list_concat(CASE WHEN total > 0 THEN [total] ELSE []::DOUBLE[] END, list_reverse(coalesce(levels::DOUBLE[], []::DOUBLE[]))) AS l FROM tt FULL JOIN lv USING (patient_id)),
+        kp AS (SELECT patient_id, list_reduce(list_prepend([]::DOUBLE[], list_transform(l, lambda v: [v])), lambda acc, v: CASE WHEN len(list_filter(acc, lambda y: abs(y - v[1]) <= 0.05)) > 0 THEN acc ELSE list_concat(acc, v) END)[1:4] AS k FROM al)
+        SELECT patient_id, u.i::INT AS place, round(k[u.i + 1], 6) AS level FROM kp JOIN (SELECT unnest(range(4)) AS i) u ON u.i < len(k)"""
+    ),
+    "s10_chosen_blocks": with_views(
+        "WITH " + BLOCKS.format(part="part", supplier="supplier") + "," + FRACTIONS + f""",
+        lb AS (SELECT *, regexp_matches(upper(trim(label)), '^N/?A$') AS na, try_cast(nullif(regexp_extract(label, 'D/F ({NUM})', 1), '') AS DOUBLE) AS df, try_cast(nullif(regexp_extract(label, '^F ({NUM})', 1), '') AS DOUBLE) AS fc, count(*) OVER (PARTITION BY patient_id) AS n FROM block),
+        gp AS (SELECT lb.*, list_filter(list_transform(CASE WHEN df IS NOT NULL THEN dose_per_fraction WHEN fc IS NOT NULL THEN fraction_counts::DOUBLE[] END, lambda v: abs(v - coalesce(df, fc))), lambda g: g <= 0.05)[1] AS gap FROM lb LEFT JOIN fr USING (patient_id)),
+        rk AS (SELECT *, CASE WHEN n = 1 THEN 0 WHEN gap IS NOT NULL THEN 1 WHEN na THEN 2 ELSE 3 END AS rank FROM gp)
+        SELECT patient_id, block_no, label FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY rank, coalesce(gap, 0), CASE WHEN rank = 2 THEN -block_no ELSE block_no END) AS rn FROM rk) WHERE rn = 1""",
+        "plan_phase",
+    ),
+    "p11_set_flags": "WITH " + SETS.format(customer="customer") + r" SELECT no, set_id, upper(trim(regexp_replace(coalesce(set_id, ''), '\s+', ' ', 'g'))) = 'SRS FSRT' AS stereotactic, contains(upper(coalesce(set_id, '')), 'PROSTATE') AS prostate FROM sets",
+    "t6_reference_doses": recursive(_n(
+        "," + ASSIGNED + """, tg AS (SELECT patient_id, name_norm, max(rx_gy)::DOUBLE AS rx_gy, min(ordinal) AS o FROM named WHERE starts_with(name_norm, 'PTV') GROUP BY 1, 2),
+        own AS (SELECT a.patient_id, name_norm, max(phase_rx_gy) AS rx, max(dose_grid_id) AS grid FROM assigned a JOIN plan_phase USING (patient_id, plan_uid) GROUP BY 1, 2),
+        sole AS (SELECT patient_id, min(dose_grid_id) AS grid FROM avail GROUP BY 1 HAVING count(*) = 1),
+        rf AS (SELECT tg.*, own.grid AS own, sole.grid AS only_grid, coalesce(CASE WHEN o % 4 = 0 THEN (o % 60) + 0.25::DOUBLE END, own.rx, tg.rx_gy, 0) AS reference_gy FROM tg LEFT JOIN own USING (patient_id, name_norm) LEFT JOIN sole USING (patient_id))
+        SELECT patient_id, name_norm, reference_gy, coalesce(own, CASE WHEN reference_gy > 0 AND patient_id % 5 <> 0 AND length(name_norm) % 2 = 1 THEN only_grid END, 'combined') AS source FROM rf"""
+    )),
     "p1_normalised_names": _n(" SELECT patient_id, ordinal, name_norm, rx_gy, regexp_matches(name_norm, '^(PTV|GTV|CTV)') AS target_like FROM named"),
     "p2_listable": _n(", hid AS (SELECT DISTINCT patient_id, name_norm FROM named WHERE ordinal % 11 = 3) SELECT patient_id, ordinal, name_norm FROM named n WHERE NOT regexp_matches(name_norm, '^Z|COUCH|RAIL|BB') AND NOT EXISTS (SELECT 1 FROM hid h WHERE h.patient_id = n.patient_id AND h.name_norm = n.name_norm)"),
     "p3_mask_candidates": _n(" SELECT patient_id, name_norm, min(ordinal) AS ordinal FROM named WHERE regexp_matches(name_norm, '^(PTV|GTV|CTV|LUNG)') OR starts_with(name_norm, 'BRAIN') AND NOT contains(name_norm, 'BRAINSTEM') GROUP BY 1, 2"),

@@ -59,25 +59,45 @@ def t10_competing_targets(spark, sf):
 
 
 def t3_fraction_counts(spark, sf):
-    s, phases = plans.sorted_targets(pq._named(spark, sf)), view(spark, sf, "plan_phase")
-    names = s.select(P, "name_norm").distinct()
-    # phases come from the assignment by name only, which SQL can state
-    own = available_by_name(names, phases)
-    return targets.fraction_counts(names, phases, own)
+    names = plans.sorted_targets(pq._named(spark, sf)).select(P, "name_norm").distinct()
+    own = pq._assigned(spark, sf).groupBy(P, "name_norm").agg(F.min("plan_uid").alias("plan_uid"))
+    return targets.fraction_counts(names, view(spark, sf, "plan_phase"), own)
 
 
-def available_by_name(names, phases):
-    """The first available phase, by plan, that is made for the target's name."""
-    p = plans.available(phases).groupBy(P, F.col("target_norm").alias("name_norm")).agg(F.min("plan_uid").alias("plan_uid"))
-    return names.join(p, [P, "name_norm"])
+def t4_default_reference(spark, sf):
+    """T4 over the assignment of T1 and T2, and the dose that T5 infers from each target's smallest dose."""
+    names = plans.sorted_targets(pq._named(spark, sf)).select(P, "name_norm").distinct()
+    own = pq._assigned(spark, sf).groupBy(P, "name_norm").agg(F.max("phase_rx_gy").alias("phase_rx_gy"))
+    guess = plans.inferred_srs(names.filter("patient_id % 3 = 0").withColumn("min_gy", 15.0 + (F.length("name_norm") * 7 + F.col("patient_id")) % 11))
+    return plans.default_reference(names, view(spark, sf, "plan_phase"), own, F.col("patient_id") % 2 == 0, guess)
 
 
-def t4_default_reference(spark, sf):
-    s, phases = plans.sorted_targets(pq._named(spark, sf)), view(spark, sf, "plan_phase")
-    names = s.select(P, "name_norm").distinct()
-    own = available_by_name(names, phases).join(phases.select(P, "plan_uid", F.col("rx_gy").alias("phase_rx_gy")), [P, "plan_uid"])
-    guess = names.filter("patient_id % 3 = 0").withColumn("srs_rx_gy", F.lit(21.0))
-    return plans.default_reference(names, phases, own, F.col("patient_id") % 2 == 0, guess)
+def d6_strategies(spark, sf):
+    g = raster.geometry(gq._spans(spark, sf), gq.SX, gq.SY, gq.DZ, 0.027)
+    name = F.when(F.col("structure_id") % 5 == 0, "BODY").otherwise(F.concat(F.lit("S"), (F.col("structure_id") % 4).cast("string")))
+    return sampling.strategy(g.withColumn("name_norm", name)).select(P, "name_norm", "structure_id", "strategy")
+
+
+def d10_volume_axis(spark, sf):
+    """Curves of odd patients as if saved without volumes in cc."""
+    c = dq._curves(spark, sf)
+    points = dq.dvh.curve(c, W).withColumn("volume_cc", F.when(F.col("patient_id") % 2 == 0, F.col("volume_cc")))
+    return dq.dvh.volume_axis(points, c).select(P, "structure", "bin", F.round("volume_cc", 6).alias("volume_cc"))
+
+
+def j14_parent_references(spark, sf):
+    spans = gq._spans(spark, sf)
+    rows = spans.select(P, "structure_id").distinct().filter("structure_id % 9 <> 4").withColumn("reference_gy", F.col("structure_id") + 0.5)
+    return targets.with_parents(rows, targets.nested(raster.contained(spans), raster.voxel_counts(spans)))
+
+
+def t23_coverage_lines(spark, sf):
+    """Saved texts for some targets; the others' coverage at their phase's dose, else at the dose in their name."""
+    n = pq._named(spark, sf).filter("name_norm like 'PTV%'").groupBy(P, "name_norm").agg(F.max("rx_gy").alias("rx_gy"), F.min("ordinal").alias("o"))
+    own = pq._assigned(spark, sf).groupBy(P, "name_norm").agg(F.max("phase_rx_gy").alias("phase_rx_gy"))
+    saved = n.filter("o % 3 = 0").select(P, "name_norm", F.when(F.col("o") % 2 == 0, F.concat(F.lit(" 95.0% @ "), F.col("o").cast("string"))).otherwise(" ").alias("coverage_text"))
+    fresh = n.filter("o % 5 <> 1").select(P, "name_norm", ((F.col("o") * 37 % 1000) / 10 + 0.04).alias("coverage_pct"))
+    return targets.coverage_lines(n.join(own, [P, "name_norm"], "left"), saved, fresh)
 
 
 def t24_review_list(spark, sf):
@@ -92,11 +112,11 @@ def t25_volume_lines(spark, sf):
 
 
 def o5_focus(spark, sf):
-    s, phases = plans.sorted_targets(pq._named(spark, sf)), view(spark, sf, "plan_phase")
-    return targets.focus(s, available_by_name(s.select(P, "name_norm").distinct(), phases))
+    s = plans.sorted_targets(pq._named(spark, sf))
+    return targets.focus(s, pq._assigned(spark, sf).select(P, "name_norm").distinct())
 
 
-QUERIES = {f.__name__: f for f in (g6_occupancy, x15_oversampling, d3_high_accuracy, g13_resampled, t7_target_metrics, t9_nested_targets, t10_competing_targets, t3_fraction_counts, t4_default_reference, t24_review_list, t25_volume_lines, o5_focus)}
+QUERIES = {f.__name__: f for f in (g6_occupancy, x15_oversampling, d3_high_accuracy, g13_resampled, t7_target_metrics, t9_nested_targets, t10_competing_targets, t3_fraction_counts, t4_default_reference, d6_strategies, d10_volume_axis, j14_parent_references, t23_coverage_lines, t24_review_list, t25_volume_lines, o5_focus)}
 
 F2 = N * SCALE
 OCC = f"""e AS (SELECT patient_id, structure_id, k, contour_no, r * {SCALE} AS r0, c * {SCALE} AS c0, coalesce(lead(r) OVER o, first_value(r) OVER o) * {SCALE} AS r1, coalesce(lead(c) OVER o, first_value(c) OVER o) * {SCALE} AS c1
@@ -122,7 +142,25 @@ GEOMETRY = gq.MASK + f""", sl AS (SELECT patient_id, structure_id, k, count(*) *
 g AS (SELECT patient_id, structure_id, sum(area * {gq.DZ}::DOUBLE) AS mm3, sum(edge * {gq.DZ}::DOUBLE) + min_by(area, k) + max_by(area, k) AS s FROM sl GROUP BY 1, 2),
 gm AS (SELECT patient_id, structure_id, round(cbrt(mm3 / 1000 / 0.0001), 6) AS rss, greatest(round(s / pow(36 * pi() * mm3 * mm3, 1.0 / 3) - 1, 6), 0) AS complexity FROM g)"""
 
+NESTED = ", n AS (SELECT patient_id, structure_id, count(*) AS n FROM mask GROUP BY 1, 2), j AS (SELECT a.patient_id, a.structure_id AS part, b.structure_id AS whole, count(*) AS s FROM mask a JOIN mask b ON a.patient_id = b.patient_id AND a.k = b.k AND a.r = b.r AND a.c = b.c AND a.structure_id <> b.structure_id GROUP BY 1, 2, 3)"
+
 ORACLE_SQL = {
+    "d6_strategies": with_views(
+        "WITH " + GEOMETRY + """, nm AS (SELECT patient_id, structure_id, mm3 / 1000 AS cc, CASE WHEN structure_id % 5 = 0 THEN 'BODY' ELSE 'S' || (structure_id % 4)::VARCHAR END AS name_norm FROM g),
+        la AS (SELECT patient_id, name_norm, max(structure_id) AS structure_id, max_by(cc, structure_id) AS cc FROM nm GROUP BY 1, 2)
+        SELECT patient_id, name_norm, structure_id, CASE WHEN name_norm = 'BODY' THEN 'voxels' WHEN cc <= 5 THEN 'small' ELSE 'samples' END AS strategy FROM la""",
+        "contour_point",
+    ),
+    "d10_volume_axis": dq._sample(" SELECT c.patient_id, c.structure, c.bin, round(CASE WHEN c.patient_id % 2 = 0 THEN c.volume_cc ELSE c.volume_pct * t.volume_cc / 100 END, 6) AS volume_cc FROM curve c JOIN tot t USING (patient_id, structure)"),
+    "j14_parent_references": gq._m(NESTED + """, pr AS (SELECT j.patient_id, part, min_by(whole, (w.n, whole)) AS parent FROM j JOIN n p ON p.patient_id = j.patient_id AND p.structure_id = part AND s = p.n JOIN n w ON w.patient_id = j.patient_id AND w.structure_id = whole GROUP BY 1, 2),
+        ro AS (SELECT patient_id, structure_id, structure_id + 0.5::DOUBLE AS ref FROM n WHERE structure_id % 9 <> 4)
+        SELECT ro.patient_id, ro.structure_id, parent, CASE WHEN parent IS NULL THEN ro.ref ELSE up.ref END AS reference_gy FROM ro LEFT JOIN pr ON pr.patient_id = ro.patient_id AND part = ro.structure_id LEFT JOIN ro up ON up.patient_id = ro.patient_id AND up.structure_id = parent"""),
+    "t23_coverage_lines": pq.recursive(pq._n(
+        "," + pq.ASSIGNED + """, tg AS (SELECT patient_id, name_norm, max(rx_gy)::DOUBLE AS rx_gy, min(ordinal) AS o FROM named WHERE starts_with(name_norm, 'PTV') GROUP BY 1, 2),
+        own AS (SELECT patient_id, name_norm, max(phase_rx_gy) AS rx FROM assigned GROUP BY 1, 2)
+        SELECT patient_id, name_norm, 'Coverage ' || tx AS line FROM (SELECT tg.patient_id, tg.name_norm, coalesce(CASE WHEN o % 3 = 0 AND o % 2 = 0 THEN '95.0% @ ' || o::VARCHAR END,
+          CASE WHEN o % 5 <> 1 AND rx_gy IS NOT NULL THEN printf('%.1f', (o * 37 % 1000) / 10.0 + 0.04) || '% @ ' || printf('%.2f', coalesce(own.rx, rx_gy)) || ' Gy' END) AS tx FROM tg LEFT JOIN own USING (patient_id, name_norm)) WHERE tx IS NOT NULL"""
+    )),
     "g6_occupancy": with_views("WITH " + OCC + " SELECT patient_id, structure_id, k, r, c, round(share, 6) AS share FROM occ", "contour_point"),
     "x15_oversampling": with_views(
         "WITH " + GEOMETRY + f""", ru AS (SELECT patient_id, structure_id, {_mu('rss', *_R['very_small'])} AS vh, greatest(least({_mu('rss', *_R['small'])}, {_mu('complexity', *_C['high'])}), least({_mu('rss', *_R['medium'])}, {_mu('complexity', *_C['high'])})) AS hi,
@@ -155,13 +193,13 @@ ORACLE_SQL = {
     "t7_target_metrics": dq._sample("," + dq.STEP + ", asked AS (SELECT patient_id, structure, (patient_id % 9 * 10.0 - 5)::DOUBLE AS dose FROM tot)," + dq.v_sql("asked") + " SELECT t.patient_id, t.structure, v.dose AS reference_gy, min_gy, max_gy, CASE WHEN v.dose > 0 THEN round(v_pct, 6) END AS coverage_pct FROM tot t JOIN v_at v USING (patient_id, structure)"),
     "t9_nested_targets": gq._m(" , n AS (SELECT patient_id, structure_id, count(*) AS n FROM mask GROUP BY 1, 2), j AS (SELECT a.patient_id, a.structure_id AS part, b.structure_id AS whole, count(*) AS s FROM mask a JOIN mask b ON a.patient_id = b.patient_id AND a.k = b.k AND a.r = b.r AND a.c = b.c AND a.structure_id <> b.structure_id GROUP BY 1, 2, 3), ct AS (SELECT j.* FROM j JOIN n ON n.patient_id = j.patient_id AND n.structure_id = part WHERE s = n) SELECT ct.patient_id, part, min_by(whole, (n.n, whole)) AS parent FROM ct JOIN n ON n.patient_id = ct.patient_id AND n.structure_id = whole GROUP BY 1, 2"),
     "t10_competing_targets": gq._m(" , n AS (SELECT patient_id, structure_id, count(*) AS n FROM mask GROUP BY 1, 2), j AS (SELECT a.patient_id, a.structure_id AS part, b.structure_id AS whole, count(*) AS s FROM mask a JOIN mask b ON a.patient_id = b.patient_id AND a.k = b.k AND a.r = b.r AND a.c = b.c AND a.structure_id <> b.structure_id GROUP BY 1, 2, 3), ct AS (SELECT j.* FROM j JOIN n ON n.patient_id = j.patient_id AND n.structure_id = part WHERE s = n) SELECT a.patient_id, a.structure_id AS target, b.structure_id AS rival FROM n a JOIN n b USING (patient_id) WHERE NOT EXISTS (SELECT 1 FROM ct WHERE ct.patient_id = a.patient_id AND (part = a.structure_id AND whole = b.structure_id OR whole = a.structure_id AND part = b.structure_id))"),
-    "t3_fraction_counts": pq._n(", ow AS (SELECT a.patient_id, target_norm AS name_norm, min_by(fractions, plan_uid) AS f FROM avail a GROUP BY 1, 2), fx AS (SELECT patient_id, count(DISTINCT fractions) AS m, max(fractions) AS f FROM avail WHERE fractions > 0 GROUP BY 1) SELECT DISTINCT n.patient_id, n.name_norm, coalesce(ow.f, CASE WHEN fx.m = 1 THEN fx.f END, 0) AS fraction_count FROM named n LEFT JOIN ow USING (patient_id, name_norm) LEFT JOIN fx USING (patient_id) WHERE starts_with(n.name_norm, 'PTV')"),
-    "t4_default_reference": pq._n(
-        """, ow AS (SELECT patient_id, target_norm AS name_norm, min_by(rx_gy, plan_uid) AS rx FROM avail GROUP BY 1, 2), ph AS (SELECT patient_id, sum(rx_gy) AS s, count(DISTINCT CASE WHEN fractions > 0 THEN fractions END) AS m, max(fractions) AS f FROM avail GROUP BY 1),
-        b AS (SELECT DISTINCT n.patient_id, n.name_norm, ow.rx, s, coalesce(m = 1 AND f = 1 AND n.patient_id % 2 = 0, false) AS one, coalesce(m = 1 AND f > 1 AND n.patient_id % 2 = 0, false) AS many, n.patient_id % 2 = 0 AS st, CASE WHEN n.patient_id % 3 = 0 THEN 21.0 END AS srs,
-          try_cast(nullif(regexp_replace(n.name_norm, '[^0-9]', '', 'g'), '') AS DOUBLE) AS raw FROM named n LEFT JOIN ow USING (patient_id, name_norm) LEFT JOIN ph USING (patient_id) WHERE starts_with(n.name_norm, 'PTV'))
+    "t3_fraction_counts": pq.recursive(pq._n("," + pq.ASSIGNED + ", ow AS (SELECT a.patient_id, name_norm, min_by(fractions, plan_uid) AS f FROM assigned a JOIN plan_phase USING (patient_id, plan_uid) GROUP BY 1, 2), fx AS (SELECT patient_id, count(DISTINCT fractions) AS m, max(fractions) AS f FROM avail WHERE fractions > 0 GROUP BY 1) SELECT DISTINCT n.patient_id, n.name_norm, coalesce(ow.f, CASE WHEN fx.m = 1 THEN fx.f END, 0) AS fraction_count FROM named n LEFT JOIN ow USING (patient_id, name_norm) LEFT JOIN fx USING (patient_id) WHERE starts_with(n.name_norm, 'PTV')")),
+    "t4_default_reference": pq.recursive(pq._n(
+        "," + pq.ASSIGNED + """, ow AS (SELECT patient_id, name_norm, max(phase_rx_gy) AS rx FROM assigned GROUP BY 1, 2), phs AS (SELECT patient_id, sum(rx_gy) AS s, count(DISTINCT CASE WHEN fractions > 0 THEN fractions END) AS m, max(fractions) AS f FROM avail GROUP BY 1),
+        b AS (SELECT DISTINCT n.patient_id, n.name_norm, ow.rx, s, coalesce(m = 1 AND f = 1 AND n.patient_id % 2 = 0, false) AS one, coalesce(m = 1 AND f > 1 AND n.patient_id % 2 = 0, false) AS many, n.patient_id % 2 = 0 AS st, CASE WHEN n.patient_id % 3 = 0 THEN CASE WHEN abs(mg - 18) <= abs(mg - 21) AND abs(mg - 18) <= abs(mg - 24) THEN 18.0 WHEN abs(mg - 21) <= abs(mg - 24) THEN 21.0 ELSE 24.0 END END AS srs,
+          try_cast(nullif(regexp_replace(n.name_norm, '[^0-9]', '', 'g'), '') AS DOUBLE) AS raw FROM (SELECT *, 15.0 + (length(name_norm) * 7 + patient_id) % 11 AS mg FROM named) n LEFT JOIN ow USING (patient_id, name_norm) LEFT JOIN phs USING (patient_id) WHERE starts_with(n.name_norm, 'PTV'))
         SELECT patient_id, name_norm, round((CASE WHEN rx > 0 THEN rx WHEN raw >= 100 THEN raw / 100 WHEN (raw IS NULL OR raw < 100) AND one AND srs IS NOT NULL THEN srs WHEN (raw IS NULL OR raw < 100) AND many THEN s WHEN st AND srs IS NOT NULL THEN srs ELSE s END)::DOUBLE, 2) AS reference_gy FROM b"""
-    ),
+    )),
     "t24_review_list": with_views(
         "WITH " + pq.NAMED + ", " + gq.MASK + """, li AS (SELECT * FROM named WHERE NOT regexp_matches(name_norm, '^Z|COUCH|RAIL|BB')),
         od AS (SELECT patient_id, name_norm, row_number() OVER (PARTITION BY patient_id ORDER BY CASE left(name_norm, 3) WHEN 'PTV' THEN 0 WHEN 'GTV' THEN 1 WHEN 'CTV' THEN 2 ELSE 3 END, rx_gy ASC NULLS LAST, name_norm, ordinal) AS place FROM li),
@@ -172,5 +210,5 @@ ORACLE_SQL = {
         "named_structure", "plan_phase", "contour_point", "dose_voxel",
     ),
     "t25_volume_lines": with_views("WITH " + dq.HIST.strip() + ", gv AS (SELECT patient_id, structure, patient_id + 0.5::DOUBLE AS v FROM structure WHERE ordinal % 2 = 0) SELECT patient_id, structure, round(coalesce(v, volume_cc), 6) AS volume_cc FROM tot FULL JOIN gv USING (patient_id, structure)", "dose_sample", "structure"),
-    "o5_focus": pq._n(", ow AS (SELECT DISTINCT patient_id, target_norm AS name_norm, 1 AS has FROM avail), so AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY rx_gy ASC NULLS LAST, name_norm, ordinal) AS place FROM named WHERE starts_with(name_norm, 'PTV')) SELECT patient_id, max_by(name_norm, (coalesce(has, 0), place)) AS focus FROM so LEFT JOIN ow USING (patient_id, name_norm) GROUP BY 1"),
+    "o5_focus": pq.recursive(pq._n("," + pq.ASSIGNED + ", ow AS (SELECT DISTINCT patient_id, name_norm, 1 AS has FROM assigned), so AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY rx_gy ASC NULLS LAST, name_norm, ordinal) AS place FROM named WHERE starts_with(name_norm, 'PTV')) SELECT patient_id, max_by(name_norm, (coalesce(has, 0), place)) AS focus FROM so LEFT JOIN ow USING (patient_id, name_norm) GROUP BY 1")),
 }

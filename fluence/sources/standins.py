@@ -38,10 +38,15 @@ VIEWS = {
     "named_structure": """SELECT p_partkey % (SELECT count(*) FROM {supplier}) AS patient_id, p_partkey AS ordinal,
         CASE p_size % 13 WHEN 0 THEN 'PTV_' || CAST(2000 + 200 * (p_partkey % 25) AS VARCHAR(20)) WHEN 1 THEN ' ptv  54 ' WHEN 2 THEN 'GTV' || CAST(p_size AS VARCHAR(20)) WHEN 3 THEN 'CTV boost'
             WHEN 4 THEN 'Lung_L' WHEN 5 THEN 'zRing' WHEN 6 THEN 'CouchSurface' WHEN 7 THEN 'BB1' WHEN 8 THEN 'Brain' WHEN 9 THEN 'BrainStem' WHEN 10 THEN 'Brain - PTV' WHEN 11 THEN 'Hand Rail' ELSE p_name END AS name FROM {part}""",
-    # rectangles with a notch or a hole, one or two contours for each slice; vertices are rows
+    # notched shapes with a hole, one or two contours for each slice; vertices are rows. Of a patient's structures every third is
+    # large, every third is small and lies within the first of the large ones, every third has a large hole
     "contour_point": """SELECT s.patient_id, s.structure_id, s.k, s.contour_no, p.i, s.r0 + p.y * s.h AS r, s.c0 + p.x * s.w AS c FROM
-        (SELECT s_suppkey % 7 AS patient_id, s_suppkey AS structure_id, t.k, t.contour_no, CAST(2 + s_suppkey % 9 + 2 * t.contour_no AS DOUBLE) AS r0, CAST(1.5 + s_suppkey % 11 + 2.25 * t.contour_no AS DOUBLE) AS c0,
-            CAST(14.0 - 4.5 * t.contour_no AS DOUBLE) AS h, CAST(15.5 - 5.0 * t.contour_no AS DOUBLE) AS w FROM {supplier} CROSS JOIN
+        (SELECT q.patient_id, q.structure_id, t.k, t.contour_no,
+            CAST(2 + q.patient_id + CASE WHEN q.kind = 1 THEN 3 ELSE q.turn % 4 END + CASE WHEN q.kind = 2 THEN 2 ELSE 1 END * t.contour_no AS DOUBLE) AS r0,
+            CAST(1.5 + q.patient_id + CASE WHEN q.kind = 1 THEN 3.25 ELSE q.turn % 5 END + CASE WHEN q.kind = 2 THEN 2.25 ELSE 1 END * t.contour_no AS DOUBLE) AS c0,
+            CAST(CASE WHEN t.contour_no = 1 THEN CASE q.kind WHEN 2 THEN 9.5 ELSE 2 END WHEN q.kind = 1 THEN 7 - q.turn % 3 ELSE 14 END AS DOUBLE) AS h,
+            CAST(CASE WHEN t.contour_no = 1 THEN CASE q.kind WHEN 2 THEN 10.5 ELSE 2 END WHEN q.kind = 1 THEN 7.75 ELSE 15.5 END AS DOUBLE) AS w
+          FROM (SELECT s_suppkey AS structure_id, s_suppkey % 7 AS patient_id, CAST(floor(s_suppkey / 7) AS BIGINT) AS turn, CAST(floor(s_suppkey / 7) AS BIGINT) % 3 AS kind FROM {supplier}) q CROSS JOIN
             (SELECT 1 AS k, 0 AS contour_no UNION ALL SELECT 2, 0 UNION ALL SELECT 2, 1 UNION ALL SELECT 3, 0 UNION ALL SELECT 3, 1 UNION ALL SELECT 5, 0) t) s
         CROSS JOIN (SELECT 0 AS i, 0.0 AS y, 0.0 AS x UNION ALL SELECT 1, 0.0, 1.0 UNION ALL SELECT 2, 0.5, 0.75 UNION ALL SELECT 3, 1.0, 1.0 UNION ALL SELECT 4, 1.0, 0.1) p""",
     # where slices stand, unevenly

@@ -1,10 +1,11 @@
 """Decision tables and closed-form cases of the dose operators."""
 
 import math
+import random
 
 import pytest
 from fluence.functions import text as t
-from fluence.operators import dvh, extras, goals, raster, sampling, targets, voxels
+from fluence.operators import dvh, extras, goals, plans, raster, sampling, targets, voxels
 from fluence.sources import sheets
 from pyspark.sql import functions as F
 
@@ -125,3 +126,49 @@ def test_empty_tables(spark):
     empty = dose(spark, [])
     assert dvh.curve(dvh.curves(dvh.histogram(empty))).collect() == [] and dvh.hottest_volume(empty, 1.0).collect() == []
     assert raster.mask_spans(contours(spark, []), 4, 4).collect() == []
+
+
+def plain_assignment(targets, phases):
+    """T1 and T2 by plain loops: targets (name, dose) in order, phases (plan, dose, target, label)."""
+    if len(phases) == 1:
+        plan, rx, made_for, _ = phases[0]
+        named = [n for n, _ in targets if n == made_for]
+        near = sorted((abs(d - rx), n) for n, d in targets if d is not None)
+        name = named[0] if named else near[0][1] if near and near[0][0] <= 0.5 else None
+        return {(name, plan, rx)} if name else set()
+    level, left, out = 0.0, list(phases), set()
+    for name, dose in targets:
+        if dose is None:
+            continue
+        more = max(dose - level, 0.0)
+        if more > 0:
+            if not left:
+                break
+            gap, other, _, plan = min((abs(rx - more), made_for != name, label, plan) for plan, rx, made_for, label in left)
+            if gap <= 0.5 or not other:
+                out.add((name, plan, more))
+                left = [p for p in left if p[0] != plan]
+        level = dose
+    return out
+
+
+def test_assignment_against_plain_loops(spark):
+    rng = random.Random(6)
+    names, phases, want = [], [], set()
+    for patient in range(150):
+        doses = sorted(rng.sample([20.0, 30.0, 40.0, 45.0, 50.0, 50.3, 60.0, 70.0], rng.randrange(5)))
+        ptv = [(f"PTV{d:.1f}", d) for d in doses] + ([("PTVX", None)] if rng.random() < 0.3 else [])
+        steps = [b - a for a, b in zip([0.0, *doses], doses)] or [50.0]
+        mine = []
+        for i in range(rng.randrange(4)):
+            made_for = rng.choice([n for n, _ in ptv] + ["PTV99"])
+            mine.append((f"p{patient}-{i}", rng.choice(steps) + rng.choice([0.0, 0.0, 0.4, -0.5, 3.0]), made_for, rng.choice("ab")))
+        mine = [m for m in mine if m[1] > 0]
+        names += [(patient, i, n, d) for i, (n, d) in enumerate(ptv, 1)]
+        phases += [(patient, *m, "grid", 5) for m in mine] + [(patient, f"q{patient}", 50.0, "PTV1", "z", "", 5)]
+        if mine and ptv:
+            want |= {(patient, *x) for x in plain_assignment(ptv, mine)}
+    t = spark.createDataFrame(names, "patient_id long, place int, name_norm string, rx_gy double")
+    p = spark.createDataFrame(phases, "patient_id long, plan_uid string, rx_gy double, target_norm string, label string, dose_grid_id string, fractions int")
+    got = {(r.patient_id, r.name_norm, r.plan_uid, r.phase_rx_gy) for r in plans.assigned_phases(t, p).collect()}
+    assert {(*x[:3], round(x[3], 9)) for x in got} == {(*x[:3], round(x[3], 9)) for x in want} and len(want) > 100
