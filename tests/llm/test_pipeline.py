@@ -52,3 +52,37 @@ def test_stages(spark):
 def test_repeated_ids_leave_one_row(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "x"), (None, "y"), (3, "A b c d e f")], "doc_id long, text string")
     assert sorted((r.doc_id or 0) for r in cp.drop_near_duplicates(spark, docs, SF).collect()) == [0, 1, 2]
+
+
+def test_of_a_repeated_id_the_smallest_text_stays(spark):
+    rows = [(1, "zz top", 5), (1, "b a", 7), (1, "b a", 6), (2, "other", 1), (2, None, 2), (None, "q", 1), (None, "q", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    for parts in (1, 5):
+        got = cp.drop_near_duplicates(spark, docs.repartition(parts), SF).collect()
+        assert sorted((r.doc_id or 0, r.text or "", r.n) for r in got) == [(0, "q", 1), (0, "q", 1), (1, "b a", 6), (2, "", 2)]
+
+
+EDGES = [
+    (1, None, "en", None, 3, "a", 0.1, 1),
+    (2, "", None, "web", None, None, None, None),
+    (None, "a text without an id " * 9, "en", "web", 9, "b", 0.2, 2),
+    (3, "long words stand here " * 60_000, "en", "web", 9, "c", 0.3, 3),
+    (4, "token = 0123456789abcdef00 and a line of ordinary words", "en", "web", 9, "d", 0.4, 4),
+    (4, "token = 0123456789abcdef00 and a line of ordinary words", "en", "web", 9, "d", 0.4, 4),
+]
+CLASHES = "doc_id long, text string, lang string, source string, n_chars long, row string, _score double, mix_copies int"
+
+
+def test_edge_rows_clashing_columns_and_empty_tables_pass_every_stage(spark):
+    for rows in (EDGES, []):
+        for k, (name, stage) in enumerate(cp.STAGES):
+            docs = spark.createDataFrame(rows, CLASHES)
+            out = stage(spark, docs, SF)
+            got = out.collect()
+            assert len(got) <= len(rows)
+            if k < len(cp.STAGES) - 1:
+                assert out.columns == docs.columns, name
+            else:
+                assert out.columns == [c for c in docs.columns if c != "mix_copies"] + ["mix_copies", "mix_probability"]
+            if name == "secret scan":
+                assert len(got) == len(rows) and all("0123456789abcdef" not in (r.text or "") for r in got)
