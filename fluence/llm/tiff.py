@@ -63,65 +63,76 @@ def packbits_decode(data: bytes, most: int = 1 << 62) -> bytes:
     return bytes(out)
 
 
+#: Codes after a clear code, up to the next one, and the bits of each: they are widened one code early, as the format asks.
+LZW_RUN = 3837
+_WIDTHS = np.searchsorted(1 << np.arange(13), 259 + np.arange(LZW_RUN + 1)).clip(9, 12)
+_WIDTHS[0] = 9
+_BIT = np.arange(11, -1, -1)
+
+
 def lzw_encode(raw: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bit first, widened one code early, as the format asks."""
-    bits, width = [f"{LZW_CLEAR:09b}"], 9
-    table = {bytes((i,)): i for i in range(256)}
-    top, held = 258, b""
+    """Codes of 9 to 12 bits, high bit first. A longer string is known by its beginning's code and its last byte."""
+    runs, codes, table, held = [], [], {}, -1
     for value in raw:
-        longer = held + bytes((value,))
-        if longer in table:
-            held = longer
+        if held < 0:
+            held = value
             continue
-        bits.append(f"{table[held]:0{width}b}")
-        table[longer] = top
-        top += 1
-        if top > 4094:
-            bits.append(f"{LZW_CLEAR:0{width}b}")
-            table = {bytes((i,)): i for i in range(256)}
-            top, width = 258, 9
-        elif top + 1 > 1 << width:
-            width += 1
-        held = bytes((value,))
-    if held:
-        bits.append(f"{table[held]:0{width}b}")
-        top += 1
-        if top + 1 > 1 << width and width < 12:
-            width += 1
-    bits.append(f"{LZW_END:0{width}b}")
-    line = "".join(bits)
-    line += "0" * (-len(line) % 8)
-    return int(line, 2).to_bytes(len(line) // 8, "big")
+        longer = held << 8 | value
+        code = table.get(longer)
+        if code is not None:
+            held = code
+            continue
+        codes.append(held)
+        table[longer] = 257 + len(codes)
+        held = value
+        if len(codes) == LZW_RUN:
+            codes.append(LZW_CLEAR)
+            runs.append(codes)
+            codes, table = [], {}
+    if held >= 0:
+        codes.append(held)
+    if len(codes) == LZW_RUN + 1:  # no room for the end in this run
+        runs.append([*codes[:-1], LZW_CLEAR])
+        codes = codes[-1:]
+    runs.append([*codes, LZW_END])
+    code = np.array([LZW_CLEAR] + [c for r in runs for c in r])
+    width = np.concatenate([_WIDTHS[:1], *(_WIDTHS[: len(r)] for r in runs)])
+    bits = (code[:, None] >> _BIT & 1).astype(np.uint8)[_BIT < width[:, None]]
+    return np.packbits(bits).tobytes()
 
 
 def lzw_decode(data: bytes, most: int = 1 << 62) -> bytes:
-    out, fresh = bytearray(), [bytes((i,)) for i in range(256)] + [b"", b""]
-    table, width, last = list(fresh), 9, None
-    held, have = 0, 0
-    for value in data:
-        held, have = (held << 8) | value, have + 8
-        if have < width:
-            continue
-        have -= width
-        code = held >> have
-        held &= (1 << have) - 1
-        if code == LZW_END or len(out) >= most:
+    out, size, at = [], 0, 0
+    words = np.frombuffer(data + bytes(8), np.uint8).astype(np.int64)
+    fresh = [bytes((i,)) for i in range(256)] + [b"", b""]
+    while size < most:
+        # all codes of this run at once: where each begins, and the 12 bits from there
+        begin = at + np.concatenate(([0], np.cumsum(_WIDTHS[:-1])))
+        begin = begin[begin + _WIDTHS <= 8 * len(data)]
+        three = words[begin >> 3] << 16 | words[(begin >> 3) + 1] << 8 | words[(begin >> 3) + 2]
+        width = _WIDTHS[: len(begin)]
+        codes = (three >> (24 - (begin & 7) - width)) & ((1 << width) - 1)
+        stop = np.flatnonzero((codes == LZW_CLEAR) | (codes == LZW_END))
+        n = int(stop[0]) if len(stop) else len(codes)
+        table, last = list(fresh), b""
+        add, keep = table.append, out.append
+        for code in codes[:n].tolist():
+            if code < len(table):
+                entry = table[code]
+                if last:
+                    add(last + entry[:1])
+            elif code == len(table) and last:
+                entry = last + last[:1]
+                add(entry)
+            else:
+                raise ValueError("LZW code before its entry")
+            keep(entry)
+            size += len(entry)
+            last = entry
+        if not len(stop) or codes[n] == LZW_END:
             break
-        if code == LZW_CLEAR:
-            table, width, last = list(fresh), 9, None
-            continue
-        if code > len(table) or (last is None and code >= LZW_CLEAR):
-            raise ValueError("LZW code before its entry")
-        if last is None:
-            entry = table[code]
-        else:
-            entry = table[code] if code < len(table) else last + last[:1]
-            table.append(last + entry[:1])
-            if len(table) + 1 >= 1 << width and width < 12:
-                width += 1
-        out += entry
-        last = entry
-    return bytes(out)
+        at = int(begin[n] + width[n])
+    return b"".join(out)
 
 
 def compress(raw: bytes, how: int) -> bytes:
