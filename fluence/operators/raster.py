@@ -151,7 +151,7 @@ def median_step(slices: DataFrame) -> DataFrame:
 def nearest_slice(asked: DataFrame, slices: DataFrame) -> DataFrame:
     """Asked (patient_id, id, at) with the slice nearest to it, the lower one on a tie: the last slice at or below and
     the first at or above come from one ordered pass over both tables."""
-    every = asked.select("patient_id", F.col("at").alias("p"), "id", F.lit(None).cast("bigint").alias("k")).unionByName(slices.select("patient_id", F.col("z").alias("p"), F.lit(None).cast("bigint").alias("id"), F.col("k").cast("bigint").alias("k")))
+    every = asked.select("patient_id", F.col("at").alias("p"), "id", F.lit(None).cast("bigint").alias("k")).unionByName(slices.select("patient_id", F.col("z").alias("p"), F.lit(None).cast(asked.schema["id"].dataType).alias("id"), F.col("k").cast("bigint").alias("k")))
     s = F.when(F.col("k").isNotNull(), F.struct("p", "k"))
     w = Window.partitionBy("patient_id").orderBy("p")
     below = F.last(s, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))

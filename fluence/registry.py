@@ -1,7 +1,7 @@
 """Registered queries of the dose operators, with their DuckDB equivalents."""
 
-from .plans import dvh_queries, extra_queries, geometry_queries, plan_queries, source_queries, target_queries
+from .plans import dvh_queries, extra_queries, frame_queries, geometry_queries, plan_queries, source_queries, target_queries
 
-_PARTS = (dvh_queries, plan_queries, geometry_queries, source_queries, target_queries, extra_queries)
+_PARTS = (dvh_queries, plan_queries, geometry_queries, source_queries, target_queries, extra_queries, frame_queries)
 QUERIES = {k: v for m in _PARTS for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _PARTS for k, v in m.ORACLE_SQL.items()}
