@@ -11,6 +11,7 @@ from .secrets import op8_secret_scan
 from .shared import shipped
 from .tiff import op6_tiff_media
 from .toxicity import op7_toxicity
+from .whitening import op11_embedding_whitening
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
+    "op11_embedding_whitening": op11_embedding_whitening,
 }
 
 QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
