@@ -9,6 +9,7 @@ from .neardup import op1_near_duplicates
 from .quality import op10_quality
 from .secrets import op8_secret_scan
 from .shared import shipped
+from .spelling import OP12_SQL, op12_spelling_variants
 from .tiff import op6_tiff_media
 from .toxicity import op7_toxicity
 from .whitening import op11_embedding_whitening
@@ -25,8 +26,9 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 
-ORACLE_SQL: dict[str, str] = {"op3_mix_to_targets": OP3_SQL, "op9_chat_format": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_mix_to_targets": OP3_SQL, "op9_chat_format": OP9_SQL, "op12_spelling_variants": OP12_SQL}

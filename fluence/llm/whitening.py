@@ -20,7 +20,7 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, settle
+from .shared import discard, numbered, settle
 
 #: Bytes of a block of doubles, and blocks that a task of the scatter holds at once.
 BLOCK_BYTES = 1 << 20
@@ -44,17 +44,6 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return x.filter(F.size("x") == (lengths[0].d if lengths else 0))
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """df (settled, so that its partitions stay) with idx, its rows' numbers from 0 without gaps: rows are counted by partition,
-    and only these counts come to the driver."""
-    part = F.spark_partition_id()
-    counts = sorted((r.part, r["count"]) for r in df.groupBy(part.alias("part")).count().collect())
-    ends = np.cumsum([0] + [c for _, c in counts])
-    first = df.sparkSession.createDataFrame([(p, int(a)) for (p, _), a in zip(counts, ends, strict=False)], "part int, first long")
-    own = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    return df.withColumn("part", part).withColumn("own", own).join(F.broadcast(first), "part").withColumn("idx", F.col("own") + F.col("first")).drop("part", "own", "first")
-
-
 def centred(fit: DataFrame, n: int, sums: list[int]) -> DataFrame:
     """(idx, x, deviation, centred) of rows (idx, x): the sum of (n * x - S)^2 in whole numbers (null where a long cannot hold it)
     and (n * x - S) / n as doubles."""
