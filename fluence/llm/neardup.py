@@ -144,15 +144,15 @@ def _banded(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "n_shingles", "regs").mapInArrow(run, "bucket long, node long, n int")
 
 
-def _judged(pairs: DataFrame, payload: DataFrame, column: str, judge) -> DataFrame:
-    """The pairs (leader, member) that judge lets through, by each one's payload (node, column).
+def _judged(pairs: DataFrame, payload: DataFrame, column: str, judge, heads_of: DataFrame | None = None) -> DataFrame:
+    """The pairs (leader, member) that judge lets through, by each one's payload (node, column); leaders' in heads_of, if given.
 
     Rows of a leader are sorted behind the leader's own and streamed, so a group of any size takes the memory of two
     payloads. Members of a leader that has many are dealt out by a hash, so that none fills a task."""
     many = pairs.groupBy("leader").count().filter(F.col("count") > SALT_ROWS).select("leader", F.ceil(F.col("count") / SALT_ROWS).cast("int").alias("salts"))
     salted = pairs.join(small(many), "leader", "left").select("leader", "member", F.pmod(F.xxhash64("member"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
     members = salted.join(payload, F.col("member") == F.col("node")).select("leader", "salt", F.lit(1).alias("kind"), "member", column)
-    heads = salted.select("leader", "salt").distinct().join(payload, F.col("leader") == F.col("node")).select("leader", "salt", F.lit(0).alias("kind"), F.col("leader").alias("member"), column)
+    heads = salted.select("leader", "salt").distinct().join(payload if heads_of is None else heads_of, F.col("leader") == F.col("node")).select("leader", "salt", F.lit(0).alias("kind"), F.col("leader").alias("member"), column)
 
     def run(batches):
         at, heads = None, []

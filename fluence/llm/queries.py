@@ -2,6 +2,7 @@
 
 from .chat import OP9_SQL, op9_chat_format
 from .decontaminate import op4_decontaminate
+from .groupjoin import OP13_SQL, op13_group_jaccard_join
 from .licenses import op5_license_scan
 from .lm import op2_lm_score
 from .mixing import OP3_SQL, op3_mix_to_targets
@@ -27,8 +28,9 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_embedding_whitening": op11_embedding_whitening,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_group_jaccard_join": op13_group_jaccard_join,
 }
 
 QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 
-ORACLE_SQL: dict[str, str] = {"op3_mix_to_targets": OP3_SQL, "op9_chat_format": OP9_SQL, "op12_spelling_variants": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_mix_to_targets": OP3_SQL, "op9_chat_format": OP9_SQL, "op12_spelling_variants": OP12_SQL, "op13_group_jaccard_join": OP13_SQL}

@@ -17,7 +17,7 @@ def shingles(text, k=5):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)}
 
 
-def near_duplicates(rows):
+def near_duplicates(rows, least=75):
     """rows: (doc_id, text) -> {(doc_id, n_shingles): component}"""
     sets = [(d, shingles(t)) for d, t in rows]
     parent = {d: d for d, _ in sets}
@@ -38,7 +38,7 @@ def near_duplicates(rows):
                 if i < j and (i, j) not in seen:
                     seen.add((i, j))
                     a, b = sets[i][1], sets[j][1]
-                    if 100 * len(a & b) >= 75 * len(a | b):
+                    if 100 * len(a & b) >= least * len(a | b):
                         x, y = sorted((find(sets[i][0]), find(sets[j][0])))
                         parent[y] = x
     return sorted((d, len(s), find(d)) for d, s in sets)
