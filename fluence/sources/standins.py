@@ -49,6 +49,19 @@ VIEWS = {
           FROM (SELECT s_suppkey AS structure_id, s_suppkey % 7 AS patient_id, CAST(floor(s_suppkey / 7) AS BIGINT) AS turn, CAST(floor(s_suppkey / 7) AS BIGINT) % 3 AS kind FROM {supplier}) q CROSS JOIN
             (SELECT 1 AS k, 0 AS contour_no UNION ALL SELECT 2, 0 UNION ALL SELECT 2, 1 UNION ALL SELECT 3, 0 UNION ALL SELECT 3, 1 UNION ALL SELECT 5, 0) t) s
         CROSS JOIN (SELECT 0 AS i, 0.0 AS y, 0.0 AS x UNION ALL SELECT 1, 0.0, 1.0 UNION ALL SELECT 2, 0.5, 0.75 UNION ALL SELECT 3, 1.0, 1.0 UNION ALL SELECT 4, 1.0, 0.1) p""",
+    # seven structures for each patient: targets that overlap or lie within one another, a lesion, the brain and a cord
+    "target_structure": """SELECT s_suppkey AS structure_id, CAST(floor(s_suppkey / 7) AS BIGINT) AS patient_id, s_suppkey % 7 AS role,
+        CASE s_suppkey % 7 WHEN 0 THEN 'PTV A' WHEN 1 THEN 'PTV B' WHEN 2 THEN 'PTV C' WHEN 3 THEN 'PTV D' WHEN 4 THEN 'GTV' WHEN 5 THEN 'BRAIN' ELSE 'CORD' END AS name_norm,
+        CAST(18 + 4 * (s_suppkey % 3) AS DOUBLE) AS rx_gy, CASE WHEN s_suppkey % 7 = 2 THEN 3 WHEN floor(s_suppkey / 7) % 2 = 0 THEN 1 ELSE 5 END AS fractions FROM {supplier}""",
+    "target_point": """SELECT s.patient_id, s.structure_id, t.k, 0 AS contour_no, p.i, s.r0 + p.y * s.h AS r, s.c0 + p.x * s.w AS c FROM
+        (SELECT s_suppkey AS structure_id, CAST(floor(s_suppkey / 7) AS BIGINT) AS patient_id, s_suppkey % 7 AS role,
+            CAST(floor(s_suppkey / 7) % 3 + CASE s_suppkey % 7 WHEN 0 THEN 4.25 WHEN 1 THEN 9 WHEN 2 THEN 18.5 WHEN 3 THEN 11 WHEN 4 THEN 12 WHEN 5 THEN 1 ELSE 24 END AS DOUBLE) AS r0,
+            CAST(floor(s_suppkey / 7) % 3 + CASE s_suppkey % 7 WHEN 0 THEN 5 WHEN 1 THEN 11 WHEN 2 THEN 3.5 WHEN 3 THEN 13.25 WHEN 4 THEN 14 WHEN 5 THEN 1 ELSE 22 END AS DOUBLE) AS c0,
+            CAST(CASE s_suppkey % 7 WHEN 0 THEN 13 WHEN 1 THEN 12 WHEN 2 THEN 6 WHEN 3 THEN 4 WHEN 4 THEN 3 WHEN 5 THEN 28 ELSE 4 END AS DOUBLE) AS h,
+            CAST(CASE s_suppkey % 7 WHEN 0 THEN 14 WHEN 1 THEN 13 WHEN 2 THEN 7 WHEN 3 THEN 5 WHEN 4 THEN 3 WHEN 5 THEN 28 ELSE 5 END AS DOUBLE) AS w FROM {supplier}) s
+        JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 8 UNION ALL SELECT 9) t
+          ON CASE s.role WHEN 2 THEN t.k IN (5, 6, 8) WHEN 3 THEN t.k IN (3, 4) WHEN 4 THEN t.k IN (3, 4) WHEN 5 THEN t.k < 10 ELSE t.k BETWEEN 2 AND 6 END
+        CROSS JOIN (SELECT 0 AS i, 0.0 AS y, 0.0 AS x UNION ALL SELECT 1, 0.0, 1.0 UNION ALL SELECT 2, 0.5, 0.75 UNION ALL SELECT 3, 1.0, 1.0 UNION ALL SELECT 4, 1.0, 0.1) p""",
     # where slices stand, unevenly
     "slice_position": """SELECT s_suppkey % 7 AS patient_id, CAST(floor(s_suppkey / 7) AS BIGINT) AS k, CAST(floor(s_suppkey / 7) * 2.5 + CASE WHEN s_suppkey % 3 = 0 THEN 0.25 ELSE 0 END AS DOUBLE) AS z FROM {supplier}""",
 }
