@@ -1,7 +1,7 @@
 """A Jaccard self-join on word shingles by a token-group matrix.
 
 1. Similar documents are put into groups: the smallest shingle hash of each of BINS hash ranges leads a document to a leader, a
-   document is compared with its two most frequent leaders, and linked documents make components. Blocks of a component of about
+   document is compared with two leaders that most and at least half of its ranges name, and linked documents make components. Blocks of a component of about
    GROUP_DOCS documents are the groups; a document that has no link yet is a group of its own.
 2. The matrix has a row for each group and token of its union, as far as a link between two groups needs it: a document with n
    shingles can be linked only with one that has one of its first n - ceil(0.8 n) + 1 tokens in any fixed order, and two
@@ -9,7 +9,8 @@
    order; which they are is read off a count of all documents' tokens by SLOTS slots (it decides the order only).
 3. Groups of two components that share enough of these tokens are candidates: each query (a document of one group) is held
    against the stored token union of the other. Where |query and union| cannot reach 80 % of the query, the group stays closed.
-4. Groups that stay are opened: their documents are compared with the query on full sets, and new links join components.
+4. Groups that stay are opened: their documents are compared with the query on full sets until one links, which joins the two
+   components (all documents of a group are in one).
 
 Every link is found: what is left out in steps 2 and 3 is proved to have none. Rows of a token are one for each group, not for
 each document, so that copies do not fill a task; members of a group that many queries ask for are dealt out by a hash.
@@ -293,13 +294,14 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.withColumnRenamed("doc_id", "node").join(few, "node", "left_semi")
 
     # similar documents, by leaders
-    mins = worded.withColumnRenamed("doc_id", "node").join(few, "node", "left_semi").select("node", F.explode("mins").alias("bucket")).distinct()
+    mins = worded.withColumnRenamed("doc_id", "node").join(few, "node", "left_semi").select("node", F.size("mins").alias("bins"), F.explode("mins").alias("bucket")).distinct()
     heads = mins.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("docs")).filter("docs > 1")
-    stars = mins.join(heads, "bucket").filter("leader <> node").groupBy("leader", F.col("node").alias("member")).agg(F.count("*").alias("shared"))
-    best = stars.withColumn("r", F.row_number().over(Window.partitionBy("member").orderBy(F.desc("shared"), "leader")))
+    stars = mins.join(heads, "bucket").filter("leader <> node").groupBy("leader", F.col("node").alias("member"), "bins").agg(F.count("*").alias("shared"))
+    best = stars.filter("2 * shared >= bins").withColumn("r", F.row_number().over(Window.partitionBy("member").orderBy(F.desc("shared"), "leader")))
     near = settle(best.filter("r <= 2").select("leader", "member"))
     asked = settle(near.select(F.explode(F.array("leader", "member")).alias("node")).distinct())
-    links = settle(_judged(near, token_sets(texts.join(small(asked), "node", "left_semi")), "tokens", _Sets(least_percent)))
+    first = settle(token_sets(texts.join(small(asked), "node", "left_semi")))
+    links = settle(_judged(near, first, "tokens", _Sets(least_percent)))
     label = components(links)
 
     # groups, their tokens, and groups that may hold links
@@ -318,11 +320,12 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sets = settle(token_sets(texts.join(small(inside.select("node").distinct()), "node", "left_semi")))
     held = unions(sets.join(inside, "node").join(likely.select(F.col("a").alias("grp")).distinct(), "grp", "left_semi"))
     opened = settle(_judged(asks, sets, "tokens", _Bound(least_percent), held))
-    pairs = opened.join(inside.select(F.col("node").alias("own"), F.col("grp").alias("leader")), "leader").select(F.col("own").alias("leader"), "member")
-    last = settle(_judged(pairs, sets, "tokens", _Sets(least_percent)))
+    # a query is held against the group's documents until one links: a group is in one component, so its name stands for it
+    documents = sets.join(inside, "node").select(F.col("grp").alias("node"), "tokens")
+    last = settle(_judged(opened, sets, "tokens", _Sets(least_percent), documents))
     if not last.isEmpty():
         label = components(links.unionByName(last))
-    discard(near, asked, links, members, likely, asks, wanted, inside, sets, opened, last, nodes)
+    discard(near, asked, first, links, members, likely, asks, wanted, inside, sets, opened, last, nodes)
 
     named = classes.join(label, "node", "left").select("key1", "key2", F.coalesce("component", "node").alias("found"))
     hit = sk.select("doc_id", "n_shingles", "key1", "key2").join(named, ["key1", "key2"], "left")
