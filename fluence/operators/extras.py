@@ -63,11 +63,6 @@ def filled(cell: DataFrame, rows: int, cols: int) -> DataFrame:
     return cell.groupBy(*SLICE).applyInPandas(fill, "patient_id long, structure_id long, k long, r long, c long")
 
 
-def within_margin(distances: DataFrame, margin: float) -> DataFrame:
-    """Cells whose distance to the structure is at most a margin."""
-    return distances.filter(F.col("distance") <= margin)
-
-
 def slice_range(slices: DataFrame, extents: DataFrame, margin: float) -> DataFrame:
     """Extents (patient_id, z0, z1) as the first and last slice (patient_id, k, z) within a margin of them."""
     hit = slices.join(extents, P).filter((F.col("z") >= F.col("z0") - margin) & (F.col("z") <= F.col("z1") + margin))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import voxels as vx
 from .extras import dot
-from .raster import CONTOUR, SLICE, S, cells, contained, expanded_box, nearest_slice
+from .raster import CONTOUR, SLICE, S, cells, contained, nearest_slice
 
 P = "patient_id"
 #: What a contour's structure is called and coloured where a file says nothing.
@@ -141,19 +141,6 @@ def without_nested(spans: DataFrame) -> DataFrame:
     return m.join(inner, [*SLICE, "r", "c"], "left_anti")
 
 
-def margin_weights(spans: DataFrame, margin: float, sx: float, sy: float, rows: int, cols: int) -> DataFrame:
-    """T14, in the plane: cells within a margin of a structure and its share of them. The structure whose surface is nearest owns a
-    cell (from inside a structure, the distance to its outside); only structures within the margin count; ties share equally."""
-    m = cells(spans)
-    box = expanded_box(spans, margin, sx, sy, rows, cols).join(spans.select(*SLICE).distinct(), S)
-    near = box.withColumn("r", F.explode(F.sequence("r0", "r1"))).withColumn("c", F.explode(F.sequence("c0", "c1"))).select(*SLICE, "r", "c")
-    outside = vx.nearest_in_set(near, m, sx, sy, SLICE).filter(F.col("distance") <= margin)
-    rim = near.join(m, [*SLICE, "r", "c"], "left_anti")
-    deep = vx.nearest_in_set(m, rim, sx, sy, SLICE).withColumnRenamed("distance", "deep")
-    d = outside.join(deep, [*SLICE, "r", "c"], "left").withColumn("distance", F.when(F.col("distance") > 0, F.col("distance")).otherwise(F.coalesce("deep", F.lit(0.0)))).drop("deep")
-    return vx.ownership(d)
-
-
 def target_doses(grids: DataFrame, targets: DataFrame, spans: DataFrame) -> DataFrame:
     """The voxels of each target (S, source_key) in the dose that its source names: one grid (grid_id, V, dose_gy), or `combined`,
     the sum of the patient's grids. Sums are made only where a target asks for them."""

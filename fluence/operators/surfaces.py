@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .raster import cells
+
 P = "patient_id"
 S = [P, "structure_id"]
 BOX = ["k0", "k1", "r0", "r1", "c0", "c1"]
@@ -132,6 +134,12 @@ def distances(spans: DataFrame, blocks: DataFrame, sx: float, sy: float, sz: flo
     return cell.select(*S, "k", "r", (F.col("c0") + F.col("at")).alias("c"), "x.outside", F.when(F.col("x.inside") != float("inf"), F.col("x.inside")).alias("inside"))
 
 
+def within_margin(spans: DataFrame, margin: float, sx: float, sy: float, sz: float, slices: int, rows: int, cols: int) -> DataFrame:
+    """The cells whose distance to a structure is at most a margin, its own included, as (S, k, r, c, outside)."""
+    block = widened(boxes(spans), margin, sx, sy, sz, slices, rows, cols)
+    return distances(spans, block, sx, sy, sz).filter(F.col("outside") <= margin).drop("inside")
+
+
 def owned_lines(spans: DataFrame, blocks: DataFrame, rivals: DataFrame, sx: float, sy: float, sz: float, margin: float | None = None) -> DataFrame:
     """Each target's share of the cells of its block, as lines (S, k, r, c0, weights) that hold any.
 
@@ -232,27 +240,30 @@ def within(cells: DataFrame, spans: DataFrame, keys: list[str], how: str = "left
 
 
 def stereotactic(targets: DataFrame, rivals: DataFrame, spans: DataFrame, voxels: DataFrame, brain: DataFrame, inner: DataFrame, sx: float, sy: float, sz: float) -> DataFrame:
-    """Targets (S, rx_gy, coverage_pct, fractions) with volume_cc, ci, pci, gi and brain_cc; null where there is no context.
+    """Targets (S, rx_gy, coverage_pct, fractions) with volume_cc, ci, pci, gi and brain_cc, if any voxel reaches the least of
+    their doses.
 
-    brain (spans of each patient's brain) counts at 12 Gy for one fraction, without the masks of inner (S, and the spans of
-    structures within a target that are not tissue), and at 24 Gy for five; else brain_cc is null. Volumes are those of masks."""
+    brain (spans of each patient's one brain) counts at 12 Gy for one fraction, without the cells of inner (S, and the spans of
+    structures within a target that are not tissue), and at 24 Gy for five; else brain_cc is null. Volumes are those of masks.
+    All sums of a target are taken in one pass over what it owns."""
     cc = sx * sy * sz / 1000
     brain_gy = F.when(F.col("fractions") == 1, 12.0).when(F.col("fractions") == 5, 24.0)
-    t = targets.withColumn("brain_gy", brain_gy).withColumn("least_gy", F.least(F.col("rx_gy") / 2, "brain_gy")).filter("rx_gy > 0")
-    lines = owned_lines(spans, support_blocks(t.select(*S, "least_gy"), rivals, spans, voxels), rivals, sx, sy, sz)
-    own = weighted_voxels(lines, voxels).join(t.select(*S, "rx_gy", "brain_gy", "fractions"), S).filter("dose_gy >= least(rx_gy / 2, brain_gy)")
-    tissue = within(own.filter("dose_gy >= brain_gy"), brain, [P])
-    tissue = within(tissue.filter("fractions = 1"), inner, S, "left_anti").unionByName(tissue.filter("fractions = 5"))
-    at = lambda gy: F.sum(F.when(F.col("dose_gy") >= gy, F.col("weight") * cc).otherwise(0.0))
-    sums = own.groupBy(*S).agg(at(F.col("rx_gy")).alias("iso"), at(F.col("rx_gy") / 2).alias("half"))
-    cells = spans.groupBy(*S).agg((F.sum(F.col("c_hi") - F.col("c_lo")) * cc).alias("volume_cc"))
-    seen = lines.select(*S).distinct()
-    x = t.join(cells, S).join(seen, S).join(sums, S, "left").join(tissue.groupBy(*S).agg(F.sum(F.col("weight") * cc).alias("tissue")), S, "left")
+    t = targets.filter("rx_gy > 0").withColumn("brain_gy", brain_gy).withColumn("least_gy", F.least(F.col("rx_gy") / 2, "brain_gy"))
+    blocks = support_blocks(t.select(*S, "least_gy"), rivals, spans, voxels).persist()
+    own = weighted_voxels(owned_lines(spans, blocks, rivals, sx, sy, sz), voxels).join(t, S).filter("dose_gy >= least_gy")
+    b = brain.select(F.col(P).alias("b_p"), F.col("k").alias("b_k"), F.col("r").alias("b_r"), "c_lo", "c_hi")
+    own = own.join(b, (F.col(P) == F.col("b_p")) & (F.col("k") == F.col("b_k")) & (F.col("r") == F.col("b_r")) & (F.col("c") >= F.col("c_lo")) & (F.col("c") < F.col("c_hi")), "left")
+    not_tissue = cells(inner).distinct().withColumn("lesion", F.lit(True))
+    own = own.join(not_tissue, [*S, "k", "r", "c"], "left")
+    counts = F.col("b_p").isNotNull() & (F.col("dose_gy") >= F.col("brain_gy")) & ~((F.col("fractions") == 1) & F.col("lesion").isNotNull())
+    part = lambda ok: F.sum(F.when(ok, F.col("weight") * cc).otherwise(0.0))
+    sums = own.groupBy(*S).agg(part(F.col("dose_gy") >= F.col("rx_gy")).alias("iso"), part(F.col("dose_gy") >= F.col("rx_gy") / 2).alias("half"), part(counts).alias("tissue"))
+    volume = spans.groupBy(*S).agg((F.sum(F.col("c_hi") - F.col("c_lo")) * cc).alias("volume_cc"))
+    x = t.join(volume, S).join(blocks.select(*S), S).join(sums, S, "left").join(brain.select(P).distinct().withColumn("with_brain", F.lit(True)), P, "left")
     iso, half = F.coalesce("iso", F.lit(0.0)), F.coalesce("half", F.lit(0.0))
     cover = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("coverage_pct") / 100))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    has_brain = x.join(brain.select(P).distinct().withColumn("with_brain", F.lit(True)), P, "left")
-    return has_brain.select(
+    return x.select(
         *S, "volume_cc", (iso / F.col("volume_cc")).alias("ci"), ratio(cover * cover * F.col("volume_cc"), iso).alias("pci"), ratio(half, iso).alias("gi"),
         F.when(F.col("brain_gy").isNotNull() & F.col("with_brain"), F.coalesce("tissue", F.lit(0.0))).alias("brain_cc"),
     )

@@ -26,10 +26,6 @@ def g14_filled_masks(spark, sf):
     return extras.filled(c.select("patient_id", "structure_id", F.col("k").cast("bigint").alias("k"), "r", "c"), gq.N, gq.N)
 
 
-def g16_within_margin(spark, sf):
-    return extras.within_margin(gq._distances(spark, sf), 3.2).groupBy("patient_id", "structure_id", "k").agg(F.count("*").alias("n"))
-
-
 def a11_slice_range(spark, sf):
     e = view(spark, sf, "contour_point").groupBy(P).agg((F.min("k") * 2.5).alias("z0"), (F.max("k") * 2.5).alias("z1"))
     return extras.slice_range(view(spark, sf, "slice_position"), e, 10.0)
@@ -95,7 +91,7 @@ def u3_isodose_volumes(spark, sf):
     return voxels.thresholds(m, 0.125, [5.0, 15.0, 25.0, 35.0])
 
 
-QUERIES = {f.__name__: f for f in (g2_round_trip, g14_filled_masks, g16_within_margin, a11_slice_range, j8_overlapping_boxes, s6_prescriptions, p10_required_structures, s2_assembled_slices, t17_target_rows, s18_need_recompute, t18_saved_notes, x12_note_keys, x8_number_texts, u3_isodose_volumes)}
+QUERIES = {f.__name__: f for f in (g2_round_trip, g14_filled_masks, a11_slice_range, j8_overlapping_boxes, s6_prescriptions, p10_required_structures, s2_assembled_slices, t17_target_rows, s18_need_recompute, t18_saved_notes, x12_note_keys, x8_number_texts, u3_isodose_volumes)}
 
 REF = "(patient_id % 9 * 10.0 - 5)::DOUBLE"
 ORACLE_SQL = {
@@ -108,7 +104,6 @@ ORACLE_SQL = {
           AND EXISTS (SELECT 1 FROM mask m WHERE m.patient_id = b.patient_id AND m.structure_id = b.structure_id AND m.k = b.k AND m.r = b.r AND m.c > b.c)
           AND EXISTS (SELECT 1 FROM mask m WHERE m.patient_id = b.patient_id AND m.structure_id = b.structure_id AND m.k = b.k AND m.c = b.c AND m.r < b.r)
           AND EXISTS (SELECT 1 FROM mask m WHERE m.patient_id = b.patient_id AND m.structure_id = b.structure_id AND m.k = b.k AND m.c = b.c AND m.r > b.r)"""),
-    "g16_within_margin": gq._m(", " + gq.NEAR + " SELECT patient_id, structure_id, k, count(*) AS n FROM ds WHERE distance <= 3.2 GROUP BY 1, 2, 3"),
     "a11_slice_range": with_views("WITH e AS (SELECT patient_id, min(k) * 2.5 AS z0, max(k) * 2.5 AS z1 FROM contour_point GROUP BY 1) SELECT s.patient_id, min(k) AS k0, max(k) AS k1 FROM slice_position s JOIN e USING (patient_id) WHERE z BETWEEN z0 - 10 AND z1 + 10 GROUP BY 1", "contour_point", "slice_position"),
     "j8_overlapping_boxes": gq._m(", b AS (SELECT patient_id, structure_id, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM mask GROUP BY 1, 2) SELECT a.patient_id, a.structure_id, b.structure_id AS other FROM b a JOIN b ON a.patient_id = b.patient_id AND a.structure_id < b.structure_id AND a.r0 <= b.r1 AND b.r0 <= a.r1 AND a.c0 <= b.c1 AND b.c0 <= a.c1"),
     "s6_prescriptions": "SELECT o_custkey AS plan_uid, max(round(o_totalprice / 10000, 2)) AS rx_gy, sum(o_orderkey % 9)::BIGINT AS fractions, CASE WHEN o_custkey % 2 = 0 THEN 'PTV ' || o_custkey::VARCHAR ELSE '' END AS target_norm FROM orders GROUP BY 1",

@@ -85,11 +85,6 @@ def u2_without_nested(spark, sf):
     return frames.without_nested(gq._spans(spark, sf))
 
 
-def t14_margin_weights(spark, sf):
-    w = frames.margin_weights(gq._spans(spark, sf), 6.0, SX, SY, N, N)
-    return w.groupBy(P, "structure_id", "k").agg(F.count("*").alias("within"), F.sum((F.col("weight") > 0).cast("int")).alias("owned"), F.round(F.sum("weight"), 6).alias("share"))
-
-
 def t22_target_doses(spark, sf):
     d = gq._dose(spark, sf)
     grids = d.withColumn("grid_id", F.lit("a")).unionByName(d.withColumn("grid_id", F.lit("b")).withColumn("dose_gy", F.col("dose_gy") * 0.5))
@@ -112,7 +107,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         s5_contours, g7_slice_transforms, g12_sampled_at, a7_orthogonal_bounds, g19_side_plane, g22_blocks, w6_running_length,
-        u2_without_nested, t14_margin_weights, t22_target_doses, s4_geometry_faults,
+        u2_without_nested, t22_target_doses, s4_geometry_faults,
     )
 }
 
@@ -171,16 +166,6 @@ ORACLE_SQL = {
         SELECT * FROM mask m WHERE NOT EXISTS (SELECT 1 FROM t JOIN mask p ON p.patient_id = t.patient_id AND p.structure_id = t.part
           WHERE t.patient_id = m.patient_id AND t.whole = m.structure_id AND p.k = m.k AND p.r = m.r AND p.c = m.c)"""
     ),
-    "t14_margin_weights": gq._m(
-        ", " + gq.NEAR.split("),\nlo AS")[0] + f"""),
-        rim AS (SELECT nr.* FROM nr ANTI JOIN mask USING (patient_id, structure_id, k, r, c)),
-        deep AS (SELECT m.patient_id, m.structure_id, m.k, m.r, m.c, sqrt(min(pow(({SX}::DOUBLE * abs(o.c - m.c)), 2) + pow((o.r - m.r) * {SY}::DOUBLE, 2))) AS d
-          FROM mask m JOIN rim o ON o.patient_id = m.patient_id AND o.structure_id = m.structure_id AND o.k = m.k GROUP BY ALL),
-        sf AS (SELECT ds.patient_id, ds.structure_id, ds.k, ds.r, ds.c, CASE WHEN distance > 0 THEN distance ELSE coalesce(d, 0) END AS s FROM ds LEFT JOIN deep USING (patient_id, structure_id, k, r, c) WHERE distance <= 6),
-        lo AS (SELECT *, min(s) OVER (PARTITION BY patient_id, k, r, c) AS low FROM sf), td AS (SELECT *, (s <= low + 1e-6 + 1e-5 * low)::INT AS tied FROM lo),
-        w AS (SELECT *, tied::DOUBLE / sum(tied) OVER (PARTITION BY patient_id, k, r, c) AS weight FROM td)
-        SELECT patient_id, structure_id, k, count(*) AS within, sum((weight > 0)::INT)::BIGINT AS owned, round(sum(weight), 6) AS share FROM w GROUP BY 1, 2, 3"""
-    ),
     "t22_target_doses": gq._m(
         """, x AS (SELECT m.patient_id, m.structure_id, CASE m.structure_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'combined' END AS source_key,
           CASE m.structure_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0.5 ELSE 1.5 END::DOUBLE AS f, dose_gy FROM mask m JOIN dose_voxel USING (patient_id, k, r, c)) """

@@ -156,38 +156,6 @@ def g11_between_planes(spark, sf):
     return voxels.between_planes(_sampled(spark, sf).drop("k"), d, planes, N, N).select("id", F.round("dose_gy", 6).alias("dose_gy"))
 
 
-def _distances(spark, sf):
-    """Distance of each cell near a structure to its mask, in the plane."""
-    spans = _spans(spark, sf)
-    box = raster.expanded_box(spans, 6.0, SX, SY, N, N).join(spans.select("patient_id", "structure_id", "k").distinct(), ["patient_id", "structure_id"])
-    near = box.withColumn("r", F.explode(F.sequence("r0", "r1"))).withColumn("c", F.explode(F.sequence("c0", "c1"))).select("patient_id", "structure_id", "k", "r", "c")
-    return voxels.nearest_in_set(near, raster.cells(spans), SX, SY, ["patient_id", "structure_id", "k"])
-
-
-def g15_distance(spark, sf):
-    return _distances(spark, sf).select("patient_id", "structure_id", "k", "r", "c", F.round("distance", 6).alias("distance"))
-
-
-def t11_ownership(spark, sf):
-    o = voxels.ownership(_distances(spark, sf))
-    return o.groupBy("patient_id", "structure_id").agg(F.round(F.sum("weight"), 6).alias("owned"), F.sum((F.col("weight") > 0).cast("int")).alias("n"))
-
-
-LEVELS = [20.0, 10.0, 30.0]
-
-
-def t13_stereotactic_indices(spark, sf):
-    """T12 and T13 with each structure as a target that owns its surroundings by distance."""
-    d = _dose(spark, sf)
-    cc = SX * SY * DZ / 1000
-    owned = voxels.ownership(_distances(spark, sf)).join(d, ["patient_id", "k", "r", "c"])
-    iso = voxels.thresholds(owned, cc, LEVELS)
-    own = voxels.masked(d, _spans(spark, sf)).groupBy("patient_id", "structure_id").agg((F.count("*") * cc).alias("target"), F.sum(F.when(F.col("dose_gy") >= LEVELS[0], cc).otherwise(0.0)).alias("covered"), F.max("dose_gy").alias("max_gy"))
-    x = iso.join(own, ["patient_id", "structure_id"])
-    got = voxels.indices(F.col("target"), F.col("covered"), F.col("v0"), F.col("v1"), F.col("max_gy"), F.lit(LEVELS[0]))
-    return x.select("patient_id", "structure_id", *(F.round(v, 6).alias(k) for k, v in got.items()))
-
-
 def g21_gradient(spark, sf):
     return voxels.gradient(_dose(spark, sf), SX, SY).select("patient_id", "k", "r", "c", F.round("gradient", 6).alias("gradient"))
 
@@ -196,8 +164,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         g3_mask_cells, g4_points_inside, a9_voxel_counts, g5_interior, g8_geometry, t8_containment, a10_union_dilated, a8_centroids, x18_contour_areas, g20_column_crossings, a14_expanded_box, w4_slice_thickness,
-        a12_median_step, j3_nearest_slice, a6_hottest_voxel, t20_hottest_outside, s4_summed_grids, a7_view_bounds, d4_masked_summary, g9_bilinear, g10_nearest, g11_between_planes, g15_distance, t11_ownership,
-        t13_stereotactic_indices, g21_gradient,
+        a12_median_step, j3_nearest_slice, a6_hottest_voxel, t20_hottest_outside, s4_summed_grids, a7_view_bounds, d4_masked_summary, g9_bilinear, g10_nearest, g11_between_planes, g21_gradient,
     )
 }
 
@@ -213,13 +180,6 @@ def _bil(y: str, x: str) -> str:
     FROM q CROSS JOIN (SELECT 0 AS a, 0 AS b UNION ALL SELECT 0, 1 UNION ALL SELECT 1, 0 UNION ALL SELECT 1, 1) n WHERE {y} >= 0 AND {y} <= {N - 1} AND {x} >= 0 AND {x} <= {N - 1})"""
 
 
-NEAR = f"""bx AS (SELECT patient_id, structure_id, greatest(0, min(r) - {-int(-6.0 // SY)}) AS r0, least({N - 1}, max(r) + {-int(-6.0 // SY)}) AS r1, greatest(0, min(c) - {-int(-6.0 // SX)}) AS c0, least({N - 1}, max(c) + {-int(-6.0 // SX)}) AS c1 FROM mask GROUP BY 1, 2),
-ks AS (SELECT DISTINCT patient_id, structure_id, k FROM mask),
-nr AS (SELECT ks.patient_id, ks.structure_id, ks.k, y.r, x.c FROM ks JOIN bx USING (patient_id, structure_id) JOIN (SELECT unnest(range({N})) AS r) y ON y.r BETWEEN r0 AND r1 JOIN (SELECT unnest(range({N})) AS c) x ON x.c BETWEEN c0 AND c1),
-ds AS (SELECT nr.*, sqrt(min(pow(({SX}::DOUBLE * abs(nr.c - m.c)), 2) + pow((nr.r - m.r) * {SY}::DOUBLE, 2))) AS distance FROM nr JOIN mask m ON m.patient_id = nr.patient_id AND m.structure_id = nr.structure_id AND m.k = nr.k GROUP BY ALL),
-lo AS (SELECT *, min(distance) OVER (PARTITION BY patient_id, k, r, c) AS low FROM ds),
-td AS (SELECT *, (distance <= low + 1e-6 + 1e-5 * abs(low))::INT AS tied FROM lo),
-ow AS (SELECT *, tied::DOUBLE / sum(tied) OVER (PARTITION BY patient_id, k, r, c) AS weight FROM td)"""
 CC = f"({SX * SY * DZ / 1000}::DOUBLE)"
 
 ORACLE_SQL = {
@@ -259,14 +219,6 @@ ORACLE_SQL = {
         g AS (SELECT id, sum(w * wz * dose_gy) AS d FROM cn JOIN dose_voxel v USING (patient_id, k, r, c) GROUP BY 1) SELECT a.id, round(coalesce(d, 0), 6) AS dose_gy FROM asked a LEFT JOIN g USING (id)""",
         "dose_voxel",
     ),
-    "g15_distance": _m(", " + NEAR + " SELECT patient_id, structure_id, k, r, c, round(distance, 6) AS distance FROM ds"),
-    "t11_ownership": _m(", " + NEAR + " SELECT patient_id, structure_id, round(sum(weight), 6) AS owned, sum((weight > 0)::INT)::BIGINT AS n FROM ow GROUP BY 1, 2"),
-    "t13_stereotactic_indices": _m(
-        ", " + NEAR + f""", iso AS (SELECT patient_id, structure_id, sum(CASE WHEN dose_gy >= 20 THEN weight * {CC} ELSE 0 END) AS v0, sum(CASE WHEN dose_gy >= 10 THEN weight * {CC} ELSE 0 END) AS v1 FROM ow JOIN dose_voxel USING (patient_id, k, r, c) GROUP BY 1, 2),
-        tg AS (SELECT patient_id, structure_id, count(*) * {CC} AS target, sum(CASE WHEN dose_gy >= 20 THEN {CC} ELSE 0 END) AS covered, max(dose_gy) AS top FROM mask JOIN dose_voxel USING (patient_id, k, r, c) GROUP BY 1, 2)
-        SELECT patient_id, structure_id, round(v0 / target, 6) AS ci, round(CASE WHEN v0 > 0 THEN (covered / target) * (covered / target) / (v0 / target) END, 6) AS pci, round(CASE WHEN v0 > 0 THEN v1 / v0 END, 6) AS gi, round(top / 20, 6) AS hi FROM iso JOIN tg USING (patient_id, structure_id)""",
-        "dose_voxel",
-    ),
     "g21_gradient": with_views(
         f"""WITH g AS (SELECT *, lag(dose_gy) OVER a AS xa, lead(dose_gy) OVER a AS xb, coalesce(lead(c) OVER a, c) - coalesce(lag(c) OVER a, c) AS nx, lag(dose_gy) OVER b AS ya, lead(dose_gy) OVER b AS yb, coalesce(lead(r) OVER b, r) - coalesce(lag(r) OVER b, r) AS ny
           FROM dose_voxel WINDOW a AS (PARTITION BY patient_id, k, r ORDER BY c), b AS (PARTITION BY patient_id, k, c ORDER BY r)),

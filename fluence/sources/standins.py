@@ -62,6 +62,9 @@ VIEWS = {
         JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 8 UNION ALL SELECT 9) t
           ON CASE s.role WHEN 2 THEN t.k IN (5, 6, 8) WHEN 3 THEN t.k IN (3, 4) WHEN 4 THEN t.k IN (3, 4) WHEN 5 THEN t.k < 10 ELSE t.k BETWEEN 2 AND 6 END
         CROSS JOIN (SELECT 0 AS i, 0.0 AS y, 0.0 AS x UNION ALL SELECT 1, 0.0, 1.0 UNION ALL SELECT 2, 0.5, 0.75 UNION ALL SELECT 3, 1.0, 1.0 UNION ALL SELECT 4, 1.0, 0.1) p""",
+    # grids of the same shape, an eighth of whose cells have a dose, for more patients
+    "target_dose": """SELECT CAST(floor(o_orderkey / 2048) AS BIGINT) AS patient_id, CAST(floor(o_orderkey / 128) AS BIGINT) % 16 AS k, CAST(floor((o_orderkey % 128) / 4) AS BIGINT) AS r,
+        (o_orderkey % 4) * 8 + CAST(floor((o_orderkey % 128) / 4) + floor(o_orderkey / 128) AS BIGINT) % 8 AS c, o_totalprice / 10000 AS dose_gy FROM {orders}""",
     # where slices stand, unevenly
     "slice_position": """SELECT s_suppkey % 7 AS patient_id, CAST(floor(s_suppkey / 7) AS BIGINT) AS k, CAST(floor(s_suppkey / 7) * 2.5 + CASE WHEN s_suppkey % 3 = 0 THEN 0.25 ELSE 0 END AS DOUBLE) AS z FROM {supplier}""",
 }

@@ -29,25 +29,6 @@ def test_transform_is_the_way_through_patient_coordinates(spark):
         frames.slice_transforms(x, ([0.0, 0.0, 0.0], *image[1:]), dose, first)
 
 
-def test_margin_weights(spark):
-    """Every cell by itself: the distance to each structure's surface, eligible within the margin, ties shared."""
-    rng, sx, sy, margin, n = np.random.default_rng(3), 2.0, 2.5, 6.0, 14
-    masks = {s: np.zeros((n, n), bool) for s in (1, 2, 3)}
-    masks[1][3:8, 3:8] = masks[2][3:8, 8:12] = masks[3][5:10, 4:10] = True
-    masks[3] &= rng.random((n, n)) < 0.8
-    spans = [(1, s, 0, int(r), int(c), int(c) + 1) for s, m in masks.items() for r, c in zip(*np.nonzero(m), strict=True)]
-    got = frames.margin_weights(spark.createDataFrame(spans, "patient_id long, structure_id long, k long, r long, c_lo long, c_hi long"), margin, sx, sy, n, n)
-    got = {(r.structure_id, r.r, r.c): r.weight for r in got.collect()}
-    cells = [(r, c) for r in range(n) for c in range(n)]
-    far = lambda a, m: min(np.hypot((a[0] - r) * sy, (a[1] - c) * sx) for r, c in zip(*np.nonzero(m), strict=True))
-    want = {}
-    for a in cells:
-        near = {s: far(a, ~m if m[a] else m) for s, m in masks.items() if m[a] or far(a, m) <= margin}
-        tied = [s for s in near if abs(near[s] - min(near.values())) <= 1e-6 + 1e-5 * min(near.values())]
-        want |= {(s, *a): 1 / len(tied) if s in tied else 0.0 for s in near}
-    assert got == pytest.approx(want)
-
-
 def test_geometry_faults(spark):
     one = [16, 32, 32], [0.0, -5.0, 2.0], [2.0, 2.5, 3.0], [1.0, 0.0, 0.0, 0.0, 1.0, 0.0]
     rows = [(1, 1, *one), (1, 2, one[0], [0.0005, -5.0, 2.0], *one[2:]), (1, 3, [16, 32, 33], *one[1:]), (1, 4, one[0], [0.0, -5.1, 2.0], *one[2:]), (1, 5, one[0], one[1], [2.0, 2.5], one[3]), (1, 6, *one[:3], [1.0, 0.0, 0.0, 0.0, 1.0, None])]

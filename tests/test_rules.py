@@ -82,22 +82,6 @@ def test_squares_and_holes(spark):
     assert {r.k: r["count"] for r in solid.groupBy("k").count().collect()} == {0: 16, 1: 64}
 
 
-def test_distance_against_brute_force(spark):
-    import random
-
-    rng = random.Random(4)
-    marks = {(rng.randrange(9), rng.randrange(11)) for _ in range(12)}
-    cells = spark.createDataFrame([(1, r, c) for r in range(9) for c in range(11)], "patient_id long, r long, c long")
-    marked = spark.createDataFrame([(1, r, c) for r, c in marks], "patient_id long, r long, c long")
-    for q in voxels.nearest_in_set(cells, marked, 2.0, 3.0, ["patient_id"]).collect():
-        assert q.distance == pytest.approx(min(math.hypot((q.r - r) * 3, (q.c - c) * 2) for r, c in marks))
-
-
-def test_ownership_is_shared_on_ties(spark):
-    d = spark.createDataFrame([(1, 0, 0, 0, "a", 2.0), (1, 0, 0, 0, "b", 2.0), (1, 0, 0, 1, "a", 1.0), (1, 0, 0, 1, "b", 3.0)], "patient_id long, k long, r long, c long, structure_id string, distance double")
-    assert sorted((r.c, r.structure_id, r.weight) for r in voxels.ownership(d).collect()) == [(0, "a", 0.5), (0, "b", 0.5), (1, "a", 1.0), (1, "b", 0.0)]
-
-
 def test_summed_grids_of_other_shapes_are_an_error(spark):
     rows = [("a", 1, 0, 0, 0, 1.0), ("a", 1, 0, 0, 1, 1.0), ("b", 1, 0, 0, 0, 2.0)]
     with pytest.raises(Exception, match="different shapes"):
