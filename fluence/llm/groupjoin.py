@@ -4,11 +4,12 @@
    document is compared with two leaders that most and at least half of its ranges name, and linked documents make components. Blocks of a component of about
    GROUP_DOCS documents are the groups; a document that has no link yet is a group of its own.
 2. The matrix has a row for each group and token of its union, as far as a link between two groups needs it: a document with n
-   shingles can be linked only with one that has one of its first n - ceil(0.8 n) + 1 tokens in any fixed order, and two
-   documents cut at the same token share a number of tokens that follows from their sizes. Frequent tokens come last in the
+   shingles can be linked only with one that has one of its first n - ceil(0.8 n) + 1 tokens in any fixed order, and sizes
+   near each other ask for more than one. Frequent tokens come last in the
    order; which they are is read off a count of all documents' tokens by SLOTS slots (it decides the order only).
 3. Groups of two components that share enough of these tokens are candidates: each query (a document of one group) is held
-   against the stored token union of the other. Where |query and union| cannot reach 80 % of the query, the group stays closed.
+   against the stored token union of the other, both as signatures of 16 bits a token, which only make the overlap look larger.
+   Where |query and union| cannot reach 80 % of the query, the group stays closed.
 4. Groups that stay are opened: their documents are compared with the query on full sets until one links, which joins the two
    components (all documents of a group are in one).
 
@@ -36,6 +37,8 @@ GROUP_DOCS = 64
 SLOT_BITS = (12, 24)
 #: Slots that are sent on together.
 CHUNK = 1 << 16
+#: Tokens of a set up to which its signature has 16 bits a token (32 beyond).
+NARROW = 8192
 #: Rows of one token that are paired at once.
 PAIR_ROWS = 1024
 
@@ -72,43 +75,78 @@ def token_sets(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, tokens binary")
 
 
-def unions(sets: DataFrame) -> DataFrame:
-    """(node: the group, tokens: the union of its documents' tokens) of rows (grp, tokens); a group is read document by document."""
+def signature(s: np.ndarray) -> np.ndarray:
+    """The low bits of a set's tokens, as many as there are tokens."""
+    return s.astype(np.uint16 if len(s) <= NARROW else np.uint32)
+
+
+def _signature_of(raw: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint16 if width == 2 else np.uint32)
+
+
+def signatures(texts: DataFrame) -> DataFrame:
+    """(node, tokens: struct of width and bits) of rows (node, text)."""
+
+    def run(batches):
+        for piece, data, off in slices(batches):
+            found = [signature(s) for s in shingle_hashes(data, off)[0]]
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([s.itemsize for s in found], pa.int32()), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "width", "bits"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, width int, bits binary").select("node", F.struct("width", "bits").alias("tokens"))
+
+
+def unions(signed: DataFrame) -> DataFrame:
+    """(node: the group, tokens) of rows (grp, tokens): the union of its documents' signatures, read one by one."""
 
     def run(batches):
         at, union = None, None
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([union.itemsize], pa.int32()), pa.array([union.tobytes()], pa.binary())], names=["node", "width", "bits"])
+
         for b in batches:
-            out = []
-            for group, tokens in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for group, width, raw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                own = _signature_of(raw, width)
                 if group != at:
                     if at is not None:
-                        out.append((at, union.tobytes()))
-                    at, union = group, np.zeros(0, U64)
-                union = np.union1d(union, np.frombuffer(tokens, U64))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["node", "tokens"])
+                        yield row()
+                    at, union = group, np.unique(own)
+                elif own.itemsize == 2 or union.itemsize == 2:
+                    union = np.union1d(union.astype(np.uint16), own.astype(np.uint16))
+                else:
+                    union = np.union1d(union, own)
         if at is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([union.tobytes()], pa.binary())], names=["node", "tokens"])
+            yield row()
 
-    return sets.select("grp", "tokens").repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "node long, tokens binary")
+    rows = signed.select("grp", "tokens.width", "tokens.bits").repartition("grp").sortWithinPartitions("grp")
+    return rows.mapInArrow(run, "node long, width int, bits binary").select("node", F.struct("width", "bits").alias("tokens"))
 
 
 class _Bound:
-    """Opens a group for a query if enough of the query's tokens are in the group's union."""
+    """Opens a group for a query if enough of the query's tokens may be in the group's union; values are signatures."""
 
     def __init__(self, least: int):
         self.least = least
 
     def pieces(self, batches):
         for b in batches:
-            yield (*(b.column(i).to_pylist() for i in range(4)), [np.frombuffer(x, U64) for x in b.column(4).to_pylist()])
+            yield (*(b.column(i).to_pylist() for i in range(4)), [_signature_of(x["bits"], x["width"]) for x in b.column(4).to_pylist()])
 
     def links(self, union, query) -> bool:
-        return 100 * np.intersect1d(union, query, assume_unique=True).size >= self.least * len(query)
+        kind = min(union.dtype, query.dtype, key=lambda d: d.itemsize)
+        return 100 * int(np.isin(query.astype(kind), union.astype(kind)).sum()) >= self.least * len(query)
 
 
-class _Sets(_Bound):
+class _Sets:
     """Links two documents by their full sets."""
 
+    def __init__(self, least: int):
+        self.least = least
+
+    def pieces(self, batches):
+        for b in batches:
+            yield (*(b.column(i).to_pylist() for i in range(4)), [np.frombuffer(x, U64) for x in b.column(4).to_pylist()])
+
     def links(self, a, b) -> bool:
         if 100 * min(len(a), len(b)) < self.least * max(len(a), len(b)):
             return False
@@ -180,8 +218,8 @@ def matrix(grouped: DataFrame, frequent: np.ndarray, least: int) -> DataFrame:
         at, held, low, high = None, [], 0, 0
 
         def lot():
-            tokens = held[0] if len(held) == 1 else np.unique(np.concatenate(held))
-            return tokens, np.full(len(tokens), at[1]), np.full(len(tokens), at[0]), np.full(len(tokens), low, np.int32), np.full(len(tokens), high, np.int32), np.full(len(tokens), at[2], bool)
+            tokens = np.unique(np.concatenate(held)) if at[2] else held[0]
+            return tokens, *(np.full(len(tokens), v, kind) for v, kind in ((at[1], np.int64), (at[0], np.int64), (low, np.int32), (high, np.int32), (at[2], bool)))
 
         def batch(out):
             columns = [np.concatenate(x) for x in zip(*out, strict=True)]
@@ -237,8 +275,12 @@ def _pairs_of(columns: list[np.ndarray], least: int):
 
 
 def candidates(rows: DataFrame, least: int) -> DataFrame:
-    """(a, b), a < b: groups of different components that may hold a link. Of two documents cut after the earlier of their last
-    tokens in the matrix, all shared ones up to there count: at least as many as the smaller of the two bounds says."""
+    """(a, b), a < b: groups of different components that may hold a link.
+
+    Two documents with n and m shingles share s = ceil(0.8 (n + m) / 1.8) at least. Of the two, look at the one whose matrix tokens
+    end first in the order: all but n - s of them at most are shared, and stand among the other's matrix tokens too, as these
+    reach further. Which one ends first is not kept, so the smaller of both numbers is asked for; fewer prove that there is no
+    link. A group of several documents asks for one."""
 
     def run(batches):
         held = None
@@ -256,16 +298,16 @@ def candidates(rows: DataFrame, least: int) -> DataFrame:
     def found(columns):
         _, group, _, low, _, many = columns
         n = low.astype(np.int64)
-        spare = 1 - -(-least * n // 100)  # length of a prefix, less the set's size
+        kept = 1 - -(-least * n // 100)  # tokens in the matrix, less the set's size
         for i, j in _pairs_of(columns, least):
             if not len(i):
                 continue
             shared = -(-least * (n[i] + n[j]) // (100 + least))
-            need = np.where(many[i] | many[j], 1, np.maximum(1, shared + np.minimum(spare[i], spare[j])))
+            need = np.where(many[i] | many[j], 1, np.maximum(1, shared + np.minimum(kept[i], kept[j])))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(group[i], group[j])), pa.array(np.maximum(group[i], group[j])), pa.array(need)], names=["a", "b", "need"])
 
     met = rows.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long, need long")
-    return met.groupBy("a", "b").agg(F.count("*").alias("met"), F.min("need").alias("need")).filter("met >= need").select("a", "b")
+    return met.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("need").alias("need")).filter("met >= need").select("a", "b")
 
 
 def _groups(nodes: DataFrame, label: DataFrame) -> DataFrame:
@@ -317,15 +359,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     asks = settle(likely.join(members.select("node", F.col("grp").alias("b")), "b").select(F.col("a").alias("leader"), F.col("node").alias("member")).distinct())
     wanted = settle(likely.select(F.explode(F.array("a", "b")).alias("grp")).distinct())
     inside = settle(members.join(small(wanted), "grp", "left_semi").select("node", "grp"))
-    sets = settle(token_sets(texts.join(small(inside.select("node").distinct()), "node", "left_semi")))
-    held = unions(sets.join(inside, "node").join(likely.select(F.col("a").alias("grp")).distinct(), "grp", "left_semi"))
-    opened = settle(_judged(asks, sets, "tokens", _Bound(least_percent), held))
+    signed = settle(signatures(texts.join(small(inside.select("node").distinct()), "node", "left_semi")))
+    held = unions(signed.join(inside, "node").join(likely.select(F.col("a").alias("grp")).distinct(), "grp", "left_semi"))
+    opened = settle(_judged(asks, signed, "tokens", _Bound(least_percent), held))
     # a query is held against the group's documents until one links: a group is in one component, so its name stands for it
-    documents = sets.join(inside, "node").select(F.col("grp").alias("node"), "tokens")
+    own = settle(inside.join(small(opened.select(F.col("leader").alias("grp")).distinct()), "grp", "left_semi"))
+    needed = settle(own.select("node").union(opened.select("member")).distinct())
+    sets = settle(token_sets(texts.join(small(needed), "node", "left_semi")))
+    documents = sets.join(own, "node").select(F.col("grp").alias("node"), "tokens")
     last = settle(_judged(opened, sets, "tokens", _Sets(least_percent), documents))
     if not last.isEmpty():
         label = components(links.unionByName(last))
-    discard(near, asked, first, links, members, likely, asks, wanted, inside, sets, opened, last, nodes)
+    discard(near, asked, first, links, members, likely, asks, wanted, inside, signed, own, needed, sets, opened, last, nodes)
 
     named = classes.join(label, "node", "left").select("key1", "key2", F.coalesce("component", "node").alias("found"))
     hit = sk.select("doc_id", "n_shingles", "key1", "key2").join(named, ["key1", "key2"], "left")

@@ -111,15 +111,21 @@ def _flat(text):
 
 
 def test_unions_and_pairs(spark, monkeypatch):
+    """Unions of signatures hold every document's tokens, whatever their widths; pairs are all that fit, in any lots."""
     rng = np.random.default_rng(2)
-    sets = [np.unique(mix(rng.integers(0, 50, 20).astype(np.uint64))) for _ in range(30)]
-    df = spark.createDataFrame([(i % 4, bytearray(s.tobytes())) for i, s in enumerate(sets)], "grp long, tokens binary").repartition(3)
-    got = {r.node: np.frombuffer(bytes(r.tokens), np.uint64) for r in unions(df).collect()}
-    assert all(np.array_equal(got[g], np.unique(np.concatenate(sets[g::4]))) for g in range(4))
+    monkeypatch.setattr(groupjoin, "NARROW", 15)
+    sets = [np.unique(mix(rng.integers(0, 50, 20).astype(np.uint64)))[: 10 + i] for i in range(30)]
+    signs = [groupjoin.signature(s) for s in sets]
+    assert {s.itemsize for s in signs} == {2, 4}
+    df = spark.createDataFrame([(i % 4, (s.itemsize, bytearray(s.tobytes()))) for i, s in enumerate(signs)], "grp long, tokens struct<width: int, bits: binary>").repartition(3)
+    got = {r.node: groupjoin._signature_of(bytes(r.tokens.bits), r.tokens.width) for r in unions(df).collect()}
+    bound = groupjoin._Bound(100)
+    assert all(bound.links(got[i % 4], s) for i, s in enumerate(signs))
+    assert not bound.links(got[0], groupjoin.signature(mix(np.arange(1000, 1020, dtype=np.uint64))))
     monkeypatch.setattr(groupjoin, "PAIR_ROWS", 3)
     token = np.sort(rng.integers(0, 12, 60))
     component, low = rng.integers(0, 5, 60), rng.integers(5, 30, 60)
-    columns = [token, np.arange(60), component, low, low + rng.integers(0, 5, 60), np.zeros(60, bool)]
+    columns = [token, np.arange(60), component, low, low + rng.integers(0, 5, 60), np.zeros(60, np.int64)]
     pairs = sorted((int(min(a, b)), int(max(a, b))) for i, j in _pairs_of(columns, 80) for a, b in zip(i, j, strict=True))
     high = columns[4]
     want = sorted((a, b) for a in range(60) for b in range(a + 1, 60) if token[a] == token[b] and component[a] != component[b] and 100 * high[a] >= 80 * low[b] and 100 * high[b] >= 80 * low[a])
