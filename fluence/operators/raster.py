@@ -50,9 +50,12 @@ def cells(spans: DataFrame) -> DataFrame:
 
 
 def inside(points: DataFrame, asked: DataFrame) -> DataFrame:
-    """Asked (SLICE, id, y, x), with whether the point is inside an odd number of its slice's contours."""
+    """Asked (SLICE, id, y, x), with whether the point is inside an odd number of its slice's contours. Edges are listed by the
+    rows that they cross, so a point meets the edges of its row only."""
     e = _level(edges(points))
-    hit = asked.join(e, SLICE).filter(((F.col("r0") > F.col("y")) != (F.col("r1") > F.col("y"))) & (F.col("x") < (F.col("c1") - F.col("c0")) * (F.col("y") - F.col("r0")) / (F.col("r1") - F.col("r0")) + F.col("c0")))
+    e = e.withColumn("row", F.explode(F.sequence(F.floor(F.least("r0", "r1")), F.floor(F.greatest("r0", "r1")))))
+    q = asked.withColumn("row", F.floor("y"))
+    hit = q.join(e, [*SLICE, "row"]).filter(((F.col("r0") > F.col("y")) != (F.col("r1") > F.col("y"))) & (F.col("x") < (F.col("c1") - F.col("c0")) * (F.col("y") - F.col("r0")) / (F.col("r1") - F.col("r0")) + F.col("c0")))
     return asked.join(hit.groupBy(*SLICE, "id").agg(F.count("*").alias("n")), [*SLICE, "id"], "left").withColumn("inside", F.coalesce(F.col("n") % 2 == 1, F.lit(False))).drop("n")
 
 

@@ -14,6 +14,8 @@ RSS = {"very_small": (0.0, 0.0, 7.0, 12.0), "small": (7.0, 10.0, 12.0, 18.0), "m
 COMPLEXITY = {"low": (0.0, 0.0, 0.2, 0.6), "high": (0.2, 0.6, 2.0, 2.0)}
 OUTPUT = {"low": (-1.0, -1.0, -0.75, -0.25), "normal": (-0.75, -0.25, 0.25, 0.75), "high": (0.25, 0.75, 1.25, 1.75), "very_high": (1.25, 1.75, 2.0, 2.0)}
 STEPS = 3000
+#: The finest grid, in cells of the dose grid.
+FINEST = 8
 
 
 def membership(x: Column, a: float, b: float, c: float, d: float) -> Column:
@@ -45,27 +47,36 @@ def z_offsets(thickness: Column, factor: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda i: ((i + 0.5) / n - 0.5) * thickness)
 
 
-def occupancy(points: DataFrame, scale: float, rows: int, cols: int, sub: int) -> DataFrame:
-    """The share of every cell (of a grid `scale` times finer) that is inside: 1 for interior cells, for border cells the share of
-    sub x sub points; only border cells are tested by points, so the work follows outlines."""
-    fine = points.withColumn("r", F.col("r") * scale).withColumn("c", F.col("c") * scale)
-    cell = raster.interior(raster.mask_spans(fine, int(rows * scale), int(cols * scale)))
+def occupancy(points: DataFrame, scale: Column | float, rows: int, cols: int, sub: int) -> DataFrame:
+    """The share of every cell that is inside, of grids `scale` times finer (a number, or a column of points that is one for each
+    structure, up to FINEST): 1 for interior cells, for border cells the share of sub x sub points; only border cells are tested by
+    points, so the work follows outlines. Rows are (SLICE, r, c, scale, share)."""
+    fine = points.withColumn("scale", (scale if isinstance(scale, Column) else F.lit(scale)).cast("double"))
+    fine = fine.withColumn("r", F.col("r") * F.col("scale")).withColumn("c", F.col("c") * F.col("scale"))
+    per = fine.groupBy(*raster.S).agg(F.max("scale").alias("scale"))
+    spans = raster.mask_spans(fine, rows * FINEST, cols * FINEST).join(per, raster.S).filter(F.col("r") < F.floor(rows * F.col("scale")))
+    spans = spans.withColumn("c_hi", F.least("c_hi", F.floor(cols * F.col("scale")))).filter("c_lo < c_hi")
+    cell = raster.interior(spans)
     at = F.transform(F.sequence(F.lit(0), F.lit(sub - 1)), lambda i: (i + 0.5) / sub)
     edge = cell.filter("not interior").withColumn("dy", F.explode(at)).withColumn("dx", F.explode(at))
-    asked = edge.select(*S, F.concat_ws(":", "r", "c", "dy", "dx").alias("id"), (F.col("r") + F.col("dy")).alias("y"), (F.col("c") + F.col("dx")).alias("x"), "r", "c")
+    asked = edge.select(*S, F.struct("r", "c", "dy", "dx").alias("id"), (F.col("r") + F.col("dy")).alias("y"), (F.col("c") + F.col("dx")).alias("x"), "r", "c")
     share = raster.inside(fine, asked).groupBy(*S, "r", "c").agg(F.avg(F.col("inside").cast("double")).alias("share"))
-    return cell.filter("interior").select(*S, "r", "c", F.lit(1.0).alias("share")).unionByName(share)
+    return cell.filter("interior").select(*S, "r", "c", F.lit(1.0).alias("share")).unionByName(share).join(per, raster.S).select(*S, "r", "c", "scale", "share")
 
 
-def samples(points: DataFrame, dose: DataFrame, planes: DataFrame, positions: DataFrame, scale: float, rows: int, cols: int, sx: float, sy: float, sub: int = 6) -> DataFrame:
+def samples(points: DataFrame, dose: DataFrame, planes: DataFrame, positions: DataFrame, scale: Column | float, rows: int, cols: int, sx: float, sy: float, sub: int = 6) -> DataFrame:
     """(patient_id, structure, dose_gy, weight_cc): every occupied cell at its centre and at each offset of its slab.
 
-    positions (patient_id, k, z, thickness) places slices; planes (patient_id, k, z) places the dose grid's."""
-    held = max(0.5, min(4.0, scale))
-    occ = occupancy(points, held, rows, cols, sub).filter("share > 0").join(positions, ["patient_id", "k"])
-    off = occ.withColumn("o", z_offsets(F.col("thickness"), F.lit(float(scale)))).withColumn("n", F.size("o")).withColumn("dz", F.explode("o"))
-    weight = F.col("share") * (sx * sy / (held * held)) * F.col("thickness") / (1000 * F.col("n"))
-    asked = off.select("patient_id", F.concat_ws(":", "structure_id", "k", "r", "c", "dz").alias("id"), F.col("structure_id").alias("structure"), (F.col("z") + F.col("dz")).alias("z"), ((F.col("r") + 0.5) / held).alias("y"), ((F.col("c") + 0.5) / held).alias("x"), weight.alias("weight_cc"))
+    scale is a number, or a column of points with each structure's factor (X15), so structures of all factors are sampled in one
+    run. positions (patient_id, k, z, thickness) places slices; planes (patient_id, k, z) places the dose grid's."""
+    wanted = scale if isinstance(scale, Column) else F.lit(float(scale))
+    factor = points.withColumn("factor", wanted.cast("double")).groupBy(*raster.S).agg(F.max("factor").alias("factor"))
+    held = F.greatest(F.lit(0.5), F.least(F.lit(4.0), wanted))
+    occ = occupancy(points, held, rows, cols, sub).filter("share > 0").join(factor, raster.S).join(positions, ["patient_id", "k"])
+    off = occ.withColumn("o", z_offsets(F.col("thickness"), F.col("factor"))).withColumn("n", F.size("o")).withColumn("dz", F.explode("o"))
+    weight = F.col("share") * (sx * sy / (F.col("scale") * F.col("scale"))) * F.col("thickness") / (1000 * F.col("n"))
+    at = lambda c: ((F.col(c) + 0.5) / F.col("scale")).alias({"r": "y", "c": "x"}[c])
+    asked = off.select("patient_id", F.struct("structure_id", "k", "r", "c", "dz").alias("id"), F.col("structure_id").alias("structure"), (F.col("z") + F.col("dz")).alias("z"), at("r"), at("c"), weight.alias("weight_cc"))
     got = voxels.between_planes(asked.select("patient_id", "id", "z", "y", "x"), dose, planes, rows, cols)
     return asked.join(got.select("patient_id", "id", "dose_gy"), ["patient_id", "id"]).select("patient_id", "structure", "dose_gy", "weight_cc")
 

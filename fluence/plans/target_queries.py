@@ -25,17 +25,6 @@ def x15_oversampling(spark, sf):
     return sampling.oversampling(m).select("patient_id", "structure_id", F.round("power", 6).alias("power"), "factor")
 
 
-def d3_high_accuracy(spark, sf):
-    """Contours sampled in the dose grid at twice its resolution, as a curve's totals."""
-    d = view(spark, sf, "dose_voxel")
-    planes = d.groupBy("patient_id", "k").agg((F.first("k") * 1.25).alias("z"))
-    where = view(spark, sf, "contour_point").select("patient_id", "k").distinct().select("patient_id", "k", (F.col("k") * 1.25).alias("z"), F.lit(1.25).cast("double").alias("thickness"))
-    s = sampling.samples(view(spark, sf, "contour_point"), d, planes, where, SCALE, N, N, gq.SX, gq.SY, SUB)
-    top = d.groupBy(P).agg(F.max("dose_gy").alias("max_dose"))
-    totals = sampling.high_accuracy(s, top, W)
-    return totals.select(P, "structure", *(F.round(c, 6).alias(c) for c in ("volume_cc", "mean_gy", "min_gy", "max_gy")), "n_samples", "n_bins")
-
-
 def g13_resampled(spark, sf):
     d = view(spark, sf, "dose_voxel")
     planes = d.groupBy("patient_id", "k").agg((F.first("k") * 1.25).alias("z"))
@@ -116,7 +105,7 @@ def o5_focus(spark, sf):
     return targets.focus(s, pq._assigned(spark, sf).select(P, "name_norm").distinct())
 
 
-QUERIES = {f.__name__: f for f in (g6_occupancy, x15_oversampling, d3_high_accuracy, g13_resampled, t7_target_metrics, t9_nested_targets, t10_competing_targets, t3_fraction_counts, t4_default_reference, d6_strategies, d10_volume_axis, j14_parent_references, t23_coverage_lines, t24_review_list, t25_volume_lines, o5_focus)}
+QUERIES = {f.__name__: f for f in (g6_occupancy, x15_oversampling, g13_resampled, t7_target_metrics, t9_nested_targets, t10_competing_targets, t3_fraction_counts, t4_default_reference, d6_strategies, d10_volume_axis, j14_parent_references, t23_coverage_lines, t24_review_list, t25_volume_lines, o5_focus)}
 
 F2 = N * SCALE
 OCC = f"""e AS (SELECT patient_id, structure_id, k, contour_no, r * {SCALE} AS r0, c * {SCALE} AS c0, coalesce(lead(r) OVER o, first_value(r) OVER o) * {SCALE} AS r1, coalesce(lead(c) OVER o, first_value(c) OVER o) * {SCALE} AS c1
@@ -171,18 +160,6 @@ ORACLE_SQL = {
         SELECT patient_id, structure_id, round(power, 6) AS power, greatest(0.5::DOUBLE, least(4.0::DOUBLE, pow(2.0, round_even(greatest(-1, least(2, power)), 0)))) AS factor FROM pw""",
         "contour_point",
     ),
-    "d3_high_accuracy": with_views(
-        "WITH " + OCC + f""", pl AS (SELECT patient_id, k, k * 1.25::DOUBLE AS z0, lead(k) OVER w AS k1, lead(k) OVER w * 1.25::DOUBLE AS z1 FROM (SELECT DISTINCT patient_id, k FROM dose_voxel) WINDOW w AS (PARTITION BY patient_id ORDER BY k)),
-        sm AS (SELECT patient_id, structure_id, row_number() OVER () AS id, (r + 0.5) / {SCALE}.0::DOUBLE AS y, (c + 0.5) / {SCALE}.0::DOUBLE AS x, k * 1.25::DOUBLE + ((o.i + 0.5) / {SCALE}.0::DOUBLE - 0.5) * 1.25::DOUBLE AS z,
-          share * ({gq.SX}::DOUBLE * {gq.SY} / {SCALE * SCALE}) * 1.25::DOUBLE / (1000 * {SCALE}) AS weight FROM occ CROSS JOIN (SELECT unnest(range({SCALE})) AS i) o WHERE share > 0),
-        hit AS (SELECT a.id, a.patient_id, a.y, a.x, p.k AS ka, p.k1 AS kb, (a.z - z0) / (z1 - z0) AS t, row_number() OVER (PARTITION BY a.id ORDER BY z0) AS n FROM sm a JOIN pl p ON p.patient_id = a.patient_id AND a.z >= z0 AND a.z <= z1),
-        q AS (SELECT id, patient_id, y, x, ka AS k, 1 - t AS wz FROM hit WHERE n = 1 UNION ALL SELECT id, patient_id, y, x, kb, t FROM hit WHERE n = 1), """ + gq._bil("q.y", "q.x") + f""",
-        gd AS (SELECT id, sum(w * wz * dose_gy) AS d FROM cn JOIN dose_voxel v USING (patient_id, k, r, c) GROUP BY 1),
-        tp AS (SELECT patient_id, ceil(greatest(max(dose_gy), {W}) / {W})::INT AS n FROM dose_voxel GROUP BY 1),
-        al AS (SELECT sm.patient_id, sm.structure_id AS structure, sm.weight, coalesce(d, 0) AS dose, n FROM sm LEFT JOIN gd USING (id) JOIN tp USING (patient_id))
-        SELECT patient_id, structure, round(sum(weight), 6) AS volume_cc, round(sum(dose * weight) / sum(weight), 6) AS mean_gy, round(min(dose), 6) AS min_gy, round(max(dose), 6) AS max_gy, count(*) AS n_samples, max(n) AS n_bins FROM al GROUP BY 1, 2""",
-        "contour_point", "dose_voxel",
-    ),
     "g13_resampled": with_views(
         f"""WITH dp AS (SELECT DISTINCT patient_id, k, k * 1.25::DOUBLE AS z FROM dose_voxel), ns AS (SELECT s.patient_id, s.k AS image_k, min_by(dp.k, (abs(dp.z - s.z), dp.k)) AS k FROM slice_position s JOIN dp USING (patient_id) GROUP BY 1, 2),
         q AS (SELECT ns.patient_id, ns.image_k, ns.k, y.i AS pr, x.i AS pc, y.i * 0.5::DOUBLE + 1.25 AS y, x.i * 0.75::DOUBLE + 0.5 AS x FROM ns CROSS JOIN (SELECT unnest(range({N})) AS i) y CROSS JOIN (SELECT unnest(range({N})) AS i) x), """
