@@ -40,7 +40,7 @@ def _sampled_curves(spark, sf):
 def d3_high_accuracy(spark, sf):
     """Every structure sampled at the factor that X15 gives it, as whole curves with bins of 0.05 Gy."""
     c = dvh.curve(_sampled_curves(spark, sf))
-    return c.select(P, "structure", "bin", F.round("dose_gy", 6).alias("dose_gy"), F.round("volume_cc", 6).alias("volume_cc"), F.round("volume_pct", 4).alias("volume_pct"))
+    return c.select(P, "structure", "bin", F.round("dose_gy", 6).alias("dose_gy"), F.round(F.col("volume_cc") + 1e-9, 6).alias("volume_cc"), F.round(F.col("volume_pct") + 1e-9, 4).alias("volume_pct"))
 
 
 def d2_sampled_totals(spark, sf):
@@ -61,7 +61,7 @@ def _geometry(points, spark, sf):
 def _small(points, where, spark, sf):
     """Structures of 5 cc at most, with what their models need: every slice's place and the smallest step."""
     few = _geometry(points, spark, sf).filter("strategy = 'small'").select(*S)
-    return points.join(few, S, "left_semi"), where.withColumn("base", F.lit(DZ))
+    return points.join(few, S, "left_semi").persist(), where.withColumn("base", F.lit(DZ))
 
 
 def g18_small_models(spark, sf):
@@ -138,7 +138,7 @@ ORACLE_SQL = {
         _SAMPLES + f""", hs AS (SELECT patient_id, structure, least(floor(dose / {W})::INT, n - 1) AS bin, sum(weight) AS cc FROM al GROUP BY 1, 2, 3),
         ax AS (SELECT DISTINCT patient_id, structure, unnest(range(n + 1)) AS bin FROM (SELECT DISTINCT patient_id, structure, n FROM al)),
         cu AS (SELECT ax.*, coalesce(sum(cc) OVER (PARTITION BY ax.patient_id, ax.structure ORDER BY ax.bin DESC), 0) AS v FROM ax LEFT JOIN hs ON hs.patient_id = ax.patient_id AND hs.structure = ax.structure AND hs.bin = ax.bin)
-        SELECT patient_id, structure, bin::INT AS bin, round(bin * {W}::DOUBLE, 6) AS dose_gy, round(v, 6) AS volume_cc, round(v / max(v) OVER (PARTITION BY patient_id, structure) * 100, 4) AS volume_pct FROM cu""",
+        SELECT patient_id, structure, bin::INT AS bin, round(bin * {W}::DOUBLE, 6) AS dose_gy, round(v + 1e-9, 6) AS volume_cc, round(v / max(v) OVER (PARTITION BY patient_id, structure) * 100 + 1e-9, 4) AS volume_pct FROM cu""",
         "target_point", "target_dose",
     ),
 }
