@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import kept
 from . import dvh, raster, voxels
 
 S = raster.SLICE
@@ -56,7 +57,7 @@ def occupancy(points: DataFrame, scale: Column | float, rows: int, cols: int, su
     per = fine.groupBy(*raster.S).agg(F.max("scale").alias("scale"))
     spans = raster.mask_spans(fine, rows * FINEST, cols * FINEST).join(per, raster.S).filter(F.col("r") < F.floor(rows * F.col("scale")))
     spans = spans.withColumn("c_hi", F.least("c_hi", F.floor(cols * F.col("scale")))).filter("c_lo < c_hi")
-    cell = raster.interior(spans).persist()
+    cell = kept(raster.interior(spans))
     at = F.transform(F.sequence(F.lit(0), F.lit(sub - 1)), lambda i: (i + 0.5) / sub)
     edge = cell.filter("not interior").withColumn("dy", F.explode(at)).withColumn("dx", F.explode(at))
     asked = edge.select(*S, F.struct("r", "c", "dy", "dx").alias("id"), (F.col("r") + F.col("dy")).alias("y"), (F.col("c") + F.col("dx")).alias("x"), "r", "c")
@@ -76,7 +77,7 @@ def samples(points: DataFrame, dose: DataFrame, planes: DataFrame, positions: Da
     off = occ.withColumn("o", z_offsets(F.col("thickness"), F.col("factor"))).withColumn("n", F.size("o")).withColumn("dz", F.explode("o"))
     weight = F.col("share") * (sx * sy / (F.col("scale") * F.col("scale"))) * F.col("thickness") / (1000 * F.col("n"))
     at = lambda c: ((F.col(c) + 0.5) / F.col("scale")).alias({"r": "y", "c": "x"}[c])
-    asked = off.select("patient_id", F.struct("structure_id", "k", "r", "c", "dz").alias("id"), F.col("structure_id").alias("structure"), (F.col("z") + F.col("dz")).alias("z"), at("r"), at("c"), weight.alias("weight_cc")).persist()
+    asked = kept(off.select("patient_id", F.struct("structure_id", "k", "r", "c", "dz").alias("id"), F.col("structure_id").alias("structure"), (F.col("z") + F.col("dz")).alias("z"), at("r"), at("c"), weight.alias("weight_cc")))
     got = voxels.between_planes(asked.select("patient_id", "id", "z", "y", "x"), dose, planes, rows, cols)
     return asked.join(got.select("patient_id", "id", "dose_gy"), ["patient_id", "id"]).select("patient_id", "structure", "dose_gy", "weight_cc")
 

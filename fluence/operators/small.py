@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import kept
 from . import dvh, sampling, voxels
 from .surfaces import plane_squares
 
@@ -142,8 +143,8 @@ def model(points: DataFrame, positions: DataFrame, rows: int, cols: int, sx: flo
     """The interpolated model of every structure of points as shares of cells of a grid `scale` times finer: (S, k, r, c, share, z,
     step). positions (patient_id, k, z, thickness, base) places slices; base is the smallest step of slices and dose planes."""
     many = points.groupBy(*S, "k").agg(F.countDistinct("contour_no").alias("n")).groupBy(*S).agg((F.max("n") > 1).alias("many"))
-    x = points.join(many, S).join(positions, [P, "k"]).persist()
-    ring = rings(x.filter("not many"), scale).persist()
+    x = kept(points.join(many, S).join(positions, [P, "k"]))
+    ring = kept(rings(x.filter("not many"), scale))
     place = ring.select(*S, "k", "z", "step").distinct()
     one = sampling.occupancy(ring, float(scale), rows, cols, sub).filter("share > 1e-6").join(place, [*S, "k"]).select(*S, "k", "r", "c", "share", "z", "step")
     cell = sampling.occupancy(x.filter("many"), float(scale), rows, cols, sub).filter("share > 1e-6").join(positions, [P, "k"])
@@ -154,7 +155,7 @@ def model(points: DataFrame, positions: DataFrame, rows: int, cols: int, sx: flo
 def samples(of: DataFrame, dose: DataFrame, planes: DataFrame, rows: int, cols: int, sx: float, sy: float, scale: int = SCALE) -> DataFrame:
     """The cells of model() as samples (patient_id, structure, dose_gy, weight_cc), each at its height between two dose planes."""
     weight = F.col("share") * (sx * sy / scale**2) * F.col("step") / 1000
-    asked = of.select(P, F.struct("structure_id", "k", "r", "c").alias("id"), "z", ((F.col("r") + 0.5) / scale).alias("y"), ((F.col("c") + 0.5) / scale).alias("x"), weight.alias("weight_cc")).persist()
+    asked = kept(of.select(P, F.struct("structure_id", "k", "r", "c").alias("id"), "z", ((F.col("r") + 0.5) / scale).alias("y"), ((F.col("c") + 0.5) / scale).alias("x"), weight.alias("weight_cc")))
     got = voxels.between_planes(asked, dose, planes, rows, cols)
     return got.select(P, F.col("id.structure_id").alias("structure"), "dose_gy", "weight_cc")
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import kept
 from .raster import cells
 
 P = "patient_id"
@@ -249,7 +250,7 @@ def stereotactic(targets: DataFrame, rivals: DataFrame, spans: DataFrame, voxels
     cc = sx * sy * sz / 1000
     brain_gy = F.when(F.col("fractions") == 1, 12.0).when(F.col("fractions") == 5, 24.0)
     t = targets.filter("rx_gy > 0").withColumn("brain_gy", brain_gy).withColumn("least_gy", F.least(F.col("rx_gy") / 2, "brain_gy"))
-    blocks = support_blocks(t.select(*S, "least_gy"), rivals, spans, voxels).persist()
+    blocks = kept(support_blocks(t.select(*S, "least_gy"), rivals, spans, voxels))
     own = weighted_voxels(owned_lines(spans, blocks, rivals, sx, sy, sz), voxels).join(t, S).filter("dose_gy >= least_gy")
     b = brain.select(F.col(P).alias("b_p"), F.col("k").alias("b_k"), F.col("r").alias("b_r"), "c_lo", "c_hi")
     own = own.join(b, (F.col(P) == F.col("b_p")) & (F.col("k") == F.col("b_k")) & (F.col("r") == F.col("b_r")) & (F.col("c") >= F.col("c_lo")) & (F.col("c") < F.col("c_hi")), "left")

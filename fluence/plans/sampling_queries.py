@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dvh, raster, sampling, small
+from ..shipping import kept
 from ..sources.standins import view, with_views
 from . import geometry_queries as gq
 from . import target_queries as tq
@@ -32,7 +33,7 @@ def _factors(points):
 
 def _sampled_curves(spark, sf):
     points, d, planes, where = _places(spark, sf)
-    fine = points.join(_factors(points), S).persist()
+    fine = kept(points.join(_factors(points), S))
     s = sampling.samples(fine, d, planes, where, F.col("factor"), N, N, SX, SY, SUB)
     return sampling.high_accuracy(s, d.groupBy(P).agg(F.max("dose_gy").alias("max_dose")))
 
@@ -61,7 +62,7 @@ def _geometry(points, spark, sf):
 def _small(points, where, spark, sf):
     """Structures of 5 cc at most, with what their models need: every slice's place and the smallest step."""
     few = _geometry(points, spark, sf).filter("strategy = 'small'").select(*S)
-    return points.join(few, S, "left_semi").persist(), where.withColumn("base", F.lit(DZ))
+    return kept(points.join(few, S, "left_semi")), where.withColumn("base", F.lit(DZ))
 
 
 def g18_small_models(spark, sf):
@@ -85,10 +86,10 @@ def d5_small_curves(spark, sf):
 def d6_curves_by_strategy(spark, sf):
     """All three branches, each for its own structures, united in the order of the structures."""
     points, d, planes, where = _places(spark, sf)
-    strategies = _geometry(points, spark, sf).persist()
+    strategies = kept(_geometry(points, spark, sf))
     of = lambda name: points.join(strategies.filter(F.col("strategy") == name).select(*S), S, "left_semi")
-    middle = of("samples")
-    s = sampling.samples(middle.join(_factors(middle), S).persist(), d, planes, where, F.col("factor"), N, N, SX, SY, SUB)
+    middle = kept(of("samples"))
+    s = sampling.samples(kept(middle.join(_factors(middle), S)), d, planes, where, F.col("factor"), N, N, SX, SY, SUB)
     branches = {
         "voxels": small.voxel_totals(raster.mask_spans(of("voxels"), N, N), d, VOXEL_CC),
         "samples": sampling.high_accuracy(s, d.groupBy(P).agg(F.max("dose_gy").alias("max_dose"))),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import raster, surfaces, targets, voxels
+from ..shipping import kept
 from ..sources.standins import view, with_views
 from . import geometry_queries as gq
 
@@ -17,8 +18,8 @@ LEVEL = 21.0
 
 
 def _spans(spark, sf):
-    """Masks as spans, kept for the branches of a query; a lost part is made again from the contours."""
-    return raster.mask_spans(view(spark, sf, "target_point"), N, N).persist()
+    """Masks as spans, written once for the branches of a query."""
+    return kept(raster.mask_spans(view(spark, sf, "target_point"), N, N))
 
 
 def _dose(spark, sf):
@@ -32,7 +33,7 @@ def _targets(spark, sf):
 def _rivals(t, spans):
     """Every target of the patient except those nested with it."""
     theirs = spans.join(t.select(*S), S, "left_semi")
-    return targets.competing(t, raster.contained(theirs)).persist()
+    return kept(targets.competing(t, raster.contained(theirs)))
 
 
 def g15_distance(spark, sf):

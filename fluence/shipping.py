@@ -1,13 +1,14 @@
-"""The package's source on the executors, for the operators that run Python in tasks."""
+"""What the operators need of the cluster: the package's source on the executors, and a folder that all of them share."""
 
 from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -33,3 +34,22 @@ def shipped(query):
         return query(spark, *args, **kwargs)
 
     return run
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; a local one only where it is unset and all executors are this machine (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, for steps that several branches read: it is made once, plans stay small, and a
+    lost executor loses nothing. The files belong to the session that asked and are cleared with its checkpoint folder."""
+    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
