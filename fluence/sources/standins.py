@@ -65,6 +65,9 @@ VIEWS = {
     # grids of the same shape, an eighth of whose cells have a dose, for more patients
     "target_dose": """SELECT CAST(floor(o_orderkey / 2048) AS BIGINT) AS patient_id, CAST(floor(o_orderkey / 128) AS BIGINT) % 16 AS k, CAST(floor((o_orderkey % 128) / 4) AS BIGINT) AS r,
         (o_orderkey % 4) * 8 + CAST(floor((o_orderkey % 128) / 4) + floor(o_orderkey / 128) AS BIGINT) % 8 AS c, o_totalprice / 10000 AS dose_gy FROM {orders}""",
+    # grids of 8 x 8 x 8 cells, with cavities at middle doses
+    "fine_dose": """SELECT CAST(floor(o_orderkey / 512) AS BIGINT) AS patient_id, CAST(floor((o_orderkey % 512) / 64) AS BIGINT) AS k, CAST(floor((o_orderkey % 64) / 8) AS BIGINT) AS r,
+        o_orderkey % 8 AS c, o_totalprice / 10000 AS dose_gy FROM {orders}""",
     # where slices stand, unevenly
     "slice_position": """SELECT s_suppkey % 7 AS patient_id, CAST(floor(s_suppkey / 7) AS BIGINT) AS k, CAST(floor(s_suppkey / 7) * 2.5 + CASE WHEN s_suppkey % 3 = 0 THEN 0.25 ELSE 0 END AS DOUBLE) AS z FROM {supplier}""",
 }
