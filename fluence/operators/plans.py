@@ -90,11 +90,16 @@ def display_order(structures: DataFrame, sheet: DataFrame) -> DataFrame:
     return structures.join(sheet, [P, "name_norm"], "left").withColumn("place", F.row_number().over(w))
 
 
-def nested_order(structures: DataFrame) -> DataFrame:
-    """O3: PTV, GTV, CTV, others; then dose; then name."""
+def nested_keys() -> list[Column]:
+    """O3's order: PTV, GTV, CTV, others; then dose; then name."""
     n = F.col("name_norm")
     rank = F.when(n.startswith("PTV"), 0).when(n.startswith("GTV"), 1).when(n.startswith("CTV"), 2).otherwise(3)
-    return structures.withColumn("place", F.row_number().over(Window.partitionBy(P).orderBy(rank, F.col("rx_gy").asc_nulls_last(), n, "ordinal")))
+    return [rank, F.col("rx_gy").asc_nulls_last(), n]
+
+
+def nested_order(structures: DataFrame) -> DataFrame:
+    """O3: PTV, GTV, CTV, others; then dose; then name."""
+    return structures.withColumn("place", F.row_number().over(Window.partitionBy(P).orderBy(*nested_keys(), "ordinal")))
 
 
 def fractionation(phases: DataFrame) -> DataFrame:

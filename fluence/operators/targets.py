@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from . import dvh
-from .plans import available
+from .plans import available, nested_keys
 
 P = "patient_id"
 K = dvh.KEYS
@@ -30,6 +30,23 @@ def nested(containment: DataFrame, sizes: DataFrame) -> DataFrame:
     return containment.join(s, [P, "whole"]).groupBy(P, "part").agg(F.min_by("whole", F.struct("voxels", "whole")).alias("parent"))
 
 
+def nested_rows(structures: DataFrame, targets: DataFrame, containment: DataFrame, sizes: DataFrame) -> DataFrame:
+    """T9 with manual sub-volumes: under each target (targets: S) what it holds, in O3's order, as (patient_id, target, part, place).
+
+    structures (patient_id, structure_id, name_norm, rx_gy, listable, nested, manual): a listable structure that is target-like
+    (nested) stands under every target that holds it; a manual one only under the smallest of them, ties by name and id.
+    containment (patient_id, part, whole), sizes (patient_id, structure_id, voxels). Structures of the target's own name and
+    targets without anything held have no row; null flags are false."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    whole = targets.select(P, F.col("structure_id").alias("whole")).distinct().join(structures.select(P, F.col("structure_id").alias("whole"), F.col("name_norm").alias("whole_name")), [P, "whole"])
+    whole = whole.join(sizes.select(P, F.col("structure_id").alias("whole"), "voxels"), [P, "whole"])
+    part = structures.filter(yes("listable") & (yes("nested") | yes("manual"))).select(P, F.col("structure_id").alias("part"), "name_norm", "rx_gy", yes("manual").alias("manual"))
+    held = containment.select(P, "part", "whole").join(whole, [P, "whole"]).join(part, [P, "part"]).filter("name_norm <> whole_name")
+    best = F.row_number().over(Window.partitionBy(P, "part").orderBy("voxels", "whole_name", "whole"))
+    held = held.withColumn("no", best).filter("not manual or no = 1")
+    return held.withColumn("place", F.row_number().over(Window.partitionBy(P, "whole").orderBy(*nested_keys(), "part"))).select(P, F.col("whole").alias("target"), "part", "name_norm", "place")
+
+
 def competing(targets: DataFrame, containment: DataFrame) -> DataFrame:
     """For each target all targets of the patient except those nested with it, itself included."""
     pairs = targets.select(P, F.col("structure_id").alias("target")).join(targets.select(P, F.col("structure_id").alias("rival")), P)
