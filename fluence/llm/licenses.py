@@ -9,7 +9,7 @@ one edit, so edits fall on the common wording. Where places of several notices o
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -96,11 +96,12 @@ def pattern_of(notice: str) -> regex.Pattern:
 def nearest(found: list[tuple]) -> list[tuple]:
     """Of places (first, last, label, edits, length) that overlap, the one with the fewest edits a character; of equal ones
     the longest, then the first. Ordered by place."""
-    out: list[tuple] = []
+    out: list[tuple] = []  # by place; as none overlap, a new one can only meet its two neighbours
     for x in sorted(found, key=lambda x: (x[3] / x[4], -x[4], x)):
-        if all(x[1] <= y[0] or y[1] <= x[0] for y in out):
-            out.append(x)
-    return sorted(out)
+        at = bisect_left(out, x[:2])
+        if (at == 0 or out[at - 1][1] <= x[0]) and (at == len(out) or x[1] <= out[at][0]):
+            out.insert(at, x)
+    return out
 
 
 class Scanner:

@@ -117,3 +117,18 @@ def test_long_text_nulls_and_repeats(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == {}
+
+
+def test_nearest_of_many_places_against_all_pairs():
+    """Random places against comparing each with all kept ones, and 20,000 places in a second or two."""
+    rng = random.Random(14)
+    for _ in range(300):
+        found = [(a, a + rng.randrange(1, 9), rng.choice("ab"), rng.randrange(4), rng.randrange(10, 14)) for a in (rng.randrange(60) for _ in range(rng.randrange(30)))]
+        kept = []
+        for x in sorted(found, key=lambda x: (x[3] / x[4], -x[4], x)):
+            if all(x[1] <= y[0] or y[1] <= x[0] for y in kept):
+                kept.append(x)
+        assert licenses.nearest(found) == sorted(kept)
+    many = [(7 * i, 7 * i + 9, "a", i % 3, 20) for i in range(20_000)]
+    out = licenses.nearest(many)
+    assert all(x[1] <= y[0] for x, y in zip(out, out[1:], strict=False)) and len(out) > 6000
