@@ -105,7 +105,19 @@ def o5_focus(spark, sf):
     return targets.focus(s, pq._assigned(spark, sf).select(P, "name_norm").distinct())
 
 
-QUERIES = {f.__name__: f for f in (g6_occupancy, x15_oversampling, g13_resampled, t7_target_metrics, t9_nested_targets, t10_competing_targets, t3_fraction_counts, t4_default_reference, d6_strategies, d10_volume_axis, j14_parent_references, t23_coverage_lines, t24_review_list, t25_volume_lines, o5_focus)}
+def t19_presentation_rows(spark, sf):
+    """Every text of the target table with its numbers; structures of odd place stand within AF."""
+    totals = dq._curves(spark, sf)
+    q = targets.measured(totals.withColumn("reference_gy", F.col("patient_id") % 9 * 10.0 - 5), W)
+    nudged = [F.col(c) + 1e-9 for c in ("min_gy", "max_gy", "coverage_pct")]  # exact halves, which engines print differently, go up
+    rows = targets.table_rows(q.select(P, "structure", "reference_gy", *(c.alias(n) for c, n in zip(nudged, ("min_gy", "max_gy", "coverage_pct"), strict=True))))
+    rows = rows.withColumn("name", F.col("structure")).withColumn("parent", F.when(F.col("structure").isin("NF", "NO"), "AF")).withColumn("notes_text", F.when(F.col("patient_id") % 2 == 0, F.concat("structure", F.lit(" seen"))))
+    keys = rows.filter("patient_id % 3 = 0").select(P, F.when(F.col("parent").isNull(), F.concat(F.lit("TARGET||"), "name")).otherwise(F.concat_ws("||", F.lit("TARGET"), "parent", "name")).alias("note_key"))
+    shown = targets.presentation_rows(rows, keys.withColumn("note_text", F.lit("typed")))
+    return shown.select(P, "structure", "reference_text", "coverage_text", "minimum_text", "maximum_text", "note_key", "note_title", "note_text", "is_primary")
+
+
+QUERIES = {f.__name__: f for f in (g6_occupancy, x15_oversampling, g13_resampled, t7_target_metrics, t9_nested_targets, t10_competing_targets, t3_fraction_counts, t4_default_reference, d6_strategies, d10_volume_axis, j14_parent_references, t23_coverage_lines, t24_review_list, t25_volume_lines, o5_focus, t19_presentation_rows)}
 
 F2 = N * SCALE
 OCC = f"""e AS (SELECT patient_id, structure_id, k, contour_no, r * {SCALE} AS r0, c * {SCALE} AS c0, coalesce(lead(r) OVER o, first_value(r) OVER o) * {SCALE} AS r1, coalesce(lead(c) OVER o, first_value(c) OVER o) * {SCALE} AS c1
@@ -168,6 +180,15 @@ ORACLE_SQL = {
         "slice_position", "dose_voxel",
     ),
     "t7_target_metrics": dq._sample("," + dq.STEP + ", asked AS (SELECT patient_id, structure, (patient_id % 9 * 10.0 - 5)::DOUBLE AS dose FROM tot)," + dq.v_sql("asked") + " SELECT t.patient_id, t.structure, v.dose AS reference_gy, min_gy, max_gy, CASE WHEN v.dose > 0 THEN round(v_pct, 6) END AS coverage_pct FROM tot t JOIN v_at v USING (patient_id, structure)"),
+    "t19_presentation_rows": dq._sample(
+        "," + dq.STEP + ", asked AS (SELECT patient_id, structure, (patient_id % 9 * 10.0 - 5)::DOUBLE AS dose FROM tot)," + dq.v_sql("asked") + """, x AS (SELECT t.patient_id, t.structure, v.dose AS ref, min_gy + 1e-9 AS lo, max_gy + 1e-9 AS hi, CASE WHEN v.dose > 0 THEN v_pct + 1e-9 END AS cov,
+          CASE WHEN t.structure IN ('NF', 'NO') THEN 'AF' END AS parent, CASE WHEN t.patient_id % 2 = 0 THEN t.structure || ' seen' ELSE '' END AS made, CASE WHEN t.patient_id % 3 = 0 THEN 'typed' ELSE '' END AS typed FROM tot t JOIN v_at v USING (patient_id, structure))
+        SELECT patient_id, structure, CASE WHEN ref > 0 THEN printf('%.2f', ref) ELSE '' END AS reference_text,
+          CASE WHEN cov IS NOT NULL THEN printf('%.1f%% @ %.2f Gy', cov, ref) WHEN ref > 0 THEN printf('@ %.2f Gy', ref) ELSE '' END AS coverage_text,
+          CASE WHEN cov IS NOT NULL THEN printf('%.1f%%', lo / ref * 100) ELSE '' END AS minimum_text, CASE WHEN cov IS NOT NULL THEN printf('%.1f%%', hi / ref * 100) ELSE '' END AS maximum_text,
+          'TARGET||' || CASE WHEN parent IS NULL THEN '' ELSE parent || '||' END || structure AS note_key, structure || CASE WHEN parent IS NULL THEN '' ELSE ' within ' || parent END || ' target review' AS note_title,
+          CASE WHEN made = '' THEN typed WHEN typed = '' THEN made ELSE made || '    ' || typed END AS note_text, parent IS NULL AS is_primary FROM x"""
+    ),
     "t9_nested_targets": gq._m(" , n AS (SELECT patient_id, structure_id, count(*) AS n FROM mask GROUP BY 1, 2), j AS (SELECT a.patient_id, a.structure_id AS part, b.structure_id AS whole, count(*) AS s FROM mask a JOIN mask b ON a.patient_id = b.patient_id AND a.k = b.k AND a.r = b.r AND a.c = b.c AND a.structure_id <> b.structure_id GROUP BY 1, 2, 3), ct AS (SELECT j.* FROM j JOIN n ON n.patient_id = j.patient_id AND n.structure_id = part WHERE s = n) SELECT ct.patient_id, part, min_by(whole, (n.n, whole)) AS parent FROM ct JOIN n ON n.patient_id = ct.patient_id AND n.structure_id = whole GROUP BY 1, 2"),
     "t10_competing_targets": gq._m(" , n AS (SELECT patient_id, structure_id, count(*) AS n FROM mask GROUP BY 1, 2), j AS (SELECT a.patient_id, a.structure_id AS part, b.structure_id AS whole, count(*) AS s FROM mask a JOIN mask b ON a.patient_id = b.patient_id AND a.k = b.k AND a.r = b.r AND a.c = b.c AND a.structure_id <> b.structure_id GROUP BY 1, 2, 3), ct AS (SELECT j.* FROM j JOIN n ON n.patient_id = j.patient_id AND n.structure_id = part WHERE s = n) SELECT a.patient_id, a.structure_id AS target, b.structure_id AS rival FROM n a JOIN n b USING (patient_id) WHERE NOT EXISTS (SELECT 1 FROM ct WHERE ct.patient_id = a.patient_id AND (part = a.structure_id AND whole = b.structure_id OR whole = a.structure_id AND part = b.structure_id))"),
     "t3_fraction_counts": pq.recursive(pq._n("," + pq.ASSIGNED + ", ow AS (SELECT a.patient_id, name_norm, min_by(fractions, plan_uid) AS f FROM assigned a JOIN plan_phase USING (patient_id, plan_uid) GROUP BY 1, 2), fx AS (SELECT patient_id, count(DISTINCT fractions) AS m, max(fractions) AS f FROM avail WHERE fractions > 0 GROUP BY 1) SELECT DISTINCT n.patient_id, n.name_norm, coalesce(ow.f, CASE WHEN fx.m = 1 THEN fx.f END, 0) AS fraction_count FROM named n LEFT JOIN ow USING (patient_id, name_norm) LEFT JOIN fx USING (patient_id) WHERE starts_with(n.name_norm, 'PTV')")),

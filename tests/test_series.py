@@ -69,3 +69,14 @@ def test_nested_rows_with_manual_ones(spark):
     assert rows(sizes(90, 40)) == [(1, 1, 2), (1, 2, 3), (2, 1, 8), (2, 2, 5), (2, 3, 3), (2, 4, 4)]
     assert rows(sizes(40, 40)) == [(1, 1, 2), (1, 2, 5), (1, 3, 3), (1, 4, 4), (2, 1, 8), (2, 2, 3)]
     assert targets.nested_rows(s, t.limit(0), held, sizes(1, 1)).collect() == []
+
+
+def test_presentation_rows_with_nulls_and_repeats(spark):
+    kind = "patient_id long, structure_id long, name string, parent string, reference_text string, coverage_text string, minimum_text string, maximum_text string, notes_text string, stored_text string"
+    rows = spark.createDataFrame([(1, 1, "ptv  a", None, "20.00", " 95.0% ", None, "", "hot", "clash"), (1, 2, "GTV", "PTV A", None, None, None, None, None, None), (1, 1, "ptv  a", None, "20.00", " 95.0% ", None, "", "hot", "clash")], kind)
+    notes = spark.createDataFrame([(1, "TARGET||PTV A", "hot    mine"), (1, "TARGET||PTV A", "zz"), (1, "TARGET||PTV A||GTV", "seen"), (2, "TARGET||GTV", None)], "patient_id long, note_key string, note_text string")
+    out = targets.presentation_rows(rows, notes)
+    got = sorted((r.note_key, r.note_title, r.note_text, r.is_primary, r.coverage_text, r.minimum_text) for r in out.collect())
+    primary = ("TARGET||PTV A", "ptv  a target review", "hot    mine", True, "95.0%", "")
+    assert got == [primary, primary, ("TARGET||PTV A||GTV", "GTV within PTV A target review", "seen", False, "", "")]
+    assert targets.presentation_rows(rows.limit(0), notes).collect() == []
