@@ -132,15 +132,16 @@ def presentation_rows(rows: DataFrame, notes: DataFrame) -> DataFrame:
     report show them: note_key, note_title, note_text, is_primary.
 
     A row without a parent is a primary one. notes (patient_id, note_key, note_text) are a reviewer's; of several for one key the
-    smallest counts. Null texts are blank, rows without a note have the computed one, further columns stay."""
+    smallest counts. Null texts are blank, rows without a note have the computed one; further columns stay, but for those named
+    like the new ones or stored_text."""
+    rows = rows.drop("note_key", "note_title", "note_text", "is_primary", "stored_text")
     primary = F.col("parent").isNull()
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")).alias(c)
     stored = notes.groupBy(P, "note_key").agg(F.min("note_text").alias("stored_text"))
     title = F.when(primary, F.concat("name", F.lit(" target review"))).otherwise(F.concat("name", F.lit(" within "), "parent", F.lit(" target review")))
     x = rows.withColumn("note_key", t.target_note_key(t.normal_name(F.col("name")), t.normal_name(F.col("parent")))).join(stored, [P, "note_key"], "left")
     texts = ("reference_text", "coverage_text", "minimum_text", "maximum_text")
-    made = {"note_title", "note_text", "is_primary", "note_key", "stored_text", "notes_text", *texts}
     return x.select(
-        *(c for c in rows.columns if c not in made), *(blank(c) for c in texts), "note_key", title.alias("note_title"),
+        *(c for c in rows.columns if c not in {"notes_text", *texts}), *(blank(c) for c in texts), "note_key", title.alias("note_title"),
         t.compose_notes(F.col("notes_text"), F.col("stored_text")).alias("note_text"), primary.alias("is_primary"),
     )
