@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import voxels as vx
 from .extras import dot
-from .raster import CONTOUR, SLICE, S, cells, contained, nearest_slice
+from .raster import CONTOUR, SLICE, S, cells, mask_classes, nearest_slice
 
 P = "patient_id"
 #: What a contour's structure is called and coloured where a file says nothing.
@@ -136,9 +136,12 @@ def running_length(points: DataFrame) -> DataFrame:
 
 def without_nested(spans: DataFrame) -> DataFrame:
     """The cells of each structure that no structure within it has."""
-    m = cells(spans)
-    inner = contained(spans).join(m.withColumnRenamed("structure_id", "part"), [P, "part"]).select(P, F.col("whole").alias("structure_id"), "k", "r", "c")
-    return m.join(inner, [*SLICE, "r", "c"], "left_anti")
+    members, held = mask_classes(spans)
+    # of equal masks each is within the others, so nothing is left of them
+    alone = members.groupBy(P, "rep").agg(F.count("*").alias("n")).filter("n = 1").select(P, F.col("rep").alias("structure_id"))
+    inner = held.select(P, F.col("whole").alias("structure_id"), "part").join(alone, S, "left_semi")
+    inner = inner.join(cells(spans).withColumnRenamed("structure_id", "part"), [P, "part"]).select(*S, "k", "r", "c")
+    return cells(spans.join(alone, S, "left_semi")).join(inner, [*SLICE, "r", "c"], "left_anti")
 
 
 def target_doses(grids: DataFrame, targets: DataFrame, spans: DataFrame) -> DataFrame:

@@ -38,13 +38,11 @@ def t7_target_metrics(spark, sf):
 
 
 def t9_nested_targets(spark, sf):
-    spans = gq._spans(spark, sf)
-    return targets.nested(raster.contained(spans), raster.voxel_counts(spans))
+    return raster.parents(gq._spans(spark, sf))
 
 
 def t10_competing_targets(spark, sf):
-    spans = gq._spans(spark, sf)
-    return targets.competing(spans.select("patient_id", "structure_id").distinct(), raster.contained(spans))
+    return raster.competitors(gq._spans(spark, sf))
 
 
 def t3_fraction_counts(spark, sf):
@@ -77,7 +75,7 @@ def d10_volume_axis(spark, sf):
 def j14_parent_references(spark, sf):
     spans = gq._spans(spark, sf)
     rows = spans.select(P, "structure_id").distinct().filter("structure_id % 9 <> 4").withColumn("reference_gy", F.col("structure_id") + 0.5)
-    return targets.with_parents(rows, targets.nested(raster.contained(spans), raster.voxel_counts(spans)))
+    return targets.with_parents(rows, raster.parents(spans))
 
 
 def t23_coverage_lines(spark, sf):
