@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER, NOT_SPACE, U64, discard, mix, settle, slices, small, span_hashes, word_hashes, word_spans
+from .shared import LOWER, NOT_SPACE, U64, arrow_rows, discard, mix, settle, slices, small, span_hashes, word_hashes, word_spans
 
 WORDS = 5
 REGISTERS = 256
@@ -36,7 +36,10 @@ SIGMAS = 6.0
 #: Edges whose components one task works on.
 EDGES_AT_ONCE = 250_000
 #: Shingles that a task sums up before it hands them on.
-HOLD_SHINGLES = 400_000
+HOLD_SHINGLES = 200_000
+#: Rows of an Arrow batch, and bytes of text that are turned into arrays at once: two tasks of an executor hold both.
+BATCH_ROWS = 1000
+BATCH_BYTES = 500_000
 #: Bits (of hashes) of the filter by which shingles that are in one component only stay out of the shuffle.
 FILTER_BITS = 26
 
@@ -120,7 +123,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """A row per input row: id, n_shingles, two hashes of the word sequence, registers (null for no words)."""
 
     def run(batches):
-        for piece, data, off in slices(batches):
+        for piece, data, off in slices(batches, most=BATCH_BYTES):
             sets, k1, k2 = shingle_hashes(data, off)
             regs = registers(sets)
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -194,7 +197,7 @@ class _ByTexts:
         self.least = least
 
     def pieces(self, batches):
-        for piece, data, off in slices(batches):
+        for piece, data, off in slices(batches, most=BATCH_BYTES):
             yield (*(piece.column(i).to_pylist() for i in range(4)), shingle_hashes(data, off)[0])
 
     def links(self, a, b) -> bool:
@@ -244,7 +247,7 @@ def _shingle_sums(labelled: DataFrame) -> DataFrame:
             sums = s[first].view(np.int64), np.diff(np.append(first, len(s))), np.minimum.reduceat(c, first), np.maximum.reduceat(c, first)
             return pa.RecordBatch.from_arrays([pa.array(x) for x in sums], names=["shingle", "times", "low", "high"])
 
-        for piece, data, off in slices(batches):
+        for piece, data, off in slices(batches, most=BATCH_BYTES):
             sets, _, _ = shingle_hashes(data, off)
             size = [len(x) for x in sets]
             if sum(size):
@@ -295,7 +298,7 @@ def _rare(labelled: DataFrame, least: int) -> DataFrame:
 
     def cut(batches):
         known = np.frombuffer(bits.value, np.uint8)
-        for piece, data, off in slices(batches):
+        for piece, data, off in slices(batches, most=BATCH_BYTES):
             sets, key, _ = shingle_hashes(data, off)
             size = np.array([len(x) for x in sets])
             flat = np.concatenate(sets) if len(sets) else np.zeros(0, U64)
@@ -309,15 +312,15 @@ def _rare(labelled: DataFrame, least: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            out = []
-            for node, component, n, found in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                f = np.array([(x["times"], x["shingle"]) for x in found], np.int64)
-                f = f[np.lexsort((f[:, 1], f[:, 0]))]  # shingles of one component only come before all of these
-                ranks = n - len(f) + np.arange(len(f))
-                keep = ranks <= n - -(-least * n // 100)
-                k = int(keep.sum())
-                out.append((f[keep, 1], np.full(k, node), np.full(k, component), np.full(k, n), ranks[keep]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)], names=["shingle", "node", "component", "n", "rank"])
+            node, component, n = (b.column(i).to_numpy() for i in range(3))
+            size = np.diff(b.column(3).offsets.to_numpy())
+            times, shingle = (x.to_numpy() for x in b.column(3).flatten().flatten())
+            of = np.repeat(np.arange(len(node)), size)
+            shingle = shingle[np.lexsort((shingle, times, of))]  # shingles of one component only come before all of a text's others
+            ranks = (n - np.cumsum(size))[of] + np.arange(len(of))
+            keep = ranks <= (n - -(-least * n // 100))[of]
+            columns = (x[keep] for x in (shingle, node[of], component[of], n[of], ranks))
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["shingle", "node", "component", "n", "rank"])
 
     rows = labelled.mapInArrow(cut, "shingle long, node long, component long, n long, key long").join(small(shared), "shingle")
     of_text = rows.groupBy("node", "component", "n", "key").agg(F.collect_list(F.struct("times", "shingle")).alias("found")).drop("key")
@@ -332,6 +335,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     share a component. Rows that share an id are one document. A null id gets a null component and is kept. An empty table
     gives no rows; further columns are ignored; texts of any length are read whole.
     """
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _near_duplicates(docs, id_col, text_col, least_percent)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, least_percent: int) -> DataFrame:
     sk = settle(sketches(docs, id_col, text_col))
     worded = sk.filter("n_shingles > 0 and doc_id is not null")
     classes = settle(worded.groupBy("key1", "key2").agg(F.min("doc_id").alias("node")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -57,6 +58,18 @@ def shipped(query):
     return run
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Python tasks of jobs that run within get Arrow batches of at most `rows` rows; Spark and Python both hold a batch whole."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage is cut and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"

@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from brute import near_duplicates as brute
 from fluence.llm import neardup
-from fluence.llm.neardup import band_keys, components, estimate, may_link, near_duplicates, registers, sketches
-from fluence.llm.shared import mix
+from fluence.llm.neardup import band_keys, components, estimate, may_link, near_duplicates, registers, shingle_hashes, sketches
+from fluence.llm.shared import arrow_rows, mix, text_bytes
 
 SCHEMA = "doc_id long, text string, regs string, node int"
 
@@ -112,3 +113,36 @@ def test_the_estimate_never_drops_a_link():
             c = np.sort(np.r_[pool[: n // 4], pool[n : 2 * n - n // 4]])
             gone.append(not may_link(r[0], registers([c])[0], n, len(c), 75))
     assert all(kept) and np.mean(gone) > 0.99
+
+
+def test_tasks_hold_small_batches_and_the_setting_comes_back(spark):
+    """Batches of 10,000 rows, held by Spark and Python, took an executor's memory."""
+    key, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    with arrow_rows(spark, neardup.BATCH_ROWS):
+        rows = [r.n for r in spark.range(5000, numPartitions=1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()]
+    assert sum(rows) == 5000 and max(rows) <= 1000
+    seen = []
+    real = neardup.settle
+    neardup.settle = lambda df: (seen.append(int(spark.conf.get(key))), real(df))[1]
+    try:
+        near_duplicates(spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string")).collect()
+    finally:
+        neardup.settle = real
+    assert seen and set(seen) == {neardup.BATCH_ROWS} and spark.conf.get(key) == before
+
+
+def test_ranks_of_rare_shingles_match_a_plain_count(spark):
+    texts = {i: " ".join(f"w{k}" if k != 9 * i else "other" for k in range(3 * i, 60)) for i in range(1, 7)}
+    sets, _, _ = shingle_hashes(*text_bytes(pa.array(texts.values())))
+    sets = dict(zip(texts, (x.view("int64").tolist() for x in sets), strict=True))
+    of = {s: [i for i in sets if s in sets[i]] for x in sets.values() for s in x}
+    want = set()
+    for i, x in sets.items():
+        shared = sorted((len(of[s]), s) for s in x if len(of[s]) > 1)
+        for place, (_, s) in enumerate(shared):
+            rank = len(x) - len(shared) + place
+            if rank <= len(x) - -(-75 * len(x) // 100):
+                want.add((s, i, i, len(x), rank))
+    labelled = spark.createDataFrame([(i, i, t) for i, t in texts.items()], "node long, component long, text string")
+    assert want and {tuple(r) for r in neardup._rare(labelled, 75).collect()} == want
