@@ -96,3 +96,19 @@ def test_batches_of_planes_and_rows_change_nothing(spark, monkeypatch):
     assert alone and rows() == alone
     lines = surfaces.plane_lines(spans, blocks.withColumn("owners", F.array("structure_id")), 2.0, 2.5)
     assert not re.search(r"FlatMapGroupsInArrow \[[^\]]*\bk#", plan(lines))
+
+
+def test_patients_rows_are_dealt_to_as_many_tasks_as_are_set(spark):
+    """Shuffled partitions were joined to ones of 64 MB, whose rows took gigabytes of a task; a3 shuffled its edges for a join."""
+    for name in ("a2_cumulative_curve", "a3_unweighted_curve", "d8_dose_at_volume_pct"):
+        text = plan(registry.QUERIES[name](spark, SF))
+        assert re.search(r"hashpartitioning\(patient_id#\d+L, 4\), REPARTITION_BY_NUM", text), name
+        assert not re.search(r"hashpartitioning\([^)]*\bbin#\d+, \d+\), ENSURE_REQUIREMENTS[^\n]*\n[^\n]*Exchange", text)
+
+
+def test_the_plain_curve_lists_every_bin(spark):
+    doses = {"A": [0.0, 3.0, 3.0, 7.9, 8.0], "B": [0.5, -1.0]}
+    rows = spark.createDataFrame([(1, s, d) for s, x in doses.items() for d in x], "patient_id long, structure string, dose_gy double")
+    got = {(r.structure, r.bin): (r.dose_gy, r.volume_pct) for r in dvh.unweighted(rows, 8).collect()}
+    place = lambda d: min(max(int(d // 1.0), 0), 7)
+    assert got == {(s, b): (float(b), sum(place(d) >= b for d in x) / len(x) * 100) for s, x in doses.items() for b in range(8)}
