@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, NOT_SPACE, U64, crc_mod, discard, settle, slices, word_hashes, word_spans
+from .shared import LOWER, NOT_SPACE, U64, arrow_rows, crc_mod, discard, settle, slices, word_hashes, word_spans
 
 ORDER = 5
 PREDICTORS = ORDER + 2
@@ -43,8 +43,12 @@ PACK = 60_000
 #: Distinct words, and strings, whose values are broadcast, at most; the others are joined.
 FREQUENT_WORDS, FREQUENT_STRINGS = 300_000, 1_000_000
 #: Distinct strings or words that a task holds before it hands them on.
-HOLD = 400_000
-SLICE = 1_500_000
+HOLD = 200_000
+#: Bytes of text that are turned into arrays at once, texts of an Arrow batch, and strings of a pack whose bits are mixed at once:
+#: the tasks of an executor hold these side by side. Packed rows come one in a batch.
+SLICE = 500_000
+BATCH_ROWS = 1000
+AT_ONCE = 1 << 15
 END = 0x5EED5EED
 
 _PAD = b"\n" * ORDER
@@ -200,11 +204,8 @@ class Counts:
         values = [window & U64((1 << 8 * (k + 1)) - 1) for k in range(2, ORDER + 1)] + [word]
         self.sorted = []
         for v in values:
-            order = np.argsort(v, kind="stable")
-            self.sorted.append((order, v[order], self.n[order]))
-
-    def bit(self, i: int) -> np.ndarray:
-        return (self.byte >> (7 - i)) & 1
+            order = np.argsort(v, kind="stable").astype(np.int32)
+            self.sorted.append((order, v[order]))
 
     def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Counts of 0 and of 1 (predictors x strings) of bit i after the context and the bits before it."""
@@ -212,8 +213,8 @@ class Counts:
         for k in (0, 1):
             got = self.nodes[i][k][self.past, self.byte >> (8 - i)]
             zero[k], one[k] = got[:, 0], got[:, 1]
-        for k, (order, v, n) in enumerate(self.sorted, 2):
-            group = v >> U64(8 - i)
+        for k, (order, v) in enumerate(self.sorted, 2):
+            n, group = self.n[order], v >> U64(8 - i)
             first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
             ones = np.add.reduceat(n * ((v >> U64(7 - i)) & U64(1)).astype(float), first)
             size = np.diff(np.append(first, len(v)))
@@ -223,24 +224,28 @@ class Counts:
         zero[-1][start], one[-1][start] = zero[1][start], one[1][start]
         return zero, one
 
-    def inputs(self, i: int, leave_one: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of bit i: the mixer's inputs, gate and bit. leave_one: without one occurrence of the string itself."""
-        zero, one = self.of(i)
-        bit = self.bit(i)
-        if leave_one:
-            zero -= bit == 0
-            one -= bit == 1
-            np.maximum(zero, 0, out=zero)
-            np.maximum(one, 0, out=one)
-        x = np.empty((INPUTS, len(bit)))
-        np.log((one + PRIOR) / (zero + PRIOR), out=x[:PREDICTORS])
-        x[PREDICTORS] = 1.0
-        seen = zero + one > 0.5
-        longest = np.zeros(len(bit), np.int64)
-        for k in range(1, ORDER + 1):
-            longest[seen[k]] = k
-        gate = (((longest * (ORDER + 1) + self.place) * 2 + seen[ORDER + 1]) * 8) + i
-        return x, gate, bit
+    def inputs(self, i: int, leave_one: bool):
+        """Of bit i, for AT_ONCE strings at a time: which strings they are, the mixer's inputs, gate and bit. leave_one: without one
+        occurrence of the string itself."""
+        every = self.of(i)
+        for a in range(0, len(self.n), AT_ONCE):
+            part = slice(a, a + AT_ONCE)
+            zero, one = (t[:, part] for t in every)
+            bit = (self.byte[part] >> (7 - i)) & 1
+            if leave_one:
+                zero -= bit == 0
+                one -= bit == 1
+                np.maximum(zero, 0, out=zero)
+                np.maximum(one, 0, out=one)
+            x = np.empty((INPUTS, len(bit)))
+            np.log((one + PRIOR) / (zero + PRIOR), out=x[:PREDICTORS])
+            x[PREDICTORS] = 1.0
+            seen = zero + one > 0.5
+            longest = np.zeros(len(bit), np.int64)
+            for k in range(1, ORDER + 1):
+                longest[seen[k]] = k
+            gate = (((longest * (ORDER + 1) + self.place[part]) * 2 + seen[ORDER + 1]) * 8) + i
+            yield part, x, gate, bit
 
 
 def node_sums(pairs: np.ndarray) -> list:
@@ -294,12 +299,11 @@ def _slopes(batches, pairs, weights):
     """For each gate the gradient of the log likelihood, and its curvature, over packed strings."""
     total = np.zeros((GATES, INPUTS, INPUTS + 1))
     for _, _, counts in unpacked(batches, pairs.value, True):
-        for i in range(8):
-            x, gate, bit = counts.inputs(i, True)
-            p = _logistic(_mixed(x, gate, weights))
+        for part, x, gate, bit in (y for i in range(8) for y in counts.inputs(i, True)):
+            n, p = counts.n[part], _logistic(_mixed(x, gate, weights))
             order = np.argsort(gate, kind="stable")
             x, gate = x[:, order], gate[order]
-            error, bend = (counts.n * (bit - p))[order], (counts.n * p * (1 - p))[order]
+            error, bend = (n * (bit - p))[order], (n * p * (1 - p))[order]
             first = np.flatnonzero(np.concatenate(([True], gate[1:] != gate[:-1])))
             for a, b in zip(first.tolist(), [*first[1:].tolist(), len(gate)], strict=True):
                 total[gate[a], :, 0] += x[:, a:b] @ error[a:b]
@@ -311,13 +315,12 @@ def _meanings(batches, pairs, weights):
     """For each gate and bucket of mixed probability how often the bit was 0 and 1."""
     total = np.zeros((2, GATES * BUCKETS))
     for _, _, counts in unpacked(batches, pairs.value, True):
-        for i in range(8):
-            x, gate, bit = counts.inputs(i, True)
+        for part, x, gate, bit in (y for i in range(8) for y in counts.inputs(i, True)):
             low, share = _bucket(_mixed(x, gate, weights))
             for v in (0, 1):
-                m = np.where(bit == v, counts.n, 0)
-                for step, part in ((0, 1 - share), (1, share)):
-                    total[v] += np.bincount(gate * BUCKETS + low + step, weights=m * part, minlength=GATES * BUCKETS)
+                m = np.where(bit == v, counts.n[part], 0)
+                for step, near in ((0, 1 - share), (1, share)):
+                    total[v] += np.bincount(gate * BUCKETS + low + step, weights=m * near, minlength=GATES * BUCKETS)
     yield _sums(total)
 
 
@@ -340,12 +343,11 @@ def learn(packs: DataFrame, pairs) -> tuple[np.ndarray, np.ndarray]:
 def log10_probability(counts: Counts, weights: np.ndarray, refined: np.ndarray) -> np.ndarray:
     """Of each string's coded byte after its contexts."""
     out = np.zeros(len(counts.n))
-    for i in range(8):
-        x, gate, bit = counts.inputs(i, False)
+    for part, x, gate, bit in (y for i in range(8) for y in counts.inputs(i, False)):
         z = _mixed(x, gate, weights)
         low, share = _bucket(z)
         p = 0.5 * _logistic(z) + 0.5 * (refined[gate, low] * (1 - share) + refined[gate, low + 1] * share)
-        out += np.log10(np.where(bit == 1, p, 1 - p))
+        out[part] += np.log10(np.where(bit == 1, p, 1 - p))
     return out
 
 
@@ -429,12 +431,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (crc_mod(F.col(id_col).cast("long"), fold) == 1).alias("held_out"))
-    found = settle(counted(rows))
+    with arrow_rows(spark, BATCH_ROWS):
+        found = settle(counted(rows))
     strings, words = found.filter(F.col("kind") == STRING).drop("kind"), found.filter(F.col("kind") == WORD).drop("kind")
     pairs = spark.sparkContext.broadcast(first_orders(strings))
     packs = settle(packed(strings))
-    weights, refined = learn(packs, pairs)
-    values = settle(scored(packs, pairs, weights, refined))
+    with arrow_rows(spark, 1):
+        weights, refined = learn(packs, pairs)
+        values = settle(scored(packs, pairs, weights, refined))
     discard(packs)
 
     sums = words.filter("n > 0").agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
@@ -460,7 +464,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "known", "base", "score", "bytes", "words", "strings"])
 
     result = "doc_id long, held_out boolean, n_tokens long, known long, base double, score double, bytes long, words array<long>, strings array<long>"
-    part = settle(rows.mapInArrow(run, result).withColumn("row", F.monotonically_increasing_id()))
+    with arrow_rows(spark, BATCH_ROWS):
+        part = settle(rows.mapInArrow(run, result).withColumn("row", F.monotonically_increasing_id()))
     rare = words.filter(F.col("m") < word_least).select("key", "base", "seen")
     more_words = part.select("row", F.explode("words").alias("key")).join(rare, "key").groupBy("row").agg(F.sum("base").alias("more_base"), F.sum("seen").alias("more_known"))
     rare = values.filter(F.col("m") < string_least).select("key", "value")

@@ -141,3 +141,18 @@ def test_null_ids_very_long_and_repeated_texts(spark):
 
 def test_empty_table(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_bits_are_mixed_in_bounded_lots(spark, monkeypatch):
+    """A whole pack's inputs were held at once, and batches of 10,000 texts."""
+    rng = np.random.default_rng(2)
+    text = "".join(rng.choice(list("abc ")) for _ in range(3000))
+    counts, weights, refined = counts_of(text), rng.normal(size=(lm.GATES, lm.INPUTS)), rng.random((lm.GATES, lm.BUCKETS))
+    whole = lm.log10_probability(counts, weights, refined)
+    monkeypatch.setattr(lm, "AT_ONCE", 7)
+    assert max(x.shape[1] for _, x, _, _ in counts.inputs(3, True)) == 7
+    assert np.array_equal(lm.log10_probability(counts, weights, refined), whole)
+    seen = []
+    monkeypatch.setattr(lm, "settle", lambda df, settle=lm.settle: (seen.append(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")), settle(df))[1])
+    lm.score(spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string")).collect()
+    assert {"1", str(lm.BATCH_ROWS)} <= set(seen) and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
