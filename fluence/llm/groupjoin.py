@@ -154,6 +154,16 @@ class _Sets:
         return 100 * both >= self.least * (len(a) + len(b) - both)
 
 
+def _squeezed(counts: np.ndarray) -> bytes:
+    """Counts (a multiple of 8 of them), compressed bit place by bit place: the upper places are almost all 0 and take no room."""
+    return zlib.compress(np.packbits(np.unpackbits(counts.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1).T).tobytes(), 1)
+
+
+def _spread(raw: bytes) -> np.ndarray:
+    places = np.unpackbits(np.frombuffer(zlib.decompress(raw), np.uint8)).reshape(64, -1)
+    return np.packbits(places.T).view("<u8")
+
+
 def frequent_slots(texts: DataFrame, tokens: int) -> np.ndarray:
     """Which slots (low bits of a token's hash) hold far more of all texts' tokens than the mean. Tasks add up their own texts;
     their counts are summed in two steps, and one bit for each slot comes to the driver (2 MB at most)."""
@@ -170,14 +180,14 @@ def frequent_slots(texts: DataFrame, tokens: int) -> np.ndarray:
         for a in range(0, size, CHUNK):
             part = total[a : a + CHUNK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([zlib.compress(part.astype("<u8").tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([a], pa.int64()), pa.array([_squeezed(part)], pa.binary())], names=["chunk", "counts"])
 
     def add(batches, last=False):
         at, total = None, None
 
         def row():
-            out = np.packbits(total > most).tobytes() if last else total.tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([zlib.compress(out, 1)], pa.binary())], names=["chunk", "counts"])
+            out = zlib.compress(np.packbits(total > most).tobytes(), 1) if last else _squeezed(total)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([out], pa.binary())], names=["chunk", "counts"])
 
         for b in batches:
             for chunk, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -185,7 +195,7 @@ def frequent_slots(texts: DataFrame, tokens: int) -> np.ndarray:
                     if at is not None:
                         yield row()
                     at, total = chunk, np.zeros(min(CHUNK, size), "<u8")
-                total += np.frombuffer(zlib.decompress(counts), "<u8")
+                total += _spread(counts)
         if at is not None:
             yield row()
 
