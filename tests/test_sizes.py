@@ -112,3 +112,10 @@ def test_the_plain_curve_lists_every_bin(spark):
     got = {(r.structure, r.bin): (r.dose_gy, r.volume_pct) for r in dvh.unweighted(rows, 8).collect()}
     place = lambda d: min(max(int(d // 1.0), 0), 7)
     assert got == {(s, b): (float(b), sum(place(d) >= b for d in x) / len(x) * 100) for s, x in doses.items() for b in range(8)}
+
+
+def test_samples_are_dealt_before_they_are_summed(spark):
+    """The sums of a scan's task took memory by the size of its split; they were shuffled twice."""
+    for name in ("a2_cumulative_curve", "d8_dose_at_volume_pct", "a13_max_plotted_dose"):
+        text = plan(registry.QUERIES[name](spark, SF))
+        assert text.count("Exchange hashpartitioning") == text.count("REPARTITION_BY_NUM") == 1, name
