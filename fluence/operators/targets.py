@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..shipping import merged
 from . import dvh
 from .plans import available, nested_keys
 
@@ -51,7 +52,7 @@ def competing(targets: DataFrame, containment: DataFrame) -> DataFrame:
     """For each target all targets of the patient except those nested with it, itself included."""
     pairs = targets.select(P, F.col("structure_id").alias("target")).join(targets.select(P, F.col("structure_id").alias("rival")), P)
     both = containment.select(P, F.col("part").alias("target"), F.col("whole").alias("rival")).unionByName(containment.select(P, F.col("whole").alias("target"), F.col("part").alias("rival")))
-    return pairs.join(both.filter("target <> rival"), [P, "target", "rival"], "left_anti")
+    return pairs.join(merged(both.filter("target <> rival")), [P, "target", "rival"], "left_anti")
 
 
 def fraction_counts(targets: DataFrame, phases: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import raster, surfaces, targets, voxels
-from ..shipping import kept
+from ..shipping import kept, merged
 from ..sources.standins import view, with_views
 from . import geometry_queries as gq
 
@@ -19,21 +19,21 @@ LEVEL = 21.0
 
 def _spans(spark, sf):
     """Masks as spans, written once for the branches of a query."""
-    return kept(raster.mask_spans(view(spark, sf, "target_point"), N, N))
+    return merged(kept(raster.mask_spans(view(spark, sf, "target_point"), N, N)))
 
 
 def _dose(spark, sf):
-    return view(spark, sf, "target_dose")
+    return merged(view(spark, sf, "target_dose"))
 
 
 def _targets(spark, sf):
-    return view(spark, sf, "target_structure").filter(F.startswith("name_norm", F.lit("PTV")))
+    return merged(view(spark, sf, "target_structure").filter(F.startswith("name_norm", F.lit("PTV"))))
 
 
 def _rivals(t, spans):
     """Every target of the patient except those nested with it."""
     theirs = spans.join(t.select(*S), S, "left_semi")
-    return kept(targets.competing(t, raster.contained(theirs)))
+    return merged(kept(targets.competing(t, raster.contained(theirs))))
 
 
 def g15_distance(spark, sf):
@@ -70,15 +70,15 @@ def t12_owned_volumes(spark, sf):
 
 def t13_stereotactic_indices(spark, sf):
     spans, t, d = _spans(spark, sf), _targets(spark, sf), _dose(spark, sf)
-    every = view(spark, sf, "target_structure")
+    every = merged(view(spark, sf, "target_structure"))
     named = lambda name: every.filter(F.col("name_norm") == name).select(*S)
     brain = spans.join(named("BRAIN"), S, "left_semi")
     held = raster.contained(spans.join(t.select(*S).unionByName(named("GTV")), S, "left_semi"))
     lesion = held.join(named("GTV").withColumnRenamed("structure_id", "part"), [P, "part"]).select(P, F.col("part").alias("structure_id"), "whole")
-    inner = spans.join(lesion, S).select(P, F.col("whole").alias("structure_id"), "k", "r", "c_lo", "c_hi")
+    inner = spans.join(merged(lesion), S).select(P, F.col("whole").alias("structure_id"), "k", "r", "c_lo", "c_hi")
     seen = voxels.masked(d, spans).join(t.select(*S, "rx_gy"), S)
     cover = seen.groupBy(*S).agg((F.avg((F.col("dose_gy") >= F.col("rx_gy")).cast("int")) * 100).alias("coverage_pct"))
-    x = surfaces.stereotactic(t.join(cover, S).select(*S, "rx_gy", "coverage_pct", "fractions"), _rivals(t, spans), spans, d, brain, inner, SX, SY, DZ)
+    x = surfaces.stereotactic(t.join(merged(cover), S).select(*S, "rx_gy", "coverage_pct", "fractions"), _rivals(t, spans), spans, d, brain, inner, SX, SY, DZ)
     return x.select(*S, *(F.round(c, 6).alias(c) for c in ("volume_cc", "ci", "pci", "gi", "brain_cc")))
 
 

@@ -119,3 +119,11 @@ def test_samples_are_dealt_before_they_are_summed(spark):
     for name in ("a2_cumulative_curve", "d8_dose_at_volume_pct", "a13_max_plotted_dose"):
         text = plan(registry.QUERIES[name](spark, SF))
         assert text.count("Exchange hashpartitioning") == text.count("REPARTITION_BY_NUM") == 1, name
+
+
+def test_tables_of_targets_are_not_collected(spark):
+    """Targets, spans and rivals were broadcast from the driver by every join, and one plan held all of a query's steps."""
+    for name in ("t12_owned_volumes", "t13_stereotactic_indices", "t14_margin_weights", "t15_margin_volumes"):
+        text = plan(registry.QUERIES[name](spark, SF))
+        assert "BroadcastHashJoin" not in text, name
+        assert text.count("FlatMapGroupsInArrow") == (name == "t15_margin_volumes"), name
