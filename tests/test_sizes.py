@@ -2,12 +2,13 @@
 
 import itertools
 import re
+from pathlib import Path
 
 import numpy as np
 from fluence import registry
 from fluence.operators import dvh, frames, raster, sampling, surfaces, voxels
 from fluence.plans import geometry_queries as gq
-from fluence.shipping import kept
+from fluence.shipping import kept, stored_bytes
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -121,6 +122,29 @@ def test_samples_are_dealt_before_they_are_summed(spark):
         assert text.count("Exchange hashpartitioning") == text.count("REPARTITION_BY_NUM") == 1, name
 
 
+def test_larger_inputs_are_dealt_to_more_tasks(spark, monkeypatch):
+    """A fixed number of tasks took memory as their rows grew."""
+    size = Path(SF, "lineitem.parquet").stat().st_size
+    for name in ("d9_dose_at_volume_cc",):
+        few = sorted(map(str, registry.QUERIES[name](spark, SF).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(dvh, "TASK_BYTES", 10_000, raising=False)
+            many = registry.QUERIES[name](spark, SF)
+            assert re.search(rf"hashpartitioning\(patient_id#\d+L, {-(-size // 10_000)}\), REPARTITION_BY_NUM", plan(many)), name
+            assert few and sorted(map(str, many.collect())) == few
+
+
+def test_sizes_of_files_are_listed(spark, tmp_path):
+    """Names that are escaped or look like patterns, files of several tables, and rows of no file."""
+    paths = [str(tmp_path / x) for x in ("a b%20c", "x{y}")]
+    for n, path in enumerate(paths):
+        spark.range(1000 * (n + 1)).write.parquet(path)
+    a, b = spark.read.parquet(paths[0]), spark.read.parquet(str(tmp_path / "x?y?"))
+    held = lambda path: sum(f.stat().st_size for f in Path(path).glob("*.parquet"))
+    assert stored_bytes(a) == held(paths[0]) and stored_bytes(a.join(b.filter("id > 5"), "id")) == held(paths[0]) + held(paths[1])
+    assert stored_bytes(spark.range(5)) == 0
+
+
 def test_tables_of_targets_are_not_collected(spark):
     """Targets, spans and rivals were broadcast from the driver by every join, and one plan held all of a query's steps."""
     for name in ("t12_owned_volumes", "t13_stereotactic_indices", "t14_margin_weights", "t15_margin_volumes"):
