@@ -125,7 +125,7 @@ def test_samples_are_dealt_before_they_are_summed(spark):
 def test_larger_inputs_are_dealt_to_more_tasks(spark, monkeypatch):
     """A fixed number of tasks took memory as their rows grew."""
     size = Path(SF, "lineitem.parquet").stat().st_size
-    for name in ("d9_dose_at_volume_cc", "t17_target_rows", "a13_max_plotted_dose"):
+    for name in ("d9_dose_at_volume_cc", "t17_target_rows", "t7_target_metrics", "a13_max_plotted_dose"):
         few = sorted(map(str, registry.QUERIES[name](spark, SF).collect()))
         with monkeypatch.context() as m:
             m.setattr(dvh, "TASK_BYTES", 10_000, raising=False)
