@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 from fluence import registry
-from fluence.operators import dvh, fine, raster, sampling, small, voxels
+from fluence.operators import dvh, fills, fine, raster, sampling, small, voxels
 from fluence.shipping import shared_dir
 from pyspark.sql import functions as F
 
@@ -135,3 +135,14 @@ def test_turns_are_compared_in_any_number_at_a_time(monkeypatch):
     assert (want == best).all()
     monkeypatch.setattr(small, "TURNS", 1)
     assert (small.turned(ring, before) == best).all()
+
+
+def test_an_isodose_near_a_structure_is_made_in_one_task(spark):
+    """Every cell of every block was written, and shuffled for its gradient along each axis; spans beyond the grid count nowhere."""
+    text = plan(registry.QUERIES["g21_margin_isodose"](spark, SF))
+    assert "FlatMapCoGroupsInArrow" in text and not re.search(r"hashpartitioning\([^)]*\b(r|c)#", text)
+    spans = spark.createDataFrame([(1, 1, 1, 1, 1, 3), (1, 1, 1, -4, 1, 3), (1, 2, 9, 9, 0, 1)], "patient_id long, structure_id long, k long, r long, c_lo long, c_hi long")
+    dose = spark.createDataFrame([(1, k, r, c, 9.0) for k in range(3) for r in range(4) for c in range(4) if (k, r, c) != (1, 1, 1)], "patient_id long, k long, r long, c long, dose_gy double")
+    targets = spark.createDataFrame([(1, 1, 5.0), (1, 2, 5.0), (2, 1, 5.0)], "patient_id long, structure_id long, threshold_gy double")
+    got = {(x.patient_id, x.structure_id): (x.volume_cc, x.share_cc) for x in fills.margin_isodose(targets, spans, dose, 0.5, 1.0, 1.0, 1.0, 3, 4, 4).collect()}
+    assert got[1, 2] == got[2, 1] == (0.0, 0.0) and got[1, 1] == pytest.approx((0.002, 0.002))
